@@ -34,7 +34,7 @@ END = b""
 CLASSES = 1000
 #: The most words whose counts are sent to every executor.
 HEAVY = 150_000
-SIZE, NOISE, STEP, RATE, SEED = 16, 24, 4096, 0.1, 5
+SIZE, NOISE, STEP, RATE, SEED = 16, 24, 1024, 0.3, 5
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 1_000_000
 
@@ -177,7 +177,7 @@ def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str
             for text in [*text_bytes(batch.column(0)), None]:
                 if text is not None:
                     rows += tokens(text)
-                if len(rows) >= 64 * STEP or text is None and rows:
+                if len(rows) >= 256 * STEP or text is None and rows:
                     classes = ids.of(rows)
                     one, two = context(classes, np.fromiter([not w for w in rows], bool, len(rows)), ids.start)
                     for at in range(0, len(rows), STEP):
