@@ -12,13 +12,14 @@ and only from their first character.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tiegrid.llm.common import map_texts
+from tiegrid.llm.common import id_type, map_texts, text_bytes
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn", "local_phone", "secret")
@@ -35,6 +36,7 @@ SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])")
 DIGIT = re.compile(r"[0-9]")
+DIGIT_BYTE = re.compile(rb"[0-9]")
 
 #: Words near a span that speak for a kind, and how far to both sides they are looked for.
 CONTEXT = {
@@ -164,35 +166,32 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     their row; an empty table gives an empty result.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    schema = f"{id_col} {id_type(docs, id_col)}, spans array<struct<kind:string,start:int,end:int,score:double>>, redacted string"
 
-    def rows(texts: list[bytes]) -> list[pa.Array]:
-        found, clean = [], []
-        for raw in texts:
-            text = raw.decode()
-            spans = find_spans(text)
-            found.append([vars(s) for s in spans])
-            clean.append(redact(text, spans))
-        return [pa.array(found, kind), pa.array(clean, pa.string())]
-
-    fields = "spans array<struct<kind:string|start:int|end:int|score:double>>, redacted string".replace("|", ";")
-    return _map(docs, rows, fields, id_col, text_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.decode() for t in text_bytes(batch.column(1))]
+            found = [find_spans(t) for t in texts]
+            clean = [redact(t, s) for t, s in zip(texts, found, strict=True)]
+            columns = [batch.column(0), pa.array([[vars(s) for s in f] for f in found], kind), pa.array(clean, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "spans", "redacted"])
 
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-def _map(docs, rows, fields, id_col, text_col):
-    """``map_texts`` for a schema with commas inside a type, which are written as semicolons."""
-    from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(f"{id_col} {docs.schema[id_col].dataType.simpleString()}, " + fields.replace(";", ","))
+def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with each span in the texts replaced by its kind in brackets; all columns and rows stay, null texts too."""
+    at = docs.columns.index(text_col)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [x or b"" for x in part.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *rows(texts)], names=names)
+            texts = batch.column(at).to_pylist()
+            for k, text in enumerate(texts):
+                if text and (spans := find_spans(text)):
+                    texts[k] = redact(text, spans)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    names = schema.names
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +201,7 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         counts = [[0] * len(texts) for _ in BASE]
         digests, shown = [], []
         for row, raw in enumerate(texts):
-            spans = find_spans(raw.decode()) if b"@" in raw or DIGITS.search(raw) else []
+            spans = find_spans(raw.decode()) if b"@" in raw or DIGIT_BYTE.search(raw) else []
             for s in spans:
                 if s.kind in BASE:
                     counts[BASE.index(s.kind)][row] += 1
@@ -212,6 +211,3 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     fields = ", ".join([*(f"n_{k} bigint" for k in BASE), "base_sha256 string", "spans string"])
     return map_texts(docs, rows, fields, id_col, text_col)
-
-
-DIGITS = re.compile(rb"[0-9]")

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegrid.llm.common import map_texts, text_bytes
+from tiegrid.llm.common import map_texts, materialize, text_bytes
 
 #: At most so many labelled rows are learned from, taken by the hash of their ids.
 MAX_LABELLED = 8000
 #: Features that the model may use, and the least number of learned texts that hold one.
-MAX_FEATURES, LEAST_TEXTS = 4000, 5
+MAX_FEATURES, LEAST_TEXTS = 2000, 5
 PREFIXES = (5, 6, 7)
 #: A text is rejected from this probability of any toxicity on.
 REJECT = 0.5
@@ -60,7 +60,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(evidence[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(columns: np.ndarray, grades: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(columns: np.ndarray, grades: np.ndarray, ridge: float = 1.0, rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by accelerated gradient steps on the ridge-penalised likelihood.
 
     The thresholds are a first value and the logs of the steps between them, so they stay in order.
@@ -75,7 +75,7 @@ def fit_ordinal(columns: np.ndarray, grades: np.ndarray, ridge: float = 1.0, rou
     for k in range(rounds):
         ahead = params + k / (k + 3) * velocity
         t = ahead[0] + np.concatenate(([0.0], np.cumsum(np.exp(ahead[1:top]))))
-        z = columns @ ahead[top:]
+        z = (columns @ ahead[top:].astype(np.float32)).astype(float)
         above = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -40, 40)))
         edges = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
         slope = edges * (1 - edges)
@@ -85,7 +85,7 @@ def fit_ordinal(columns: np.ndarray, grades: np.ndarray, ridge: float = 1.0, rou
         d_t = np.zeros(top)
         for j in range(top):
             d_t[j] = lower[grades == j].sum() - upper[grades == j + 1].sum()
-        grad_w = columns.T @ d_z - ridge * ahead[top:]
+        grad_w = columns.T @ d_z.astype(np.float32) - ridge * ahead[top:]
         grad_first = d_t.sum()
         grad_steps = np.array([d_t[j + 1 :].sum() for j in range(top - 1)]) * np.exp(ahead[1:top])
         grad = np.concatenate(([grad_first], grad_steps, grad_w)) / n
@@ -104,70 +104,95 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return texts.join(F.broadcast(chosen), id_col)
 
 
-def severity(rows: list[tuple[Counter, int]]) -> list[int]:
+def severity(found: list[dict[str, int]], labels: np.ndarray, marks: set[str]) -> np.ndarray:
     """Grades 0, 1 and 2 from labels that only tell 0 from 1.
 
-    Features that no unlabelled-as-toxic text holds count as marks; a toxic text
-    with more distinct marks than the median toxic text that has any is grade 2.
+    A toxic text with more distinct marks (features that hardly any text
+    without the label holds) than the median toxic text that has any is grade 2.
     """
-    toxic, clean = Counter(), Counter()
-    for found, label in rows:
-        (toxic if label else clean).update(found.keys())
-    marks = {f for f, n in toxic.items() if n >= 2 * LEAST_TEXTS and clean[f] * 20 <= n}
-    counts = [sum(f in marks for f in found) for found, _ in rows]
-    held = sorted(n for n, (_, label) in zip(counts, rows, strict=True) if label and n)
-    middle = held[len(held) // 2] if held else 0
-    return [0 if not label else 2 if held and n > middle else 1 for n, (_, label) in zip(counts, rows, strict=True)]
-
-
-def learn(rows: list[tuple[Counter, int]], graded: bool = False) -> Ordinal | None:
-    """A model from features and labels; None if there aren't two grades."""
-    labels = {label for _, label in rows}
-    if len(labels) < 2:
-        return None
-    grades = np.array([label for _, label in rows] if graded or labels != {0, 1} else severity(rows))
-    _, grades = np.unique(grades, return_inverse=True)
-    total, hot = Counter(), Counter()
-    for (found, _), grade in zip(rows, grades, strict=True):
-        total.update(found.keys())
-        if grade:
-            hot.update(found.keys())
-    share = (grades > 0).mean()
-    names = [f for f, n in total.items() if n >= LEAST_TEXTS]
-    seen, toxic = np.array([total[f] for f in names], float), np.array([hot[f] for f in names], float)
-    lift = (toxic - seen * share) / np.sqrt(seen * share * (1 - share))
-    chosen = [names[k] for k in np.lexsort((names, -np.abs(lift)))[:MAX_FEATURES]]
-    place = {f: k for k, f in enumerate(chosen)}
-    columns = np.zeros((len(rows), len(chosen)), np.float32)
-    for k, (found, _) in enumerate(rows):
-        for f in found.keys() & place.keys():
-            columns[k, place[f]] = np.log1p(found[f])
-    w, t = fit_ordinal(columns, grades)
-    return Ordinal({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}, t.tolist())
+    counts = np.array([len(f.keys() & marks) for f in found])
+    held = counts[(labels > 0) & (counts > 0)]
+    middle = np.median(held) if len(held) else np.inf
+    return np.where(labels == 0, 0, np.where(counts > middle, 2, 1))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", most: int = MAX_LABELLED
 ) -> Ordinal | None:
-    """A model of ``grade_col``: ordered integer grades, or 0 and 1, which ``severity`` makes finer."""
+    """A model of ``grade_col``: ordered integer grades, or 0 and 1, which ``severity`` makes finer.
+
+    Spark counts and ranks the features of the labelled texts; the driver gets
+    the MAX_FEATURES chosen ones and, of each learned text, those it holds.
+    None if there aren't two grades.
+    """
     sample = labelled_texts(docs, labels, id_col, text_col, grade_col, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.decode()) for t in text_bytes(batch.column(0))]
+            found = [features(t.decode()) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column(0),
                     pa.array([list(f) for f in found], pa.list_(pa.string())),
                     pa.array([list(f.values()) for f in found], pa.list_(pa.int32())),
-                    batch.column(1),
+                    batch.column(2),
+                ],
+                names=["id", "names", "counts", "grade"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = materialize(
+        sample.select(F.col(id_col).alias("id"), "_text", "_grade").mapInArrow(
+            run, f"id {kind}, names array<string>, counts array<int>, grade int"
+        ),
+        "toxicity-features",
+    )
+    low, n_all, n_hot = rows.agg(F.min("grade"), F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
+    top = rows.agg(F.max("grade")).first()[0]
+    if not n_all or low == top:
+        return None
+    share = n_hot / n_all if low <= 0 < top else 0.5
+    seen, hot = F.col("seen"), F.col("hot")
+    lift = (hot - seen * share) / F.sqrt(seen * (share * (1 - share)))
+    ranked = (
+        rows.select(F.explode("names").alias("name"), (F.col("grade") > 0).cast("int").alias("hot"))
+        .groupBy("name")
+        .agg(F.count(F.lit(1)).alias("seen"), F.sum("hot").alias("hot"))
+        .filter(seen >= LEAST_TEXTS)
+        .orderBy(F.abs(lift).desc(), "name")
+        .limit(MAX_FEATURES)
+        .collect()
+    )
+    place = {r["name"]: k for k, r in enumerate(ranked)}
+    marks = {r["name"] for r in ranked if r["hot"] >= 2 * LEAST_TEXTS and (r["seen"] - r["hot"]) * 20 <= r["hot"]}
+    wanted = docs.sparkSession.sparkContext.broadcast(place)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = wanted.value
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            kept = [[(n, c) for n, c in zip(*p, strict=True) if n in names] for p in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([[n for n, _ in k] for k in kept], pa.list_(pa.string())),
+                    pa.array([[c for _, c in k] for k in kept], pa.list_(pa.int32())),
+                    batch.column(3),
                 ],
-                names=["names", "counts", "grade"],
+                names=["id", "names", "counts", "grade"],
             )
 
-    rows = sample.select("_text", "_grade").mapInArrow(run, "names array<string>, counts array<int>, grade int")
-    every = [(Counter(dict(zip(r["names"], r["counts"], strict=True))), r["grade"]) for r in rows.toLocalIterator()]
-    every.sort(key=lambda r: (r[1], sorted(r[0].items())))
-    return learn(every[: 2 * most])
+    learned = rows.mapInArrow(pick, rows.schema).orderBy("id", "grade", "names").limit(2 * most).collect()
+    found = [dict(zip(r["names"], r["counts"], strict=True)) for r in learned]
+    given = np.array([r["grade"] for r in learned])
+    grades = severity(found, given, marks) if set(given) == {0, 1} else given
+    _, grades = np.unique(grades, return_inverse=True)
+    columns = np.zeros((len(found), len(place)), np.float32)
+    for k, f in enumerate(found):
+        for name, n in f.items():
+            columns[k, place[name]] = np.log1p(n)
+    w, t = fit_ordinal(columns, grades)
+    return Ordinal({name: float(w[k]) for name, k in place.items() if abs(w[k]) > 1e-4}, t.tolist())
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
