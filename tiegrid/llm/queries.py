@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiegrid.llm import bpe, decontam, lm, pii, quality, simhash, tokencount, topk, toxicity
+from tiegrid.llm import bpe, decontam, lm, passages, pii, quality, simhash, tokencount, topk, toxicity
 from tiegrid.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.unigram_pieces(tokenizer_path(PIECES)))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_dedup,
+        op2_substring_dedup,
         op3_token_counts,
         op4_lm_scoring,
         op5_decontamination,
