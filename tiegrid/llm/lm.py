@@ -218,7 +218,8 @@ class Scorer:
 
     def __init__(self, heavy: list[tuple[bytes, int]], words: list[bytes], params: dict[str, np.ndarray]) -> None:
         self.ids = ClassIds(words)
-        heavy = dict(heavy) | {w: dict(heavy).get(w, 0) for w in words}
+        heavy = dict(heavy)
+        heavy |= {w: heavy.get(w, 0) for w in words}
         # Words with a class come first, so that a word's place in the list is its class.
         rest = [w for w in heavy if w not in self.ids]
         listed = [*words, *rest]
@@ -266,6 +267,16 @@ class Scorer:
         ]
 
 
+_SCORER: dict = {}
+
+
+def worker_scorer(shared) -> Scorer:
+    """The scorer of a broadcast model, built once in each Python worker."""
+    if _SCORER.get("value") is not shared.value:
+        _SCORER.update(value=shared.value, scorer=Scorer(*shared.value))
+    return _SCORER["scorer"]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -293,18 +304,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     params = train(training, words, np.append(class_counts, [other_tokens, 0.0]))
     shared = spark.sparkContext.broadcast((heavy, words, params))
 
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     names = ["row", "id", "held_out", "n_tokens", "n_known", "logs", "chance", "other_logs", "n_other", "missing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
-            scorer = scorer or Scorer(*shared.value)
+            scorer = scorer or worker_scorer(shared)
             for part, texts in by_bytes(batch):
                 *numbers, missing = scorer.score(texts)
-                lists = [[{"word": w, "n": n} for w, n in Counter(m).items()] for m in missing]
+                counted = [Counter(m) for m in missing]
+                ends = np.cumsum([0, *map(len, counted)])
+                words = pa.array([w for c in counted for w in c], pa.binary())
+                times = pa.array([n for c in counted for n in c.values()], pa.int64())
+                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, times], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3), part.column(0), part.column(2), *(pa.array(n) for n in numbers), pa.array(lists, kind)], names=names
+                    [part.column(3), part.column(0), part.column(2), *(pa.array(n) for n in numbers), lists], names=names
                 )
 
     schema = (
