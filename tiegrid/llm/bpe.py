@@ -19,6 +19,7 @@ import json
 import unicodedata
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,8 +31,8 @@ SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\
 #: The pieces of a lower-cased text; fixed by the tokenizer file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
 WORD_END = "</w>"
-#: Chunks of text, and pieces, whose encodings a worker keeps at least.
-CACHE = 350_000
+#: Chunks of text, and pieces, whose encodings a worker keeps at least, and pairs of tokens that it has tried.
+CACHE, PAIRS = 200_000, 400_000
 NEVER = 1 << 60
 
 
@@ -198,7 +199,7 @@ class Encoder:
         key = a << 32 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             found = self.fits[key] = not self._crosses(a, b)
         return found
@@ -347,13 +348,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = shown.split()
             decoded = encoder.decode_shown(ids)
             counts.append(len(ids))
-            first.append(string_sha256(shown) if slim else list(map(int, ids)))
+            first.append(string_sha256(shown) if slim else np.array(ids, np.int32))
             second.append(string_sha256(decoded) if slim else decoded)
-        return [
-            pa.array(counts, pa.int64()),
-            pa.array(first, pa.string() if slim else pa.list_(pa.int32())),
-            pa.array(second, pa.string()),
-        ]
+        if slim:
+            made = pa.array(first, pa.string())
+        else:
+            made = pa.ListArray.from_arrays(np.cumsum([0, *counts]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *first])))
+        return [pa.array(counts, pa.int64()), made, pa.array(second, pa.string())]
 
     second = "ids_sha256 string, decoded_sha256 string" if slim else "ids array<int>, decoded string"
     fields = f"n_tokens bigint, {second}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tiegrid.plans.work import materialize, work_path
 
-__all__ = ["materialize", "work_path", "id_type", "map_texts", "table", "text_bytes", "string_sha256"]
+__all__ = ["materialize", "work_path", "id_type", "by_bytes", "map_texts", "table", "text_bytes", "string_sha256"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,27 +26,35 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def by_bytes(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with their texts (its second column), of about ``most`` bytes each."""
+    texts = text_bytes(batch.column(1))
+    at = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= most or k == len(texts) - 1:
+            yield batch.slice(at, k + 1 - at), texts[at : k + 1]
+            at, size = k + 1, 0
+
+
 def map_texts(
     docs: DataFrame,
     rows: Callable[[list[bytes]], list[pa.Array]],
     fields: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    slice_rows: int = 1000,
 ) -> DataFrame:
     """One output row for each document: its id, then what ``rows`` makes of the texts.
 
     Only the two named columns are read, so other columns of ``docs`` can have
-    any names. Texts pass in slices of ``slice_rows`` to bound a task's memory.
+    any names. Texts pass in slices of some megabytes to bound a task's memory.
     """
     schema = f"{id_col} {id_type(docs, id_col)}, {fields}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                made = rows(text_bytes(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
+            for part, texts in by_bytes(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), *rows(texts)], names=names)
 
     names = [id_col, *(f.strip().split(" ")[0] for f in fields.split(","))]
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

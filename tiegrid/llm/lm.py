@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegrid.llm.common import id_type, materialize, text_bytes
+from tiegrid.llm.common import by_bytes, id_type, materialize, text_bytes
 
 END = b""
 #: Words with a class of their own, besides the end token.
@@ -344,14 +344,3 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("logs") + rare_logs - F.col("n_tokens") * unit).alias("base_score"),
         (F.col("chance") + F.col("other_logs") + rare_logs - F.col("n_other") * other_unit).alias("score"),
     )
-
-
-def by_bytes(batch: pa.RecordBatch, most: int = 4_000_000):
-    """Slices of a batch with their texts (second column), of about ``most`` bytes each."""
-    texts = text_bytes(batch.column(1))
-    at = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= most or k == len(texts) - 1:
-            yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-            at, size = k + 1, 0
