@@ -1,7 +1,7 @@
 """Gates, tiers, lights and scores of pairs, and how matches spread over an image."""
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,19 +76,18 @@ def cell_covariance_stats(matches: DataFrame, width: float, height: float, g: in
     return axes.groupingSets([[F.col(key), F.col("gx"), F.col("gy")], [F.col(key)]], F.col(key), F.col("gx"), F.col("gy")).agg(*stats)
 
 
-def transform_gate(transforms: DataFrame, rmse: str | None = None) -> DataFrame:
-    """Adds determinant, condition, scale_ratio, projectivity, is_valid and reason: Gate 3."""
-    import numpy as np
-    import pandas as pd
+@F.pandas_udf("double")
+def cond3x3(h: pd.Series) -> pd.Series:
+    """Condition numbers of 3 x 3 matrices; NaN for one that is missing or not finite."""
+    out = np.full(len(h), np.nan)
+    ok = np.array([x is not None and len(x) == 9 and bool(np.all(np.isfinite(x))) for x in h], bool)
+    if ok.any():
+        out[ok] = np.linalg.cond(np.stack(list(h[ok])).reshape(-1, 3, 3).astype(float))
+    return pd.Series(out)
 
-    @F.pandas_udf("double")
-    def cond3x3(h: pd.Series) -> pd.Series:
-        out = np.full(len(h), np.nan)
-        ok = np.array([x is not None and len(x) == 9 and bool(np.all(np.isfinite(x))) for x in h], bool)
-        if ok.any():
-            out[ok] = np.linalg.cond(np.stack(list(h[ok])).reshape(-1, 3, 3).astype(float))
-        return pd.Series(out)
 
+def transform_gate(transforms: DataFrame, rmse: str | None = None) -> DataFrame:
+    """Adds determinant, condition, scale_ratio, projectivity, is_valid and reason: Gate 3."""
     h = F.col("h")
     big, small = singular2(h[0], h[1], h[3], h[4])
     out = transforms.withColumns({
