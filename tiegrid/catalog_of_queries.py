@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tiegrid.plans import queries_grid, queries_points
+from tiegrid.plans import queries_catalog, queries_grid, queries_points, queries_raster
 from tiegrid.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "queries_grid", "queries_points"]
+__all__ = ["ORACLE_SQL", "QUERIES", "queries_catalog", "queries_grid", "queries_points", "queries_raster"]

@@ -49,8 +49,10 @@ VIEWS: dict[str, str] = {
             CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey * 29 % 900) / 10e0 END AS sun_elevation,
             CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey * 31 % 900) / 10e0 END AS incidence,
             CASE c_custkey % 3 WHEN 0 THEN 0.25e0 WHEN 1 THEN 5e0 ELSE 70e0 END * (1 + (c_custkey % 4) / 10e0) AS gsd, acquired
-        FROM (SELECT c_custkey, (c_custkey * 37 % 3600) / 10e0 AS lon, (c_custkey * 53 % 1200) / 10e0 - 60e0 AS lat,
-                CASE c_custkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 1.5e0 ELSE 6e0 END AS half FROM {customer}) AS c
+        FROM (SELECT c_custkey, (g * 37 % 3600) / 10e0 + (c_custkey % 3) * 0.3e0 AS lon,
+                (g * 53 % 1200) / 10e0 - 60e0 + (c_custkey % 11) * 0.13e0 AS lat,
+                CASE c_custkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 1.5e0 ELSE 6e0 END AS half
+            FROM (SELECT c_custkey, CAST(floor(c_custkey / 3e0) AS BIGINT) AS g FROM {customer}) AS k) AS c
         LEFT JOIN (SELECT o_custkey, CAST(min(o_orderdate) AS TIMESTAMP) AS acquired FROM {orders} GROUP BY o_custkey) AS o ON c_custkey = o_custkey""",
     "v_regions": """
         SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey * 13e0 AS west_lon, n_nationkey * 13e0 + 4e0 AS east_lon,
