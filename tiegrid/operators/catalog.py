@@ -323,3 +323,23 @@ def validate_registry(entries: DataFrame, manifests: DataFrame) -> DataFrame:
         (F.abs(F.col("fit_rmse") - F.col("_rmse")) > 1e-9, "fit_rmse_differs"), (F.col("inliers") != F.col("_inliers"), "inliers_differ"),
     ]
     return both.select("slot", F.array_compact(F.array(*(F.when(c, n) for c, n in rules))).alias("problems"))
+
+
+def paired_tiles(pairs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Tiles of the first image with the scaled box of the second: adds u0, v0, u1, v1 clipped to (width2, height2)."""
+    tiles = tile_windows(pairs.select(F.col("pair_id").alias("image_id"), F.col("width1").alias("width"), F.col("height1").alias("height")), size, overlap)
+    both = tiles.withColumnRenamed("image_id", "pair_id").join(pairs, "pair_id")
+    sx, sy = F.col("width2") / F.col("width1"), F.col("height2") / F.col("height1")
+    return both.select(
+        "pair_id", "row", "col", "x0", "y0", "x1", "y1", F.floor(F.col("x0") * sx).alias("u0"), F.floor(F.col("y0") * sy).alias("v0"),
+        F.least(F.ceil(F.col("x1") * sx), F.col("width2")).alias("u1"), F.least(F.ceil(F.col("y1") * sy), F.col("height2")).alias("v1"),
+    )
+
+
+def audit_axis_alignment(products: DataFrame, ring: str = "ring", tolerance: float = 0.02) -> DataFrame:
+    """(sensor, products, rotated): footprints whose area is smaller than that of their box by more than a share."""
+    r = F.col(ring)
+    area = shoelace(F.transform(r, lambda p: F.struct((p["lon"] * 1.0).alias("x"), (p["lat"] * 1.0).alias("y"))))
+    side = lambda c: F.array_max(F.transform(r, lambda p: p[c])) - F.array_min(F.transform(r, lambda p: p[c]))
+    off = 1 - F.try_divide(area, side("lon") * side("lat"))
+    return products.groupBy("sensor").agg(F.count(F.lit(1)).alias("products"), F.count_if(off > tolerance).alias("rotated"))

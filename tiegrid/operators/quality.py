@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tiegrid.functions.algebra import cell, clip, det3, lit, singular2
 
@@ -76,7 +77,7 @@ def cell_covariance_stats(matches: DataFrame, width: float, height: float, g: in
     return axes.groupingSets([[F.col(key), F.col("gx"), F.col("gy")], [F.col(key)]], F.col(key), F.col("gx"), F.col("gy")).agg(*stats)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def cond3x3(h: pd.Series) -> pd.Series:
     """Condition numbers of 3 x 3 matrices; NaN for one that is missing or not finite."""
     out = np.full(len(h), np.nan)
