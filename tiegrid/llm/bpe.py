@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tiegrid.llm.common import map_texts, string_sha256
+from tiegrid.llm.common import map_texts, string_sha256, worker_object
 
 #: White space as the tokenizer's pattern library has it.
 SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -32,7 +32,7 @@ SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
 WORD_END = "</w>"
 #: Chunks of text, and pieces, whose encodings a worker keeps at least, and pairs of tokens that it has tried.
-CACHE, PAIRS = 200_000, 400_000
+CACHE, PAIRS = 350_000, 400_000
 NEVER = 1 << 60
 
 
@@ -312,16 +312,9 @@ class Encoder:
         return self.decode_shown(list(map(str, ids)))
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def worker_encoder(shared) -> Encoder:
     """The encoder of a broadcast tokenizer, built once in each Python worker."""
-    key = shared.value["key"]
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value["tables"])
-    return _ENCODERS[key]
+    return worker_object("bpe", shared.value["key"], lambda: Encoder(shared.value["tables"]))
 
 
 def _broadcast(docs: DataFrame, path: str):
@@ -358,7 +351,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     second = "ids_sha256 string, decoded_sha256 string" if slim else "ids array<int>, decoded string"
     fields = f"n_tokens bigint, {second}"
-    return map_texts(docs, rows, fields, id_col, text_col)
+    return map_texts(docs, rows, fields, id_col, text_col, "bpe")
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

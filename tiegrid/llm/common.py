@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tiegrid.plans.work import materialize, work_path
 
-__all__ = ["materialize", "work_path", "id_type", "by_bytes", "map_texts", "table", "text_bytes", "string_sha256"]
+__all__ = ["materialize", "work_path", "id_type", "by_bytes", "map_texts", "release_others", "worker_object", "table", "text_bytes", "string_sha256"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +37,45 @@ def by_bytes(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[pa.
             at, size = k + 1, 0
 
 
+_HELD: dict = {}
+
+
+def worker_object(name: str, token: object, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept in this Python worker while the same operator runs with the same token.
+
+    One object is held at a time: workers outlive stages, and tables that a
+    stage before has left would add up.
+    """
+    if _HELD.get("name") != name or _HELD["token"] is not token and _HELD["token"] != token:
+        _HELD.clear()
+        _HELD.update(name=name, token=token, made=build())
+    return _HELD["made"]
+
+
+def release_others(name: str | None) -> None:
+    """Called where a task begins: drops what another operator has left in this worker."""
+    if _HELD.get("name") != name:
+        _HELD.clear()
+
+
 def map_texts(
     docs: DataFrame,
     rows: Callable[[list[bytes]], list[pa.Array]],
     fields: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    holds: str | None = None,
 ) -> DataFrame:
     """One output row for each document: its id, then what ``rows`` makes of the texts.
 
     Only the two named columns are read, so other columns of ``docs`` can have
     any names. Texts pass in slices of some megabytes to bound a task's memory.
+    ``holds`` names the worker object that ``rows`` uses, if any.
     """
     schema = f"{id_col} {id_type(docs, id_col)}, {fields}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(holds)
         for batch in batches:
             for part, texts in by_bytes(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), *rows(texts)], names=names)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegrid.llm.common import id_type, materialize, text_bytes
+from tiegrid.llm.common import id_type, materialize, text_bytes, worker_object
 
 WINDOW = 10
 #: Words of benchmark items that one automaton holds.
@@ -266,14 +266,9 @@ def find_hits(
     return merged.select(id_col, "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-_PREPARED: dict = {}
-
-
 def prepared(shared) -> Items:
-    """The automaton of a broadcast block of items; the latest one is kept in each Python worker."""
-    if _PREPARED.get("value") is not shared.value:
-        _PREPARED.update(value=shared.value, items=Items(*shared.value))
-    return _PREPARED["items"]
+    """The automaton of a broadcast block of items, built once in each Python worker."""
+    return worker_object("decontam", shared.value, lambda: Items(*shared.value))
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -19,6 +19,7 @@ broadcast: their counts are joined to the documents that hold them.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegrid.llm.common import by_bytes, id_type, materialize, text_bytes
+from tiegrid.llm.common import by_bytes, id_type, materialize, text_bytes, worker_object
 
 END = b""
 #: Words with a class of their own, besides the end token.
@@ -267,14 +268,10 @@ class Scorer:
         ]
 
 
-_SCORER: dict = {}
-
-
 def worker_scorer(shared) -> Scorer:
     """The scorer of a broadcast model, built once in each Python worker."""
-    if _SCORER.get("value") is not shared.value:
-        _SCORER.update(value=shared.value, scorer=Scorer(*shared.value))
-    return _SCORER["scorer"]
+    token, *parts = shared.value
+    return worker_object("lm", token, lambda: Scorer(*parts))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -302,7 +299,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_counts = np.array([by_word[w] for w in words[:-1]] + [ends], np.float64)
     other_tokens, other_words = total - class_counts.sum(), vocabulary - (class_counts > 0).sum()
     params = train(training, words, np.append(class_counts, [other_tokens, 0.0]))
-    shared = spark.sparkContext.broadcast((heavy, words, params))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, heavy, words, params))
 
     names = ["row", "id", "held_out", "n_tokens", "n_known", "logs", "chance", "other_logs", "n_other", "missing"]
 

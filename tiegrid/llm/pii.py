@@ -19,7 +19,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tiegrid.llm.common import id_type, map_texts, text_bytes
+from tiegrid.llm.common import id_type, map_texts, release_others, text_bytes
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn", "local_phone", "secret")
@@ -184,6 +184,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(None)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for k, text in enumerate(texts):

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegrid.llm.common import map_texts
+from tiegrid.llm.common import map_texts, worker_object
 
 #: At most so many labelled rows are learned from, taken by the hash of their ids.
 MAX_LABELLED = 6000
@@ -119,21 +119,10 @@ def score_quality(
 
     def rows(texts: list[bytes]) -> list[pa.Array]:
         m = shared.value
-        sizes = _sizes(m["contents"])
+        sizes = worker_object("quality", m["contents"], lambda: Sizes(*m["contents"])) if m["contents"] else None
         x = np.array([sizes.difference(t) if sizes else 0.0 for t in texts])
         score = 1 / (1 + np.exp(-(m["bias"] + m["slope"] * x / m["scale"])))
         return [pa.array(score)]
 
-    scored = map_texts(docs, rows, "score double", id_col, text_col)
+    scored = map_texts(docs, rows, "score double", id_col, text_col, "quality")
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-
-_SIZES: dict = {}
-
-
-def _sizes(contents) -> Sizes | None:
-    if contents is None:
-        return None
-    if _SIZES.get("contents") != contents:
-        _SIZES.update(contents=contents, sizes=Sizes(*contents))
-    return _SIZES["sizes"]

@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tiegrid.llm.common import map_texts
+from tiegrid.llm.common import map_texts, worker_object
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -95,9 +95,6 @@ class Counter:
         return total, score
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, score): pieces of every whole text under a unigram vocabulary, and their summed score.
 
@@ -112,10 +109,8 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str =
 
     def rows(texts: list[bytes]) -> list[pa.Array]:
         key, pieces = shared.value
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(pieces)
-        made = [_COUNTERS[key].text(t.decode()) for t in texts]
+        counter = worker_object("tokencount", key, lambda: Counter(pieces))
+        made = [counter.text(t.decode()) for t in texts]
         return [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64())]
 
-    return map_texts(docs, rows, "n_tokens bigint, score double", id_col, text_col)
+    return map_texts(docs, rows, "n_tokens bigint, score double", id_col, text_col, "tokencount")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegrid.llm.common import map_texts, materialize, text_bytes
+from tiegrid.llm.common import map_texts, materialize, release_others, text_bytes
 
 #: At most so many labelled rows are learned from, taken by the hash of their ids.
 MAX_LABELLED = 8000
@@ -230,6 +230,7 @@ def drop_toxic(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(None)
         m = shared.value
         for batch in batches:
             evidence = np.array([m.evidence(t.decode()) for t in text_bytes(batch.column(at))])
