@@ -31,10 +31,10 @@ def audit_axis_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.audit_axis_alignment(products(spark, sf_dir).withColumn("ring", F.expr(f"CASE WHEN product_id % 4 = 0 THEN {turned} ELSE {RING} END")))
 
 
-@query("""SELECT pair_id, match_id, round(least(greatest(0.5 * confidence + 0.35 * least(greatest(1 - sigma_minor, 0), 1) + 0.15 * least(greatest(least(source_x, source_y, 511 - source_x, 511 - source_y) / 16, 0), 1), 0.05), 1), 7) AS quality FROM {v_matches}""")
+@query("""SELECT pair_id, match_id, round(least(greatest(0.5 * confidence + 0.35 * least(greatest(1 - sigma_minor, 0), 1) + 0.15 * least(greatest(least(source_x, source_y, 511 - source_x, 511 - source_y) / 16, 0), 1), 0.05), 1), 10) AS quality FROM {v_matches}""")
 def spatial_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = matches(spark, sf_dir).selectExpr("pair_id", "match_id", "confidence AS uniqueness", "sigma_minor AS refine_px", "source_x AS kx", "source_y AS ky")
-    return rounded(patches.spatial_quality(p, 512.0, 512.0).select("pair_id", "match_id", "quality"), 7)
+    return rounded(patches.spatial_quality(p, 512.0, 512.0).select("pair_id", "match_id", "quality"), 10)
 
 
 KEYPOINTS = "SELECT DISTINCT image_id, x * 64 + y AS kp_id, x AS kx, y AS ky FROM {v_pixels} WHERE x % 16 = 15 AND y % 16 = 15 AND x < 50 AND y < 50"

@@ -17,8 +17,8 @@ GSD_ALIASES = ("pixel_resolution", "gsd", "ground_sample_distance", "spatial_res
 
 def whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, text) of every file below ``root`` that fits ``pattern``."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return read.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def screened(files: DataFrame) -> DataFrame:
