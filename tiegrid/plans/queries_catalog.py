@@ -178,12 +178,12 @@ def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.tile_windows(i, 256, 64)
 
 
-@query("""SELECT m.pair_id, match_id, round(west_lon + source_x / 512 * (east_lon - west_lon), 9) AS lon, round(north_lat - source_y / 512 * (north_lat - south_lat), 9) AS lat,
+@query("""SELECT m.pair_id, match_id, round(west_lon + source_x / 512 * (east_lon - west_lon), 10) AS lon, round(north_lat - source_y / 512 * (north_lat - south_lat), 10) AS lat,
     round((east_lon - west_lon) * pi() / 180 * 1737400 * cos(radians((south_lat + north_lat) / 2)) / 512, 3) AS metres_per_px FROM {v_matches} AS m LEFT JOIN {v_regions} AS r ON m.pair_id % 30 = r.id""")
 def georeference(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matches(spark, sf_dir).selectExpr("*", "pair_id % 30 AS region_id")
     done = catalog.georeference(m, view(spark, sf_dir, "v_regions"), 512.0, 512.0)
-    digits = {"lon": 9, "lat": 9, "metres_per_px": 3}
+    digits = {"lon": 10, "lat": 10, "metres_per_px": 3}
     return done.select("pair_id", "match_id", *((F.round(c, d) + 0.0).alias(c) for c, d in digits.items()))
 
 
