@@ -208,3 +208,16 @@ def test_streams_equal_their_twins(spark, tmp_path):
     lock = {tuple(r) for r in run_stream(streams.failure_lockout_stream(stream, 2, 300), "lock", "update", spark, tmp_path).collect()}
     assert lock == {tuple(r) for r in streams.failure_lockout(batch, 2, 300).collect()}
     assert [r["n"] for r in streams.logs_after(streams.log_ring(batch, 5), 1, 10).collect()] == [11, 12]
+
+
+def test_incremental_ingest_adds_each_product_and_triplet_once(spark, tmp_path):
+    rows = [(1, "OHRC", 10.0, 11.0, 0.0, 1.0), (2, "TMC", 9.0, 12.0, -1.0, 2.0), (3, "IIRS", 5.0, 15.0, -5.0, 5.0), (4, "OHRC", 10.2, 10.8, 0.2, 0.8), (1, "OHRC", 10.0, 11.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "product_id bigint, sensor string, west_lon double, east_lon double, south_lat double, north_lat double").withColumn("acquired", F.lit(None).cast("timestamp"))
+    for k, part in enumerate(("product_id < 4", "product_id IN (1, 4)")):
+        df.filter(part).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    places = [str(tmp_path / n) for n in ("catalog", "manifest", "checkpoint")]
+    for _ in range(2):
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        streams.incremental_ingest(stream, *places).awaitTermination(120)
+    assert sorted(r[0] for r in spark.read.parquet(places[0]).select("product_id").collect()) == [1, 2, 3, 4]
+    assert sorted(map(tuple, spark.read.parquet(places[1]).select("ohrc_id", "tmc_id", "iirs_id").collect())) == [(1, 2, 3), (4, 2, 3)]

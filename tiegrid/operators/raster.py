@@ -149,9 +149,18 @@ def resample_area(pixels: DataFrame, factor: float) -> DataFrame:
 
 
 def photometric_correct(pixels: DataFrame, geometry: DataFrame, model: str) -> DataFrame:
-    """Values divided by their image's disk function of incidence and emission (degrees): lunar_lambert, lambert or none."""
+    """Values divided by their image's disk function of incidence, emission and phase (degrees): lunar_lambert, hapke, lambert or none.
+
+    The hapke form has single scattering with a backscatter lobe and multiple
+    scattering of albedo 0.25; without a ``phase`` column it is |i - e|.
+    """
     i, e = F.cos(F.radians("incidence")), F.cos(F.radians("emission"))
-    factor = {"lunar_lambert": 0.5 * (2 * i / (i + e)) + 0.5 * i, "lambert": i, "none": lit(1)}[model]
+    phase = F.radians("phase" if "phase" in geometry.columns else F.abs(F.col("incidence") - F.col("emission")))
+    albedo = 0.25
+    scatter = lambda m: (1 + 2 * m) / (1 + 2 * m * (1 - albedo) ** 0.5)
+    lobe = 1 + 1 / (1 + F.tan(phase / 2) / 0.06)
+    hapke = albedo / 4 * i / (i + e) * (lobe + scatter(i) * scatter(e) - 1)
+    factor = {"lunar_lambert": 0.5 * (2 * i / (i + e)) + 0.5 * i, "hapke": hapke, "lambert": i, "none": lit(1)}[model]
     per_image = geometry.select("image_id", F.greatest(factor, lit(1e-3)).alias("factor"))
     return pixels.join(per_image, "image_id").select(*PIXEL, (F.col("v") / F.col("factor")).alias("v"))
 
@@ -237,6 +246,22 @@ def spectral_angle(cube: DataFrame, key: str = "image_id") -> DataFrame:
     return cube.join(spectrum, key).withColumn("angle", angle).drop("ref")
 
 
+def sam_gate(cube: DataFrame, limit: float = 0.35, key: str = "image_id") -> DataFrame:
+    """Cube pixels further than ``limit`` radians from their image's mean spectrum get its median spectrum; adds ``rejected``."""
+    judged = spectral_angle(cube, key)
+    median = cube.select(key, F.posexplode("bands").alias("band", "v")).groupBy(key, "band").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    middle = median.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda s: s["m"]).alias("middle"))
+    bad = F.coalesce(F.col("angle") > limit, F.lit(True))
+    return judged.join(middle, key).withColumn("rejected", bad).withColumn("bands", F.when(bad, F.col("middle")).otherwise(F.col("bands"))).drop("middle")
+
+
+def spectral_residuals(cube: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, mean_band_variance, mean_angle_deg)."""
+    bands = cube.select(key, F.posexplode("bands").alias("band", "v")).groupBy(key, "band").agg(F.var_pop("v").alias("s"))
+    spread = bands.groupBy(key).agg(F.avg("s").alias("mean_band_variance"))
+    return spread.join(spectral_angle(cube, key).groupBy(key).agg(F.degrees(F.avg("angle")).alias("mean_angle_deg")), key)
+
+
 def disparity_to_dem(disparity: DataFrame, views: DataFrame, datum: float = 0.0) -> DataFrame:
     """(image_id, x, y, z): elevations from a disparity table and each stereo pair's fore and aft angles and ground distance."""
     ratio = F.tan(F.radians("fore")) - F.tan(F.radians("aft"))

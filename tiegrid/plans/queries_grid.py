@@ -214,6 +214,14 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.threshold_sweep(matches(spark, sf_dir), [k / 10 for k in range(1, 10)], [k / 2 for k in range(1, 4)]))
 
 
+@query("""WITH c AS (SELECT r / 10e0 AS min_confidence, s / 2e0 AS max_sigma, count(*) FILTER (label AND confidence >= r / 10e0 AND sigma_major <= s / 2e0) / CAST(count(*) FILTER (label) AS DOUBLE) AS tpr,
+        count(*) FILTER (NOT label AND confidence >= r / 10e0 AND sigma_major <= s / 2e0) / CAST(count(*) FILTER (NOT label) AS DOUBLE) AS fpr FROM {v_matches}, range(1, 10) AS a(r), range(1, 4) AS b(s) GROUP BY r, s)
+    SELECT min_confidence, max_sigma, round(tpr, 4) AS tpr, round(fpr, 4) AS fpr FROM c ORDER BY tpr - fpr DESC, tpr DESC, fpr LIMIT 1""")
+def best_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swept = experiments.threshold_sweep(matches(spark, sf_dir), [k / 10 for k in range(1, 10)], [k / 2 for k in range(1, 4)])
+    return rounded(experiments.best_point(swept).select("min_confidence", "max_sigma", "tpr", "fpr"))
+
+
 @query("""WITH c AS (SELECT r, count(*) FILTER (label AND confidence >= r / 10e0) / CAST(count(*) FILTER (label) AS DOUBLE) AS tpr, count(*) FILTER (NOT label AND confidence >= r / 10e0) / CAST(count(*) FILTER (NOT label) AS DOUBLE) AS fpr
         FROM {v_matches}, range(1, 10) AS a(r) GROUP BY r),
     p AS (SELECT DISTINCT round(fpr, 4) AS x, round(tpr, 4) AS y FROM c UNION SELECT 0e0, 0e0 UNION SELECT 1e0, 1e0), l AS (SELECT x, y, lag(x) OVER (ORDER BY x, y) AS px, lag(y) OVER (ORDER BY x, y) AS py FROM p)

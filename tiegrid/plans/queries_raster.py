@@ -166,3 +166,19 @@ def spectral_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disparity_to_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = pixels(spark, sf_dir).select("image_id").distinct().selectExpr("image_id", "20e0 + image_id AS fore", "-20e0 AS aft", "5e0 AS gsd")
     return rounded(raster.disparity_to_dem(pixels(spark, sf_dir), views, 100.0), 5)
+
+
+ANGLES = """b AS (SELECT image_id, x, unnest(range(64)) AS band, unnest(bands) AS v FROM {v_cube}), m AS (SELECT image_id, band, avg(v) AS m, var_pop(v) AS s, quantile_cont(v, 0.5) AS mid FROM b GROUP BY image_id, band),
+    a AS (SELECT b.image_id, b.x, acos(least(greatest(sum(v * m) / sqrt(sum(v*v) * sum(m*m)), -1e0), 1e0)) AS angle FROM b JOIN m ON b.image_id = m.image_id AND b.band = m.band GROUP BY b.image_id, b.x)"""
+
+
+@query(f"WITH {ANGLES}, s AS (SELECT image_id, avg(s) AS s FROM m GROUP BY image_id) SELECT a.image_id, round(max(s), 6) AS mean_band_variance, round(degrees(avg(angle)), 4) AS mean_angle_deg FROM a JOIN s ON a.image_id = s.image_id GROUP BY a.image_id")
+def spectral_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = raster.spectral_residuals(view(spark, sf_dir, "v_cube"))
+    return done.select("image_id", (F.round("mean_band_variance", 6) + 0.0).alias("mean_band_variance"), (F.round("mean_angle_deg", 4) + 0.0).alias("mean_angle_deg"))
+
+
+@query(f"WITH {ANGLES} SELECT b.image_id, b.x, round(sum(CASE WHEN angle > 1.4 THEN mid ELSE v END), 5) AS total, bool_or(angle > 1.4) AS rejected FROM b JOIN m ON b.image_id = m.image_id AND b.band = m.band JOIN a ON a.image_id = b.image_id AND a.x = b.x GROUP BY b.image_id, b.x")
+def sam_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = raster.sam_gate(view(spark, sf_dir, "v_cube"), 1.4)
+    return rounded(done.select("image_id", "x", F.aggregate("bands", F.lit(0.0), lambda s, v: s + v).alias("total"), "rejected"), 5)

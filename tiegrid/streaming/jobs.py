@@ -134,3 +134,50 @@ def failure_lockout_stream(events: DataFrame, most: int = 5, window_s: int = 900
     return events.select("job_id", "event_id", "ts", "is_failure", "is_success").groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=Lockout(), outputStructType="job_id bigint, event_id bigint, failures bigint, locked boolean, retry_after_s bigint", outputMode="Update", timeMode="None"
     )
+
+
+def incremental_ingest(labels: DataFrame, catalog_dir: str, manifest_dir: str, checkpoint: str, containment: float = 0.5):
+    """A streaming query that takes parsed label rows in, batch by batch.
+
+    Each batch's products are added to the catalog once (repeats of a product
+    within a batch or from an earlier one are left out), triplets that hold a
+    new product are built against the whole catalog, and those not yet in the
+    manifest are appended with the batch as their run. Both tables are
+    partitioned by run and a run's partition is overwritten, so a batch that is
+    tried again after a failure leaves no repeats; an empty batch writes nothing.
+    """
+    from tiegrid.operators.catalog import build_triplets
+
+    def table(spark, path: str, like: DataFrame) -> DataFrame:
+        try:
+            return spark.read.schema(like.schema).parquet(path)
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], like.schema)
+
+    def put(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+    def take(batch: DataFrame, run: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        tagged = batch.dropDuplicates(["product_id", "sensor"]).withColumn("run", F.lit(run).cast("bigint"))
+        known = table(spark, catalog_dir, tagged).filter(F.col("run") != run)
+        fresh = tagged.join(known.select("product_id", "sensor"), ["product_id", "sensor"], "left_anti").select(tagged.columns)
+        put(fresh, catalog_dir)
+        every = table(spark, catalog_dir, tagged)
+        found = build_triplets(every.drop("run"), containment)
+        ids = every.filter(F.col("run") == run).select("product_id")
+        new = _touching(found, ids).withColumn("run", F.lit(run).cast("bigint"))
+        old = table(spark, manifest_dir, new).filter(F.col("run") != run)
+        put(new.join(old.select("ohrc_id", "tmc_id", "iirs_id"), ["ohrc_id", "tmc_id", "iirs_id"], "left_anti").select(new.columns), manifest_dir)
+
+    return labels.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _touching(triplets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Triplets that hold one of the ids."""
+    parts = [triplets.join(ids.withColumnRenamed("product_id", c), c, "left_semi").select(triplets.columns) for c in ("ohrc_id", "tmc_id", "iirs_id")]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
