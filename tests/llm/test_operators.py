@@ -353,3 +353,16 @@ def test_quality_tells_noise_from_prose(spark, make, odd_rows):
     assert len(rows(quality.score_quality(make(odd_rows), labels))) == len(odd_rows)
     assert len(rows(quality.score_quality(make(odd_rows), labels.filter("quality = 1")))) == len(odd_rows)
     assert rows(quality.score_quality(make([]), labels)) == []
+
+
+def test_confirmed_links_follow_the_similarity(make):
+    """Copies with a few changed words of many fall together, texts that share half their words don't."""
+    docs = []
+    for k in range(30):
+        words = [f"{w}{j * (k + 3) % 997}" for j, w in enumerate(sentence(500 + k, 400).split())]
+        near = list(words)
+        near[200], near[201] = "changed", "words"
+        docs += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(near)), (10 * k + 2, " ".join(words[:200] + [f"z{j}" for j in range(200)]))]
+    kept = {r["doc_id"] for r in simhash.deduplicate(make(docs)).collect()}
+    assert sum(10 * k + 1 in kept for k in range(30)) <= 3
+    assert all(10 * k in kept and 10 * k + 2 in kept for k in range(30))

@@ -37,6 +37,8 @@ WIDTH = 64 // SEGMENTS
 BLOCK = 1024
 #: Seeds of the hashes whose SimHashes confirm a link; 64 bits each.
 CONFIRM_SEEDS = (43, 44, 45, 46)
+#: Seeds of the fingerprints under which ``deduplicate`` looks for candidates.
+CANDIDATE_SEEDS = (42, 47, 48)
 
 
 def simhash(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> np.ndarray:
@@ -73,8 +75,9 @@ def fingerprints(
     shingle: int = 3,
     distinct: bool = False,
     confirm_shingle: int | None = None,
+    seeds: tuple[int, ...] = (42,),
 ) -> DataFrame:
-    """(id, fp) and, with ``confirm_shingle``, (c0, ..., c3): SimHashes of every whole text as signed longs.
+    """(id, fp) and, for further ``seeds``, (fp1, ...), with ``confirm_shingle`` also (c0, ..., c3): SimHashes of every whole text as signed longs.
 
     A-Z count as a-z; words are runs of characters other than ASCII white
     space; each word shingle counts as often as it occurs, or once with
@@ -84,12 +87,13 @@ def fingerprints(
     confirm = len(CONFIRM_SEEDS) if confirm_shingle else 0
 
     def rows(texts: list[bytes]) -> list[pa.Array]:
-        made = [simhash(texts, shingle, distinct=distinct)]
+        made = [simhash(texts, shingle, seeds, distinct)]
         if confirm:
             made.append(simhash(texts, confirm_shingle, CONFIRM_SEEDS, distinct=True))
         return [pa.array(column) for column in np.hstack(made).T.copy()]
 
-    return map_texts(docs, rows, ", ".join(["fp bigint", *(f"c{k} bigint" for k in range(confirm))]), id_col, text_col)
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds))), *(f"c{k}" for k in range(confirm))]
+    return map_texts(docs, rows, ", ".join(f"{n} bigint" for n in names), id_col, text_col)
 
 
 def budgets(max_bits: int) -> list[int]:
@@ -145,7 +149,8 @@ def forest(fps: np.ndarray, nodes: np.ndarray, confirm: np.ndarray | None, start
         close = np.bitwise_count(differ[i, j]) <= max_bits
         i, j = i[close] + at, j[close]
         if confirm is not None:
-            kept = confirm[first]
+            # As unsigned numbers: of a negative one, bits of its absolute value would be counted.
+            kept = confirm[first].astype(np.int64).view(np.uint64)
             close = np.bitwise_count(kept[i] ^ kept[j]).sum(1) <= confirm_bits
             i, j = i[close], j[close]
         left.append(i)
@@ -216,24 +221,28 @@ def near_duplicates(
     distinct: bool = False,
     confirm_shingle: int | None = None,
     similarity: float = 0.8,
+    seeds: tuple[int, ...] = (42,),
 ) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
     component_id is the smallest id that is reachable over links, its own
     included. With ``confirm_shingle``, a link also needs that SimHashes of
-    the sets of that many words show the given Jaccard similarity. Rows with a
+    the sets of that many words show the given Jaccard similarity. With several
+    ``seeds``, fingerprints under any of them link. Rows with a
     null id stay; they take the component of their fingerprint, null if no row
     of it has an id. Repeated rows stay repeated. An empty table gives an
     empty result.
     """
     kind = id_type(docs, id_col)
-    base = fingerprints(docs, id_col, text_col, shingle, distinct, confirm_shingle)
-    confirms = base.columns[2:]
-    base = materialize(base.withColumn("node", F.xxhash64("fp", *confirms) if confirms else F.col("fp")), "simhash")
-    prints = base.groupBy("node", "fp", *confirms).agg(F.min(id_col).alias("rep"))
-    joined = connected_components(
-        materialize(links(prints, max_bits, confirm_budget(similarity) if confirms else None), "simhash-links")
-    )
+    base = fingerprints(docs, id_col, text_col, shingle, distinct, confirm_shingle, seeds)
+    others = base.columns[2:]
+    base = materialize(base.withColumn("node", F.xxhash64("fp", *others) if others else F.col("fp")), "simhash")
+    prints = base.groupBy("node", "fp", *others).agg(F.min(id_col).alias("rep"))
+    budget = confirm_budget(similarity) if confirm_shingle else None
+    found = links(prints, max_bits, budget)
+    for k in range(1, len(seeds)):
+        found = found.union(links(prints.drop("fp").withColumnRenamed(f"fp{k}", "fp"), max_bits, budget))
+    joined = connected_components(materialize(found, "simhash-links"))
     members = joined.join(prints.select("node", "rep"), "node")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
     moved = members.join(least, "component").select("node", "least")
@@ -251,12 +260,12 @@ def deduplicate(
     """``docs`` with one row of each near-duplicate group, the one with the smallest id.
 
     Candidates are SimHashes over the set of words of a text, of which a few
-    changed words move few bits; links are confirmed on sets of five-word
-    shingles. All columns stay. Repeated rows of the kept id give one row;
+    changed words move few bits, under three seeds; links are confirmed on sets
+    of five-word shingles. All columns stay. Repeated rows of the kept id give one row;
     rows with a null id can't be told apart from others and stay.
     """
     with_id = docs.filter(F.col(id_col).isNotNull())
-    classes = near_duplicates(with_id, id_col, text_col, 1, max_bits, True, shingle, similarity)
+    classes = near_duplicates(with_id, id_col, text_col, 1, max_bits, True, shingle, similarity, CANDIDATE_SEEDS)
     keep = classes.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
     kept = with_id.join(keep, id_col, "left_semi").dropDuplicates([id_col])
     return kept.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
