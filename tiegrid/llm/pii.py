@@ -3,8 +3,8 @@
 The base spans follow fixed patterns: e-mail addresses, IPv4 addresses with
 parts of at most 255, card numbers of 12 to 19 digits that pass Luhn, phone
 numbers of 9 to 15 digits after a plus. Beyond them, IBANs that pass mod-97 are
-confirmed by the checksum alone; other kinds (national numbers, card numbers
-that fail nothing but their context, local phone numbers) need a context word.
+confirmed by the checksum alone; national numbers, local phone numbers and
+secrets need a context word nearby.
 Every pattern runs in time linear in the text: runs are matched possessively
 and only from their first character.
 """
@@ -25,8 +25,8 @@ BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn", "local_phone", "secret")
 KINDS = BASE + EXTRA
 
-LOCAL = "A-Za-z0-9._%+-"
-EMAIL_LOCAL = re.compile(rf"[{LOCAL}]++\Z")
+#: What the part before the at sign may hold besides letters and digits.
+LOCAL_MARKS = "._%+-"
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -88,7 +88,7 @@ def emails(text: str):
     at, free = text.find("@"), 0
     while at >= 0:
         start = at
-        while start > free and (c := text[start - 1]).isascii() and (c.isalnum() or c in "._%+-"):
+        while start > free and (c := text[start - 1]).isascii() and (c.isalnum() or c in LOCAL_MARKS):
             start -= 1
         found = EMAIL_DOMAIN.match(text, at + 1) if start < at else None
         if found:
