@@ -58,9 +58,8 @@ def provenance_group(matches: DataFrame) -> DataFrame:
 def nearest(matches: DataFrame, k: int, size: float, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
     """(own columns, o_ columns, away) of each match and its k nearest others of the same pair by source position.
 
-    Matches look into the 3 x 3 cells of ``size`` around them; those that find
-    fewer than k there, or a k-th one that a point outside could beat, look
-    through their whole pair.
+    Matches look into the 3 x 3 cells of ``size`` around them, as far as
+    ``size``; those that find fewer than k there look through their whole pair.
     """
     base = matches.select(key, id_col, *XY).withColumns({"cx": F.floor(F.col("source_x") / size), "cy": F.floor(F.col("source_y") / size)})
     other = base.select(*(F.col(c).alias("o_" + c) for c in (key, id_col, *XY, "cx", "cy")))
@@ -69,8 +68,8 @@ def nearest(matches: DataFrame, k: int, size: float, key: str = "pair_id", id_co
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
     looks = base.select("*", F.explode(steps).alias("d")).withColumns({"lx": F.col("cx") + F.col("d.dx"), "ly": F.col("cy") + F.col("d.dy")}).drop("d")
     here = (F.col(key) == F.col("o_" + key)) & (F.col("lx") == F.col("o_cx")) & (F.col("ly") == F.col("o_cy")) & (F.col(id_col) != F.col("o_" + id_col))
-    near = looks.join(other, here).withColumn("away", away).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    sure = near.groupBy(key, id_col).agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).filter((F.col("n") == k) & (F.col("far") <= size)).select(key, id_col)
+    near = looks.join(other, here).withColumn("away", away).filter(F.col("away") <= size).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    sure = near.groupBy(key, id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select(key, id_col)
     rest = base.join(sure, [key, id_col], "left_anti")
     wide = rest.join(other, (F.col(key) == F.col("o_" + key)) & (F.col(id_col) != F.col("o_" + id_col))).withColumn("away", away)
     wide = wide.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -78,7 +77,7 @@ def nearest(matches: DataFrame, k: int, size: float, key: str = "pair_id", id_co
     return near.join(sure, [key, id_col], "left_semi").select(columns).union(wide.select(columns))
 
 
-def neighborhood_consistency(matches: DataFrame, k: int = 5, sigma: float = 20.0, size: float = 64.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+def neighborhood_consistency(matches: DataFrame, k: int = 5, sigma: float = 20.0, size: float = 46.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
     """(key, id, disp_consistency, ratio_consistency) in [0, 1]; 0.5 in a pair of fewer than 4 matches."""
     near = nearest(matches, k, size, key, id_col)
     c = F.col
@@ -98,7 +97,7 @@ def neighborhood_consistency(matches: DataFrame, k: int = 5, sigma: float = 20.0
     return scored.union(small)
 
 
-def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 5, size: float = 64.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 5, size: float = 46.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
     """(key, global_rmse, local_rmse, ratio, strained): residuals of the pair's map against affine maps of each match's k nearest.
 
     Pairs of fewer than 6 matches aren't computed.
