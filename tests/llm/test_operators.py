@@ -127,6 +127,35 @@ def test_passages_of_many_copies_stay_linear(make):
     assert len(found) < 1200
 
 
+def test_passages_whose_parts_occur_alone(make):
+    words = sentence(501, 80).split()
+    part = lambda a, b: " ".join(words[a:b])
+    docs = [(1, sentence(502, 40) + " " + part(0, 45)), (2, part(35, 80) + " " + sentence(503, 40)), (3, sentence(504, 30) + " " + part(0, 80)), (4, part(0, 80) + " " + sentence(505, 30)), (5, sentence(506, 30))]
+    found = rows(passages.shared_passages(make(docs)))
+    assert {(r[0], r[3]) for r in found} == {(3, 4), (4, 3)}
+    assert all(r[2] - r[1] >= 80 and r[6] >= 80 for r in found)
+
+
+def test_equal_passages_match_brute_force(make):
+    rng = random.Random(11)
+    source = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    docs = {}
+    for i in range(150):
+        cuts = [source[a : a + rng.randrange(20, 90)] for a in (rng.randrange(360) for _ in range(3))]
+        docs[i] = [w for cut in cuts for w in (*cut, *(f"x{rng.randrange(10**9)}" for _ in range(10)))]
+    holders = defaultdict(set)
+    for i, words in docs.items():
+        for k in range(len(words) - 49):
+            holders[tuple(words[k : k + 50])].add(i)
+    covered = defaultdict(set)
+    for i, a, b, *_ in rows(passages.shared_passages(make([(i, " ".join(words)) for i, words in docs.items()]))):
+        covered[i] |= set(range(a, b))
+    for i, words in docs.items():
+        for k in range(len(words) - 49):
+            if len(holders[tuple(words[k : k + 50])]) > 1:
+                assert set(range(k, k + 50)) <= covered[i]
+
+
 # --- token counts
 
 
