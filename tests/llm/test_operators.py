@@ -258,6 +258,21 @@ def test_decontaminate_cuts_and_drops(spark, make):
     assert decontam.find_hits(docs, empty).filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [1_000_000, 30])
+def test_decontaminate_by_blocks(spark, make, block, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    words = [f"w{k}" for k in range(100)]
+    part = lambda a, b: " ".join(words[a:b])
+    items = [(1, part(0, 40)), (2, part(60, 90)), (3, part(32, 50))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
+    # Covered by two thirds through two items; two items that overlap; clean; nothing.
+    docs = make([(1, part(0, 40) + " " + sentence(601, 30) + " " + part(60, 90)), (2, sentence(602, 80) + " " + part(0, 50) + " " + sentence(603, 80)), (3, sentence(604, 50)), (4, None), (4, None), (None, sentence(605, 40))])
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    want = [(2, sentence(602, 80) + "  " + sentence(603, 80)), (3, sentence(604, 50)), (4, None), (4, None), (None, sentence(605, 40))]
+    assert sorted(map(str, rows(left.select("doc_id", "text")))) == sorted(map(str, want))
+
+
 # --- top-k
 
 

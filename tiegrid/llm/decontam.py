@@ -14,7 +14,7 @@ read once for each, and the parts are merged by row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -166,7 +166,7 @@ class Items:
         return merge(spans), items
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -294,32 +294,62 @@ def decontaminate(
     """``docs`` without test items: hit spans are cut from the texts; a text of which more than ``max_coverage`` is hit goes.
 
     All other columns stay as they are. Clean texts, null ones included, pass
-    unchanged. Blocks of items are applied one after another, each to what the
-    one before it left, so coverage is held against the text as it then is.
+    unchanged. With several blocks of items, the spans of all are found in the
+    original text and merged, so the number of blocks changes nothing.
     """
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
 
-    def part(left: DataFrame, shared) -> DataFrame:
+    def applied(batch: pa.RecordBatch, found: Iterable[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts, keep = batch.column(at).to_pylist(), []
+        changed = False
+        for k, (raw, spans) in enumerate(zip(text_bytes(batch.column(at)), found, strict=True)):
+            keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words_of(raw)))
+            if spans and keep[-1]:
+                texts[k] = cut_words(raw, spans).decode()
+                changed = True
+        if changed:
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    blocks = [spark.sparkContext.broadcast((items, window)) for items in blocks_of(benchmark, item_col, item_text_col)]
+    if len(blocks) == 1:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                held = held or prepared(blocks[0])
+                yield applied(batch, (held.search(words_of(raw))[0] for raw in text_bytes(batch.column(at))))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    # Row numbers of a written table, one struct to each row, so that columns can have any names.
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    base = materialize(base, "decontam-rows")
+    texts = base.select("row", F.col("doc")[text_col].alias("text"))
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def part(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for batch in batches:
                 held = held or prepared(shared)
-                texts, keep = batch.column(at).to_pylist(), []
-                changed = False
-                for k, raw in enumerate(text_bytes(batch.column(at))):
-                    words = words_of(raw)
-                    spans, _ = held.search(words)
-                    keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
-                    if spans and keep[-1]:
-                        texts[k] = cut_words(raw, spans).decode()
-                        changed = True
-                if changed:
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        return left.mapInArrow(run, docs.schema)
-
-    for items in blocks_of(benchmark, item_col, item_text_col):
-        docs = part(docs, spark.sparkContext.broadcast((items, window)))
-    return docs
+                found = [held.search(words_of(raw))[0] for raw in text_bytes(batch.column(1))]
+                spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in found], span_type)
+                made = pa.RecordBatch.from_arrays([batch.column(0), spans], names=["row", "spans"])
+                yield made.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+        return texts.mapInArrow(run, "row bigint, spans array<struct<start:int,end:int>>")
+
+    hits = part(blocks[0])
+    for shared in blocks[1:]:
+        hits = hits.union(part(shared))
+    by_row = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    joined = base.join(by_row, "row", "left").select("doc.*", F.col("spans"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (merge((s["start"], s["end"]) for s in x or ()) for x in batch.column(batch.num_columns - 1).to_pylist())
+            yield applied(batch.select(list(range(batch.num_columns - 1))), found)
+
+    return joined.mapInArrow(cut, docs.schema)
