@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegrid.plans.work import materialize
+from tiegrid.plans.work import join_on_hot_keys, materialize
 
 MAX_ROUNDS = 60
 
@@ -13,10 +13,10 @@ MAX_ROUNDS = 60
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u, v) with u > v."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    others = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    large = join_on_hot_keys(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    others = join_on_hot_keys(large, low, "u", "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -25,8 +25,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the
     edges no longer change; only their count and checksum reach the driver.
-    Every step aggregates minima before it joins, so a node with very many
-    edges is never gathered in one task. Self links and null ends are ignored.
+    Minima are pre-aggregated; the edges of a node with very many of them are
+    joined to its minimum where they are (``join_on_hot_keys``), not in one
+    task. Self links and null ends are ignored.
     """
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None

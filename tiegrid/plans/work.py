@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that ``join_on_hot_keys`` may send to every executor, and the rows from which a key is hot.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def join_on_hot_keys(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row for each key and says in ``count`` how many rows the key has.
+
+    The HOT_KEYS most frequent keys, of those with over HOT_ROWS rows, are
+    broadcast, so their rows stay where they are; no other key can hold more
+    than one part in HOT_KEYS of all rows, and these are shuffled.
+    """
+    hot = keyed.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS)
+    here = rows.join(F.broadcast(hot), key)
+    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed, key)
+    return here.unionByName(there)
+
+
 def drop_work_tables(spark: SparkSession) -> None:
     """Delete every table that this application's jobs have written to the shared folder.
 
