@@ -15,6 +15,13 @@ SEGMENTS (the pigeonring principle, Qin and Xiao 2018). Two facts follow:
 Identical texts collapse to one fingerprint first. A key that many fingerprints
 share is dealt out in blocks, and a block pair yields a spanning forest of its
 links, so no group's pairs are written out, while no link is lost.
+
+``deduplicate`` looks for candidates under several fingerprints of a text's word
+set, as a few changed words can move more than ``max_bits`` bits of one of them,
+and judges each by SimHashes of the set of its shingles: links that these show to
+be clearly similar stand, clearly unlike ones go, and those between are decided
+by the sets themselves. Only fingerprints that have a candidate at all meet
+again with the confirming bits.
 """
 
 from __future__ import annotations
@@ -27,24 +34,39 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from tiegrid.llm.common import id_type, map_texts, materialize
+from tiegrid.llm.common import id_type, map_texts, materialize, worker_object
 from tiegrid.plans.graph import connected_components
+from tiegrid.plans.work import join_on_hot_keys
 
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
 #: Fingerprints of one key that are compared in one block; two blocks meet in a task.
 BLOCK = 1024
-#: Seeds of the hashes whose SimHashes confirm a link; 64 bits each.
-CONFIRM_SEEDS = (43, 44, 45, 46)
-#: Seeds of the fingerprints under which ``deduplicate`` looks for candidates.
-CANDIDATE_SEEDS = (42, 47, 48)
+#: SimHashes of 64 bits each that confirm a link, and under which ``deduplicate`` looks for candidates.
+CONFIRM, CANDIDATES = 6, 7
+
+
+#: Of each byte its eight bits, one to a byte of a long.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits that are set in over half the hashes of each row, as a signed long for each."""
+    rows, n = hashes.shape
+    votes = np.zeros((rows, 64), np.int64)
+    # A byte counts up to 255.
+    for at in range(0, n, 255):
+        some = np.ascontiguousarray(hashes[:, at : at + 255]).view(np.uint8).reshape(rows, -1, 8)
+        votes += np.ascontiguousarray(BITS[some].sum(1, dtype=np.uint64)).view(np.uint8)
+    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<i8")[:, 0]
 
-def simhash(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> np.ndarray:
-    """One row for each text and one signed 64-bit SimHash for each seed; 0 if a text has no words."""
+
+def simhash(texts: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """The signed 64-bit SimHash of each text over its word shingles, repeats included; 0 if a text has no words."""
     digest = xxhash.xxh64_intdigest
-    out = np.zeros((len(texts), len(seeds)), np.int64)
+    out = np.zeros(len(texts), np.int64)
     for row, text in enumerate(texts):
         words = text.lower().split()
         if not words:
@@ -56,44 +78,84 @@ def simhash(texts: list[bytes], shingle: int, seeds: tuple[int, ...] = (42,), di
             starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
         else:
             starts, ends = starts[:1], ends[-1:]
-        spans = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if distinct:
-            spans = list(set(spans))
-        for k, seed in enumerate(seeds):
-            votes = np.zeros(64, np.int64)
-            for at in range(0, len(spans), 65536):
-                hashes = np.array([digest(x, seed) for x in spans[at : at + 65536]], "<u8")
-                votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[row, k] = np.packbits(2 * votes > len(spans), bitorder="little").view("<i8")[0]
+        spans = zip(starts.tolist(), ends.tolist(), strict=True)
+        out[row] = majority(np.array([[digest(joined[a:b], seed) for a, b in spans]], "<u8"))[0]
     return out
 
 
-def fingerprints(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 3,
-    distinct: bool = False,
-    confirm_shingle: int | None = None,
-    seeds: tuple[int, ...] = (42,),
-) -> DataFrame:
-    """(id, fp) and, for further ``seeds``, (fp1, ...), with ``confirm_shingle`` also (c0, ..., c3): SimHashes of every whole text as signed longs.
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the words in use."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = xxhash.xxh64_intdigest(word)
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = made
+        return made
+
+
+#: Increments that set the members of a family of hashes apart.
+FAMILY = (np.arange(1, CANDIDATES + CONFIRM + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def remixed(hashes: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """A row of other hashes of the same things for each increment of ``family``."""
+    h = hashes + family
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def gram_hashes(words: list[bytes], shingle: int, known: WordHashes) -> np.ndarray:
+    """Hashes of the shingles of a text, or of the whole text if it has fewer words; one for a text without any."""
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - shingle + 1)
+    grams = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(words))):
+        grams = grams * np.uint64(0xD6E8FEB86659FD93) + each[k : k + n]
+    return grams
+
+
+def set_simhashes(texts: list[bytes], shingle: int, known: WordHashes) -> np.ndarray:
+    """CANDIDATES SimHashes of each text's set of words, then CONFIRM ones of its set of word shingles; 0 without words.
+
+    Words are hashed once; the hashes of shingles and the members of each family are mixed from these.
+    """
+    out = np.zeros((len(texts), CANDIDATES + CONFIRM), np.int64)
+    for row, text in enumerate(texts):
+        words = text.lower().split()
+        if not words:
+            continue
+        each = np.fromiter(map(known.__getitem__, set(words)), np.uint64)
+        out[row, :CANDIDATES] = majority(remixed(each, FAMILY[:CANDIDATES]))
+        out[row, CANDIDATES:] = majority(remixed(np.unique(gram_hashes(words, shingle, known)), FAMILY[CANDIDATES:]))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, fp): the SimHash of every whole text as a signed long.
 
     A-Z count as a-z; words are runs of characters other than ASCII white
-    space; each word shingle counts as often as it occurs, or once with
-    ``distinct``; fewer words make one shingle. A null or empty text, or one
-    without words, has fingerprint 0.
+    space; each word shingle counts as often as it occurs; fewer words make one
+    shingle. A null or empty text, or one without words, has fingerprint 0.
     """
-    confirm = len(CONFIRM_SEEDS) if confirm_shingle else 0
+    return map_texts(docs, lambda texts: [pa.array(simhash(texts, shingle))], "fp bigint", id_col, text_col)
+
+
+def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, fp0, ..., c0, ...): SimHashes of the words and, to confirm, of the shingles of every whole text, each counted once."""
 
     def rows(texts: list[bytes]) -> list[pa.Array]:
-        made = [simhash(texts, shingle, seeds, distinct)]
-        if confirm:
-            made.append(simhash(texts, confirm_shingle, CONFIRM_SEEDS, distinct=True))
-        return [pa.array(column) for column in np.hstack(made).T.copy()]
+        known = worker_object("simhash", shingle, WordHashes)
+        return [pa.array(column) for column in set_simhashes(texts, shingle, known).T.copy()]
+
+    return map_texts(docs, rows, ", ".join(f"{n} bigint" for n in (*FPS, *CS)), id_col, text_col, "simhash")
 
-    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds))), *(f"c{k}" for k in range(confirm))]
-    return map_texts(docs, rows, ", ".join(f"{n} bigint" for n in names), id_col, text_col)
+
+FPS, CS = [f"fp{k}" for k in range(CANDIDATES)], [f"c{k}" for k in range(CONFIRM)]
 
 
 def budgets(max_bits: int) -> list[int]:
@@ -117,7 +179,7 @@ def chain_keys(fp, max_bits: int) -> list:
         head = F.shiftrightunsigned(turned, 64 - equal)
         for half in (0, 1) if near else (0,):
             rest = F.shiftrightunsigned(turned, 64 - equal - near // 2 * (half + 1)).bitwiseAND(F.lit((1 << near // 2) - 1))
-            tag = F.lit((start * 2 + half) << (equal + near // 2))
+            tag = F.lit((start * 2 + half) << (equal + near // 2)).cast("bigint")
             keys.append(F.shiftleft(head, near // 2).bitwiseOR(rest).bitwiseOR(tag))
     return keys
 
@@ -125,16 +187,12 @@ def chain_keys(fp, max_bits: int) -> list:
 def key_start(key: int, max_bits: int) -> int:
     """The segment at which a key's chain starts."""
     allowed = budgets(max_bits)
-    return key >> (WIDTH * allowed.count(0) + WIDTH * allowed.count(1) // 2) >> 1
+    return (key >> (WIDTH * allowed.count(0) + WIDTH * allowed.count(1) // 2) >> 1) % SEGMENTS
 
 
-def forest(fps: np.ndarray, nodes: np.ndarray, confirm: np.ndarray | None, start: int, max_bits: int, confirm_bits: int) -> set:
-    """A spanning forest of the links among the nodes of one key, as (node, smaller node)."""
-    nodes, first = np.unique(nodes, return_index=True)
-    n = len(nodes)
-    if n < 2:
-        return set()
-    values = fps[first].astype(np.int64).view(np.uint64)
+def candidates(values: np.ndarray, start: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of unsigned fingerprints whose chain from segment ``start`` keeps its budgets and that link."""
+    n = len(values)
     shift = np.uint64(WIDTH * start)
     turned = values if start == 0 else (values << shift) | (values >> np.uint64(64 - WIDTH * start))
     masks = [(np.uint64((1 << WIDTH * (k + 1)) - 1) << np.uint64(64 - WIDTH * (k + 1)), most) for k, most in enumerate(budgets(max_bits))]
@@ -147,15 +205,13 @@ def forest(fps: np.ndarray, nodes: np.ndarray, confirm: np.ndarray | None, start
         i, j = np.nonzero(chain)
         i, j = i[i + at < j], j[i + at < j]
         close = np.bitwise_count(differ[i, j]) <= max_bits
-        i, j = i[close] + at, j[close]
-        if confirm is not None:
-            # As unsigned numbers: of a negative one, bits of its absolute value would be counted.
-            kept = confirm[first].astype(np.int64).view(np.uint64)
-            close = np.bitwise_count(kept[i] ^ kept[j]).sum(1) <= confirm_bits
-            i, j = i[close], j[close]
-        left.append(i)
-        right.append(j)
-    i, j = np.concatenate(left), np.concatenate(right)
+        left.append(i[close] + at)
+        right.append(j[close])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest place that it reaches over the pairs."""
     label = np.arange(n)
     while len(i):
         before = label.copy()
@@ -165,89 +221,150 @@ def forest(fps: np.ndarray, nodes: np.ndarray, confirm: np.ndarray | None, start
         label = label[label]
         if (before == label).all():
             break
-    return {(int(nodes[k]), int(nodes[label[k]])) for k in np.nonzero(label != np.arange(n))[0]}
-
-
-def links(prints: DataFrame, max_bits: int = 3, confirm_bits: int | None = None) -> DataFrame:
-    """(u, v): links between the values of ``prints.node`` that connect all that is linked.
-
-    With ``confirm_bits``, a link's four confirming SimHashes must also differ
-    in that many bits at most.
-    """
-    extra = [f"c{k}" for k in range(len(CONFIRM_SEEDS))] if confirm_bits is not None else []
-    item = F.struct("fp", "node", *extra)
-    keyed = prints.select(item.alias("item"), F.explode(F.array(*chain_keys(F.col("fp"), max_bits))).alias("key"))
+    return label
+
+
+def bridges(label: np.ndarray, i: np.ndarray, j: np.ndarray, away: np.ndarray) -> list[tuple[int, int]]:
+    """The closest pairs that connect the classes of ``label``, as many as a spanning forest of them needs."""
+    root = {k: k for k in np.unique(label[np.concatenate((i, j))]).tolist()}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    taken = []
+    for k in np.argsort(away, kind="stable").tolist():
+        p, q = find(int(label[i[k]])), find(int(label[j[k]]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            taken.append((int(i[k]), int(j[k])))
+    return taken
+
+
+def in_blocks(prints: DataFrame, fps: list[str], extra: list[str], max_bits: int) -> DataFrame:
+    """(key, items): the (fp, node, *extra) that share a chain key under one of ``fps``, dealt out in pairs of blocks."""
+    by_fp = prints.select("node", *extra, F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.col(c).alias("fp")) for k, c in enumerate(fps)))).alias("p"))
+    flat = by_fp.select("node", *extra, F.col("p.fp").alias("fp"), F.shiftleft(F.col("p.k"), 40).alias("family"))
+    keyed = flat.select("fp", "node", *extra, "family", F.explode(F.array(*chain_keys(F.col("fp"), max_bits))).alias("key"))
+    keyed = keyed.select("fp", "node", *extra, F.col("key").bitwiseOR(F.col("family")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("item.node"), F.col("blocks")).cast("int")
-    dealt = (
-        keyed.join(shared, "key")
-        .select("key", "item", blocks.alias("blocks"))
-        .select("key", "item", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return (
+        join_on_hot_keys(keyed, shared, "key", "n")
+        .withColumn("blocks", blocks)
+        .select("key", F.struct("fp", "node", *extra).alias("item"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
         .agg(F.collect_list("item").alias("items"))
         .filter(F.size("items") > 1)
         .select("key", "items")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(key, fingerprints, nodes, further columns) of each row of ``in_blocks``, nodes distinct."""
+    lists = batch.column(1)
+    columns = [x.to_numpy(zero_copy_only=False) for x in lists.values.flatten()]
+    ends = lists.offsets.to_pylist()
+    for key, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:], strict=False):
+        nodes, first = np.unique(columns[1][a:b], return_index=True)
+        if len(nodes) > 1:
+            yield key, columns[0][a:b][first].astype(np.int64).view(np.uint64), nodes, [c[a:b][first] for c in columns[2:]]
+
+
+def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, confirm: tuple[int, int] | None = None) -> DataFrame:
+    """(u, v, sure): links between the values of ``prints.node`` that connect all that is linked.
+
+    Fingerprints are the columns ``fps`` ("fp" alone by default); a link under
+    any of them counts. With ``confirm``, a link is sure if the confirming
+    SimHashes of both differ in the first number of bits at most, and not sure
+    up to the second; only nodes with some candidate are looked at for this.
+    """
+    fps = fps or ["fp"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set = set()
+            for key, values, nodes, _ in _groups(batch):
+                i, j = candidates(values, key_start(key, max_bits), max_bits)
+                found.update(nodes[np.union1d(i, j)].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64())], names=["node"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges: set = set()
-            lists = batch.column(1)
-            columns = [x.to_numpy(zero_copy_only=False) for x in lists.values.flatten()]
-            ends = lists.offsets.to_pylist()
-            for key, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:], strict=False):
-                confirm = np.stack([x[a:b] for x in columns[2:]], axis=1) if extra else None
-                edges |= forest(columns[0][a:b], columns[1][a:b], confirm, key_start(key, max_bits), max_bits, confirm_bits or 0)
-            u, v = zip(*edges, strict=True) if edges else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            for key, values, nodes, more in _groups(batch):
+                i, j = candidates(values, key_start(key, max_bits), max_bits)
+                open_ = None
+                if more:
+                    # As unsigned numbers: of a negative one, bits of its absolute value would be counted.
+                    c = np.stack(more, 1).astype(np.int64).view(np.uint64)
+                    away = np.bitwise_count(c[i] ^ c[j]).sum(1)
+                    between = (away > confirm[0]) & (away <= confirm[1])
+                    open_ = i[between], j[between], away[between]
+                    i, j = i[away <= confirm[0]], j[away <= confirm[0]]
+                label = forest(len(nodes), i, j)
+                edges |= {(int(nodes[k]), int(nodes[label[k]]), True) for k in np.nonzero(label != np.arange(len(nodes)))[0]}
+                if open_ is not None and len(open_[0]):
+                    edges |= {(int(nodes[b]), int(nodes[a]), False) for a, b in bridges(label, *open_)}
+            u, v, sure = zip(*edges, strict=True) if edges else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
+
+    extra: list[str] = []
+    if confirm is not None:
+        extra = [c for c in prints.columns if c in CS]
+        with_some = materialize(in_blocks(prints, fps, [], max_bits).mapInArrow(near, "node bigint").distinct(), "simhash-candidates")
+        prints = prints.join(with_some, "node", "left_semi")
+    return in_blocks(prints, fps, extra, max_bits).mapInArrow(joined, "u bigint, v bigint, sure boolean").distinct()
+
+
+def confirm_budget(similarity: float) -> tuple[int, int]:
+    """Confirming bits in which shingle sets of this Jaccard similarity differ, two standard deviations less and more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * CONFIRM
+    spread = 2 * math.sqrt(bits * share * (1 - share))
+    return math.floor(bits * share - spread), math.ceil(bits * share + spread)
 
-    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
+def alike(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``open_`` (u, v, a, b) whose texts, those of ids a and b, have shingle sets of at least the Jaccard similarity."""
 
-def confirm_budget(similarity: float) -> int:
-    """Bits of 256 in which shingle sets of this Jaccard similarity differ, and a standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * len(CONFIRM_SEEDS)
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
-
-
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 3,
-    max_bits: int = 3,
-    distinct: bool = False,
-    confirm_shingle: int | None = None,
-    similarity: float = 0.8,
-    seeds: tuple[int, ...] = (42,),
-) -> DataFrame:
+    def rows(texts: list[bytes]) -> list[pa.Array]:
+        known = worker_object("simhash", shingle, WordHashes)
+        return [pa.array([np.unique(gram_hashes(t.lower().split(), shingle, known)).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+
+    ids = open_.select(F.col("a").alias(id_col)).union(open_.select("b")).distinct()
+    sets = map_texts(docs.join(ids, id_col, "left_semi"), rows, "grams array<bigint>", id_col, text_col, "simhash").distinct()
+    sets = materialize(sets, "simhash-sets")
+    both = open_.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return both.filter(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("u", "v").distinct()
+
+
+def classes(base: DataFrame, prints: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``base`` with component_id, of its distinct ``prints`` (node, rep, copies) and the links between their nodes."""
+    joined = connected_components(found)
+    members = joined.join(prints.select("node", "rep"), "node")
+    least = members.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"))
+    moved = join_on_hot_keys(members, least, "component", "n").select("node", "least")
+    labelled = prints.join(moved, "node", "left").select("node", "copies", F.coalesce("least", "rep").cast(id_type(base, id_col)).alias("component_id"))
+    return join_on_hot_keys(base, labelled, "node", "copies")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
     component_id is the smallest id that is reachable over links, its own
-    included. With ``confirm_shingle``, a link also needs that SimHashes of
-    the sets of that many words show the given Jaccard similarity. With several
-    ``seeds``, fingerprints under any of them link. Rows with a
-    null id stay; they take the component of their fingerprint, null if no row
-    of it has an id. Repeated rows stay repeated. An empty table gives an
-    empty result.
+    included. Rows with a null id stay; they take the component of their
+    fingerprint, null if no row of it has an id. Repeated rows stay repeated.
+    An empty table gives an empty result.
     """
-    kind = id_type(docs, id_col)
-    base = fingerprints(docs, id_col, text_col, shingle, distinct, confirm_shingle, seeds)
-    others = base.columns[2:]
-    base = materialize(base.withColumn("node", F.xxhash64("fp", *others) if others else F.col("fp")), "simhash")
-    prints = base.groupBy("node", "fp", *others).agg(F.min(id_col).alias("rep"))
-    budget = confirm_budget(similarity) if confirm_shingle else None
-    found = links(prints, max_bits, budget)
-    for k in range(1, len(seeds)):
-        found = found.union(links(prints.drop("fp").withColumnRenamed(f"fp{k}", "fp"), max_bits, budget))
-    joined = connected_components(materialize(found, "simhash-links"))
-    members = joined.join(prints.select("node", "rep"), "node")
-    least = members.groupBy("component").agg(F.min("rep").alias("least"))
-    moved = members.join(least, "component").select("node", "least")
-    classes = prints.join(moved, "node", "left").select("node", F.coalesce("least", "rep").cast(kind).alias("component_id"))
-    return base.join(classes, "node").select(id_col, "fp", "component_id")
+    base = materialize(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.col("fp")), "simhash")
+    prints = base.groupBy("node", "fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    found = materialize(links(prints, max_bits).select("u", "v"), "simhash-links")
+    return classes(base, prints, found, id_col).select(id_col, "fp", "component_id")
 
 
 def hex_digits(fp) -> F.Column:
@@ -260,12 +377,28 @@ def deduplicate(
     """``docs`` with one row of each near-duplicate group, the one with the smallest id.
 
     Candidates are SimHashes over the set of words of a text, of which a few
-    changed words move few bits, under three seeds; links are confirmed on sets
-    of five-word shingles. All columns stay. Repeated rows of the kept id give one row;
-    rows with a null id can't be told apart from others and stay.
+    changed words move few bits, CANDIDATES of them; links are judged by the
+    SimHashes of the sets of ``shingle`` consecutive words, and by the sets
+    themselves where these leave it open. All columns stay. Of rows that
+    repeat a kept id one stays, always the same: the one with the smallest hash
+    of its columns. Rows with a null id can't be told apart from others and stay.
     """
     with_id = docs.filter(F.col(id_col).isNotNull())
-    classes = near_duplicates(with_id, id_col, text_col, 1, max_bits, True, shingle, similarity, CANDIDATE_SEEDS)
-    keep = classes.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    kept = with_id.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    base = set_fingerprints(with_id, id_col, text_col, shingle).withColumn("node", F.xxhash64(*FPS, *CS))
+    base = materialize(base, "simhash")
+    prints = base.groupBy("node", *FPS, *CS).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    found = materialize(links(prints, max_bits, FPS, confirm_budget(similarity)), "simhash-links")
+    known = found.filter("sure").select("u", "v")
+    rep = prints.select("node", "rep")
+    open_ = found.filter("NOT sure").select("u", "v").join(known, ["u", "v"], "left_anti")
+    open_ = open_.join(rep.toDF("u", "a"), "u").join(rep.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    close = alike(with_id, materialize(open_, "simhash-open"), id_col, text_col, shingle, similarity)
+    found = materialize(known.union(close), "simhash-links")
+    each = classes(base.select(id_col, "node"), prints.select("node", "rep", "copies"), found, id_col)
+    keep = each.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = with_id.join(keep, F.col(id_col) == F.col("_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)))
+    once = kept.filter("_n = 1").select(columns)
+    repeated = kept.filter("_n > 1").groupBy("_id").agg(F.min_by(F.struct(*columns), hashed).alias("_row")).select("_row.*")
+    return once.union(repeated).union(docs.filter(F.col(id_col).isNull()))
