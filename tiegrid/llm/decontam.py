@@ -7,8 +7,9 @@ that is shorter, makes its words hits. The items with such a run follow from the
 state that stands for the last WINDOW words.
 
 Items go to the executors in blocks of BLOCK_WORDS words, so what is broadcast
-is bounded however many items there are; with several blocks the documents are
-read once for each, and the parts are merged by row.
+is bounded however many items there are. With several blocks the documents are
+numbered and written first; they are read once for each block, whose part is
+written before the next block is read, and the parts are merged by row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +192,44 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list
     yield block
 
 
+SPANS = "array<struct<start:int,end:int>>"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def span_array(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in x] for x in found], SPAN_TYPE)
+
+
+def by_block(texts: DataFrame, blocks: Iterable[list], window: int) -> DataFrame:
+    """(row, n_words, spans, items) of rows (row, text) for every block of items, one row for each text and block with hits.
+
+    Rows without hits in a block are left out, but for the first block. The
+    parts are written one after another, so the driver and each task hold one block.
+    """
+
+    def part(shared, all_rows: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                held = held or prepared(shared)
+                words = [words_of(text) for text in text_bytes(batch.column(1))]
+                found = [held.search(w) for w in words]
+                items = [sorted(str(i) for i in which if i is not None) for _, which in found]
+                columns = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), span_array([x for x, _ in found]), pa.array(items, pa.list_(pa.string()))]
+                made = pa.RecordBatch.from_arrays(columns, names=["row", "n_words", "spans", "items"])
+                yield made if all_rows else made.filter(pa.array([bool(x) for x, _ in found], pa.bool_()))
+
+        return texts.mapInArrow(run, f"row bigint, n_words bigint, spans {SPANS}, items array<string>")
+
+    merged = None
+    for block in blocks:
+        shared = texts.sparkSession.sparkContext.broadcast((block, window))
+        one = materialize(part(shared, merged is None), "decontam")
+        shared.destroy()
+        merged = one if merged is None else merged.union(one)
+    return merged
+
+
 def find_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -208,62 +248,49 @@ def find_hits(
     has no words. Repeated rows each give their row; an empty table of
     documents gives an empty result, an empty benchmark no hits.
     """
-    spark = docs.sparkSession
-    kind = id_type(docs, id_col)
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = f"row bigint, {id_col} {kind}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text_col))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit")
+    first, rest = leading(blocks_of(benchmark, item_col, item_text_col))
+    if rest is None:
+        shared = docs.sparkSession.sparkContext.broadcast((first, window))
 
-    def part(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for batch in batches:
                 held = held or prepared(shared)
-                counts, spans, items = [], [], []
-                for text in text_bytes(batch.column(2)):
-                    words = words_of(text)
-                    counts.append(len(words))
-                    found, which = held.search(words)
-                    spans.append([{"start": a, "end": b} for a, b in found])
-                    items.append(sorted(str(i) for i in which if i is not None))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))],
-                    names=["row", id_col, "n_words", "spans", "items"],
-                )
-
-        return base.mapInArrow(run, schema)
-
-    parts = [
-        part(spark.sparkContext.broadcast((items, window))) for items in blocks_of(benchmark, item_col, item_text_col)
-    ]
-    if len(parts) == 1:
-        merged = parts[0]
-    else:
-        # Only rows with hits in some block are grouped; each part is written, so that its row numbers stay.
-        written = [materialize(p, "decontam") for p in parts]
-        hit = written[0].filter(F.size("spans") > 0)
-        for p in written[1:]:
-            hit = hit.union(p.filter(F.size("spans") > 0))
-        by_row = hit.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
-        union = F.aggregate(
-            F.array_sort("s"),
-            F.array().cast("array<struct<start:int,end:int>>"),
-            lambda done, x: F.when(
-                (F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"]),
-                F.concat(
-                    F.slice(done, 1, F.size(done) - 1),
-                    F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))),
-                ),
-            ).otherwise(F.concat(done, F.array(x))),
-        )
-        empty = F.array().cast("array<string>")
-        merged = written[0].select("row", id_col, "n_words").join(by_row, "row", "left").select(
-            "row", id_col, "n_words",
-            F.coalesce(union, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
-            F.coalesce(F.array_sort(F.array_distinct("i")), empty).alias("items"),
-        )
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return merged.select(id_col, "n_words", n_hit.alias("n_hit"), "spans", "items")
+                words = [words_of(text) for text in text_bytes(batch.column(1))]
+                found = [held.search(w) for w in words]
+                items = [sorted(str(i) for i in which if i is not None) for _, which in found]
+                columns = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), span_array([x for x, _ in found]), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_words", "spans", "items"])
+
+        schema = f"{id_col} {id_type(docs, id_col)}, n_words bigint, spans {SPANS}, items array<string>"
+        return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema).select(id_col, "n_words", n_hit, "spans", "items")
+
+    base = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text_col)), "decontam-rows")
+    parts = by_block(base.select("row", F.col(text_col)), rest, window)
+    by_row = parts.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i")
+    )
+    union = F.aggregate(
+        F.array_sort("s"),
+        F.array().cast(SPANS),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"]),
+            F.concat(
+                F.slice(done, 1, F.size(done) - 1),
+                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(done, F.array(x))),
+    )
+    merged = base.select("row", id_col).join(by_row, "row").select(id_col, "n_words", union.alias("spans"), F.array_sort(F.array_distinct("i")).alias("items"))
+    return merged.select(id_col, "n_words", n_hit, "spans", "items")
+
+
+def leading(blocks: Iterator[list]) -> tuple[list, Iterator[list] | None]:
+    """The only block and None, or the first one and an iterator over all."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
 
 
 def prepared(shared) -> Items:
@@ -312,13 +339,14 @@ def decontaminate(
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    blocks = [spark.sparkContext.broadcast((items, window)) for items in blocks_of(benchmark, item_col, item_text_col)]
-    if len(blocks) == 1:
+    first, rest = leading(blocks_of(benchmark, item_col, item_text_col))
+    if rest is None:
+        shared = spark.sparkContext.broadcast((first, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for batch in batches:
-                held = held or prepared(blocks[0])
+                held = held or prepared(shared)
                 yield applied(batch, (held.search(words_of(raw))[0] for raw in text_bytes(batch.column(at))))
 
         return docs.mapInArrow(run, docs.schema)
@@ -326,24 +354,7 @@ def decontaminate(
     # Row numbers of a written table, one struct to each row, so that columns can have any names.
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     base = materialize(base, "decontam-rows")
-    texts = base.select("row", F.col("doc")[text_col].alias("text"))
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def part(shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for batch in batches:
-                held = held or prepared(shared)
-                found = [held.search(words_of(raw))[0] for raw in text_bytes(batch.column(1))]
-                spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in found], span_type)
-                made = pa.RecordBatch.from_arrays([batch.column(0), spans], names=["row", "spans"])
-                yield made.filter(pa.array([bool(x) for x in found], pa.bool_()))
-
-        return texts.mapInArrow(run, "row bigint, spans array<struct<start:int,end:int>>")
-
-    hits = part(blocks[0])
-    for shared in blocks[1:]:
-        hits = hits.union(part(shared))
+    hits = by_block(base.select("row", F.col("doc")[text_col].alias("text")), rest, window).filter(F.size("spans") > 0)
     by_row = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = base.join(by_row, "row", "left").select("doc.*", F.col("spans"))
 
