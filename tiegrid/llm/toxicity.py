@@ -4,7 +4,9 @@ Severity grades are ordered: P(grade > k) = sigmoid(w . x - t_k), with one
 weight vector for all thresholds t_1 < t_2 < ... The features of a text are
 how many of its distinct words are a given word, or begin with a given prefix
 of a few letters, damped by log(1 + n). The expected severity is the sum of
-P(grade > k) over the thresholds.
+P(grade > k) over the thresholds. Grades are those of the labels, however many
+there are; labels that only tell 0 from 1 give one threshold, and no finer
+grades are made up.
 """
 
 from __future__ import annotations
@@ -96,32 +98,23 @@ def fit_ordinal(columns: np.ndarray, grades: np.ndarray, ridge: float = 1.0, rou
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, most: int) -> DataFrame:
-    """(id, text, grade) of at most ``most`` labelled rows; null labels, ids and texts are left out."""
+    """(id, text, grade) of at most ``most`` labelled ids; null labels, ids and texts are left out.
+
+    An id has the highest of its grades and the first of its texts in their order.
+    """
     usable = labels.filter(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = usable.groupBy(id_col).agg(F.max(grade_col).cast("int").alias("_grade"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(most)
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_text"))
-    return texts.join(F.broadcast(chosen), id_col)
-
-
-def severity(found: list[dict[str, int]], labels: np.ndarray, marks: set[str]) -> np.ndarray:
-    """Grades 0, 1 and 2 from labels that only tell 0 from 1.
-
-    A toxic text with more distinct marks (features that hardly any text
-    without the label holds) than the median toxic text that has any is grade 2.
-    """
-    counts = np.array([len(f.keys() & marks) for f in found])
-    held = counts[(labels > 0) & (counts > 0)]
-    middle = np.median(held) if len(held) else np.inf
-    return np.where(labels == 0, 0, np.where(counts > middle, 2, 1))
+    return texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "_grade").agg(F.min("_text").alias("_text"))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", most: int = MAX_LABELLED
 ) -> Ordinal | None:
-    """A model of ``grade_col``: ordered integer grades, or 0 and 1, which ``severity`` makes finer.
+    """A model of ``grade_col``: ordered integer grades, of which the lowest is the harmless one.
 
-    Spark counts and ranks the features of the labelled texts; the driver gets
+    It learns from ``most`` labelled ids at most. Spark counts and ranks the features of the labelled texts; the driver gets
     the MAX_FEATURES chosen ones and, of each learned text, those it holds.
     None if there aren't two grades.
     """
@@ -147,15 +140,14 @@ def fit(
         ),
         "toxicity-features",
     )
-    low, n_all, n_hot = rows.agg(F.min("grade"), F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
-    top = rows.agg(F.max("grade")).first()[0]
+    low, top, n_all = rows.agg(F.min("grade"), F.max("grade"), F.count(F.lit(1))).first()
     if not n_all or low == top:
         return None
-    share = n_hot / n_all if low <= 0 < top else 0.5
+    share = rows.filter(F.col("grade") > low).count() / n_all
     seen, hot = F.col("seen"), F.col("hot")
     lift = (hot - seen * share) / F.sqrt(seen * (share * (1 - share)))
     ranked = (
-        rows.select(F.explode("names").alias("name"), (F.col("grade") > 0).cast("int").alias("hot"))
+        rows.select(F.explode("names").alias("name"), (F.col("grade") > low).cast("int").alias("hot"))
         .groupBy("name")
         .agg(F.count(F.lit(1)).alias("seen"), F.sum("hot").alias("hot"))
         .filter(seen >= LEAST_TEXTS)
@@ -164,7 +156,6 @@ def fit(
         .collect()
     )
     place = {r["name"]: k for k, r in enumerate(ranked)}
-    marks = {r["name"] for r in ranked if r["hot"] >= 2 * LEAST_TEXTS and (r["seen"] - r["hot"]) * 20 <= r["hot"]}
     wanted = docs.sparkSession.sparkContext.broadcast(place)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +173,9 @@ def fit(
                 names=["id", "names", "counts", "grade"],
             )
 
-    learned = rows.mapInArrow(pick, rows.schema).orderBy("id", "grade", "names").limit(2 * most).collect()
+    learned = rows.mapInArrow(pick, rows.schema).orderBy("id").collect()
     found = [dict(zip(r["names"], r["counts"], strict=True)) for r in learned]
-    given = np.array([r["grade"] for r in learned])
-    grades = severity(found, given, marks) if set(given) == {0, 1} else given
-    _, grades = np.unique(grades, return_inverse=True)
+    _, grades = np.unique([r["grade"] for r in learned], return_inverse=True)
     columns = np.zeros((len(found), len(place)), np.float32)
     for k, f in enumerate(found):
         for name, n in f.items():
@@ -223,7 +212,11 @@ def score_toxicity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text is rejected; all columns stay, and texts are not shuffled."""
+    """``docs`` without the rows whose text is rejected; all columns stay, and texts are not shuffled.
+
+    A null text counts as empty, repeated rows are judged each for itself, an
+    empty table stays empty, and without a model no row goes.
+    """
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
