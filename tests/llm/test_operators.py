@@ -298,6 +298,41 @@ def test_topk_matches_brute_force(spark):
     assert rows(topk.top_inner_products(few, few.filter("vec_id = 0"))) == [(0, 1, 1, 1024 * 1024)]
 
 
+def test_topk_of_large_components_is_exact(spark):
+    """Sums of products beyond 2**53 and, but for the scores themselves, beyond longs."""
+    rng = random.Random(5)
+    for size in (3e5, 2e6):
+        data = [(i, [float(rng.randrange(int(size / 3), int(size))) + rng.random() for _ in range(64 if size < 1e6 else 2)]) for i in range(120)]
+        vectors = spark.createDataFrame([(*v, "x", 1) for v in data], "vec_id bigint, embedding array<double>, score string, rank int")
+        ints = {i: [math.floor(1024 * x) for x in v] for i, v in data}
+        want = []
+        for q in (0, 100):
+            scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:10]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+        assert sorted(rows(topk.top_inner_products(vectors, vectors.filter("vec_id % 100 = 0")))) == want
+    huge = spark.createDataFrame([(0, [3e12]), (1, [3e12])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond what a long"):
+        rows(topk.top_inner_products(huge, huge.filter("vec_id = 0")))
+
+
+def test_topk_by_batches_and_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = [(i % 150, [float(x) for x in rng.normal(0, 0.3, 5)]) for i in range(300)]
+    vectors = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    queries = vectors.filter("vec_id % 10 = 0")
+    once = sorted(rows(topk.top_inner_products(vectors, queries)))
+    chosen = {}
+    for i, v in sorted((i, v) for i, v in data):
+        chosen.setdefault(i, np.floor(1024 * np.array(v)).astype(int))
+    want = []
+    for q in range(0, 150, 10):
+        scored = sorted((-int(chosen[q] @ np.floor(1024 * np.array(v)).astype(int)), i) for i, v in data if i != q)[:10]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+    assert once == want
+    monkeypatch.setattr(topk, "BATCH", 4)
+    assert sorted(rows(topk.top_inner_products(vectors, queries))) == want
+
+
 # --- BPE
 
 
@@ -343,13 +378,44 @@ def test_toxicity_finds_bad_words(spark, make, odd_rows):
     found = {r["doc_id"]: r for r in toxicity.score_toxicity(table, model).collect()}
     wrong = sum(found[100 + i]["rejected"] != (i % 4 == 0) for i in range(300, 400))
     assert wrong == 0
-    assert found[108]["severity"] > found[104]["severity"] > found[105]["severity"] or found[108]["severity"] >= found[100]["severity"]
+    # Repeated ids are learned from once.
+    again = toxicity.fit(make(docs + docs[:50] + odd_rows), labels)
+    assert again.words == model.words and again.prefixes == model.prefixes
     left = toxicity.drop_toxic(table, model)
     assert left.columns == table.columns and left.count() == 300 + len(odd_rows)
     assert toxicity.fit(table, labels.filter("toxic = 0")) is None
     assert rows(toxicity.score_toxicity(make([]), model)) == []
 
 
+def test_toxicity_keeps_labelled_grades_in_order(spark, make):
+    """Grades 0 to 3 with a mark of their own each: severity follows them on texts that were not learned from."""
+    marks = ["", "rude", "vile", "hateful"]
+    docs = [(i, f"{sentence(i, 40)} {marks[i % 4]}") for i in range(800)]
+    labels = spark.createDataFrame([(i, i % 4) for i in range(400)], "doc_id bigint, toxic int")
+    table = make(docs)
+    model = toxicity.fit(table, labels)
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    found = {r["doc_id"]: r for r in toxicity.score_toxicity(table, model).collect()}
+    means = [np.mean([found[i]["severity"] for i in range(400, 800) if i % 4 == g]) for g in range(4)]
+    assert means == sorted(means) and means[3] > 2.5 and means[0] < 0.5
+    assert np.mean([found[i]["grade"] == i % 4 for i in range(400, 800)]) > 0.95
+    # The scores are those of the formula, computed anew.
+    for i in (1, 402, 403, 500):
+        bag = toxicity.features(docs[i][1])
+        weights = {**model.words, **{"p:" + k: v for k, v in model.prefixes.items()}}
+        z = sum(weights.get(k, 0) * math.log1p(n) for k, n in bag.items())
+        assert math.isclose(found[i]["severity"], sum(1 / (1 + math.exp(t - z)) for t in model.thresholds), rel_tol=1e-6)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    half = "pmod(crc32(cast(doc_id AS string)), 2)"
+    model = toxicity.fit(docs, labels.filter(f"{half} = 0"))
+    found = toxicity.score_toxicity(docs, model).join(labels, "doc_id").filter(f"{half} = 1").groupBy("toxic", "rejected").count().collect()
+    n = {(r["toxic"], r["rejected"]): r["count"] for r in found}
+    assert n[1, True] >= 0.85 * (n[1, True] + n[1, False]) and n.get((0, True), 0) <= 0.01 * n[0, False]
+
+
 # --- PII
 
 
@@ -390,6 +456,43 @@ def test_pii_checksums_context_and_redaction(make, odd_rows):
 # --- quality
 
 
+SF = "/root/testdata/sf0.01"
+
+
+def auc(scores, truth):
+    order = np.argsort(np.argsort(scores)) + 1
+    yes = truth.sum()
+    return (order[truth].sum() - yes * (yes + 1) / 2) / yes / (len(truth) - yes)
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    found = quality.score_quality(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "predicted", "quality").toPandas()
+    truth = found["quality"].to_numpy() == 1
+    right = (found["predicted"].to_numpy() == truth).mean()
+    assert right >= max(truth.mean(), 1 - truth.mean()) + 0.1 and auc(found["score"].to_numpy(), truth) > 0.95
+
+
+def test_quality_scores_match_a_plain_computation(spark, make):
+    """Sizes are those of the zstandard library, the curve's fit is stationary."""
+    import zstandard
+
+    texts = {i: (sentence(i, 90) if i % 3 else " ".join(w + "&&&%%" for w in sentence(i, 60).split())) for i in range(300)}
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in texts], "doc_id bigint, quality int")
+    model = quality.learn(quality.labelled_rows(make(texts.items()), labels, "doc_id", "text", "quality", 6000))
+    good, bad = (zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(c), write_content_size=False, write_checksum=False, write_dict_id=False) for c, _ in model["contents"])
+    sizes = quality.Sizes(*model["contents"])
+    for text in (*texts.values(), ""):
+        raw = text.encode()
+        plain = sum(len(bad.compress(p)) - len(good.compress(p)) for p in quality.pieces(raw)) / max(1, len(raw))
+        assert abs(plain - sizes.difference(raw)) < 0.02
+    x = np.random.default_rng(0).normal(size=(500, 2))
+    y = (x[:, 0] > 0.3 * np.random.default_rng(1).normal(size=500)).astype(float)
+    w = quality.logistic(x, y)
+    columns = np.hstack([np.ones((500, 1)), x])
+    assert np.allclose(columns.T @ (y - 1 / (1 + np.exp(-columns @ w))), 1e-2 * w, atol=1e-6)
+
+
 def test_quality_tells_noise_from_prose(spark, make, odd_rows):
     docs = [(i, sentence(i, 80) if i % 3 else " ".join(w + "&&&%%" for w in sentence(i, 60).split())) for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)] + [(None, 0), (3, None)], "doc_id bigint, quality int")
@@ -400,6 +503,9 @@ def test_quality_tells_noise_from_prose(spark, make, odd_rows):
     assert all(0 <= s <= 1 for _, _, s, _ in found)
     assert len(rows(quality.score_quality(make(odd_rows), labels))) == len(odd_rows)
     assert len(rows(quality.score_quality(make(odd_rows), labels.filter("quality = 1")))) == len(odd_rows)
+    # Repeated ids are learned from once, however the table is dealt out.
+    twice = make(docs + docs[:50])
+    assert sorted(set(rows(quality.score_quality(twice, labels).select("doc_id", "score")))) == sorted(rows(quality.score_quality(make(docs), labels).select("doc_id", "score")))
     assert rows(quality.score_quality(make([]), labels)) == []
 
 
