@@ -1,17 +1,21 @@
 """A log-bilinear language model, trained with noise-contrastive estimation.
 
-Words are counted over all training texts in one Spark aggregation. The most
-frequent CLASSES words (and the end token) are classes of their own; all other
-words share one class, within which a smoothed unigram distribution over the
-exact counts applies, so that probabilities sum to one over every word.
+Words are counted over all training texts in one Spark aggregation. Words with
+OWN_COUNT occurrences, the OWN most frequent ones at most, and the end token
+are classes of their own. All other words belong to the class of their ending,
+or to one last class if the ending isn't among the ENDINGS most frequent ones;
+within such a class a smoothed unigram distribution over the exact counts
+applies, so that probabilities sum to one over every word. A rare word thus
+lends its context an ending, which tells language and word kind, and is itself
+predicted by it.
 
 The class of a token is predicted from the two classes before it:
 s(w | a, b) = (R[a] C1 + R[b] C2) . T[w] + bias[w]. Training runs over every
-training token: each task takes stochastic noise-contrastive steps over its own
-texts from the same start, and the tasks' parameters are averaged with their
-numbers of tokens as weights. As s splits into a part for each context word, one
-product of two exponentiated matrices gives the normalisers of all contexts,
-and a token's log-probability is three table look-ups.
+training token in ROUNDS rounds, each over its share of the texts: every task
+takes stochastic noise-contrastive steps from the round's start, and the tasks'
+parameters are averaged with their numbers of tokens as weights. As s splits into
+a part for each context word, one product of two exponentiated matrices gives the
+normalisers of all contexts, and a token's log-probability is three table look-ups.
 
 Words beyond the HEAVY most frequent ones never go to the driver or into a
 broadcast: their counts are joined to the documents that hold them.
@@ -31,11 +35,11 @@ from pyspark.sql import functions as F
 from tiegrid.llm.common import by_bytes, id_type, materialize, text_bytes, worker_object
 
 END = b""
-#: Words with a class of their own, besides the end token.
-CLASSES = 1000
+#: Words with a class of their own: the count that they need, and how many there can be; classes of endings, and their bytes.
+OWN_COUNT, OWN, ENDINGS, ENDING_BYTES = 20, 1500, 1000, 3
 #: The most words whose counts are sent to every executor.
 HEAVY = 150_000
-SIZE, NOISE, STEP, RATE, SEED = 16, 24, 1024, 0.3, 5
+SIZE, NOISE, STEP, RATE, SEED, ROUNDS = 16, 24, 1024, 0.3, 5, 3
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 1_000_000
 
@@ -84,15 +88,25 @@ def frequent(counts: DataFrame, most: int) -> tuple[int, list]:
 
 
 class ClassIds(dict):
-    """Class of a word; words without a class of their own share one."""
+    """Class of a word: its own, that of its ending, or the last one; kept for the words in use."""
 
-    def __init__(self, words: list[bytes]) -> None:
+    def __init__(self, words: list[bytes], endings: list[bytes]) -> None:
         super().__init__((w, k) for k, w in enumerate(words))
-        self.other, self.start, self.size = len(words), len(words) + 1, len(words) + 2
+        self.words, self.own = words, len(words)
+        self.endings = {e: self.own + k for k, e in enumerate(endings)}
+        self.other = self.own + len(endings)
+        self.start, self.size = self.other + 1, self.other + 2
+
+    def __missing__(self, word: bytes) -> int:
+        made = self.endings.get(word[-ENDING_BYTES:], self.other)
+        if len(self) > 300_000:
+            self.clear()
+            self.update((w, k) for k, w in enumerate(self.words))
+        self[word] = made
+        return made
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get, other = self.get, self.other
-        return np.fromiter([get(w, other) for w in words], np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def initial(size: int, counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -119,9 +133,9 @@ def scatter(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive AdaGrad steps over a stream of classes."""
 
-    def __init__(self, params: dict[str, np.ndarray], noise: np.ndarray) -> None:
+    def __init__(self, params: dict[str, np.ndarray], noise: np.ndarray, squares: dict[str, np.ndarray] | None = None) -> None:
         self.p = {k: v.copy() for k, v in params.items()}
-        self.squares = {k: np.full_like(v, 1e-2) for k, v in params.items()}
+        self.squares = {k: np.full_like(v, 1e-2) if squares is None else squares[k].copy() for k, v in params.items()}
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.rng = np.random.default_rng(SEED)
         self.edges = np.cumsum(noise)
@@ -164,39 +178,72 @@ def context(classes: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarr
     return one, two
 
 
-def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str = "text") -> dict[str, np.ndarray]:
-    """Parameters fitted on every text of ``docs``; the driver gets one averaged row for each parameter."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, counts))
+def packed(parts: list[dict[str, np.ndarray]]) -> np.ndarray:
+    return np.concatenate([v.ravel() for part in parts for v in part.values()]).astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = shared.value
-        ids = ClassIds(words)
-        noise = (counts + 1) / (counts.sum() + len(counts))
-        trainer = Trainer(initial(ids.size, counts), noise)
-        for batch in batches:
-            rows: list[bytes] = []
-            for text in [*text_bytes(batch.column(0)), None]:
-                if text is not None:
-                    rows += tokens(text)
-                if len(rows) >= 256 * STEP or text is None and rows:
-                    classes = ids.of(rows)
-                    one, two = context(classes, np.fromiter([not w for w in rows], bool, len(rows)), ids.start)
-                    for at in range(0, len(rows), STEP):
-                        trainer.step(one[at : at + STEP], two[at : at + STEP], classes[at : at + STEP])
-                    rows = []
-        if trainer.seen:
-            flat = np.concatenate([v.ravel() for v in trainer.p.values()]).astype(np.float64) * trainer.seen
-            at = np.arange(len(flat) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(flat, trainer.seen))], names=["k", "v"])
-
-    summed = docs.select(text_col).mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    params = initial(len(counts), counts)
-    if len(summed):
-        flat = summed.sort_values("k")["v"].to_numpy()
-        flat, at = flat[:-1] / flat[-1], 0
-        for k, v in params.items():
-            params[k] = flat[at : at + v.size].reshape(v.shape)
+
+def unpacked(flat: np.ndarray, like: dict[str, np.ndarray], parts: int) -> list[dict[str, np.ndarray]]:
+    out, at = [], 0
+    for _ in range(parts):
+        out.append({})
+        for k, v in like.items():
+            out[-1][k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
+    return out
+
+
+#: Parameters in a row that a task hands on to be averaged.
+PART = 4096
+
+
+def average(table: pa.Table) -> pa.Table:
+    """The mean of one part of the parameters over all tasks, weighted by their tokens."""
+    seen = table.column("seen").to_numpy()
+    total = np.zeros(len(table.column("v")[0].as_py()) // 4)
+    for v, n in zip(table.column("v"), seen, strict=True):
+        total += n * np.frombuffer(v.as_py(), np.float32)
+    mean = (total / seen.sum()).astype(np.float32).tobytes()
+    return pa.table({"k": table.column("k")[:1], "seen": pa.array([float(seen.sum())]), "v": pa.array([mean], pa.binary())})
+
+
+def train(docs: DataFrame, ids: ClassIds, counts: np.ndarray, text_col: str = "text", turn_col: str = "turn") -> dict[str, np.ndarray]:
+    """Parameters fitted on every text of ``docs``, a share of them by ``turn_col`` in each round.
+
+    The driver gets the averaged parameters of each round, not those of the tasks.
+    """
+    params = initial(ids.size, counts)
+    squares = {k: np.full_like(v, 1e-2) for k, v in params.items()}
+    noise = (counts + 1) / (counts.sum() + len(counts))
+    schema = "k int, seen double, v binary"
+    for turn in range(ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast((ids.words, list(ids.endings), params, squares))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, endings, params, squares = shared.value
+            ids = ClassIds(words, endings)
+            trainer = Trainer(params, noise, squares)
+            for batch in batches:
+                rows: list[bytes] = []
+                for text in [*text_bytes(batch.column(0)), None]:
+                    if text is not None:
+                        rows += tokens(text)
+                    if len(rows) >= 128 * STEP or text is None and rows:
+                        classes = ids.of(rows)
+                        one, two = context(classes, np.fromiter([not w for w in rows], bool, len(rows)), ids.start)
+                        for at in range(0, len(rows), STEP):
+                            trainer.step(one[at : at + STEP], two[at : at + STEP], classes[at : at + STEP])
+                        rows = []
+            if trainer.seen:
+                flat = packed([trainer.p, trainer.squares])
+                cut = [flat[at : at + PART].tobytes() for at in range(0, len(flat), PART)]
+                seen = np.full(len(cut), float(trainer.seen))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(seen), pa.array(cut, pa.binary())], names=["k", "seen", "v"])
+
+        parts = docs.filter(F.col(turn_col) == turn).select(text_col).mapInArrow(run, schema).groupBy("k").applyInArrow(average, schema).collect()
+        if parts:
+            flat = np.concatenate([np.frombuffer(bytes(r["v"]), np.float32) for r in sorted(parts, key=lambda r: r["k"])])
+            params, squares = unpacked(flat, params, 2)
+        shared.destroy()
     return params
 
 
@@ -205,35 +252,40 @@ def score_tables(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray,
 
     The start class is context only; it gets no probability.
     """
-    p = {k: v.astype(np.float64) for k, v in params.items()}
+    p = {k: v.astype(np.float32) for k, v in params.items()}
     first = p["R"] @ p["C1"] @ p["T"].T
     second = p["R"] @ p["C2"] @ p["T"].T + p["bias"]
     second[:, -1] = -np.inf
     tops = first.max(1), second.max(1)
-    norm = np.log(np.exp(first - tops[0][:, None]) @ np.exp(second - tops[1][:, None]).T) + tops[0][:, None] + tops[1][None, :]
-    return first / np.log(10), second / np.log(10), norm / np.log(10)
+    norm = np.exp(first - tops[0][:, None]) @ np.exp(second - tops[1][:, None]).T
+    np.log(norm, out=norm)
+    norm += tops[0][:, None]
+    norm += tops[1][None, :]
+    for x in (first, second, norm):
+        x /= np.float32(np.log(10))
+    return first, second, norm
 
 
 class Scorer:
     """Scores texts but for the words whose counts aren't at hand; those are returned."""
 
-    def __init__(self, heavy: list[tuple[bytes, int]], words: list[bytes], params: dict[str, np.ndarray]) -> None:
-        self.ids = ClassIds(words)
-        heavy = dict(heavy)
-        heavy |= {w: heavy.get(w, 0) for w in words}
-        # Words with a class come first, so that a word's place in the list is its class.
-        rest = [w for w in heavy if w not in self.ids]
-        listed = [*words, *rest]
+    def __init__(self, heavy: list[tuple[bytes, int]], words: list[bytes], endings: list[bytes], units: np.ndarray, params: dict[str, np.ndarray]) -> None:
+        self.ids = ClassIds(words, endings)
+        counted = dict(heavy)
+        # Words with a class of their own come first, so that a word's place in the list is its class.
+        own = set(words)
+        listed = [*words, *(w for w, _ in heavy if w not in own)]
         self.place = {w: k for k, w in enumerate(listed)}
-        counts = np.array([heavy[w] for w in listed], np.float64)
+        counts = np.array([counted.get(w, 0) for w in listed], np.float64)
         self.log_count = np.append(np.log10(counts + 1), 0.0)
         self.known = np.append(counts > 0, False)
-        self.unknown = len(listed)
+        self.class_of = np.append(self.ids.of(listed), 0)
+        self.unknown, self.units = len(listed), units
         self.tables = score_tables(params)
 
     def score(self, texts: list[bytes]) -> list[list]:
-        """For each text: tokens, known ones, the sum of log10(c + 1), the log10 probability of its classes, the
-        sum of log10(c + 1) of its words without a class, their number, and the words that aren't listed."""
+        """For each text: tokens, known ones, the sum of log10(c + 1), the log10 probability of its classes, the sum of
+        log10((c + 1) / size of the class) of its words without a class of their own, and the words that aren't listed."""
         rows: list[bytes] = []
         sizes = []
         for text in texts:
@@ -242,30 +294,24 @@ class Scorer:
             rows += found
         get, unknown = self.place.get, self.unknown
         place = np.fromiter([get(w, unknown) for w in rows], np.int64, len(rows))
-        classes = np.minimum(place, self.ids.other)
+        classes = self.class_of[place]
+        gaps = np.nonzero(place == unknown)[0]
+        classes[gaps] = self.ids.of([rows[k] for k in gaps.tolist()])
         last = np.cumsum(sizes) - 1
         ends = np.zeros(len(rows), bool)
         ends[last] = True
         one, two = context(classes, ends, self.ids.start)
         first, second, norm = self.tables
-        chance = first[one, classes] + second[two, classes] - norm[one, two]
-        logs, other = self.log_count[place], classes == self.ids.other
+        chance = first[one, classes].astype(np.float64) + second[two, classes] - norm[one, two]
+        logs = self.log_count[place]
+        shared = np.where(classes >= self.ids.own, logs - self.units[classes], 0.0)
         starts = last - np.array(sizes) + 1
         add = np.add.reduceat
         missing: list[list] = [[] for _ in texts]
-        gaps = np.nonzero(place == unknown)[0]
         owner = np.searchsorted(last, gaps)
         for k, text in zip(gaps.tolist(), owner.tolist(), strict=True):
             missing[text].append(rows[k])
-        return [
-            sizes,
-            add(self.known[place].astype(np.int64), starts),
-            add(logs, starts),
-            add(chance, starts),
-            add(np.where(other, logs, 0.0), starts),
-            add(other.astype(np.int64), starts),
-            missing,
-        ]
+        return [sizes, add(self.known[place].astype(np.int64), starts), add(logs, starts), add(chance, starts), add(shared, starts), missing]
 
 
 def worker_scorer(shared) -> Scorer:
@@ -286,22 +332,38 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every token as unseen. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (fold == held).alias("held_out"))
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
+    turn = F.pmod(F.xxhash64(named), F.lit(ROUNDS)).cast("int")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.pmod(F.crc32(named), F.lit(folds)) == held).alias("held_out"), turn.alias("turn"))
     training = base.filter(~F.col("held_out"))
 
     counts = materialize(count_words(training), "lm-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least, heavy = frequent(counts, HEAVY)
-    words = [w for w, _ in heavy if w != END][:CLASSES] + [END]
+    if END not in dict(heavy):
+        heavy += [(END, r["c"]) for r in counts.filter(F.col("word") == F.lit(END)).select("c").collect()]
+    words = [w for w, c in heavy if w != END and c >= OWN_COUNT][:OWN] + [END]
+    # Tokens and distinct words of each ending, the words with a class of their own taken off.
+    last = counts.groupBy(F.substring("word", -ENDING_BYTES, ENDING_BYTES).alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     by_word = dict(heavy)
-    ends = by_word.get(END, 0)
-    class_counts = np.array([by_word[w] for w in words[:-1]] + [ends], np.float64)
-    other_tokens, other_words = total - class_counts.sum(), vocabulary - (class_counts > 0).sum()
-    params = train(training, words, np.append(class_counts, [other_tokens, 0.0]))
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, heavy, words, params))
-
-    names = ["row", "id", "held_out", "n_tokens", "n_known", "logs", "chance", "other_logs", "n_other", "missing"]
+    kept: dict[bytes, list[int]] = {}
+    for w in words:
+        if w in by_word:
+            one = kept.setdefault(w[-ENDING_BYTES:], [0, 0])
+            one[0] += by_word[w]
+            one[1] += 1
+    found = last.orderBy(F.desc("n"), "e").limit(ENDINGS + len(words)).collect()
+    rest = {bytes(r["e"]): (r["n"] - kept.get(bytes(r["e"]), (0, 0))[0], r["v"] - kept.get(bytes(r["e"]), (0, 0))[1]) for r in found}
+    endings = sorted((e for e, (n, _) in rest.items() if n > 0), key=lambda e: (-rest[e][0], e))[:ENDINGS]
+    own_counts = [by_word.get(w, 0) for w in words]
+    end_sizes = [rest[e] for e in endings]
+    other = total - sum(own_counts) - sum(n for n, _ in end_sizes), vocabulary - sum(c > 0 for c in own_counts) - sum(v for _, v in end_sizes)
+    class_counts = np.array([*own_counts, *(n for n, _ in end_sizes), other[0], 0], np.float64)
+    units = np.array([0.0] * len(words) + [np.log10(n + v + 1) for n, v in (*end_sizes, other)])
+    params = train(training, ClassIds(words, endings), class_counts)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, heavy, words, endings, units, params))
+
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "logs", "chance", "shared", "missing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
@@ -320,10 +382,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = (
         f"row bigint, id {id_type(docs, id_col)}, held_out boolean, n_tokens bigint, n_known bigint, logs double, "
-        "chance double, other_logs double, n_other bigint, missing array<struct<word:binary,n:bigint>>"
+        "chance double, shared double, missing array<struct<word:binary,n:bigint>>"
     )
     # Numbers of rows hold only within one run of the tasks, so they are written before they are used.
-    scored = materialize(base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema), "lm-scores")
+    scored = materialize(base.select("id", "text", "held_out", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema), "lm-scores")
     gaps = scored.select("row", F.explode("missing").alias("m")).select("row", "m.word", "m.n")
     rare = counts.filter(F.col("c") < least)
     found = gaps.join(rare, "word").groupBy("row").agg(
@@ -331,7 +393,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rare_logs = F.coalesce("rare_logs", F.lit(0.0))
     unit = float(np.log10(total + vocabulary + 1))
-    other_unit = float(np.log10(other_tokens + other_words + 1))
     return scored.drop("missing").join(found, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
@@ -339,5 +400,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("logs") + rare_logs - F.col("n_tokens") * unit).alias("base_score"),
-        (F.col("chance") + F.col("other_logs") + rare_logs - F.col("n_other") * other_unit).alias("score"),
+        (F.col("chance") + F.col("shared") + rare_logs).alias("score"),
     )
