@@ -160,6 +160,105 @@ def test_equal_passages_match_brute_force(make):
                 assert set(range(k, k + 50)) <= covered[i]
 
 
+def test_chains_match_brute_force():
+    far_then_near = [(5 * i, 5 * i) for i in range(40)] + [(290, 250), (300, 260), (310, 270)]
+    assert (290, 310 + passages.K, 250, 270 + passages.K) in passages.chains(far_then_near)
+    rng = random.Random(3)
+    for _ in range(200):
+        matches = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(rng.randrange(1, 30))})
+        # The same recurrence with a search through all pairs in place of the tree.
+        score, parent = [], []
+        for k, (a, b) in enumerate(matches):
+            near = [(score[j] + passages.COST * (x + y), j) for j, (x, y) in enumerate(matches[:k]) if 0 < a - x <= passages.MAX_GAP and 0 < b - y <= passages.MAX_GAP]
+            j = max(near, default=(0, -1))[1]
+            joined = score[j] + min(passages.K, a - matches[j][0], b - matches[j][1]) - passages.COST * (a - matches[j][0] + b - matches[j][1]) if j >= 0 else 0
+            score.append(joined if joined > passages.K else float(passages.K))
+            parent.append(j if joined > passages.K else -1)
+        want, taken = [], set()
+        for k in sorted(range(len(matches)), key=lambda k: -score[k]):
+            if k not in taken:
+                chain = [k]
+                while parent[chain[-1]] >= 0 and parent[chain[-1]] not in taken:
+                    chain.append(parent[chain[-1]])
+                taken.update(chain)
+                want.append((matches[chain[-1]][0], matches[k][0] + passages.K, matches[chain[-1]][1], matches[k][1] + passages.K))
+        assert sorted(passages.chains(matches)) == sorted(want)
+    tree, plain = passages.Fenwick(40), {}
+    for _ in range(3000):
+        p, q = sorted((rng.randrange(1, 41), rng.randrange(1, 41)))
+        if rng.random() < 0.3 and plain:
+            gone = rng.choice(list(plain))
+            tree.clear(gone)
+            del plain[gone]
+        elif p not in plain:
+            plain[p] = (rng.random(), p)
+            tree.put(p, plain[p])
+        assert tree.most(p, q) == max((v for k, v in plain.items() if p <= k <= q), default=tree.NONE)
+
+
+def edited(words, rng, replaced, added=0):
+    out = [f"q{rng.randrange(10**7)}" if rng.random() < replaced else w for w in words]
+    for _ in range(added):
+        at = rng.randrange(10, len(out) - 10)
+        out[at:at] = [f"q{rng.randrange(10**7)}" for _ in range(2)]
+    return out
+
+
+@pytest.mark.parametrize(("replaced", "added", "least"), [(0.1, 0, 0.99), (0.15, 0, 0.97), (0.19, 0, 0.9), (0.0, 2, 0.99), (0.08, 1, 0.98)])
+def test_recall_of_fuzzy_passages(make, replaced, added, least):
+    """Planted pairs of 80-word passages of which at least 80 % of the words agree, found in both texts."""
+    rng = random.Random(17)
+    noise = lambda n: [f"n{rng.randrange(30_000)}" for _ in range(n)]
+    docs, planted = {}, []
+    for k in range(250):
+        words = noise(80)
+        other = edited(words, rng, replaced, added)
+        if sum(w in other for w in words) < 0.81 * max(len(words), len(other)):
+            continue
+        docs[2 * k], docs[2 * k + 1] = [*noise(60), *words, *noise(30)], [*noise(20), *other, *noise(70)]
+        planted.append((2 * k, 2 * k + 1))
+    found = {(r[0], r[3]) for r in rows(passages.shared_passages(make([(i, " ".join(w)) for i, w in docs.items()])))}
+    assert sum(p in found and p[::-1] in found for p in planted) >= least * len(planted)
+    assert found <= {q for p in planted for q in (p, p[::-1])}
+
+
+def test_passages_of_odd_rows(spark, make, odd_rows, monkeypatch):
+    """Repeated ids count as one text, batches and hot seeds change nothing, and ids can be strings."""
+    text, other = sentence(71, 90), sentence(72, 90)
+    docs = [*odd_rows, (50, text), (50, text), (51, text), (52, other), (53, other + " end"), (54, "again " * 3000)]
+    found = rows(passages.shared_passages(make(docs)))
+    assert len(found) == len(set(found)) and {(r[0], r[3]) for r in found} == {(50, 51), (51, 50), (52, 53), (53, 52)}
+    named = spark.createDataFrame([(f"doc{i}", t, 1) for i, t in docs if i and i >= 50 and i != 50], "name string, text string, row int")
+    assert {(r[0], r[3]) for r in rows(passages.shared_passages(named, "name"))} == {("doc52", "doc53"), ("doc53", "doc52")}
+    monkeypatch.setattr(passages, "AT_ONCE", 100)
+    again = rows(passages.shared_passages(make(docs)))
+    assert {(r[0], r[3]) for r in again} == {(50, 51), (51, 50), (52, 53), (53, 52)}
+
+
+def test_anchors_stream_over_batches(spark):
+    """Every asked place whose key occurs in another row is matched to one such place, whatever the batches."""
+    rng = random.Random(9)
+    places = sorted({(rng.choice([1, 1, 2, 3, 4, 5, *range(6, 200)]), rng.randrange(25), rng.randrange(60)) for _ in range(3000)})
+    asked = [rng.random() < 0.7 for _ in places]
+    holders = defaultdict(set)
+    for k, r, p in places:
+        holders[k].add((r, p))
+    want = {(r, p, k) for (k, r, p), a in zip(places, asked, strict=True) if a and any(x != r for x, _ in holders[k])}
+    schema = passages.PLACED
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        table = spark.createDataFrame([(k, r, p, None, None, False, a) for (k, r, p), a in zip(places, asked, strict=True)], schema)
+        got = [(r["row"], m["pos"], m["row"], m["their"], m["more"]) for r in passages.anchored(table).collect() for m in r["m"]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = Counter()
+    for row, pos, other, their, more in got:
+        keys = [k for k in holders if (row, pos) in holders[k] and (other, their) in holders[k]]
+        assert keys and other != row and any(more == (len(holders[k]) > 2) for k in keys)
+        seen[row, pos] += 1
+    assert seen == Counter((r, p) for r, p, _ in want)
+
+
 # --- token counts
 
 
