@@ -6,37 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegrid.functions.algebra import clip, lit
+from tiegrid.plans.work import materialize, running_sums
 
 XY = ("source_x", "source_y", "target_x", "target_y")
 #: Label columns in the order in which they count: fixed names.
 TRUTH_KEYS = ("ground_truth_label", "human_label", "hand_label", "manual_label", "verified_label")
-CONSENSUS_KEYS = ("is_inlier", "inlier", "ransac_inlier")
+CONSENSUS_KEYS = ("is_inlier", "inlier", "ransac_inlier", "label")
 
 
-def truthy(c: Column) -> Column:
-    """A label written as a boolean, number or word; NULL if it can't be read."""
-    word = F.lower(F.trim(c.cast("string")))
-    number = word.try_cast("double") if hasattr(Column, "try_cast") else F.try_to_number(word, F.lit("999999.999"))
-    return (
-        F.when(word.isin("true", "1", "yes", "inlier", "y"), True).when(word.isin("false", "0", "no", "outlier", "n"), False).when(number.isNotNull(), number != 0)
-    )
+def truthy(df: DataFrame, name: str) -> Column:
+    """A label column of booleans, numbers or words; NULL where a word can't be read."""
+    c, kind = F.col(name), dict(df.dtypes)[name]
+    if kind == "boolean":
+        return c
+    if kind != "string":
+        return c != 0
+    word = F.lower(F.trim(c))
+    return F.when(word.isin("true", "1", "yes", "inlier", "y"), True).when(word.isin("false", "0", "no", "outlier", "n"), False)
 
 
 def label_matches(matches: DataFrame, allow_consensus: bool = False) -> DataFrame:
-    """Adds ``truth`` and ``truth_source``: the first label column that can be read; consensus labels only if allowed."""
+    """Adds ``truth`` and ``truth_source``: the first label column that can be read; consensus labels ("ransac") only if allowed."""
     have = [k for k in TRUTH_KEYS if k in matches.columns]
     said = F.col("label_source") if "label_source" in matches.columns else F.lit(None).cast("string")
     value, source = F.lit(None).cast("boolean"), F.lit(None).cast("string")
     for key in reversed(have):
-        read = truthy(F.col(key))
+        read = truthy(matches, key)
         origin = F.when(said == "synthetic_geometry", said).when(said.isin("hand", "manual", "hand_labelled"), "hand").otherwise("synthetic_geometry" if key == TRUTH_KEYS[0] else "hand")
         value, source = F.when(read.isNotNull(), read).otherwise(value), F.when(read.isNotNull(), origin).otherwise(source)
     if allow_consensus:
-        votes = [truthy(F.col(k)) for k in CONSENSUS_KEYS if k in matches.columns]
+        votes = [truthy(matches, k) for k in CONSENSUS_KEYS if k in matches.columns]
         if "is_outlier" in matches.columns:
-            votes.append(~truthy(F.col("is_outlier")))
+            votes.append(~truthy(matches, "is_outlier"))
         vote = F.coalesce(*votes) if votes else F.lit(None).cast("boolean")
-        source = F.coalesce(source, F.when(vote.isNotNull(), "consensus"))
+        source = F.coalesce(source, F.when(vote.isNotNull(), "ransac"))
         value = F.coalesce(value, vote)
     return matches.withColumns({"truth": value, "truth_source": F.coalesce(source, F.lit("none"))})
 
@@ -55,31 +58,50 @@ def provenance_group(matches: DataFrame) -> DataFrame:
     return matches.withColumns({"group_id": group, "group_level": level})
 
 
-def nearest(matches: DataFrame, k: int, size: float, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
-    """(own columns, o_ columns, away) of each match and its k nearest others of the same pair by source position.
+def nearest(matches: DataFrame, k: int, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+    """(own columns, o_ columns, away, rank) of each match and its k nearest others of the same pair by source position; ties to the smaller id.
 
-    Matches look into the 3 x 3 cells of ``size`` around them, as far as
-    ``size``; those that find fewer than k there look through their whole pair.
+    Cells are sized by each pair's density, for about k matches in one. A match
+    looks into the 3 x 3 cells around it; those that may have nearer ones
+    further off look again into cells twice as large, until every match has its
+    k nearest or all others of its pair. So a pair is never compared as a whole
+    unless it is that small.
     """
-    base = matches.select(key, id_col, *XY).withColumns({"cx": F.floor(F.col("source_x") / size), "cy": F.floor(F.col("source_y") / size)})
-    other = base.select(*(F.col(c).alias("o_" + c) for c in (key, id_col, *XY, "cx", "cy")))
-    away = F.sqrt(F.pow(F.col("source_x") - F.col("o_source_x"), 2) + F.pow(F.col("source_y") - F.col("o_source_y"), 2))
-    order = Window.partitionBy(key, id_col).orderBy("away", "o_" + id_col)
-    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    looks = base.select("*", F.explode(steps).alias("d")).withColumns({"lx": F.col("cx") + F.col("d.dx"), "ly": F.col("cy") + F.col("d.dy")}).drop("d")
-    here = (F.col(key) == F.col("o_" + key)) & (F.col("lx") == F.col("o_cx")) & (F.col("ly") == F.col("o_cy")) & (F.col(id_col) != F.col("o_" + id_col))
-    near = looks.join(other, here).withColumn("away", away).filter(F.col("away") <= size).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    sure = near.groupBy(key, id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select(key, id_col)
-    rest = base.join(sure, [key, id_col], "left_anti")
-    wide = rest.join(other, (F.col(key) == F.col("o_" + key)) & (F.col(id_col) != F.col("o_" + id_col))).withColumn("away", away)
-    wide = wide.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ends = matches.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("source_x").alias("_x"), F.min("source_y").alias("_y"),
+        F.greatest(F.max("source_x") - F.min("source_x"), F.max("source_y") - F.min("source_y"), lit(1e-6)).alias("_span"),
+    )
+    side = F.col("_span") / F.greatest(lit(1), F.floor(F.sqrt(F.col("_n") / k)))
+    base = materialize(matches.select(key, id_col, *XY).join(ends, key).withColumn("_side", side * (1 + 1e-9)), "nearest")
     columns = [key, id_col, *XY, *("o_" + c for c in (id_col, *XY)), "away", "rank"]
-    return near.join(sure, [key, id_col], "left_semi").select(columns).union(wide.select(columns))
-
-
-def neighborhood_consistency(matches: DataFrame, k: int = 5, sigma: float = 20.0, size: float = 46.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
+    order = Window.partitionBy(key, id_col).orderBy("away", "o_" + id_col)
+    away = F.sqrt(F.pow(F.col("source_x") - F.col("o_source_x"), 2) + F.pow(F.col("source_y") - F.col("o_source_y"), 2))
+    found, asking, scale = None, base, 1
+    while True:
+        size = F.col("_side") * scale
+        cell = {"cx": F.floor((F.col("source_x") - F.col("_x")) / size), "cy": F.floor((F.col("source_y") - F.col("_y")) / size)}
+        keys = asking if scale == 1 else base.join(asking.select(key).distinct(), key, "left_semi")
+        other = keys.withColumns(cell).select(F.col(key), "cx", "cy", *(F.col(c).alias("o_" + c) for c in (id_col, *XY)))
+        looks = asking.withColumns(cell).select(key, id_col, *XY, "_side", "_span", "_n", F.col("cx").alias("x"), F.col("cy").alias("y"), F.explode(steps).alias("d"))
+        looks = looks.withColumns({"cx": F.col("x") + F.col("d.dx"), "cy": F.col("y") + F.col("d.dy")}).drop("d", "x", "y")
+        near = looks.join(other, [key, "cx", "cy"]).filter(F.col(id_col) != F.col("o_" + id_col)).withColumn("away", away)
+        near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        # Whoever has k within one cell's side, or has looked at the whole pair, is done.
+        far = near.groupBy(key, id_col).agg(F.count(F.lit(1)).alias("_found"), F.max("away").alias("_far"), F.first("_side").alias("_s"), F.first("_span").alias("_w"))
+        near = materialize(near.join(far, [key, id_col]), "nearest")
+        sure = ((F.col("_found") == k) & (F.col("_far") <= F.col("_s") * scale)) | (F.col("_s") * scale >= F.col("_w"))
+        done = near.filter(sure).select(columns)
+        found = done if found is None else found.union(done)
+        asking = materialize(asking.join(near.filter(sure).select(key, id_col).distinct(), [key, id_col], "left_anti").filter(F.col("_side") * scale < F.col("_span")), "nearest")
+        if asking.isEmpty():
+            return found
+        scale *= 2
+
+
+def neighborhood_consistency(matches: DataFrame, k: int = 5, sigma: float = 20.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
     """(key, id, disp_consistency, ratio_consistency) in [0, 1]; 0.5 in a pair of fewer than 4 matches."""
-    near = nearest(matches, k, size, key, id_col)
+    near = nearest(matches, k, key, id_col)
     c = F.col
     dx = (c("o_target_x") - c("o_source_x")) - (c("target_x") - c("source_x"))
     dy = (c("o_target_y") - c("o_source_y")) - (c("target_y") - c("source_y"))
@@ -97,7 +119,7 @@ def neighborhood_consistency(matches: DataFrame, k: int = 5, sigma: float = 20.0
     return scored.union(small)
 
 
-def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 5, size: float = 46.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 5, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
     """(key, global_rmse, local_rmse, ratio, strained): residuals of the pair's map against affine maps of each match's k nearest.
 
     Pairs of fewer than 6 matches aren't computed.
@@ -107,7 +129,7 @@ def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 5, size: float
 
     big = matches.join(matches.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 6").select(key), key, "left_semi")
     overall = project(big.join(fitted.select(key, "h"), key)).groupBy(key).agg(F.sqrt(F.avg(F.pow("error", lit(2)))).alias("global_rmse"))
-    near = nearest(big, k, size, key, id_col)
+    near = nearest(big, k, key, id_col)
     around = near.select(key, F.col(id_col).alias("centre"), *(F.col("o_" + c).alias(c) for c in XY))
     local = fit_affine(around, [key, "centre"])
     errors = project(around.join(local.select(key, "centre", "h"), [key, "centre"])).groupBy(key).agg(F.sqrt(F.avg(F.pow("error", lit(2)))).alias("local_rmse"))
@@ -120,10 +142,13 @@ def descriptor_match(source: DataFrame, target: DataFrame, ratio: float = 0.8, k
     pairs = source.select(key, "kp_id", "bands").join(target.select(key, F.col("kp_id").alias("target_id"), F.col("bands").alias("b")), key)
     away = F.sqrt(F.aggregate(F.zip_with("bands", "b", lambda p, q: (p - q) * (p - q)), lit(0), lambda s, v: s + v))
     d = pairs.select(key, "kp_id", "target_id", away.alias("d"))
-    best = d.groupBy(key, "kp_id").agg(F.min(F.struct("d", "target_id")).alias("m"))
-    second = d.join(best, [key, "kp_id"]).groupBy(key, "kp_id", "m").agg(F.min(F.when(F.col("d") > F.col("m.d") + 1e-6, F.col("d"))).alias("second"))
-    kept = F.coalesce(F.col("m.d") <= ratio * F.col("second"), F.lit(True))
-    return second.select(key, "kp_id", "m.target_id", F.col("m.d").alias("distance"), "second", kept.alias("kept"))
+    # One sort of each keypoint's distances gives the least, and the first that is further by more than the tolerance.
+    by_distance = Window.partitionBy(key, "kp_id").orderBy("d", "target_id")
+    least = d.withColumns({"_least": F.first("d").over(by_distance), "_target": F.first("target_id").over(by_distance)})
+    second = least.groupBy(key, "kp_id").agg(
+        F.first("_target").alias("target_id"), F.first("_least").alias("distance"), F.min(F.when(F.col("d") > F.col("_least") + 1e-6, F.col("d"))).alias("second")
+    )
+    return second.withColumn("kept", F.coalesce(F.col("distance") <= ratio * F.col("second"), F.lit(True)))
 
 
 def backfill_features(records: DataFrame, index: DataFrame, features: list[str]) -> DataFrame:
@@ -144,16 +169,51 @@ def backfill_features(records: DataFrame, index: DataFrame, features: list[str])
     return out
 
 
-def topology_preservation(matches: DataFrame, least: float = 5.0, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
-    """(key, pairs, mean_ratio, std_ratio) of target to source distances of match pairs that lie further apart than ``least``, among the first 15."""
-    first = Window.partitionBy(key).orderBy(id_col)
-    few = matches.select(key, *XY, F.row_number().over(first).alias("i")).filter("i <= 15")
-    other = few.toDF(*("o_" + c for c in few.columns))
-    pairs = few.join(other, (F.col(key) == F.col("o_" + key)) & (F.col("i") < F.col("o_i")))
-    dist = lambda x, y: F.sqrt(F.pow(F.col(x) - F.col("o_" + x), 2) + F.pow(F.col(y) - F.col("o_" + y), 2))
-    r = pairs.select(key, dist("source_x", "source_y").alias("s"), dist("target_x", "target_y").alias("t")).filter(F.col("s") > least)
-    ratio = F.col("t") / F.col("s")
-    return r.groupBy(key).agg(F.count(F.lit(1)).alias("pairs"), F.avg(ratio).alias("mean_ratio"), F.stddev_pop(ratio).alias("std_ratio"))
+def topology_preservation(matches: DataFrame, least: float = 5.0, first: int = 15, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+    """(key, n, mean_ratio, std_ratio, angle_mean, angle_median, shape_mean, area_ratio) of pairs of 4 matches or more; NULL where nothing counts.
+
+    Target to source distances of match pairs that lie further apart than
+    ``least``; the change, in degrees, of the angle at each match between its
+    two nearest others; and over triangles of the ``first`` matches with
+    perimeters over 10 the summed change of their ordered side shares, and the
+    ratio of areas where the source's is over 10.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    m = matches.select(key, id_col, *XY, n.alias("n"), F.row_number().over(Window.partitionBy(key).orderBy(id_col)).alias("i")).filter("n >= 4")
+    other = m.select(F.col(key).alias("_k"), F.col("i").alias("j"), *(F.col(c).alias("o_" + c) for c in XY))
+    span = lambda side, p="", q="o_": F.sqrt(F.pow(F.col(f"{p}{side}_x") - F.col(f"{q}{side}_x"), 2) + F.pow(F.col(f"{p}{side}_y") - F.col(f"{q}{side}_y"), 2))
+    both = m.join(other, (F.col(key) == F.col("_k")) & (F.col("i") < F.col("j"))).select(key, "i", "j", span("source").alias("s"), span("target").alias("t"))
+    ratio = F.when(F.col("s") > least, F.col("t") / F.col("s"))
+    ratios = both.groupBy(key).agg(F.avg(ratio).alias("mean_ratio"), F.stddev_pop(ratio).alias("std_ratio"))
+
+    close = nearest(m, 2, key, id_col)
+    leg = lambda side: F.struct((F.col(f"o_{side}_x") - F.col(f"{side}_x")).alias("x"), (F.col(f"o_{side}_y") - F.col(f"{side}_y")).alias("y"))
+    legs = close.select(key, id_col, "rank", leg("source").alias("s"), leg("target").alias("t")).groupBy(key, id_col).agg(
+        *(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in "st")
+    )
+    size = lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+
+    def angle(c: str) -> Column:
+        p, q = F.col(f"{c}1"), F.col(f"{c}2")
+        return F.degrees(F.acos(clip((p["x"] * q["x"] + p["y"] * q["y"]) / (size(p) * size(q) + 1e-6), -1, 1)))
+
+    turned = legs.select(key, F.abs(angle("s") - angle("t")).alias("a")).groupBy(key).agg(F.avg("a").alias("angle_mean"), F.percentile("a", F.lit(0.5)).alias("angle_median"))
+
+    few = both.filter(F.col("j") <= first)
+    ij, jk, ik = (few.toDF(key, p, q, f"s{p}{q}", f"t{p}{q}") for p, q in (("i", "j"), ("j", "k"), ("i", "k")))
+    tri = ij.join(jk, [key, "j"]).join(ik, [key, "i", "k"])
+    sides = {c: [F.col(f"{c}{e}") for e in ("ij", "jk", "ik")] for c in "st"}
+    tri = tri.select(key, *(sum(sides[c][1:], sides[c][0]).alias("p" + c) for c in "st"), *(F.array_sort(F.array(*sides[c])).alias(c) for c in "st"))
+    tri = tri.filter("ps > 10 AND pt > 10")
+
+    def area(c: str) -> Column:
+        h = F.col("p" + c) / 2
+        return F.sqrt(F.greatest(lit(0), h * (h - F.col(c)[0]) * (h - F.col(c)[1]) * (h - F.col(c)[2])))
+
+    shape = sum((F.abs(F.col("s")[k] / F.col("ps") - F.col("t")[k] / F.col("pt")) for k in (1, 2)), F.abs(F.col("s")[0] / F.col("ps") - F.col("t")[0] / F.col("pt")))
+    shapes = tri.groupBy(key).agg(F.avg(shape).alias("shape_mean"), F.avg(F.when(area("s") > 10, area("t") / area("s"))).alias("area_ratio"))
+    sizes = m.groupBy(key).agg(F.first("n").alias("n"))
+    return sizes.join(ratios, key, "left").join(turned, key, "left").join(shapes, key, "left")
 
 
 def refill_candidates(keypoints: DataFrame, matches: DataFrame, transforms: DataFrame, width: float, height: float, gap: float = 6.0, cap: int = 80, key: str = "pair_id", id_col: str = "kp_id") -> DataFrame:
@@ -234,18 +294,18 @@ def classification_report(predicted: DataFrame, slice_col: str, truth: str = "tr
 
 
 def ranking_report(scored: DataFrame, score: str, truth: str = "truth", key: str | None = None) -> DataFrame:
-    """(roc_auc, average_precision): areas from counts at each distinct score; tied scores count half.
-
-    Only distinct scores enter the ordered window; with ``key`` each group has its own.
-    """
+    """(roc_auc, average_precision): areas from counts at each distinct score; tied scores count half. With ``key`` each group has its own."""
     keys = [key] if key else []
     t = scored.groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    t = t.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
-    above = F.col("tp") - F.col("p")
+    if key:
+        down = Window.partitionBy(key).orderBy(F.desc("s"))
+        t = t.withColumns({"upto_p": F.sum("p").over(down), "upto_n": F.sum("n").over(down)})
+    else:
+        t = running_sums(t, "s", ["p", "n"], descending=True)
+    tp, fp = F.col("upto_p"), F.col("upto_n")
     return t.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col("n") * (above + F.col("p") / 2)), F.sum("p") * F.sum("n")).alias("roc_auc"),
-        F.try_divide(F.sum(F.col("p") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("p")).alias("average_precision"),
+        F.try_divide(F.sum(F.col("n") * (tp - F.col("p") / 2)), F.sum("p") * F.sum("n")).alias("roc_auc"),
+        F.try_divide(F.sum(F.col("p") * F.try_divide(tp, tp + fp)), F.sum("p")).alias("average_precision"),
     )
 
 

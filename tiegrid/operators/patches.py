@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,33 +37,75 @@ def search_displacement(source: DataFrame, target: DataFrame, keypoints: DataFra
     return best.join(rest, ["image_id", "kp_id"]).select("image_id", "kp_id", "m.dx", "m.dy", "m.ncc", (F.col("m.ncc") - F.coalesce("second", lit(0))).alias("uniqueness"))
 
 
-def spatial_quality(peaks: DataFrame, width: float, height: float, margin: float = 16.0) -> DataFrame:
-    """Adds ``quality`` in [0.05, 1] from uniqueness, refine_px and the distance to the frame: 0.5, 0.35 and 0.15 of it."""
-    border = F.least(F.col("kx"), F.col("ky"), width - 1 - F.col("kx"), height - 1 - F.col("ky"))
-    parts = 0.5 * clip(F.coalesce("uniqueness", lit(0)), 0, 1) + 0.35 * clip(1 - F.coalesce("refine_px", lit(1)), 0, 1) + 0.15 * clip(border / margin, 0, 1)
-    return peaks.withColumn("quality", clip(parts, 0.05, 1))
+def spatial_quality(peaks: DataFrame, width: float, height: float) -> DataFrame:
+    """Adds ``quality`` in [0.05, 1]: 0.5 of the peak's uniqueness, 0.35 of the refinement's tightness, 0.15 of the distance to the frame.
+
+    A missing uniqueness counts 0.5. A refinement by d px (``refine_px``) counts
+    exp(-0.75 d) within [0.15, 1], none 0.35. The distance to the frame counts
+    over half the shorter side, at least 0.05; a point without a place 0.5.
+    """
+    unique = F.coalesce(clip(F.col("uniqueness"), 0, 1), lit(0.5))
+    tight = F.coalesce(clip(F.exp(-0.75 * F.col("refine_px")), 0.15, 1), lit(0.35))
+    placed = F.col("kx").isNotNull() & F.col("ky").isNotNull() & F.lit(width > 1 and height > 1)
+    inside = F.least(F.col("kx"), F.col("ky"), width - F.col("kx"), height - F.col("ky")) / (0.5 * min(width, height))
+    border = F.when(placed, clip(inside, 0.05, 1)).otherwise(lit(0.5))
+    return peaks.withColumn("quality", clip(0.5 * unique + 0.35 * tight + 0.15 * border, 0.05, 1))
+
+
+def patch_gradients(pixels: DataFrame, points: DataFrame, half: int, x: str, y: str) -> DataFrame:
+    """(image_id, kp_id, x, y, gx, gy): Sobel gradients within the patch of each point (image_id, kp_id, x, y), counted from its centre.
+
+    A patch spans ``half`` pixels before its centre and half - 1 behind it, and
+    is mirrored at its own edges, not filled from the image around it.
+    """
+    near = points.select("image_id", "kp_id", F.bround(x).cast("bigint").alias("kx"), F.bround(y).cast("bigint").alias("ky"), F.explode(offsets(-half, half - 1)).alias("o"))
+    near = near.select("image_id", "kp_id", (F.col("kx") + F.col("o.dx")).alias("x"), (F.col("ky") + F.col("o.dy")).alias("y"), "o")
+    patch = near.join(pixels.select(*PIXEL, "v"), PIXEL).select(F.struct("image_id", "kp_id").alias("image_id"), F.col("o.dx").alias("x"), F.col("o.dy").alias("y"), "v")
+    g = gradients(patch, mirror=True)
+    return g.select("image_id.image_id", "image_id.kp_id", "x", "y", F.col("sobel_x").alias("gx"), F.col("sobel_y").alias("gy"))
 
 
-def orientation_histogram(pixels: DataFrame, keypoints: DataFrame, half: int, bins: int) -> DataFrame:
-    """(image_id, kp_id, desc): gradient-weighted orientations modulo 180 degrees in 2 x 2 cells of ``bins``, of unit length."""
-    g = gradients(pixels).select(*PIXEL, F.sqrt(F.col("sobel_x") ** 2 + F.col("sobel_y") ** 2).alias("m"), F.pmod(F.degrees(F.atan2("sobel_y", "sobel_x")), lit(180)).alias("t"))
-    near = keypoints.select("image_id", "kp_id", "kx", "ky", F.explode(offsets(-half, half - 1)).alias("o"))
-    near = near.select("image_id", "kp_id", "o", (F.col("kx") + F.col("o.dx")).alias("x"), (F.col("ky") + F.col("o.dy")).alias("y")).join(g, PIXEL)
-    slot = (F.col("o.dy") >= 0).cast("int") * 2 + (F.col("o.dx") >= 0).cast("int")
-    bin_ = F.least(F.lit(bins - 1), F.floor(F.col("t") / (180.0 / bins)).cast("int"))
-    summed = near.groupBy("image_id", "kp_id", (slot * bins + bin_).alias("k")).agg(F.sum("m").alias("m"))
+def orientation_histogram(pixels: DataFrame, keypoints: DataFrame, half: int = 8, bins: int = 8) -> DataFrame:
+    """(image_id, kp_id, desc): orientations over the full circle, weighted by gradient, in 2 x 2 cells of ``bins``, of unit length.
+
+    Patches are cut off at the image's edges; their cells are the halves of
+    what is left, an odd last row or column going to none. A keypoint with a
+    patch of fewer than 9 pixels, or a flat one, has zeros.
+    """
+    g = patch_gradients(pixels, keypoints, half, "kx", "ky")
+    kp = Window.partitionBy("image_id", "kp_id")
+    low = lambda c: F.min(c).over(kp)
+    side = lambda c: F.greatest(F.lit(1), F.floor((F.max(c).over(kp) - F.min(c).over(kp) + 1) / 2))
+    g = g.withColumns({"cx": F.floor((F.col("x") - low("x")) / side("x")), "cy": F.floor((F.col("y") - low("y")) / side("y")), "size": F.count(F.lit(1)).over(kp)})
+    turn = (F.atan2("gy", "gx") + math.pi) / (2 * math.pi) * bins
+    slot = (F.col("cy") * 2 + F.col("cx")).cast("int") * bins + clip(F.floor(turn), 0, bins - 1).cast("int")
+    kept = g.filter((F.col("cx") < 2) & (F.col("cy") < 2) & (F.col("size") >= 9))
+    summed = kept.groupBy("image_id", "kp_id", slot.alias("k")).agg(F.sum(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2)).alias("m"))
     total = summed.groupBy("image_id", "kp_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("h"))
-    value = lambda k: F.try_divide(F.coalesce(F.try_element_at("h", k), lit(0)), F.col("norm"))
-    return total.select("image_id", "kp_id", F.transform(F.sequence(F.lit(0), F.lit(4 * bins - 1)), lambda k: F.coalesce(value(k), lit(0))).alias("desc"))
+    value = lambda k: F.when(F.col("norm") > 1e-8, F.coalesce(F.try_element_at("h", k), lit(0)) / F.col("norm")).otherwise(lit(0))
+    described = total.select("image_id", "kp_id", F.transform(F.sequence(F.lit(0), F.lit(4 * bins - 1)), value).alias("desc"))
+    empty = F.array_repeat(lit(0), 4 * bins)
+    return keypoints.select("image_id", "kp_id").join(described, ["image_id", "kp_id"], "left").select("image_id", "kp_id", F.coalesce("desc", empty).alias("desc"))
+
 
+def orientation_agreement(a: DataFrame, b: DataFrame, pairs: DataFrame, half: int = 8) -> DataFrame:
+    """(image_id, kp_id, agreement) in [0, 1] of points (image_id, kp_id, x1, y1, x2, y2): 1 for parallel or opposite gradients, 0 for right angles.
 
-def orientation_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(image_id, agreement): |cos| of gradient angles, weighted by the geometric mean of magnitudes; 0.5 where undefined."""
-    grad = lambda df, n: gradients(df).select(*PIXEL, F.sqrt(F.col("sobel_x") ** 2 + F.col("sobel_y") ** 2).alias("m" + n), F.atan2("sobel_y", "sobel_x").alias("t" + n))
-    both = grad(a, "a").join(grad(b, "b"), PIXEL)
-    w = F.sqrt(F.col("ma") * F.col("mb"))
-    found = F.try_divide(F.sum(w * F.abs(F.cos(F.col("ta") - F.col("tb")))), F.sum(w))
-    return both.groupBy("image_id").agg(F.coalesce(found, lit(0.5)).alias("agreement"))
+    The mean of (1 + cos 2d) / 2 over both patches, weighted by the product of
+    their gradients; 0.5 where these vanish or a patch isn't whole.
+    """
+    one = patch_gradients(a, pairs, half, "x1", "y1").toDF("image_id", "kp_id", "x", "y", "ax", "ay")
+    two = patch_gradients(b, pairs, half, "x2", "y2").toDF("image_id", "kp_id", "x", "y", "bx", "by")
+    c = F.col
+    double_cos = (c("ax") ** 2 - c("ay") ** 2) * (c("bx") ** 2 - c("by") ** 2) + 4 * c("ax") * c("ay") * c("bx") * c("by")
+    sizes = (c("ax") ** 2 + c("ay") ** 2) * (c("bx") ** 2 + c("by") ** 2)
+    w = F.sqrt(sizes)
+    found = one.join(two, ["image_id", "kp_id", "x", "y"]).groupBy("image_id", "kp_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * 0.5 * (double_cos / (sizes + 1e-8) + 1)).alias("s")
+    )
+    good = (c("n") == (2 * half) ** 2) & (c("w") >= 1e-8)
+    each = found.select("image_id", "kp_id", F.when(good, clip(c("s") / c("w"), 0, 1)).alias("agreement"))
+    return pairs.select("image_id", "kp_id").join(each, ["image_id", "kp_id"], "left").select("image_id", "kp_id", F.coalesce("agreement", lit(0.5)).alias("agreement"))
 
 
 def ssim(a: DataFrame, b: DataFrame, span: float, sigma: float = 1.5) -> DataFrame:
@@ -69,8 +113,6 @@ def ssim(a: DataFrame, b: DataFrame, span: float, sigma: float = 1.5) -> DataFra
 
     Two passes of seven taps, along rows and then columns.
     """
-    import math
-
     taps = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-3, 4)]
     taps = [t / sum(taps) for t in taps]
     p, q = F.col("a"), F.col("b")
@@ -92,8 +134,6 @@ def relief_shift(points: DataFrame, dem: DataFrame, emission: float | None, azim
 
     Shifts are 0, with a reason, when emission is below half a degree or unknown, or the azimuth is.
     """
-    import math
-
     reason = "emission_missing" if emission is None else "near_nadir" if emission < 0.5 else "azimuth_missing" if azimuth is None else None
     if reason:
         return points.select(key, id_col, lit(0).alias("shift_x"), lit(0).alias("shift_y"), F.lit(reason).alias("reason"))

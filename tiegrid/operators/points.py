@@ -36,28 +36,47 @@ def residual_summary(matches: DataFrame, transforms: DataFrame, key: str = "pair
 
 
 def covariance_axes(matches: DataFrame) -> DataFrame:
-    """Adds the covariance of a match's axes and angle, its eigen axes again, anisotropy, trace and a class.
-
-    Missing axes count as 0.5 px.
+    """Adds cxx, cxy, cyy, axis_major, axis_minor, axis_angle, anisotropy, trace and three flags.
+
+    Axes come from ``sigma_major``, ``sigma_minor`` and ``angle``, or where one
+    of the sigmas is missing from the eigenvalues, within [1e-4, 100], of the
+    covariance columns ``cxx``, ``cxy``, ``cyy`` if the table has them; else
+    they count as 0.5 px and 0 degrees. The covariance is kept, or made of the
+    axes. is_elongated: anisotropy of 2 or more and a minor axis of at most
+    0.6; is_isotropic: below 2 and a major axis of at most 1.2; is_uncertain: a
+    minor axis over 0.8, or a major one over 1.8 that isn't elongated.
     """
-    major, minor = F.coalesce("sigma_major", lit(0.5)), F.coalesce("sigma_minor", lit(0.5))
-    t = F.radians(F.coalesce("angle", lit(0)))
-    big, small = major * major, minor * minor
-    xx = big * F.cos(t) * F.cos(t) + small * F.sin(t) * F.sin(t)
-    yy = big * F.sin(t) * F.sin(t) + small * F.cos(t) * F.cos(t)
-    xy = (big - small) * F.sin(t) * F.cos(t)
-    out = matches.withColumns({"cxx": xx, "cxy": xy, "cyy": yy})
-    larger, smaller, angle = eigen2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
-    out = out.withColumns({"axis_major": F.sqrt(F.greatest(larger, lit(0))), "axis_minor": F.sqrt(F.greatest(smaller, lit(0))), "axis_angle": angle})
-    ratio = F.col("axis_major") / F.greatest(F.col("axis_minor"), lit(1e-6))
-    kind = F.when(F.col("axis_major") > 2.0, "uncertain").when(ratio > 2.0, "elongated").otherwise("isotropic")
-    return out.withColumns({"anisotropy": ratio, "trace": F.col("cxx") + F.col("cyy"), "kind": kind})
-
-
-def score_covariance(matches: DataFrame, alpha: float = 1.0, beta: float = 0.5) -> DataFrame:
-    """Adds ``rank_score``: confidence damped by the axes, with a bonus for a small minor axis."""
-    damped = F.col("confidence") / (1 + alpha * F.pow("sigma_major", lit(0.7)) * F.pow("sigma_minor", lit(0.5)))
-    return matches.withColumn("rank_score", damped * (1 + beta / (1 + 2 * F.col("sigma_minor"))))
+    known = all(c in matches.columns for c in ("cxx", "cxy", "cyy"))
+    xx, xy, yy = (F.col(c) if known else F.lit(None).cast("double") for c in ("cxx", "cxy", "cyy"))
+    has = finite(xx).isNotNull() & finite(xy).isNotNull() & finite(yy).isNotNull()
+    larger, smaller, turned = eigen2(xx, xy, yy)
+    asked = has & (F.col("sigma_major").isNull() | F.col("sigma_minor").isNull())
+    major = F.greatest(F.coalesce(F.when(asked, F.sqrt(clip(larger, 1e-4, 100))), F.col("sigma_major"), lit(0.5)), lit(1e-3))
+    minor = F.coalesce(F.when(asked, F.sqrt(clip(smaller, 1e-4, 100))), F.col("sigma_minor"), lit(0.5))
+    angle = F.pmod(F.coalesce(F.col("angle"), F.when(asked, turned), lit(0)), lit(180))
+    out = matches.withColumns({"axis_major": major, "axis_minor": minor, "axis_angle": angle, "_has": F.coalesce(has, F.lit(False))})
+    out = out.withColumn("axis_minor", F.greatest(F.least("axis_minor", "axis_major"), lit(1e-3)))
+    t, big, small = F.radians("axis_angle"), F.pow("axis_major", lit(2)), F.pow("axis_minor", lit(2))
+    made = {
+        "cxx": big * F.cos(t) * F.cos(t) + small * F.sin(t) * F.sin(t), "cxy": (big - small) * F.sin(t) * F.cos(t),
+        "cyy": big * F.sin(t) * F.sin(t) + small * F.cos(t) * F.cos(t),
+    }
+    out = out.withColumns({c: F.when(F.col("_has"), F.col(c)).otherwise(v) if known else v for c, v in made.items()}).drop("_has")
+    ratio = F.col("axis_major") / F.col("axis_minor")
+    long = (ratio >= 2) & (F.col("axis_minor") <= 0.6)
+    return out.withColumns({
+        "anisotropy": ratio, "trace": F.col("cxx") + F.col("cyy"), "is_elongated": long, "is_isotropic": (ratio < 2) & (F.col("axis_major") <= 1.2),
+        "is_uncertain": (F.col("axis_minor") > 0.8) | ((F.col("axis_major") > 1.8) & ~long),
+    })
+
+
+def score_covariance(matches: DataFrame, alpha: float = 0.5, beta: float = 0.6) -> DataFrame:
+    """Adds ``rank_score``: confidence (1 if missing) damped by the axes, with a bonus for a small minor axis."""
+    axes = ["cxx", "cxy", "cyy", "axis_major", "axis_minor", "axis_angle", "anisotropy", "trace", "is_elongated", "is_isotropic", "is_uncertain"]
+    placed = covariance_axes(matches)
+    damped = F.coalesce("confidence", lit(1)) / (1 + alpha * F.pow("axis_major", lit(0.7)) * F.pow("axis_minor", lit(0.5)))
+    scored = placed.withColumn("rank_score", damped * (1 + beta / (1 + 2 * F.col("axis_minor"))))
+    return scored.drop(*(c for c in axes if c not in matches.columns))
 
 
 def whiten(matches: DataFrame, transforms: DataFrame, key: str = "pair_id", low: float = 1e-4, high: float = 100.0, cond: float = 1e4) -> DataFrame:

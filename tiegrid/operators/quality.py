@@ -64,15 +64,16 @@ def support_gate(matches: DataFrame, width: float, height: float, g: int = 4, ke
 
 
 def cell_covariance_stats(matches: DataFrame, width: float, height: float, g: int, key: str = "pair_id") -> DataFrame:
-    """Per cell, and with NULL cells per pair: mean axes, anisotropy and trace, axial mean angle, counts of kinds."""
-    from tiegrid.operators.points import covariance_axes
+    """Per cell, and with NULL cells per pair: mean axes, anisotropy and trace, axial mean angle, counts of kinds (which overlap), mean scores."""
+    from tiegrid.operators.points import covariance_axes, score_covariance
 
-    axes = covariance_axes(matches).withColumns({"gx": cell(F.col("source_x"), width / g, g), "gy": cell(F.col("source_y"), height / g, g)})
+    axes = covariance_axes(score_covariance(matches)).withColumns({"gx": cell(F.col("source_x"), width / g, g), "gy": cell(F.col("source_y"), height / g, g)})
     t = F.radians("axis_angle") * 2
     angle = F.pmod(F.degrees(F.atan2(F.avg(F.sin(t)), F.avg(F.cos(t)))) / 2, lit(180))
     stats = [
         F.count(F.lit(1)).alias("n"), F.avg("axis_major").alias("major"), F.avg("axis_minor").alias("minor"), F.avg("anisotropy").alias("anisotropy"),
-        F.avg("trace").alias("trace"), angle.alias("angle"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("uncertain", "elongated", "isotropic")),
+        F.avg("trace").alias("trace"), angle.alias("angle"), *(F.count_if(f"is_{k}").alias(k) for k in ("uncertain", "elongated", "isotropic")),
+        F.avg("confidence").alias("mean_confidence"), F.avg("rank_score").alias("mean_rank_score"),
     ]
     return axes.groupingSets([[F.col(key), F.col("gx"), F.col("gy")], [F.col(key)]], F.col(key), F.col("gx"), F.col("gy")).agg(*stats)
 

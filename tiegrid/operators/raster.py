@@ -6,6 +6,8 @@ as a whole; joins shift pixel positions and stay equi-joins.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,25 +27,26 @@ def crop(pixels: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
     return inside.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
-def neighbours(pixels: DataFrame, value: str = "v") -> DataFrame:
-    """Adds the eight neighbours (nw, n, ne, w, e, sw, s, se); beyond an edge the pixel at the edge stands in."""
+def neighbours(pixels: DataFrame, value: str = "v", mirror: bool = False) -> DataFrame:
+    """Adds the eight neighbours (nw, n, ne, w, e, sw, s, se); beyond an edge the pixel at the edge stands in, or with ``mirror`` the one before it."""
     row = Window.partitionBy("image_id", "y").orderBy("x")
     column = Window.partitionBy("image_id", "x").orderBy("y")
-    v = F.col(value)
-    side = pixels.withColumns({"w": F.coalesce(F.lag(value).over(row), v), "e": F.coalesce(F.lead(value).over(row), v)})
-    out = {}
-    for name, source in (("n", value), ("s", value), ("nw", "w"), ("ne", "e"), ("sw", "w"), ("se", "e")):
-        step = F.lag if name[0] == "n" else F.lead
-        out[name] = F.coalesce(step(source).over(column), F.col(source))
-    return side.withColumns(out)
+
+    def step(c: str, window, before: bool) -> Column:
+        near, other = (F.lag, F.lead) if before else (F.lead, F.lag)
+        return F.coalesce(near(c).over(window), *((other(c).over(window),) if mirror else ()), F.col(c))
+
+    side = pixels.withColumns({"w": step(value, row, True), "e": step(value, row, False)})
+    named = (("n", value), ("s", value), ("nw", "w"), ("ne", "e"), ("sw", "w"), ("se", "e"))
+    return side.withColumns({name: step(source, column, name[0] == "n") for name, source in named})
 
 
-def gradients(pixels: DataFrame, value: str = "v") -> DataFrame:
+def gradients(pixels: DataFrame, value: str = "v", mirror: bool = False) -> DataFrame:
     """Adds sobel_x, sobel_y and laplacian."""
     c = F.col
     sx = c("ne") + 2 * c("e") + c("se") - c("nw") - 2 * c("w") - c("sw")
     sy = c("sw") + 2 * c("s") + c("se") - c("nw") - 2 * c("n") - c("ne")
-    return neighbours(pixels, value).withColumns({"sobel_x": sx, "sobel_y": sy, "laplacian": c("n") + c("s") + c("w") + c("e") - 4 * c(value)})
+    return neighbours(pixels, value, mirror).withColumns({"sobel_x": sx, "sobel_y": sy, "laplacian": c("n") + c("s") + c("w") + c("e") - 4 * c(value)})
 
 
 def image_stats(pixels: DataFrame, dark: float, bright: float, max_nodata: float = 0.10) -> DataFrame:
@@ -62,12 +65,24 @@ def image_stats(pixels: DataFrame, dark: float, bright: float, max_nodata: float
 
 
 def overlap_stats(a: DataFrame, b: DataFrame, least: int = 16) -> DataFrame:
-    """(image_id, n, mse, psnr, mean_difference) over pixels that both images have; the range is that of ``a``."""
+    """(image_id, n, mse, psnr, mean_difference, mean_abs_diff, near_black) over pixels that both images have; the range is that of ``a``.
+
+    mean_abs_diff and near_black are of the difference map: both images brought
+    to 0 to 255 by their least and largest shared value (a flat one to 0); the
+    mean of the absolute difference and the share of pixels below 8.
+    """
     both = a.select(*PIXEL, F.col("v").alias("a")).join(b.select(*PIXEL, F.col("v").alias("b")), PIXEL)
     d = F.col("a") - F.col("b")
-    s = both.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("mse"), (F.max("a") - F.min("a")).alias("range"), F.avg(F.abs(d)).alias("mean_difference"))
+    s = both.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("mse"), (F.max("a") - F.min("a")).alias("range"), F.avg(F.abs(d)).alias("mean_difference"),
+        *(f(c).alias(f"{n}_{c}") for c in "ab" for n, f in (("low", F.min), ("high", F.max))),
+    )
     good = (F.col("n") >= least) & (F.col("mse") > 1e-12) & (F.col("range") > 0)
-    return s.select("image_id", "n", "mse", F.when(good, 10 * F.log10(F.col("range") * F.col("range") / F.col("mse"))).alias("psnr"), "mean_difference")
+    grey = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"low_{c}"), F.col(f"high_{c}") - F.col(f"low_{c}")), lit(0)) * 255
+    off = F.abs(grey("a") - grey("b"))
+    maps = both.join(s, "image_id").groupBy("image_id").agg(F.avg(off).alias("mean_abs_diff"), F.avg((off < 8).cast("double")).alias("near_black"))
+    psnr = F.when(good, 10 * F.log10(F.col("range") * F.col("range") / F.col("mse"))).alias("psnr")
+    return s.join(maps, "image_id").select("image_id", "n", "mse", psnr, "mean_difference", "mean_abs_diff", "near_black")
 
 
 def nmi(a: DataFrame, b: DataFrame, bins: int = 32, least: int = 32) -> DataFrame:
@@ -111,24 +126,42 @@ def sample_raster(points: DataFrame, pixels: DataFrame, bilinear: bool) -> DataF
     return found.groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce("v", "mean")).alias("value"))
 
 
+def known(c: str | Column) -> Column:
+    """The value if it is a finite number, else NULL."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
 def stretch01(pixels: DataFrame) -> DataFrame:
-    """Values brought to [0, 1] between the 1st and 99th percentile of their image."""
-    ends = pixels.groupBy("image_id").agg(F.percentile("v", F.lit(0.01)).alias("low"), F.percentile("v", F.lit(0.99)).alias("high"))
-    scaled = F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))
-    return pixels.join(ends, "image_id").select(*PIXEL, clip(F.coalesce(scaled, lit(0)), 0, 1).alias("v"))
+    """Values brought to [0, 1] between the 1st and 99th percentile of their image's finite ones; 0 for an image without spread, NaN stays."""
+    ends = pixels.groupBy("image_id").agg(F.percentile(known("v"), F.lit(0.01)).alias("low"), F.percentile(known("v"), F.lit(0.99)).alias("high"))
+    scaled = F.when(F.col("high") > F.col("low"), F.when(F.isnan("v"), F.col("v")).otherwise(clip((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")), 0, 1)))
+    return pixels.join(ends, "image_id").select(*PIXEL, F.when(F.col("v").isNotNull(), F.coalesce(scaled, lit(0))).alias("v"))
 
 
-def shadow_mask(pixels: DataFrame, share: float = 0.03) -> DataFrame:
-    """Adds ``shadow``: values at or below a percentile of their image, or missing."""
-    cut = pixels.groupBy("image_id").agg(F.percentile("v", F.lit(share)).alias("cut"))
-    return pixels.join(cut, "image_id").select(*PIXEL, "v", F.coalesce(F.col("v") <= F.col("cut"), F.lit(True)).alias("shadow"))
+def shadow_mask(pixels: DataFrame, share: float = 0.03, geometry: DataFrame | None = None, limit: float = 85.0) -> DataFrame:
+    """Adds ``shadow``: values at or below a percentile of their image's finite ones, and values that are missing or not finite.
+
+    With ``geometry`` (image_id, incidence), an image whose incidence is at
+    least ``limit`` degrees is all shadow. An image without any finite value has none.
+    """
+    cut = pixels.groupBy("image_id").agg(F.percentile(known("v"), F.lit(share)).alias("cut"))
+    both = pixels.join(cut, "image_id")
+    low = F.coalesce(known("v") <= F.col("cut"), F.lit(True)) & F.col("cut").isNotNull()
+    if geometry is not None:
+        both = both.join(geometry.select("image_id", F.col("incidence").alias("_incidence")), "image_id", "left")
+        low = low | (F.coalesce(F.col("_incidence") >= limit, F.lit(False)) & F.col("cut").isNotNull())
+    return both.select(*PIXEL, "v", low.alias("shadow"))
 
 
 def destripe(pixels: DataFrame) -> DataFrame:
-    """Every column scaled so that its median is the median of column medians; a zero median leaves it as it is."""
-    medians = pixels.groupBy("image_id", "x").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    """Every column of a positive median scaled so that its median is the median of column medians.
+
+    Other columns stay as they are, and so does an image whose median of medians is 0 or unknown.
+    """
+    medians = pixels.groupBy("image_id", "x").agg(F.percentile(known("v"), F.lit(0.5)).alias("m"))
     goal = medians.groupBy("image_id").agg(F.percentile("m", F.lit(0.5)).alias("goal"))
-    scaled = F.when(F.abs("m") > 1e-12, F.col("v") * F.col("goal") / F.col("m")).otherwise(F.col("v"))
+    scaled = F.when((F.col("m") > 0) & (F.col("goal") != 0), F.col("v") * F.col("goal") / F.greatest("m", lit(1e-6))).otherwise(F.col("v"))
     return pixels.join(medians, ["image_id", "x"]).join(goal, "image_id").select(*PIXEL, scaled.alias("v"))
 
 
@@ -148,20 +181,35 @@ def resample_area(pixels: DataFrame, factor: float) -> DataFrame:
     return spread.groupBy("image_id", F.col("px.at").alias("x"), F.col("py.at").alias("y")).agg((F.sum(F.col("v") * w) / F.sum(w)).alias("v"))
 
 
-def photometric_correct(pixels: DataFrame, geometry: DataFrame, model: str) -> DataFrame:
-    """Values divided by their image's disk function of incidence, emission and phase (degrees): lunar_lambert, hapke, lambert or none.
+#: Constants of the simplified disk function: single scattering albedo, lobe shape and weight, opposition height and width. Fixed values.
+HAPKE = {"w": 0.21, "b": 0.21, "c": 0.7, "B0": 0.9, "h": 0.07}
 
-    The hapke form has single scattering with a backscatter lobe and multiple
-    scattering of albedo 0.25; without a ``phase`` column it is |i - e|.
+
+def disk_function(model: str, incidence: Column, emission: Column, phase: Column) -> Column:
+    """What an image's brightness is divided by, of angles in degrees: "hapke", "none", or else lunar_lambert.
+
+    A missing incidence or emission has cosine 1, a missing phase is 0. Cosines and the result are 1e-6 at least.
     """
-    i, e = F.cos(F.radians("incidence")), F.cos(F.radians("emission"))
-    phase = F.radians("phase" if "phase" in geometry.columns else F.abs(F.col("incidence") - F.col("emission")))
-    albedo = 0.25
-    scatter = lambda m: (1 + 2 * m) / (1 + 2 * m * (1 - albedo) ** 0.5)
-    lobe = 1 + 1 / (1 + F.tan(phase / 2) / 0.06)
-    hapke = albedo / 4 * i / (i + e) * (lobe + scatter(i) * scatter(e) - 1)
-    factor = {"lunar_lambert": 0.5 * (2 * i / (i + e)) + 0.5 * i, "hapke": hapke, "lambert": i, "none": lit(1)}[model]
-    per_image = geometry.select("image_id", F.greatest(factor, lit(1e-3)).alias("factor"))
+    least = 1e-6
+    cosine = lambda a: F.coalesce(F.greatest(F.cos(F.radians(a)), lit(least)), lit(1))
+    i, e = cosine(incidence), cosine(emission)
+    if model == "none":
+        return lit(1)
+    if model != "hapke":
+        share = F.exp(-F.abs(F.coalesce(phase, lit(0))) / 60)
+        return F.greatest((1 - share) * 2 * i / (i + e) + share * i, lit(least))
+    g = F.radians(F.coalesce(phase, lit(0)))
+    b, c = HAPKE["b"], HAPKE["c"]
+    lobe = lambda sign: (1 - b * b) / F.pow(1 + sign * 2 * b * F.cos(g) + b * b, lit(1.5))
+    scatter = (1 - c) * lobe(1) + c * lobe(-1)
+    opposition = HAPKE["B0"] / (1 + F.tan(F.abs(g) / 2) / HAPKE["h"])
+    return F.greatest(HAPKE["w"] / 4 / math.pi * i / (i + e) * ((1 + opposition) * scatter + 1), lit(least))
+
+
+def photometric_correct(pixels: DataFrame, geometry: DataFrame, model: str) -> DataFrame:
+    """Values divided by their image's ``disk_function`` of ``geometry`` (image_id, incidence, emission, and phase if there is one)."""
+    phase = F.col("phase") if "phase" in geometry.columns else F.lit(None).cast("double")
+    per_image = geometry.select("image_id", disk_function(model, F.col("incidence"), F.col("emission"), phase).alias("factor"))
     return pixels.join(per_image, "image_id").select(*PIXEL, (F.col("v") / F.col("factor")).alias("v"))
 
 
@@ -188,8 +236,6 @@ def terrain_metrics(dem: DataFrame, gsd: float) -> DataFrame:
 
 def cast_shadow(dem: DataFrame, azimuth: float, elevation: float, gsd: float, steps: int) -> DataFrame:
     """Adds ``shadow``: some pixel toward the sun, at most ``steps`` away, rises above the ray."""
-    import math
-
     ux, uy, rise = math.sin(math.radians(azimuth)), -math.cos(math.radians(azimuth)), math.tan(math.radians(elevation)) * gsd
     ahead = [(round(k * ux), round(k * uy), rise * math.hypot(round(k * ux), round(k * uy))) for k in range(1, steps + 1)]
     rays = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), lit(up).alias("up")) for dx, dy, up in dict.fromkeys(ahead)))
@@ -201,16 +247,15 @@ def cast_shadow(dem: DataFrame, azimuth: float, elevation: float, gsd: float, st
 
 def hillshade(dem: DataFrame, azimuth: float, elevation: float, gsd: float) -> DataFrame:
     """(image_id, x, y, shade) in [0, 1] of a sun at an azimuth from north and an elevation, in degrees."""
-    import math
-
     a, e = math.radians(azimuth), math.radians(elevation)
     s = horn_slope(dem, gsd)
     light = (math.sin(e) - F.col("dzdx") * math.cos(e) * math.sin(a) + F.col("dzdy") * math.cos(e) * math.cos(a)) / F.sqrt(1 + F.col("dzdx") ** 2 + F.col("dzdy") ** 2)
     return s.select(*PIXEL, clip(light, 0, 1).alias("shade"))
 
 
+#: Neighbours in the order of their bits.
 CENSUS = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
-LBP = ("n", "ne", "e", "se", "s", "sw", "w", "nw")
+LBP = ("nw", "n", "ne", "e", "se", "s", "sw", "w")
 
 
 def bit_code(pixels: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -219,6 +264,20 @@ def bit_code(pixels: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return neighbours(pixels).select(*PIXEL, code.cast("bigint").alias("code"))
 
 
+def census(pixels: DataFrame) -> DataFrame:
+    """(image_id, x, y, code): bits of the stretched image, row by row around the centre."""
+    return bit_code(stretch01(pixels), CENSUS)
+
+
+def lbp(pixels: DataFrame) -> DataFrame:
+    """(image_id, x, y, code, value): bits around the centre of the stretched image cut to 8 bits, clockwise from the upper left; value is code / 255."""
+    grey = stretch01(pixels)
+    ends = grey.groupBy("image_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    level = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), lit(0)) * 255)
+    cut = grey.join(ends, "image_id").select(*PIXEL, level.cast("double").alias("v"))
+    return bit_code(cut, LBP).withColumn("value", F.col("code") / 255)
+
+
 def profile_shift(a: DataFrame, b: DataFrame, max_shift: int) -> DataFrame:
     """(image_id, axis, shift, score): the shift at which z-scored row or column means of two images correlate best; ties to the smaller."""
     out = None
@@ -236,30 +295,52 @@ def profile_shift(a: DataFrame, b: DataFrame, max_shift: int) -> DataFrame:
     return out
 
 
-def spectral_angle(cube: DataFrame, key: str = "image_id") -> DataFrame:
-    """Adds ``angle`` (radians) between each pixel's bands and the mean spectrum of its image; NULL without length."""
-    mean = cube.select(key, F.posexplode("bands").alias("band", "v")).groupBy(key, "band").agg(F.avg("v").alias("m"))
-    spectrum = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda s: s["m"]).alias("ref"))
+def spectral_angle(cube: DataFrame, key: str = "image_id", reference: list[float] | None = None) -> DataFrame:
+    """Adds ``angle`` (radians) between each pixel's bands and a reference, by default the mean spectrum of its image.
+
+    The angle's cosine is the product over that of the lengths and 1e-8, so a spectrum without length lies at right angles.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), lit(0), lambda s, v: s + v)
-    size = F.sqrt(dot("bands", "bands") * dot("ref", "ref"))
-    angle = F.when(size > 1e-12, F.acos(clip(dot("bands", "ref") / size, -1, 1)))
-    return cube.join(spectrum, key).withColumn("angle", angle).drop("ref")
+    if reference is None:
+        mean = cube.select(key, F.posexplode("bands").alias("band", "v")).groupBy(key, "band").agg(F.avg("v").alias("m"))
+        spectrum = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda s: s["m"]).alias("ref"))
+        cube = cube.join(spectrum, key)
+    else:
+        cube = cube.withColumn("ref", F.array(*map(lit, reference)))
+    size = F.sqrt(dot("bands", "bands")) * F.sqrt(dot("ref", "ref")) + 1e-8
+    return cube.withColumn("angle", F.acos(clip(dot("bands", "ref") / size, -1, 1))).drop("ref")
+
+
+def sam_gate(overlay: DataFrame, angles: DataFrame, limit: float = 0.35, fill: float | None = None) -> DataFrame:
+    """(image_id, x, y, v, valid): overlay pixels (image_id, x, y, v) whose spectral angle is over ``limit`` or unknown are filled.
+
+    The filling is ``fill``, or the median of the finite values of the whole overlay image, 0 if it has none.
+    """
+    angle = angles.select(*PIXEL, known("angle").alias("_angle"))
+    middle = overlay.groupBy("image_id").agg(F.percentile(known("v"), F.lit(0.5)).alias("_fill"))
+    both = overlay.join(angle, PIXEL, "left").join(middle, "image_id")
+    valid = F.coalesce(F.col("_angle") <= limit, F.lit(False))
+    return both.select(*PIXEL, F.when(valid, F.col("v")).otherwise(lit(fill) if fill is not None else F.coalesce("_fill", lit(0))).alias("v"), valid.alias("valid"))
 
 
-def sam_gate(cube: DataFrame, limit: float = 0.35, key: str = "image_id") -> DataFrame:
-    """Cube pixels further than ``limit`` radians from their image's mean spectrum get its median spectrum; adds ``rejected``."""
-    judged = spectral_angle(cube, key)
-    median = cube.select(key, F.posexplode("bands").alias("band", "v")).groupBy(key, "band").agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    middle = median.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda s: s["m"]).alias("middle"))
-    bad = F.coalesce(F.col("angle") > limit, F.lit(True))
-    return judged.join(middle, key).withColumn("rejected", bad).withColumn("bands", F.when(bad, F.col("middle")).otherwise(F.col("bands"))).drop("middle")
+def sam_gate_summary(gated: DataFrame) -> DataFrame:
+    """(image_id, num_valid, num_rejected, rejected_fraction)."""
+    return gated.groupBy("image_id").agg(
+        F.count_if("valid").alias("num_valid"), F.count_if(~F.col("valid")).alias("num_rejected"), F.avg((~F.col("valid")).cast("double")).alias("rejected_fraction")
+    )
 
 
 def spectral_residuals(cube: DataFrame, key: str = "image_id") -> DataFrame:
-    """(key, mean_band_variance, mean_angle_deg)."""
-    bands = cube.select(key, F.posexplode("bands").alias("band", "v")).groupBy(key, "band").agg(F.var_pop("v").alias("s"))
-    spread = bands.groupBy(key).agg(F.avg("s").alias("mean_band_variance"))
-    return spread.join(spectral_angle(cube, key).groupBy(key).agg(F.degrees(F.avg("angle")).alias("mean_angle_deg")), key)
+    """(key, spectral_variance, spectral_angle_deg): the mean over pixels of the variance of their bands, and of their angle to the mean spectrum.
+
+    Cubes of one band have 0 for both.
+    """
+    n = F.size("bands")
+    mean = F.aggregate("bands", lit(0), lambda s, v: s + v) / n
+    spread = F.aggregate(F.transform("bands", lambda v: (v - F.col("_mean")) * (v - F.col("_mean"))), lit(0), lambda s, v: s + v) / n
+    one = spectral_angle(cube, key).withColumn("_mean", mean)
+    one = one.select(key, F.when(n > 1, spread).otherwise(lit(0)).alias("s"), F.when(n > 1, F.col("angle")).otherwise(lit(0)).alias("a"))
+    return one.groupBy(key).agg(F.avg("s").alias("spectral_variance"), F.degrees(F.avg("a")).alias("spectral_angle_deg"))
 
 
 def disparity_to_dem(disparity: DataFrame, views: DataFrame, datum: float = 0.0) -> DataFrame:

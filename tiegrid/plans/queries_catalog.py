@@ -116,11 +116,12 @@ def build_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(catalog.build_triplets(products(spark, sf_dir), 0.5, 0.0, 300.0)).withColumn("pct_ot", F.round("pct_ot", 3)).withColumn("pct_oi", F.round("pct_oi", 3))
 
 
-@query(f"""WITH {TRIPLETS}, t AS (SELECT * FROM tr WHERE fraction >= 0.5 AND fraction < 0.93), u AS (SELECT max(v) AS used FROM t, (VALUES (0.95e0), (0.75e0), (0.70e0), (0.65e0), (0.60e0), (0.50e0)) AS x(v) WHERE fraction >= v)
+@query(f"""WITH {TRIPLETS}, t AS (SELECT * FROM tr WHERE fraction >= 0.5), u AS (SELECT max(v) AS used FROM t, (VALUES (1.01e0), (0.75e0), (0.70e0), (0.65e0), (0.60e0), (0.50e0)) AS x(v) WHERE fraction >= v)
     SELECT ohrc_id, tmc_id, iirs_id, used FROM t, u WHERE fraction >= used""")
 def adaptive_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = catalog.build_triplets(products(spark, sf_dir), 0.5, 0.0, 300.0).filter("fraction < 0.93")
-    return catalog.adaptive_containment(t, 0.95).select("ohrc_id", "tmc_id", "iirs_id", "used")
+    # More than a whole footprint can't be shared, so the request falls back.
+    t = catalog.build_triplets(products(spark, sf_dir), 0.5, 0.0, 300.0)
+    return catalog.adaptive_containment(t, 1.01).select("ohrc_id", "tmc_id", "iirs_id", "used")
 
 
 @query(f"""WITH p AS (SELECT a.product_id AS target_id, b.product_id, {OV} / {AREA} AS overlap, abs(a.incidence - b.incidence) AS gap FROM {{v_products}} AS a, {{v_products}} AS b WHERE a.sensor = 'TMC' AND b.sensor = 'IIRS' AND {TOUCH}),

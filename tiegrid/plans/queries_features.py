@@ -18,11 +18,11 @@ def few(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT pair_id, match_id, CASE match_id % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'outlier' WHEN 2 THEN '1' WHEN 3 THEN 'maybe' ELSE NULL END AS g, CASE match_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'n' END AS h, label AS c FROM {v_matches}),
     t AS (SELECT *, CASE WHEN g IN ('yes', '1') THEN true WHEN g = 'outlier' THEN false END AS gt, CASE h WHEN 'true' THEN true WHEN 'n' THEN false END AS ht FROM r)
-    SELECT pair_id, match_id, coalesce(gt, ht, c) AS truth, CASE WHEN gt IS NOT NULL THEN 'synthetic_geometry' WHEN ht IS NOT NULL THEN 'hand' ELSE 'consensus' END AS truth_source FROM t""")
+    SELECT pair_id, match_id, coalesce(gt, ht, c) AS truth, CASE WHEN gt IS NOT NULL THEN 'synthetic_geometry' WHEN ht IS NOT NULL THEN 'hand' ELSE 'ransac' END AS truth_source FROM t""")
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matches(spark, sf_dir).selectExpr(
         "pair_id", "match_id", "CASE match_id % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'outlier' WHEN 2 THEN '1' WHEN 3 THEN 'maybe' ELSE NULL END AS ground_truth_label",
-        "CASE match_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'n' END AS human_label", "label AS is_inlier",
+        "CASE match_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'n' END AS human_label", "label",
     )
     return features.label_matches(m, True).select("pair_id", "match_id", "truth", "truth_source")
 
@@ -69,11 +69,24 @@ def descriptor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.descriptor_match(d.filter("side = 'source'"), d.filter("side = 'target'")), 5)
 
 
-@query("""WITH f AS (SELECT pair_id, match_id, row_number() OVER (PARTITION BY pair_id ORDER BY match_id) AS i, source_x, source_y, target_x, target_y FROM {v_matches} QUALIFY i <= 15),
-    p AS (SELECT a.pair_id, sqrt(pow(a.source_x - b.source_x, 2) + pow(a.source_y - b.source_y, 2)) AS s, sqrt(pow(a.target_x - b.target_x, 2) + pow(a.target_y - b.target_y, 2)) AS t FROM f AS a JOIN f AS b ON a.pair_id = b.pair_id AND a.i < b.i)
-    SELECT pair_id, count(*) AS pairs, round(avg(t / s), 4) AS mean_ratio, round(stddev_pop(t / s), 4) AS std_ratio FROM p WHERE s > 5 GROUP BY pair_id""")
+TOPOLOGY = """f AS (SELECT pair_id, match_id, row_number() OVER (PARTITION BY pair_id ORDER BY match_id) AS i, source_x AS sx, source_y AS sy, target_x AS tx, target_y AS ty FROM {v_matches}),
+    p AS (SELECT a.pair_id, a.i, b.i AS j, sqrt(pow(a.sx - b.sx, 2) + pow(a.sy - b.sy, 2)) AS s, sqrt(pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2)) AS t FROM f AS a JOIN f AS b ON a.pair_id = b.pair_id AND a.i < b.i),
+    r AS (SELECT pair_id, avg(t / s) AS m, stddev_pop(t / s) AS d FROM p WHERE s > 5 GROUP BY pair_id),
+    n AS (SELECT a.pair_id, a.match_id, b.sx - a.sx AS ux, b.sy - a.sy AS uy, b.tx - a.tx AS vx, b.ty - a.ty AS vy, row_number() OVER (PARTITION BY a.pair_id, a.match_id ORDER BY sqrt(pow(a.sx - b.sx, 2) + pow(a.sy - b.sy, 2)), b.match_id) AS k FROM f AS a JOIN f AS b ON a.pair_id = b.pair_id AND a.match_id <> b.match_id QUALIFY k <= 2),
+    w AS (SELECT a.pair_id, abs(degrees(acos(least(greatest((a.ux*b.ux + a.uy*b.uy) / (sqrt(a.ux*a.ux + a.uy*a.uy) * sqrt(b.ux*b.ux + b.uy*b.uy) + 1e-6), -1), 1))) - degrees(acos(least(greatest((a.vx*b.vx + a.vy*b.vy) / (sqrt(a.vx*a.vx + a.vy*a.vy) * sqrt(b.vx*b.vx + b.vy*b.vy) + 1e-6), -1), 1)))) AS a
+        FROM n AS a JOIN n AS b ON a.pair_id = b.pair_id AND a.match_id = b.match_id AND a.k = 1 AND b.k = 2),
+    an AS (SELECT pair_id, avg(a) AS am, quantile_cont(a, 0.5) AS ad FROM w GROUP BY pair_id),
+    q AS (SELECT * FROM p WHERE j <= 15), t AS (SELECT x.pair_id, list_sort([x.s, y.s, z.s]) AS s, list_sort([x.t, y.t, z.t]) AS t FROM q AS x JOIN q AS y ON x.pair_id = y.pair_id AND y.i = x.j JOIN q AS z ON z.pair_id = x.pair_id AND z.i = x.i AND z.j = y.j),
+    h AS (SELECT *, list_sum(s) AS ps, list_sum(t) AS pt FROM t), h2 AS (SELECT *, sqrt(greatest(0, ps/2 * (ps/2 - s[1]) * (ps/2 - s[2]) * (ps/2 - s[3]))) AS a1, sqrt(greatest(0, pt/2 * (pt/2 - t[1]) * (pt/2 - t[2]) * (pt/2 - t[3]))) AS a2 FROM h WHERE ps > 10 AND pt > 10),
+    g AS (SELECT pair_id, avg(abs(s[1]/ps - t[1]/pt) + abs(s[2]/ps - t[2]/pt) + abs(s[3]/ps - t[3]/pt)) AS sm, avg(CASE WHEN a1 > 10 THEN a2 / a1 END) AS ar FROM h2 GROUP BY pair_id), c AS (SELECT pair_id, count(*) AS n FROM f GROUP BY pair_id)"""
+
+
+@query(f"""WITH {TOPOLOGY} SELECT c.pair_id, n, round(m, 4) AS mean_ratio, round(d, 4) AS std_ratio, round(am, 3) AS angle_mean, round(ad, 3) AS angle_median, round(sm, 4) AS shape_mean, round(ar, 4) AS area_ratio
+    FROM c LEFT JOIN r ON r.pair_id = c.pair_id LEFT JOIN an ON an.pair_id = c.pair_id LEFT JOIN g ON g.pair_id = c.pair_id""")
 def topology_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.topology_preservation(matches(spark, sf_dir)))
+    found = features.topology_preservation(matches(spark, sf_dir))
+    digits = {"mean_ratio": 4, "std_ratio": 4, "angle_mean": 3, "angle_median": 3, "shape_mean": 4, "area_ratio": 4}
+    return found.select("pair_id", "n", *((F.round(c, d) + 0.0).alias(c) for c, d in digits.items()))
 
 
 @query("""WITH k AS (SELECT pair_id, match_id AS kp_id, source_x + 4.5 AS x, source_y - 2.5 AS y FROM {v_matches} WHERE match_id % 3 = 0), m AS (SELECT * FROM {v_matches} WHERE match_id % 3 <> 0),
@@ -86,14 +99,19 @@ def refill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.refill_candidates(k, m.filter("match_id % 3 <> 0"), transforms(spark, sf_dir), 512.0, 512.0))
 
 
-@query("""WITH k AS (SELECT match_id, CASE WHEN match_id % 2 = 0 THEN sigma_major END AS f, pair_id, source_x + CASE match_id % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 0.001e0 ELSE 7e0 END AS x FROM {v_matches} WHERE pair_id <= 20)
-    SELECT pair_id, match_id, CASE WHEN f IS NOT NULL THEN NULL WHEN match_id % 3 = 0 THEN 'exact' END AS must FROM k WHERE match_id % 2 <> 0 AND match_id % 3 = 0""")
+@query("""WITH r AS (SELECT pair_id, match_id, CASE WHEN match_id % 2 = 0 THEN sigma_major END AS f, source_x + CASE match_id % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 0.001e0 ELSE 7e0 END AS x, source_y AS y, target_x + CASE WHEN match_id % 12 = 1 THEN 3 ELSE 0 END AS u, target_y AS v, confidence AS c FROM {v_matches}),
+    a AS (SELECT round(source_x, 4) AS x, round(source_y, 4) AS y, round(target_x, 4) AS u, round(target_y, 4) AS v, min(sigma_major) AS s FROM {v_matches} GROUP BY ALL), b AS (SELECT round(source_x, 2) AS x, round(source_y, 2) AS y, round(target_x, 2) AS u, round(target_y, 2) AS v, min(sigma_major) AS s FROM {v_matches} GROUP BY ALL),
+    c AS (SELECT round(source_x, 2) AS x, round(source_y, 2) AS y, round(confidence, 6) AS c, min(sigma_major) AS s FROM {v_matches} GROUP BY ALL)
+    SELECT pair_id, match_id, CASE WHEN f IS NOT NULL THEN NULL WHEN a.s IS NOT NULL THEN 'exact' WHEN b.s IS NOT NULL THEN 'rough' WHEN c.s IS NOT NULL THEN 'confidence' ELSE 'none' END AS filled_by, round(coalesce(f, a.s, b.s, c.s), 4) AS texture
+    FROM r LEFT JOIN a ON round(r.x, 4) = a.x AND round(r.y, 4) = a.y AND round(r.u, 4) = a.u AND round(r.v, 4) = a.v LEFT JOIN b ON round(r.x, 2) = b.x AND round(r.y, 2) = b.y AND round(r.u, 2) = b.u AND round(r.v, 2) = b.v
+    LEFT JOIN c ON round(r.x, 2) = c.x AND round(r.y, 2) = c.y AND round(r.c, 6) = c.c""")
 def backfill_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir).filter("pair_id <= 20")
+    m = matches(spark, sf_dir)
     moved = F.col("source_x") + F.when(F.col("match_id") % 3 == 0, 0.0).when(F.col("match_id") % 3 == 1, 0.001).otherwise(7.0)
-    r = m.withColumns({"source_x": moved, "texture": F.when(F.col("match_id") % 2 == 0, F.col("sigma_major"))}).select("pair_id", "match_id", *features.XY, "confidence", "texture")
+    away = F.col("target_x") + F.when(F.col("match_id") % 12 == 1, 3).otherwise(0)
+    r = m.withColumns({"source_x": moved, "target_x": away, "texture": F.when(F.col("match_id") % 2 == 0, F.col("sigma_major"))}).select("pair_id", "match_id", *features.XY, "confidence", "texture")
     done = features.backfill_features(r, m.select(*features.XY, "confidence", F.col("sigma_major").alias("texture")), ["texture"])
-    return done.filter("match_id % 2 <> 0 AND match_id % 3 = 0").select("pair_id", "match_id", F.col("filled_by").alias("must"))
+    return rounded(done.select("pair_id", "match_id", "filled_by", "texture"))
 
 
 @query("""WITH p AS (SELECT domain, label AS t, confidence > 0.5 AS p FROM {v_matches}), s AS (SELECT domain, count(*) AS n, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM p GROUP BY ROLLUP (domain))

@@ -50,18 +50,19 @@ def support_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT *, least(3, greatest(0, CAST(floor(source_x / 128e0) AS INTEGER))) AS gx, least(3, greatest(0, CAST(floor(source_y / 128e0) AS INTEGER))) AS gy,
-        radians(angle) * 2 AS t2 FROM {v_matches} WHERE sigma_major - sigma_minor > 0.001)
+        radians(angle) * 2 AS t2 FROM {v_matches} WHERE sigma_major - sigma_minor > 0.001 AND abs(sigma_major / greatest(sigma_minor, 1e-3) - 2) > 1e-9)
     SELECT pair_id, gx, gy, count(*) AS n, round(avg(sigma_major), 9) AS major, round(avg(sigma_minor), 9) AS minor, round(avg(sigma_major*sigma_major + sigma_minor*sigma_minor), 9) AS trace,
-        round(avg(cos(t2)), 3) AS c FROM m GROUP BY GROUPING SETS ((pair_id, gx, gy), (pair_id))""")
+        round(avg(cos(t2)), 3) AS c, count(*) FILTER (sigma_major / greatest(sigma_minor, 1e-3) >= 2 AND sigma_minor <= 0.6) AS elongated, count(*) FILTER (sigma_major / greatest(sigma_minor, 1e-3) < 2 AND sigma_major <= 1.2) AS isotropic, round(avg(confidence), 6) AS mean_confidence FROM m GROUP BY GROUPING SETS ((pair_id, gx, gy), (pair_id))""")
 def cell_covariance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir).filter("sigma_major - sigma_minor > 0.001")
+    # Where the axes are equal the angle, and at a ratio of exactly 2 the kind, hangs on the last digit.
+    m = matches(spark, sf_dir).filter("sigma_major - sigma_minor > 0.001 AND abs(sigma_major / greatest(sigma_minor, 1e-3) - 2) > 1e-9")
     found = quality.cell_covariance_stats(m, 512.0, 512.0, 4)
     again = points.covariance_axes(m).withColumns({"gx": quality.cell(F.col("source_x"), 128.0, 4), "gy": quality.cell(F.col("source_y"), 128.0, 4)})
     cosine = again.groupingSets([[F.col("pair_id"), F.col("gx"), F.col("gy")], [F.col("pair_id")]], F.col("pair_id"), F.col("gx"), F.col("gy")).agg(
         F.round(F.avg(F.cos(F.radians("axis_angle") * 2)), 3).alias("c")
     )
     joined = found.join(cosine, (found.pair_id == cosine.pair_id) & found.gx.eqNullSafe(cosine.gx) & found.gy.eqNullSafe(cosine.gy))
-    return rounded(joined.select(found.pair_id, found.gx, found.gy, "n", "major", "minor", "trace", "c"), 9).withColumn("c", F.col("c") + 0.0)
+    return rounded(joined.select(found.pair_id, found.gx, found.gy, "n", "major", "minor", "trace", "c", "elongated", "isotropic", F.round("mean_confidence", 6).alias("mean_confidence")), 9).withColumn("c", F.col("c") + 0.0)
 
 
 METRICS = """SELECT pair_id, count(*) AS k, count(*) FILTER (label) AS good FROM {v_matches} GROUP BY pair_id"""
@@ -133,7 +134,7 @@ def grid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.grid_topk(matches(spark, sf_dir), 512.0, 512.0, 8, 2, 0.1).select("pair_id", "match_id", "gx", "gy", "k")
 
 
-SCORE = "confidence / (1 + pow(sigma_major, 0.7) * pow(sigma_minor, 0.5)) * (1 + 0.5 / (1 + 2 * sigma_minor))"
+SCORE = "confidence / (1 + 0.5 * pow(sigma_major, 0.7) * pow(greatest(sigma_minor, 1e-3), 0.5)) * (1 + 0.6 / (1 + 2 * greatest(sigma_minor, 1e-3)))"
 BUDGET = f"""b AS (SELECT pair_id, match_id, angle, {SCORE} AS s, least(7, greatest(0, CAST(floor(source_x / 64e0) AS INTEGER))) AS gx, least(7, greatest(0, CAST(floor(source_y / 64e0) AS INTEGER))) AS gy FROM {{v_matches}}),
     r0 AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY pair_id, gx, gy ORDER BY s DESC, match_id) = 1),
     c1 AS (SELECT b.*, abs(b.angle - r0.angle) % 180 AS d FROM b JOIN r0 ON b.pair_id = r0.pair_id AND b.gx = r0.gx AND b.gy = r0.gy AND b.match_id <> r0.match_id),
@@ -183,7 +184,7 @@ def dedup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.keep_first(matches(spark, sf_dir), keys, ["match_id"]).select("pair_id", "match_id")
 
 
-@query("""SELECT pair_id, match_id FROM {v_matches} QUALIFY row_number() OVER (PARTITION BY pair_id, floor(source_x / 3), floor(source_y / 3) ORDER BY match_id) = 1""")
+@query("""SELECT pair_id, match_id FROM {v_matches} QUALIFY row_number() OVER (PARTITION BY pair_id, round_even(source_x / 3, 0), round_even(source_y / 3, 0) ORDER BY match_id) = 1""")
 def stitch_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.stitch_tiles(matches(spark, sf_dir)).select("pair_id", "match_id")
 
@@ -198,13 +199,23 @@ def benchmark_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.benchmark_breakdown(view(spark, sf_dir, "v_trials").filter("is_valid")))
 
 
-@query("""WITH t AS (SELECT *, (cyy*error_x*error_x - 2*cxy*error_x*error_y + cxx*error_y*error_y) / (cxx*cyy - cxy*cxy) AS d2 FROM {v_trials} WHERE is_valid),
-    r AS (SELECT l / 10e0 AS level, avg(CASE WHEN d2 <= -2 * ln(1 - l / 10e0 * 0.99) THEN 1e0 ELSE 0 END) AS observed FROM t, range(1, 11) AS g(l) GROUP BY l),
-    g AS (SELECT avg(abs(observed - level * 0.99)) AS ece, max(abs(observed - level * 0.99)) AS mce, sqrt(avg(pow(observed - level * 0.99, 2))) AS rmsce, avg(observed - level * 0.99) AS bias FROM r)
-    SELECT (SELECT count(*) FROM t) AS n, round(ece, 4) AS ece, round(mce, 4) AS mce, round(rmsce, 4) AS rmsce, round((SELECT quantile_cont(d2, 0.5) FROM t) / (2 * ln(2)), 4) AS scale_factor,
-        CASE WHEN ece <= 0.05 THEN 'CALIBRATED' WHEN bias > 0 THEN 'CONSERVATIVE' WHEN ece <= 0.2 THEN 'SLIGHTLY_OVERCONFIDENT' ELSE 'OVERCONFIDENT' END AS verdict FROM g""")
+@query("""WITH a AS (SELECT *, sqrt(error_x*error_x + error_y*error_y) AS e, (cyy*error_x*error_x - 2*cxy*error_x*error_y + cxx*error_y*error_y) / (cxx*cyy - cxy*cxy) AS d2 FROM {v_trials}), t AS (SELECT * FROM a WHERE is_valid),
+    r AS (SELECT level, round(avg(CASE WHEN d2 <= -2 * ln(1 - level) THEN 1e0 ELSE 0 END), 4) AS observed FROM t, (VALUES (0.1e0), (0.2e0), (0.3e0), (0.4e0), (0.5e0), (0.6e0), (0.7e0), (0.8e0), (0.9e0), (0.95e0)) AS l(level) GROUP BY level),
+    g AS (SELECT avg(abs(observed - level)) AS ece, max(abs(observed - level)) AS mce, sqrt(avg(pow(observed - level, 2))) AS rmsce FROM r),
+    q AS (SELECT avg(CASE WHEN sqrt(d2) <= 1 THEN 1e0 ELSE 0 END) AS i1, avg(CASE WHEN sqrt(d2) <= 2 THEN 1e0 ELSE 0 END) AS i2, avg(CASE WHEN sqrt(d2) <= 3 THEN 1e0 ELSE 0 END) AS i3, avg(CASE WHEN sqrt(d2) <= 1.5152 THEN 1e0 ELSE 0 END) AS p68,
+        avg(CASE WHEN sqrt(d2) <= 2.4860 THEN 1e0 ELSE 0 END) AS p95, avg(CASE WHEN sqrt(d2) <= 3.4393 THEN 1e0 ELSE 0 END) AS p99, quantile_cont(d2, 0.5) / (2 * ln(2)) AS s, sqrt(avg(e*e)) AS rmse, avg(e) AS e FROM t),
+    n AS (SELECT count(*) AS trials, count(*) FILTER (is_valid) AS n_valid, count(*) FILTER (status = 'flat_peak') AS n_flat, count(*) FILTER (status = 'multimodal') AS n_multimodal, count(*) FILTER (status = 'failed') AS n_failed,
+        avg(e) FILTER (status = 'flat_peak') AS fe, avg(e) FILTER (status = 'multimodal') AS me FROM a)
+    SELECT trials, n_valid, n_flat, n_multimodal, n_failed, round(n_valid / CAST(trials AS DOUBLE), 4) AS valid_rate, round(n_flat / CAST(trials AS DOUBLE), 4) AS flat_rate, round(n_multimodal / CAST(trials AS DOUBLE), 4) AS multimodal_rate,
+        round(e, 4) AS valid_mean_error, round(rmse, 4) AS valid_rmse, round(fe, 4) AS flat_mean_error, round(me, 4) AS multimodal_mean_error, round(i1, 4) AS inside_1sigma, round(i2, 4) AS inside_2sigma, round(i3, 4) AS inside_3sigma,
+        round(p68, 4) AS inside_p68, round(p95, 4) AS inside_p95, round(p99, 4) AS inside_p99, (SELECT array_to_string(list(round(observed * 10000) ORDER BY level), ',') FROM r) AS reliability, round(ece, 7) AS ece, round(mce, 7) AS mce, round(rmsce, 7) AS rmsce, round(s, 4) AS scale_factor,
+        CASE WHEN ece <= 0.12 AND abs(p95 - 0.9545) <= 0.15 THEN 'PROBABILISTICALLY_CALIBRATED' WHEN s > 1.40 THEN 'OVERCONFIDENT_UNCALIBRATED' WHEN s < 0.65 THEN 'CONSERVATIVE_BOUNDS' ELSE 'BORDERLINE_CALIBRATED' END AS verdict FROM g, q, n""")
 def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(experiments.calibration_report(view(spark, sf_dir, "v_trials")))
+    found = experiments.calibration_report(view(spark, sf_dir, "v_trials"))
+    found = found.withColumn("reliability", F.array_join(F.transform("reliability", lambda r: F.round(r * 10000).cast("double").cast("string")), ","))
+    # The gaps are means of 4-digit numbers, so they are kept with more digits.
+    digits = {c: 7 if c in ("ece", "mce", "rmsce") else 4 for c, t in found.dtypes if t == "double"}
+    return found.withColumns({c: F.round(c, d) + 0.0 for c, d in digits.items()})
 
 
 @query("""WITH c AS (SELECT r / 10e0 AS min_confidence, s / 2e0 AS max_sigma, count(*) FILTER (label AND confidence >= r / 10e0 AND sigma_major <= s / 2e0) AS tp, count(*) FILTER (NOT label AND confidence >= r / 10e0 AND sigma_major <= s / 2e0) AS fp,
@@ -216,7 +227,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT r / 10e0 AS min_confidence, s / 2e0 AS max_sigma, count(*) FILTER (label AND confidence >= r / 10e0 AND sigma_major <= s / 2e0) / CAST(count(*) FILTER (label) AS DOUBLE) AS tpr,
         count(*) FILTER (NOT label AND confidence >= r / 10e0 AND sigma_major <= s / 2e0) / CAST(count(*) FILTER (NOT label) AS DOUBLE) AS fpr FROM {v_matches}, range(1, 10) AS a(r), range(1, 4) AS b(s) GROUP BY r, s)
-    SELECT min_confidence, max_sigma, round(tpr, 4) AS tpr, round(fpr, 4) AS fpr FROM c ORDER BY tpr - fpr DESC, tpr DESC, fpr LIMIT 1""")
+    SELECT min_confidence, max_sigma, round(tpr, 4) AS tpr, round(fpr, 4) AS fpr FROM c ORDER BY tpr - fpr DESC, tpr DESC, fpr, min_confidence, max_sigma LIMIT 1""")
 def best_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     swept = experiments.threshold_sweep(matches(spark, sf_dir), [k / 10 for k in range(1, 10)], [k / 2 for k in range(1, 4)])
     return rounded(experiments.best_point(swept).select("min_confidence", "max_sigma", "tpr", "fpr"))
@@ -230,25 +241,42 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.roc_auc(experiments.threshold_sweep(matches(spark, sf_dir), [k / 10 for k in range(1, 10)], [100.0])))
 
 
-@query("""WITH a AS (SELECT confidence > 0.5 AS x, sigma_major < 0.45 AS y FROM {v_matches} WHERE match_id <= 5), c AS (SELECT count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c FROM a)
-    SELECT b, c, b + c AS discordant, CASE WHEN b + c = 0 THEN 1e0 ELSE round(least(1e0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))) FROM range(0, least(b, c) + 1) AS g(k))), 6) END AS p_value FROM c""")
+@query("""WITH c AS (SELECT pair_id, count(*) FILTER (confidence > 0.5 AND NOT sigma_major < 0.65) AS b, count(*) FILTER (NOT confidence > 0.5 AND sigma_major < 0.65) AS c FROM {v_matches} GROUP BY pair_id),
+    t AS (SELECT pair_id, sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))) AS s FROM c, range(0, 100000) AS g(k) WHERE k <= least(b, c) GROUP BY pair_id)
+    SELECT c.pair_id, b, c, b + c AS discordant, CASE WHEN b + c = 0 THEN 1e0 ELSE round(least(1e0, 2 * s), 6) END AS p_value FROM c JOIN t ON c.pair_id = t.pair_id""")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = matches(spark, sf_dir).selectExpr("pair_id", "match_id", "confidence > 0.5 AS x", "sigma_major < 0.45 AS y").filter("match_id <= 5")
-    return rounded(experiments.mcnemar(a, "x", "y"), 6)
+    a = matches(spark, sf_dir).selectExpr("pair_id", "confidence > 0.5 AS x", "sigma_major < 0.65 AS y")
+    return rounded(experiments.mcnemar(a, "x", "y", "pair_id"), 6)
 
 
-@query("""WITH v AS (SELECT confidence AS v, domain FROM {v_matches}), c AS (SELECT v, count(*) FILTER (domain = 'same') AS a, count(*) FILTER (domain <> 'same') AS b FROM v GROUP BY v),
-    s AS (SELECT sum(a) OVER (ORDER BY v) / CAST(sum(a) OVER () AS DOUBLE) AS f, sum(b) OVER (ORDER BY v) / CAST(sum(b) OVER () AS DOUBLE) AS g FROM c)
-    SELECT round(max(abs(f - g)), 6) AS d, (SELECT count(*) FROM v WHERE domain = 'same') AS n_a, (SELECT count(*) FROM v WHERE domain <> 'same') AS n_b FROM s""")
+ARMS = """WITH w AS (SELECT domain, pair_id * 100000 + match_id AS k, confidence > 0.3 AS s1, sigma_minor < 0.3 AS s2, error AS e1, error + CASE domain WHEN 'same' THEN -0.01 ELSE 0.01 END AS e2 FROM {v_residuals}),
+    b AS (SELECT domain AS slice, * FROM w UNION ALL SELECT NULL, * FROM w),
+    t AS (SELECT slice, count(*) AS n, count(*) FILTER (s1) AS successes_base, count(*) FILTER (s2) AS successes_new, quantile_cont(e1, 0.5) AS m1, quantile_cont(e2, 0.5) AS m2, count(*) FILTER (s1 AND NOT s2) AS b, count(*) FILTER (NOT s1 AND s2) AS c FROM b GROUP BY slice)
+    SELECT slice AS domain, n, successes_base, successes_new, round(m1, 4) AS median_error_base, round(m2, 4) AS median_error_new, CASE WHEN m2 < m1 - 1e-9 THEN 'IMPROVED' WHEN m2 > m1 + 1e-9 THEN 'WORSENED' ELSE 'UNCHANGED' END AS verdict_error, b, c, b + c AS discordant FROM t"""
+
+
+@query(ARMS)
+def compare_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = view(spark, sf_dir, "v_residuals")
+    base = r.selectExpr("domain", "pair_id * 100000 + match_id AS k", "'base' AS arm", "confidence > 0.3 AS success", "error")
+    new = r.selectExpr("domain", "pair_id * 100000 + match_id AS k", "'new' AS arm", "sigma_minor < 0.3 AS success", "error + CASE domain WHEN 'same' THEN -0.01e0 ELSE 0.01e0 END AS error")
+    return rounded(experiments.compare_arms(base.union(new), {"error": "lower"}, "domain", "k").drop("p_value"))
+
+
+@query("""WITH v AS (SELECT confidence AS v, domain, label FROM {v_matches}), c AS (SELECT v, count(*) FILTER (domain = 'same') AS a, count(*) FILTER (domain <> 'same') AS b FROM v GROUP BY v),
+    s AS (SELECT sum(a) OVER (ORDER BY v) / CAST(sum(a) OVER () AS DOUBLE) AS f, sum(b) OVER (ORDER BY v) / CAST(sum(b) OVER () AS DOUBLE) AS g FROM c),
+    m AS (SELECT count(*) FILTER (domain = 'same') AS n_a, count(*) FILTER (domain <> 'same') AS n_b, avg(v) FILTER (domain = 'same') AS ma, avg(v) FILTER (domain <> 'same') AS mb, stddev_pop(v) FILTER (domain = 'same') AS sa, stddev_pop(v) FILTER (domain <> 'same') AS sb,
+        avg(CASE WHEN label THEN 1e0 ELSE 0 END) FILTER (domain = 'same') AS pa, avg(CASE WHEN label THEN 1e0 ELSE 0 END) FILTER (domain <> 'same') AS pb FROM v)
+    SELECT round((SELECT max(abs(f - g)) FROM s), 6) AS d, n_a, n_b, round(ma, 6) AS mean_a, round(sa, 6) AS std_a, round(mb, 6) AS mean_b, round(sb, 6) AS std_b, round(pa, 6) AS prevalence_a, round(pb, 6) AS prevalence_b FROM m""")
 def ks_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(experiments.ks_two_sample(matches(spark, sf_dir), "confidence", F.col("domain") == "same").select("d", "n_a", "n_b"), 6)
+    return rounded(experiments.ks_two_sample(matches(spark, sf_dir), "confidence", F.col("domain") == "same", "label").drop("p_value"), 6)
 
 
-@query("""WITH v AS (SELECT pair_id, confidence AS v, row_number() OVER (PARTITION BY pair_id ORDER BY match_id) - 1 AS place, count(*) OVER (PARTITION BY pair_id) AS n FROM {v_matches} WHERE match_id <= 200),
+@query("""WITH v AS (SELECT pair_id, confidence AS v, row_number() OVER (PARTITION BY pair_id ORDER BY match_id) - 1 AS place, count(*) OVER (PARTITION BY pair_id) AS n FROM {v_matches}),
     r AS (SELECT a.pair_id, r, avg(b.v) AS m FROM v AS a, range(40) AS g(r), v AS b WHERE a.pair_id = b.pair_id AND b.place = (104729*r + 7919*a.place + 15485863*(((r + 1)*(a.place + 3)) % 10007) + 31*a.pair_id) % a.n GROUP BY a.pair_id, r)
     SELECT pair_id, round(quantile_cont(m, 0.025), 7) AS low, round(quantile_cont(m, 0.975), 7) AS high FROM r GROUP BY pair_id""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(experiments.bootstrap_ci(matches(spark, sf_dir).filter("match_id <= 200"), "confidence", 40).select("pair_id", "low", "high"), 7)
+    return rounded(experiments.bootstrap_ci(matches(spark, sf_dir), "confidence", 40).select("pair_id", "low", "high"), 7)
 
 
 @query("""WITH s AS (SELECT pair_id, rank() OVER (PARTITION BY pair_id ORDER BY confidence DESC) AS r1, rank() OVER (PARTITION BY pair_id ORDER BY sigma_major) AS r2, match_id FROM {v_matches})

@@ -16,11 +16,11 @@ from tiegrid.plans.registry import query
 from tiegrid.plans.views import view
 
 
-@query("""WITH i AS (SELECT product_id AS pair_id, CAST(200 + product_id % 700 AS INTEGER) AS w, CAST(150 + product_id * 7 % 900 AS INTEGER) AS h, CAST(100 + product_id % 300 AS INTEGER) AS w2, CAST(90 + product_id % 200 AS INTEGER) AS h2 FROM {v_products} WHERE product_id <= 300),
+@query("""WITH i AS (SELECT product_id AS pair_id, CAST(200 + product_id % 700 AS INTEGER) AS w, CAST(150 + product_id * 7 % 900 AS INTEGER) AS h, CAST(100 + product_id % 300 AS INTEGER) AS w2, CAST(90 + product_id % 200 AS INTEGER) AS h2 FROM {v_products}),
     t AS (SELECT *, c * 192 AS x0, r * 192 AS y0, least(c * 192 + 256, w) AS x1, least(r * 192 + 256, h) AS y1 FROM i, range(6) AS a(r), range(6) AS b(c) WHERE r <= greatest(0, ceil((h - 256) / 192e0)) AND c <= greatest(0, ceil((w - 256) / 192e0)))
     SELECT pair_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(floor(x0 * (w2 / CAST(w AS DOUBLE))) AS BIGINT) AS u0, CAST(floor(y0 * (h2 / CAST(h AS DOUBLE))) AS BIGINT) AS v0, CAST(least(ceil(x1 * (w2 / CAST(w AS DOUBLE))), w2) AS BIGINT) AS u1 FROM t""")
 def paired_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = products(spark, sf_dir).filter("product_id <= 300").selectExpr("product_id AS pair_id", "CAST(200 + product_id % 700 AS INT) AS width1", "CAST(150 + product_id * 7 % 900 AS INT) AS height1",
+    p = products(spark, sf_dir).selectExpr("product_id AS pair_id", "CAST(200 + product_id % 700 AS INT) AS width1", "CAST(150 + product_id * 7 % 900 AS INT) AS height1",
                                      "CAST(100 + product_id % 300 AS INT) AS width2", "CAST(90 + product_id % 200 AS INT) AS height2")
     return catalog.paired_tiles(p, 256, 64).select("pair_id", "row", "col", "u0", "v0", "u1")
 
@@ -31,9 +31,10 @@ def audit_axis_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.audit_axis_alignment(products(spark, sf_dir).withColumn("ring", F.expr(f"CASE WHEN product_id % 4 = 0 THEN {turned} ELSE {RING} END")))
 
 
-@query("""SELECT pair_id, match_id, round(least(greatest(0.5 * confidence + 0.35 * least(greatest(1 - sigma_minor, 0), 1) + 0.15 * least(greatest(least(source_x, source_y, 511 - source_x, 511 - source_y) / 16, 0), 1), 0.05), 1), 10) AS quality FROM {v_matches}""")
+@query("""SELECT pair_id, match_id, round(least(greatest(0.5 * CASE WHEN match_id % 5 = 0 THEN 0.5 ELSE confidence END + 0.35 * CASE WHEN match_id % 7 = 0 THEN 0.35 ELSE least(greatest(exp(-0.75 * sigma_minor * 5), 0.15), 1) END
+    + 0.15 * least(greatest(least(source_x, source_y, 512 - source_x, 512 - source_y) / 256, 0.05), 1), 0.05), 1), 10) AS quality FROM {v_matches}""")
 def spatial_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = matches(spark, sf_dir).selectExpr("pair_id", "match_id", "confidence AS uniqueness", "sigma_minor AS refine_px", "source_x AS kx", "source_y AS ky")
+    p = matches(spark, sf_dir).selectExpr("pair_id", "match_id", "CASE WHEN match_id % 5 <> 0 THEN confidence END AS uniqueness", "CASE WHEN match_id % 7 <> 0 THEN sigma_minor * 5 END AS refine_px", "source_x AS kx", "source_y AS ky")
     return rounded(patches.spatial_quality(p, 512.0, 512.0).select("pair_id", "match_id", "quality"), 10)
 
 
@@ -48,18 +49,37 @@ def search_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(patches.search_displacement(pixels(spark, sf_dir), pixels_b(spark, sf_dir), k, 4, 4).select("image_id", "kp_id", "dx", "dy", "ncc"))
 
 
-@query(f"""WITH {stencil('{v_pixels}')}, k AS ({KEYPOINTS}), g AS (SELECT k.image_id, kp_id, sqrt(sx*sx + sy*sy) AS m, CASE WHEN y >= ky THEN 2 ELSE 0 END + CASE WHEN x >= kx THEN 1 ELSE 0 END AS c,
-        CAST(least(7, floor(((((degrees(atan2(sy, sx)) % 180) + 180) % 180)) / 22.5)) AS INTEGER) AS b FROM gr JOIN k ON k.image_id = gr.image_id AND x - kx BETWEEN -8 AND 7 AND y - ky BETWEEN -8 AND 7),
-    h AS (SELECT image_id, kp_id, c * 8 + b AS i, sum(m) AS m FROM g GROUP BY ALL), n AS (SELECT image_id, kp_id, sqrt(sum(m*m)) AS n, sum(m) AS s, max(m) AS x FROM h GROUP BY ALL) SELECT image_id, kp_id, round(s / n, 4) AS total, round(x / n, 4) AS top FROM n""")
+def patch_sobel(name: str, source: str, points: str, half: int) -> str:
+    """Gradients within patches of ``points`` (image_id, kp_id, kx, ky), mirrored at the patches' edges, as the view ``name``."""
+    row, column = "(PARTITION BY image_id, kp_id, oy ORDER BY ox)", "(PARTITION BY image_id, kp_id, ox ORDER BY oy)"
+    step = lambda c, w, f, g: f"coalesce({f}({c}) OVER {w}, {g}({c}) OVER {w}, {c})"
+    down = lambda c: (step(c, column, "lag", "lead"), step(c, column, "lead", "lag"))
+    return f"""{name}p AS (SELECT k.image_id, kp_id, x - kx AS ox, y - ky AS oy, v FROM {points} AS k JOIN {source} AS p ON p.image_id = k.image_id AND x - kx BETWEEN -{half} AND {half - 1} AND y - ky BETWEEN -{half} AND {half - 1}),
+    {name}s AS (SELECT *, {step("v", row, "lag", "lead")} AS w, {step("v", row, "lead", "lag")} AS e FROM {name}p),
+    {name}n AS (SELECT *, {", ".join(f"{expr} AS {n}" for c, names in (("v", ("n", "s")), ("w", ("nw", "sw")), ("e", ("ne", "se"))) for n, expr in zip(names, down(c), strict=True))} FROM {name}s),
+    {name} AS (SELECT image_id, kp_id, ox, oy, ne + 2*e + se - nw - 2*w - sw AS gx, sw + 2*s + se - nw - 2*n - ne AS gy FROM {name}n)"""
+
+
+def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).filter("x % 16 = 15 AND y % 16 = 15 AND x < 50 AND y < 50").selectExpr("image_id", "x * 64 + y AS kp_id", "x AS kx", "y AS ky")
+
+
+@query(f"""WITH k AS ({KEYPOINTS}), {patch_sobel('g', '{v_pixels}', 'k', 8)},
+    b AS (SELECT image_id, kp_id, CASE WHEN oy >= 0 THEN 2 ELSE 0 END + CASE WHEN ox >= 0 THEN 1 ELSE 0 END AS c, CAST(least(7, greatest(0, floor((atan2(gy, gx) + pi()) / (2 * pi()) * 8))) AS INTEGER) AS b, sqrt(gx*gx + gy*gy) AS m FROM g),
+    h AS (SELECT image_id, kp_id, c * 8 + b AS i, sum(m) AS m FROM b GROUP BY ALL), n AS (SELECT image_id, kp_id, sqrt(sum(m*m)) AS n FROM h GROUP BY ALL)
+    SELECT h.image_id, h.kp_id, i, round(m / n, 4) AS v FROM h JOIN n ON h.image_id = n.image_id AND h.kp_id = n.kp_id WHERE round(m / n, 4) > 0""")
 def orientation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = pixels(spark, sf_dir).filter("x % 16 = 15 AND y % 16 = 15 AND x < 50 AND y < 50").selectExpr("image_id", "x * 64 + y AS kp_id", "x AS kx", "y AS ky")
-    d = patches.orientation_histogram(pixels(spark, sf_dir), k, 8, 8)
-    return rounded(d.select("image_id", "kp_id", F.aggregate("desc", F.lit(0.0), lambda s, v: s + v).alias("total"), F.array_max("desc").alias("top")))
+    d = patches.orientation_histogram(pixels(spark, sf_dir), keypoints(spark, sf_dir), 8, 8)
+    return rounded(d.select("image_id", "kp_id", F.posexplode("desc").alias("i", "v"))).filter("v > 0")
 
 
-@query(None)
+@query(f"""WITH k AS ({KEYPOINTS}), k2 AS (SELECT image_id, kp_id, kx + 3 AS kx, ky - 2 AS ky FROM k), {patch_sobel('ga', '{v_pixels}', 'k', 8)}, {patch_sobel('gb', '{v_pixels_b}', 'k2', 8)},
+    j AS (SELECT a.image_id, a.kp_id, (a.gx*a.gx + a.gy*a.gy) * (b.gx*b.gx + b.gy*b.gy) AS w2, (a.gx*a.gx - a.gy*a.gy) * (b.gx*b.gx - b.gy*b.gy) + 4*a.gx*a.gy*b.gx*b.gy AS c FROM ga AS a JOIN gb AS b ON a.image_id = b.image_id AND a.kp_id = b.kp_id AND a.ox = b.ox AND a.oy = b.oy),
+    s AS (SELECT image_id, kp_id, count(*) AS n, sum(sqrt(w2)) AS w, sum(sqrt(w2) * 0.5 * (c / (w2 + 1e-8) + 1)) AS s FROM j GROUP BY ALL)
+    SELECT k.image_id, k.kp_id, round(coalesce(CASE WHEN n = 256 AND w >= 1e-8 THEN s / w END, 0.5), 4) AS agreement FROM k LEFT JOIN s ON k.image_id = s.image_id AND k.kp_id = s.kp_id""")
 def orientation_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(patches.orientation_agreement(pixels(spark, sf_dir), pixels_b(spark, sf_dir)))
+    pairs = keypoints(spark, sf_dir).selectExpr("image_id", "kp_id", "kx AS x1", "ky AS y1", "kx + 3 AS x2", "ky - 2 AS y2")
+    return rounded(patches.orientation_agreement(pixels(spark, sf_dir), pixels_b(spark, sf_dir), pairs))
 
 
 def taps(column: str, window: str) -> str:
@@ -81,7 +101,7 @@ def ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_residuals").filter("match_id <= 50").selectExpr("pair_id", "match_id", "pair_id % 5 AS image_id", "source_x / 8 AS px", "source_y / 8 AS py", "error")
+    return view(spark, sf_dir, "v_residuals").selectExpr("pair_id", "match_id", "pair_id % 5 AS image_id", "source_x / 8 AS px", "source_y / 8 AS py", "error")
 
 
 @query(f"""WITH p AS ({POINTS}), q AS (SELECT *, least(greatest(px, 0e0), 63e0) AS qx, least(greatest(py, 0e0), 63e0) AS qy FROM p),
@@ -92,7 +112,7 @@ def relief_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(patches.relief_shift(sampled(spark, sf_dir).drop("error"), dem(spark, sf_dir), 10.0, 60.0, 5.0).drop("reason"))
 
 
-@query(f"""WITH {stencil(DEM)}, sl AS (SELECT image_id, x, y, degrees(atan(sqrt(pow(sx / 800, 2) + pow(sy / 800, 2)))) AS slope FROM gr), r AS (SELECT pair_id, pair_id % 5 AS image_id, source_x / 8 AS px, source_y / 8 AS py, error FROM {{v_residuals}} WHERE match_id <= 50)
+@query(f"""WITH {stencil(DEM)}, sl AS (SELECT image_id, x, y, degrees(atan(sqrt(pow(sx / 800, 2) + pow(sy / 800, 2)))) AS slope FROM gr), r AS (SELECT pair_id, pair_id % 5 AS image_id, source_x / 8 AS px, source_y / 8 AS py, error FROM {{v_residuals}})
     SELECT pair_id, count(*) AS n, round(corr(error, slope), 4) AS correlation FROM r JOIN sl ON sl.image_id = r.image_id AND x = floor(least(greatest(px, 0e0), 63e0)) AND y = floor(least(greatest(py, 0e0), 63e0)) GROUP BY pair_id""")
 def slope_residual_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(patches.slope_residual_corr(sampled(spark, sf_dir), dem(spark, sf_dir), 100.0))

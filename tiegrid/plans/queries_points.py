@@ -63,18 +63,19 @@ AXES = """SELECT *, radians(angle) AS t, sigma_major * sigma_major AS big, sigma
 
 
 @query("""
-    SELECT pair_id, match_id, round(big * cos(t) * cos(t) + small * sin(t) * sin(t), 6) AS cxx, round((big - small) * sin(t) * cos(t), 6) AS cxy,
-        round(big * sin(t) * sin(t) + small * cos(t) * cos(t), 6) AS cyy, round(sigma_major, 6) AS axis_major, round(sigma_minor, 6) AS axis_minor,
-        round(sigma_major / greatest(sigma_minor, 1e-6), 6) AS anisotropy, round(big + small, 6) AS trace,
-        CASE WHEN sigma_major > 2.0000001 THEN 'uncertain' WHEN sigma_major / greatest(sigma_minor, 1e-6) > 2.0000001 THEN 'elongated' ELSE 'isotropic' END AS kind
-    FROM (SELECT *, radians(angle) AS t, sigma_major * sigma_major AS big, sigma_minor * sigma_minor AS small FROM {v_matches}) AS m""")
+    SELECT pair_id, match_id, round(big * cos(t) * cos(t) + small * sin(t) * sin(t), 9) AS cxx, round((big - small) * sin(t) * cos(t), 9) AS cxy,
+        round(big * sin(t) * sin(t) + small * cos(t) * cos(t), 9) AS cyy, round(sqrt(big), 9) AS axis_major, round(sqrt(small), 9) AS axis_minor,
+        round(sqrt(big) / sqrt(small), 9) AS anisotropy, round(big + small, 9) AS trace, sqrt(big) / sqrt(small) >= 2 AND sqrt(small) <= 0.6 AS is_elongated,
+        sqrt(big) / sqrt(small) < 2 AND sqrt(big) <= 1.2 AS is_isotropic, sqrt(small) > 0.8 OR (sqrt(big) > 1.8 AND NOT (sqrt(big) / sqrt(small) >= 2 AND sqrt(small) <= 0.6)) AS is_uncertain
+    FROM (SELECT pair_id, match_id, radians(angle) AS t, pow(greatest(4 * sigma_major + 0.013, 1e-3), 2) AS big, pow(greatest(least(3 * sigma_minor, 4 * sigma_major + 0.013), 1e-3), 2) AS small FROM {v_matches}) AS m""")
 def covariance_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = points.covariance_axes(matches(spark, sf_dir))
-    steady = F.when(F.col("axis_major") > 2.0000001, "uncertain").when(F.col("anisotropy") > 2.0000001, "elongated").otherwise("isotropic")
-    return rounded(found.withColumn("kind", steady).select("pair_id", "match_id", "cxx", "cxy", "cyy", "axis_major", "axis_minor", "anisotropy", "trace", "kind"), 6)
+    # Wider axes than those of the matches, so that every flag occurs.
+    m = matches(spark, sf_dir).selectExpr("pair_id", "match_id", "4 * sigma_major + 0.013e0 AS sigma_major", "3 * sigma_minor AS sigma_minor", "angle")
+    found = points.covariance_axes(m)
+    return rounded(found.drop("sigma_major", "sigma_minor", "angle", "axis_angle"), 9)
 
 
-@query("""SELECT pair_id, match_id, round(confidence / (1 + pow(sigma_major, 0.7) * pow(sigma_minor, 0.5)) * (1 + 0.5 / (1 + 2 * sigma_minor)), 4) AS rank_score
+@query("""SELECT pair_id, match_id, round(confidence / (1 + 0.5 * pow(sigma_major, 0.7) * pow(greatest(sigma_minor, 1e-3), 0.5)) * (1 + 0.6 / (1 + 2 * greatest(sigma_minor, 1e-3))), 4) AS rank_score
     FROM {v_matches}""")
 def score_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.score_covariance(matches(spark, sf_dir)).select("pair_id", "match_id", "rank_score"))

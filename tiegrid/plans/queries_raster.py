@@ -55,8 +55,9 @@ def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOTH = "ab AS (SELECT p.image_id, p.v AS a, q.v AS b FROM {v_pixels} AS p JOIN {v_pixels_b} AS q ON p.image_id = q.image_id AND p.x = q.x AND p.y = q.y)"
 
 
-@query(f"""WITH {BOTH}, s AS (SELECT image_id, count(*) AS n, avg((a-b)*(a-b)) AS mse, max(a) - min(a) AS r, avg(abs(a-b)) AS d FROM ab GROUP BY image_id)
-    SELECT image_id, n, round(mse, 5) AS mse, round(10 * log10(r*r / mse), 5) AS psnr, round(d, 5) AS mean_difference FROM s""")
+@query(f"""WITH {BOTH}, s AS (SELECT image_id, count(*) AS n, avg((a-b)*(a-b)) AS mse, max(a) - min(a) AS r, avg(abs(a-b)) AS d, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM ab GROUP BY image_id),
+    o AS (SELECT ab.image_id, abs((a - la) / (ha - la) * 255 - (b - lb) / (hb - lb) * 255) AS o FROM ab JOIN s ON ab.image_id = s.image_id), m AS (SELECT image_id, avg(o) AS o, avg(CASE WHEN o < 8 THEN 1e0 ELSE 0 END) AS k FROM o GROUP BY image_id)
+    SELECT s.image_id, n, round(mse, 5) AS mse, round(10 * log10(r*r / mse), 5) AS psnr, round(d, 5) AS mean_difference, round(o, 5) AS mean_abs_diff, round(k, 5) AS near_black FROM s JOIN m ON s.image_id = m.image_id""")
 def overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.overlap_stats(pixels(spark, sf_dir), pixels_b(spark, sf_dir)), 5)
 
@@ -71,20 +72,20 @@ def nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.nmi(pixels(spark, sf_dir), pixels_b(spark, sf_dir)), 5)
 
 
-POINTS = "SELECT pair_id, match_id, pair_id % 5 AS image_id, source_x / 8 AS px, source_y / 8 AS py FROM {v_matches} WHERE match_id <= 50"
+POINTS = "SELECT pair_id, match_id, pair_id % 5 AS image_id, source_x / 8 AS px, source_y / 8 AS py FROM {v_matches}"
 
 
 @query(f"""WITH p AS ({POINTS}), q AS (SELECT *, least(greatest(px, 0e0), 63e0) AS qx, least(greatest(py, 0e0), 63e0) AS qy FROM p),
     c AS (SELECT q.*, least(floor(qx) + dx, 63) AS x, least(floor(qy) + dy, 63) AS y, CASE WHEN dx = 1 THEN qx - floor(qx) ELSE 1 - qx + floor(qx) END * CASE WHEN dy = 1 THEN qy - floor(qy) ELSE 1 - qy + floor(qy) END AS w FROM q, range(2) AS a(dx), range(2) AS b(dy))
     SELECT pair_id, match_id, round(sum(w * v), 5) AS value FROM c JOIN {{v_pixels}} AS g ON g.image_id = c.image_id AND g.x = c.x AND g.y = c.y GROUP BY pair_id, match_id""")
 def sample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = view(spark, sf_dir, "v_matches").filter("match_id <= 50").selectExpr("pair_id", "match_id", "pair_id % 5 AS image_id", "source_x / 8 AS px", "source_y / 8 AS py")
+    points = view(spark, sf_dir, "v_matches").selectExpr("pair_id", "match_id", "pair_id % 5 AS image_id", "source_x / 8 AS px", "source_y / 8 AS py")
     return rounded(raster.sample_raster(points, pixels(spark, sf_dir), True).select("pair_id", "match_id", "value"), 5)
 
 
 @query(f"""WITH p AS ({POINTS}) SELECT pair_id, match_id, round(v, 5) AS value FROM p JOIN {{v_pixels}} AS g ON g.image_id = p.image_id AND g.x = floor(least(greatest(px, 0e0), 63e0)) AND g.y = floor(least(greatest(py, 0e0), 63e0))""")
 def sample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = view(spark, sf_dir, "v_matches").filter("match_id <= 50").selectExpr("pair_id", "match_id", "pair_id % 5 AS image_id", "source_x / 8 AS px", "source_y / 8 AS py")
+    points = view(spark, sf_dir, "v_matches").selectExpr("pair_id", "match_id", "pair_id % 5 AS image_id", "source_x / 8 AS px", "source_y / 8 AS py")
     return rounded(raster.sample_raster(points, pixels(spark, sf_dir), False).select("pair_id", "match_id", "value"), 5)
 
 
@@ -94,13 +95,15 @@ def stretch01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.stretch01(pixels(spark, sf_dir)), 5)
 
 
-@query("""WITH e AS (SELECT image_id, quantile_cont(v, 0.03) AS c FROM {v_pixels} GROUP BY image_id) SELECT p.image_id, count(*) FILTER (v <= c) AS shadowed FROM {v_pixels} AS p JOIN e ON p.image_id = e.image_id GROUP BY p.image_id""")
+@query("""WITH q AS (SELECT image_id, x, y, CASE WHEN (x + y) % 17 = 0 THEN NULL WHEN (x + y) % 17 = 1 THEN 'nan'::DOUBLE ELSE v END AS v FROM {v_pixels}), e AS (SELECT image_id, quantile_cont(v, 0.03) FILTER (NOT isnan(v)) AS c FROM q GROUP BY image_id)
+    SELECT q.image_id, x, y, v IS NULL OR isnan(v) OR v <= c OR 20 + q.image_id * 7 % 90 >= 85 AS shadow FROM q JOIN e ON q.image_id = e.image_id""")
 def shadow_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.shadow_mask(pixels(spark, sf_dir)).groupBy("image_id").agg(F.count_if("shadow").alias("shadowed"))
+    holes = F.when((F.col("x") + F.col("y")) % 17 == 0, None).when((F.col("x") + F.col("y")) % 17 == 1, float("nan")).otherwise(F.col("v"))
+    return raster.shadow_mask(pixels(spark, sf_dir).withColumn("v", holes), 0.03, geometry(spark, sf_dir)).select("image_id", "x", "y", "shadow")
 
 
 @query("""WITH m AS (SELECT image_id, x, quantile_cont(v, 0.5) AS m FROM {v_pixels} GROUP BY image_id, x), g AS (SELECT image_id, quantile_cont(m, 0.5) AS g FROM m GROUP BY image_id)
-    SELECT p.image_id, p.x, p.y, round(CASE WHEN abs(m) > 1e-12 THEN v * g / m ELSE v END, 4) AS v FROM {v_pixels} AS p JOIN m ON p.image_id = m.image_id AND p.x = m.x JOIN g ON p.image_id = g.image_id""")
+    SELECT p.image_id, p.x, p.y, round(CASE WHEN m > 0 AND g <> 0 THEN v * g / greatest(m, 1e-6) ELSE v END, 4) AS v FROM {v_pixels} AS p JOIN m ON p.image_id = m.image_id AND p.x = m.x JOIN g ON p.image_id = g.image_id""")
 def destripe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.destripe(pixels(spark, sf_dir)))
 
@@ -112,10 +115,24 @@ def resample_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.resample_area(pixels(spark, sf_dir), 2.5), 5)
 
 
-@query("""SELECT image_id, x, y, round(v / greatest(0.5 * 2 * cos(radians(20 + image_id * 7)) / (cos(radians(20 + image_id * 7)) + cos(radians(5e0))) + 0.5 * cos(radians(20 + image_id * 7)), 0.001), 5) AS v FROM {v_pixels}""")
+GEOMETRY = "20e0 + image_id * 7 % 90 AS incidence, CASE WHEN image_id % 5 <> 1 THEN 5e0 END AS emission, CASE WHEN image_id % 3 <> 1 THEN 30e0 + image_id % 40 END AS phase"
+COSINES = f"""g AS (SELECT image_id, coalesce(greatest(cos(radians(incidence)), 1e-6), 1) AS i, coalesce(greatest(cos(radians(emission)), 1e-6), 1) AS e, coalesce(phase, 0e0) AS phase, cos(radians(coalesce(phase, 0e0))) AS c
+    FROM (SELECT DISTINCT image_id, {GEOMETRY} FROM {{v_pixels}}) AS d)"""
+
+
+def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).select("image_id").distinct().selectExpr("image_id", *GEOMETRY.split(", "))
+
+
+@query(f"""WITH {COSINES} SELECT p.image_id, x, y, round(v / ((1 - exp(-phase / 60)) * 2 * i / (i + e) + exp(-phase / 60) * i), 5) AS v FROM {{v_pixels}} AS p JOIN g ON p.image_id = g.image_id""")
 def photometric_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    geometry = pixels(spark, sf_dir).select("image_id").distinct().selectExpr("image_id", "20e0 + image_id * 7 AS incidence", "5e0 AS emission")
-    return rounded(raster.photometric_correct(pixels(spark, sf_dir), geometry, "lunar_lambert"), 5)
+    return rounded(raster.photometric_correct(pixels(spark, sf_dir), geometry(spark, sf_dir), "lunar_lambert"), 5)
+
+
+@query(f"""WITH {COSINES}, f AS (SELECT image_id, 0.21 / 4 / pi() * i / (i + e) * ((1 + 0.9 / (1 + tan(radians(phase) / 2) / 0.07)) * (0.3 * (1 - 0.0441) / pow(1 + 0.42 * c + 0.0441, 1.5) + 0.7 * (1 - 0.0441) / pow(1 - 0.42 * c + 0.0441, 1.5)) + 1) AS f FROM g)
+    SELECT p.image_id, x, y, round(v / f, 3) AS v FROM {{v_pixels}} AS p JOIN f ON p.image_id = f.image_id""")
+def photometric_hapke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(raster.photometric_correct(pixels(spark, sf_dir), geometry(spark, sf_dir), "hapke"), 3)
 
 
 @query(f"""WITH {stencil(DEM)}, sl AS (SELECT *, degrees(atan(sqrt(pow(sx / 8 / 100, 2) + pow(sy / 8 / 100, 2)))) AS slope FROM gr),
@@ -136,14 +153,19 @@ def cast_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.cast_shadow(dem(spark, sf_dir), 90.0, 45.0, 100.0, 6).groupBy("image_id").agg(F.count_if("shadow").alias("shadowed"))
 
 
-@query(f"""WITH {stencil('{v_pixels}')} SELECT image_id, x, y, CAST((nw >= v)::INT + 2*(n >= v)::INT + 4*(ne >= v)::INT + 8*(w >= v)::INT + 16*(e >= v)::INT + 32*(sw >= v)::INT + 64*(s >= v)::INT + 128*(se >= v)::INT AS BIGINT) AS code FROM st""")
+STRETCHED = """z AS (SELECT p.image_id, x, y, least(greatest((v - l) / (h - l), 0e0), 1e0) AS v FROM {v_pixels} AS p JOIN (SELECT image_id, quantile_cont(v, 0.01) AS l, quantile_cont(v, 0.99) AS h FROM {v_pixels} GROUP BY image_id) AS q ON p.image_id = q.image_id)"""
+BITS = lambda order: " + ".join(f"{1 << k} * ({n} >= v)::INT" for k, n in enumerate(order))
+
+
+@query(f"""WITH {STRETCHED}, {stencil('z')} SELECT image_id, x, y, CAST({BITS(raster.CENSUS)} AS BIGINT) AS code FROM st""")
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.bit_code(pixels(spark, sf_dir), raster.CENSUS)
+    return raster.census(pixels(spark, sf_dir))
 
 
-@query(f"""WITH {stencil('{v_pixels}')} SELECT image_id, x, y, CAST((n >= v)::INT + 2*(ne >= v)::INT + 4*(e >= v)::INT + 8*(se >= v)::INT + 16*(s >= v)::INT + 32*(sw >= v)::INT + 64*(w >= v)::INT + 128*(nw >= v)::INT AS BIGINT) AS code FROM st""")
+@query(f"""WITH {STRETCHED}, g AS (SELECT image_id, x, y, floor((v - min(v) OVER (PARTITION BY image_id)) / (max(v) OVER (PARTITION BY image_id) - min(v) OVER (PARTITION BY image_id)) * 255) AS v FROM z), {stencil('g')}
+    SELECT image_id, x, y, CAST({BITS(raster.LBP)} AS BIGINT) AS code FROM st""")
 def lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.bit_code(pixels(spark, sf_dir), raster.LBP)
+    return raster.lbp(pixels(spark, sf_dir)).drop("value")
 
 
 @query("""WITH m AS (SELECT 'x' AS axis, image_id, x AS k, avg(v) AS m FROM {v_pixels} GROUP BY image_id, x UNION ALL SELECT 'y', image_id, y, avg(v) FROM {v_pixels} GROUP BY image_id, y),
@@ -157,7 +179,7 @@ def profile_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT image_id, x, unnest(range(64)) AS band, unnest(bands) AS v FROM {v_cube}), m AS (SELECT image_id, band, avg(v) AS m FROM b GROUP BY image_id, band)
-    SELECT b.image_id, b.x, round(acos(least(greatest(sum(v * m) / sqrt(sum(v*v) * sum(m*m)), -1e0), 1e0)), 5) AS angle FROM b JOIN m ON b.image_id = m.image_id AND b.band = m.band GROUP BY b.image_id, b.x""")
+    SELECT b.image_id, b.x, round(acos(least(greatest(sum(v * m) / (sqrt(sum(v*v)) * sqrt(sum(m*m)) + 1e-8), -1e0), 1e0)), 5) AS angle FROM b JOIN m ON b.image_id = m.image_id AND b.band = m.band GROUP BY b.image_id, b.x""")
 def spectral_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.spectral_angle(view(spark, sf_dir, "v_cube")).select("image_id", "x", "angle"), 5)
 
@@ -168,17 +190,19 @@ def disparity_to_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.disparity_to_dem(pixels(spark, sf_dir), views, 100.0), 5)
 
 
-ANGLES = """b AS (SELECT image_id, x, unnest(range(64)) AS band, unnest(bands) AS v FROM {v_cube}), m AS (SELECT image_id, band, avg(v) AS m, var_pop(v) AS s, quantile_cont(v, 0.5) AS mid FROM b GROUP BY image_id, band),
-    a AS (SELECT b.image_id, b.x, acos(least(greatest(sum(v * m) / sqrt(sum(v*v) * sum(m*m)), -1e0), 1e0)) AS angle FROM b JOIN m ON b.image_id = m.image_id AND b.band = m.band GROUP BY b.image_id, b.x)"""
+ANGLES = """b AS (SELECT image_id, x, unnest(range(64)) AS band, unnest(bands) AS v FROM {v_cube}), m AS (SELECT image_id, band, avg(v) AS m FROM b GROUP BY image_id, band),
+    a AS (SELECT b.image_id, b.x, acos(least(greatest(sum(v * m) / (sqrt(sum(v*v)) * sqrt(sum(m*m)) + 1e-8), -1e0), 1e0)) AS angle, var_pop(v) AS s FROM b JOIN m ON b.image_id = m.image_id AND b.band = m.band GROUP BY b.image_id, b.x)"""
 
 
-@query(f"WITH {ANGLES}, s AS (SELECT image_id, avg(s) AS s FROM m GROUP BY image_id) SELECT a.image_id, round(max(s), 6) AS mean_band_variance, round(degrees(avg(angle)), 4) AS mean_angle_deg FROM a JOIN s ON a.image_id = s.image_id GROUP BY a.image_id")
+@query(f"WITH {ANGLES} SELECT image_id, round(avg(s), 6) AS spectral_variance, round(degrees(avg(angle)), 4) AS spectral_angle_deg FROM a GROUP BY image_id")
 def spectral_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = raster.spectral_residuals(view(spark, sf_dir, "v_cube"))
-    return done.select("image_id", (F.round("mean_band_variance", 6) + 0.0).alias("mean_band_variance"), (F.round("mean_angle_deg", 4) + 0.0).alias("mean_angle_deg"))
+    return done.select("image_id", (F.round("spectral_variance", 6) + 0.0).alias("spectral_variance"), (F.round("spectral_angle_deg", 4) + 0.0).alias("spectral_angle_deg"))
 
 
-@query(f"WITH {ANGLES} SELECT b.image_id, b.x, round(sum(CASE WHEN angle > 1.4 THEN mid ELSE v END), 5) AS total, bool_or(angle > 1.4) AS rejected FROM b JOIN m ON b.image_id = m.image_id AND b.band = m.band JOIN a ON a.image_id = b.image_id AND a.x = b.x GROUP BY b.image_id, b.x")
+@query(f"""WITH {ANGLES}, o AS (SELECT image_id, x, avg(v) AS v FROM b GROUP BY image_id, x), f AS (SELECT image_id, quantile_cont(v, 0.5) AS fill FROM o GROUP BY image_id)
+    SELECT o.image_id, o.x, round(CASE WHEN angle <= 1.4 THEN v ELSE fill END, 5) AS v, angle <= 1.4 AS valid FROM o JOIN f ON o.image_id = f.image_id JOIN a ON a.image_id = o.image_id AND a.x = o.x""")
 def sam_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = raster.sam_gate(view(spark, sf_dir, "v_cube"), 1.4)
-    return rounded(done.select("image_id", "x", F.aggregate("bands", F.lit(0.0), lambda s, v: s + v).alias("total"), "rejected"), 5)
+    cube = view(spark, sf_dir, "v_cube")
+    overlay = cube.select("image_id", "x", "y", (F.aggregate("bands", F.lit(0.0), lambda s, v: s + v) / F.size("bands")).alias("v"))
+    return rounded(raster.sam_gate(overlay, raster.spectral_angle(cube), 1.4).drop("y"), 5)

@@ -68,7 +68,7 @@ VIEWS: dict[str, str] = {
         SELECT pair_id * 1000000 + match_id AS trial_id, pair_id, match_id,
             a * source_x + b * source_y + c - target_x AS error_x, d * source_x + e * source_y + f - target_y AS error_y,
             sigma_major * sigma_major AS cxx, 0.1e0 * sigma_major * sigma_minor AS cxy, sigma_minor * sigma_minor AS cyy,
-            CASE match_id % 20 WHEN 0 THEN 'flat' WHEN 1 THEN 'multimodal' WHEN 2 THEN 'failed' ELSE 'valid' END AS status,
+            CASE match_id % 20 WHEN 0 THEN 'flat_peak' WHEN 1 THEN 'multimodal' WHEN 2 THEN 'failed' ELSE 'valid' END AS status,
             match_id % 20 > 2 AS is_valid, CASE WHEN match_id % 2 = 0 THEN 'forward' ELSE 'backward' END AS direction,
             match_id % 4 AS magnitude
         FROM {v_residuals}""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,24 @@ def join_on_hot_keys(rows: DataFrame, keyed: DataFrame, key: str, count: str) ->
     return here.unionByName(there)
 
 
+def running_sums(df: DataFrame, value: str, sums: list[str], descending: bool = False, pieces: int = 256) -> DataFrame:
+    """Adds ``upto_<c>`` for each c of ``sums``: its sum over all rows up to and with the same ``value``, from the least or the largest one on.
+
+    Rows are cut at quantiles of the value into ``pieces`` that are summed each
+    for itself; only the pieces' totals are ordered in one place.
+    """
+    cuts = df.agg(F.percentile_approx(value, F.array(*(F.lit(k / pieces) for k in range(1, pieces))), F.lit(10_000)).alias("_cuts"))
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    way = -1 if descending else 1
+    order = F.desc(value) if descending else F.asc(value)
+    totals = placed.groupBy("_piece").agg(*(F.sum(c).alias("_t_" + c) for c in sums))
+    before = Window.orderBy(F.col("_piece") * way).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as pieces
+    starts = totals.select("_piece", *(F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_b_" + c) for c in sums))
+    inside = Window.partitionBy("_piece").orderBy(order)
+    found = placed.select("*", *(F.sum(c).over(inside).alias("_s_" + c) for c in sums)).join(F.broadcast(starts), "_piece")
+    return found.select(*df.columns, *((F.col("_b_" + c) + F.col("_s_" + c)).alias("upto_" + c) for c in sums))
+
+
 def drop_work_tables(spark: SparkSession) -> None:
     """Delete every table that this application's jobs have written to the shared folder.
 
