@@ -54,6 +54,17 @@ def audit_gsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.audit_gsd(p)
 
 
+GSDS = "product_id % 4 AS k, CASE WHEN product_id % 3 <> 0 THEN gsd END AS gsd, CASE WHEN product_id % 4 < 2 THEN gsd * 2 END AS native_gsd, CASE WHEN product_id % 5 = 0 THEN gsd * 1.03e0 WHEN product_id % 5 = 1 THEN gsd * 1.4e0 END AS effective_gsd, CASE WHEN product_id % 7 < 3 THEN 2e0 WHEN product_id % 7 = 3 THEN 0e0 END AS resampling_factor"
+
+
+@query(f"""WITH p AS (SELECT product_id, {GSDS} FROM {{v_products}}), a AS (SELECT product_id, gsd, native_gsd AS n, coalesce(effective_gsd, gsd) AS e, coalesce(resampling_factor, 1) AS f FROM p),
+    b AS (SELECT product_id, gsd, e, f, coalesce(n, CASE WHEN abs(f - 1) < 1e-6 THEN e END, gsd) AS n FROM a), c AS (SELECT product_id, n, f, coalesce(e, n / greatest(f, 1e-9)) AS e, gsd FROM b)
+    SELECT product_id, round(n, 6) AS native_gsd, round(e, 6) AS effective_gsd, round(coalesce(e, gsd), 6) AS gsd, CASE WHEN n IS NULL OR n <= 0 THEN 'native_gsd' WHEN e IS NULL OR e <= 0 THEN 'effective_gsd' WHEN f <= 0 THEN 'resampling_factor' WHEN abs(e - n / f) > 0.05 * n / f THEN 'inconsistent' END AS gsd_problem FROM c""")
+def harmonize_gsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = products(spark, sf_dir).selectExpr("product_id", *(x.strip() for x in GSDS.split(", ")))
+    return rounded(catalog.harmonize_gsd(p).select("product_id", "native_gsd", "effective_gsd", "gsd", "gsd_problem"), 6)
+
+
 RING = "array(named_struct('lon', west_lon, 'lat', south_lat), named_struct('lon', east_lon, 'lat', south_lat), named_struct('lon', east_lon, 'lat', north_lat), named_struct('lon', west_lon, 'lat', north_lat))"
 
 

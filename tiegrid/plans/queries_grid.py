@@ -120,9 +120,21 @@ def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.failure_causes(m).select("pair_id", F.array_join("causes", ",").alias("causes"), "primary")
 
 
-@query(None)
+@query("""WITH h AS (SELECT pair_id, n, a * CASE WHEN pair_id % 5 = 0 THEN 1e-6 ELSE 1 END AS a, b, c, d, e * CASE WHEN pair_id % 7 = 0 THEN 30 ELSE 1 END AS e, f, CASE WHEN pair_id % 3 = 0 THEN 0.06e0 ELSE 1e-4 END AS g, 2e-5 AS k FROM {v_transforms}),
+    m AS (SELECT *, a*a + d*d + g*g AS xx, a*b + d*e + g*k AS xy, a*c + d*f + g AS xz, b*b + e*e + k*k AS yy, b*c + e*f + k AS yz, c*c + f*f + 1 AS zz, a*(e - f*k) - b*(d - f*g) + c*(d*k - e*g) AS det, a*a + b*b + d*d + e*e AS s, abs(a*e - b*d) AS t FROM h),
+    q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q),
+    r AS (SELECT *, acos(least(greatest(((xx - q) * ((yy - q) * (zz - q) - yz*yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p*p*p), -1), 1)) / 3 AS phi FROM p),
+    l AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM r),
+    o AS (SELECT pair_id, n, det, l1 * sqrt(greatest(3*q - l1 - l3, 0)) / abs(det) AS cond, sqrt((s + sqrt(greatest(s*s - 4*t*t, 0))) / 2) / greatest(sqrt(greatest((s - sqrt(greatest(s*s - 4*t*t, 0))) / 2, 0)), 1e-9) AS ratio, sqrt(g*g + k*k) AS pr FROM l)
+    SELECT pair_id, n, round(det, 4) AS determinant, round(log10(cond), 4) AS log_condition, round(log10(ratio), 4) AS log_scale_ratio, round(pr, 4) AS projectivity, cond < 1e7 AND det > 1e-4 AND ratio < 20 AND pr < 0.05 AS is_valid FROM o""")
 def transform_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality.transform_gate(transforms(spark, sf_dir)).drop("h"))
+    """Fitted maps, some of them flattened, stretched or bent so that each limit is met and missed."""
+    h = F.col("h")
+    off = {0: F.when(F.col("pair_id") % 5 == 0, 1e-6).otherwise(1.0), 4: F.when(F.col("pair_id") % 7 == 0, 30.0).otherwise(1.0)}
+    bent = F.array(*(h[k] * off[k] if k in off else h[k] for k in range(6)), F.when(F.col("pair_id") % 3 == 0, 0.06).otherwise(1e-4), F.lit(2e-5), F.lit(1.0))
+    found = quality.transform_gate(transforms(spark, sf_dir).withColumn("h", bent))
+    found = found.select("pair_id", "n", "determinant", F.log10("condition").alias("log_condition"), F.log10("scale_ratio").alias("log_scale_ratio"), "projectivity", "is_valid")
+    return rounded(found)
 
 
 GRID8 = "least(7, greatest(0, CAST(floor(source_x / 64e0) AS INTEGER)))"
@@ -274,9 +286,9 @@ def ks_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT pair_id, confidence AS v, row_number() OVER (PARTITION BY pair_id ORDER BY match_id) - 1 AS place, count(*) OVER (PARTITION BY pair_id) AS n FROM {v_matches}),
     r AS (SELECT a.pair_id, r, avg(b.v) AS m FROM v AS a, range(40) AS g(r), v AS b WHERE a.pair_id = b.pair_id AND b.place = (104729*r + 7919*a.place + 15485863*(((r + 1)*(a.place + 3)) % 10007) + 31*a.pair_id) % a.n GROUP BY a.pair_id, r)
-    SELECT pair_id, round(quantile_cont(m, 0.025), 7) AS low, round(quantile_cont(m, 0.975), 7) AS high FROM r GROUP BY pair_id""")
+    SELECT pair_id, round(quantile_cont(m, 0.025), 10) AS low, round(quantile_cont(m, 0.975), 10) AS high FROM r GROUP BY pair_id""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(experiments.bootstrap_ci(matches(spark, sf_dir), "confidence", 40).select("pair_id", "low", "high"), 7)
+    return rounded(experiments.bootstrap_ci(matches(spark, sf_dir), "confidence", 40).select("pair_id", "low", "high"), 10)
 
 
 @query("""WITH s AS (SELECT pair_id, rank() OVER (PARTITION BY pair_id ORDER BY confidence DESC) AS r1, rank() OVER (PARTITION BY pair_id ORDER BY sigma_major) AS r2, match_id FROM {v_matches})

@@ -7,9 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiegrid.operators import catalog, jobs, patches, solvers
+from tiegrid.operators import catalog, fit, jobs, patches, points, quality, solvers
 from tiegrid.plans.queries_catalog import RING, products
-from tiegrid.plans.queries_grid import metrics
 from tiegrid.plans.queries_points import LEGS, inliers, legs, matches, rounded, transforms
 from tiegrid.plans.queries_raster import BOTH, DEM, POINTS, dem, pixels, pixels_b, stencil
 from tiegrid.plans.registry import query
@@ -49,6 +48,21 @@ def search_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(patches.search_displacement(pixels(spark, sf_dir), pixels_b(spark, sf_dir), k, 4, 4).select("image_id", "kp_id", "dx", "dy", "ncc"))
 
 
+@query(f"""WITH {stencil('{v_pixels}', True, 'a')}, {stencil('{v_pixels_b}', True, 'b')}, k AS ({KEYPOINTS}),
+    pp AS (SELECT k.image_id, kp_id, dx, dy, p.v AS a, q.v AS b, (p.sx*p.sx + p.sy*p.sy) * (q.sx*q.sx + q.sy*q.sy) AS z, (p.sx*p.sx - p.sy*p.sy) * (q.sx*q.sx - q.sy*q.sy) + 4*p.sx*p.sy*q.sx*q.sy AS c
+        FROM k JOIN agr AS p ON p.image_id = k.image_id AND abs(p.x - kx) <= 4 AND abs(p.y - ky) <= 4 CROSS JOIN range(-4, 5) AS d(dx) CROSS JOIN range(-4, 5) AS e(dy) JOIN bgr AS q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy),
+    s AS (SELECT image_id, kp_id, dx, dy, corr(a, b) AS ncc, sum(sqrt(z) * 0.5 * (c / (z + 1e-8) + 1)) / sum(sqrt(z)) AS goa, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM pp GROUP BY ALL HAVING count(*) = 81),
+    t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY image_id, kp_id ORDER BY goa DESC, dx, dy) <= 5),
+    j AS (SELECT t.image_id, t.kp_id, t.dx, t.dy, least(31, floor((a - la) / ((ha - la + 1e-6) / 32))) AS i, least(31, floor((b - lb) / ((hb - lb + 1e-6) / 32))) AS j, count(*) / 81e0 AS p FROM t JOIN pp ON pp.image_id = t.image_id AND pp.kp_id = t.kp_id AND pp.dx = t.dx AND pp.dy = t.dy GROUP BY ALL),
+    m AS (SELECT *, sum(p) OVER (PARTITION BY image_id, kp_id, dx, dy, i) AS pi, sum(p) OVER (PARTITION BY image_id, kp_id, dx, dy, j) AS pj FROM j),
+    n AS (SELECT image_id, kp_id, dx, dy, sum(p * ln((p + 1e-12) / (pi * pj + 1e-12))) / -sum(p * ln(p + 1e-12)) AS mi FROM m GROUP BY ALL)
+    SELECT image_id, kp_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, round(0.6 * mi + 0.4 * greatest(ncc, 0), 4) AS score, round(ncc, 4) AS ncc FROM t JOIN n USING (image_id, kp_id, dx, dy)
+    QUALIFY row_number() OVER (PARTITION BY image_id, kp_id ORDER BY 0.6 * mi + 0.4 * greatest(ncc, 0) DESC, goa DESC, dx, dy) = 1""")
+def search_displacement_multimodal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = patches.search_displacement(pixels(spark, sf_dir), pixels_b(spark, sf_dir), keypoints(spark, sf_dir), 4, 4, multimodal=True)
+    return rounded(found.drop("uniqueness"))
+
+
 def patch_sobel(name: str, source: str, points: str, half: int) -> str:
     """Gradients within patches of ``points`` (image_id, kp_id, kx, ky), mirrored at the patches' edges, as the view ``name``."""
     row, column = "(PARTITION BY image_id, kp_id, oy ORDER BY ox)", "(PARTITION BY image_id, kp_id, ox ORDER BY oy)"
@@ -124,6 +138,22 @@ def fit_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(solvers.fit_homography(inliers(spark, sf_dir)).select("pair_id", "n", *(h[k].alias(f"h{k}") for k in range(9))))
 
 
+@query(None)
+def fit_homography_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("h")
+    return rounded(solvers.fit_homography(inliers(spark, sf_dir), mode="whitened").select("pair_id", "n", *(h[k].alias(f"h{k}") for k in range(9))))
+
+
+@query(f"""WITH ab AS (SELECT image_id, x, y, v AS a, v * 1.1 + 0.02 * ((x * 7 + y * 3) % 11) AS b FROM {{v_pixels}}), s AS (SELECT image_id, x, y, a AS s0, b AS s1, a*a AS s2, b*b AS s3, a*b AS s4 FROM ab), r AS ({blurred('s', 'y', 'x')}), c AS ({blurred('r', 'x', 'y')})
+    SELECT image_id, count(*) AS n, round(least(greatest(avg((2*s0*s1 + 0.0001) * (2*(s4 - s0*s1) + 0.0009) / ((s0*s0 + s1*s1 + 0.0001) * (s2 - s0*s0 + s3 - s1*s1 + 0.0009))), 0), 1), 5) AS ssim FROM c WHERE x + y >= 25 AND 7 * y >= 6 * (x - 25) AND x + y <= 90 AND 6 * (y - 25) <= 7 * x GROUP BY image_id""")
+def ssim_within_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corners = "array(named_struct('px', -5e0, 'py', 25e0), named_struct('px', 25e0, 'py', -5e0), named_struct('px', 60e0, 'py', 30e0), named_struct('px', 30e0, 'py', 60e0), named_struct('px', 30e0, 'py', 30e0))"
+    inside = pixels(spark, sf_dir).select("image_id").distinct().select("image_id", F.explode(F.expr(corners)).alias("p")).select("image_id", "p.px", "p.py")
+    # Two corners lie outside and are clamped to the frame.
+    other = pixels(spark, sf_dir).withColumn("v", F.col("v") * 1.1 + 0.02 * ((F.col("x") * 7 + F.col("y") * 3) % 11))
+    return rounded(patches.ssim_within_inliers(pixels(spark, sf_dir), other, inside, 64, 64, 1.0), 5)
+
+
 @query(None)
 def refine_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("h")
@@ -162,17 +192,36 @@ def register_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(jobs.register_tiled(matches(spark, sf_dir), 512.0, 512.0).select(STATUS))
 
 
-@query(f"""WITH {LEGS} SELECT n.triplet_id, CASE WHEN have = 3 THEN 'measured' WHEN have = 2 THEN 'composed' ELSE 'cycle_not_computable' END AS completion, round(rmse, 4) AS rmse, rmse < 5 AS is_closed FROM n LEFT JOIN r USING (triplet_id)""")
+@query(f"""WITH {LEGS} SELECT n.triplet_id, CASE WHEN have = 3 THEN 'measured' WHEN have = 2 THEN 'composed' ELSE 'cycle_not_computable' END AS completion, round(rmse, 4) AS rmse, rmse < 5 AS is_closed, status AS network_status FROM n LEFT JOIN r USING (triplet_id)
+    LEFT JOIN (SELECT CAST(floor(pair_id / 3e0) AS BIGINT) AS triplet_id, CASE WHEN count(DISTINCT pair_id) < 2 THEN 'failed' ELSE 'ok' END AS status FROM {{v_matches}} WHERE label GROUP BY 1) AS w USING (triplet_id)""")
 def evaluate_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(jobs.evaluate_triplets(legs(spark, sf_dir), 512.0, 512.0).select("triplet_id", "completion", "rmse", "is_closed"))
+    m = inliers(spark, sf_dir).selectExpr("CAST(floor(pair_id / 3e0) AS BIGINT) AS triplet_id", "pair_id * 10 AS src", "CAST(floor(pair_id / 3e0) AS BIGINT) * 30 + 7 AS ref", "source_x", "source_y", "target_x", "target_y")
+    found = jobs.evaluate_triplets(legs(spark, sf_dir), 512.0, 512.0, m)
+    return rounded(found.select("triplet_id", "completion", "rmse", "is_closed", "network_status"))
+
+
+METHODS = """e AS (SELECT pair_id, 'labelled' AS method, error FROM {v_residuals} WHERE label UNION ALL SELECT m.pair_id, 'all', sqrt(pow(a*source_x + b*source_y + c - target_x, 2) + pow(d*source_x + e*source_y + f - target_y, 2))
+        FROM {v_matches} AS m JOIN (SELECT pair_id, a, b, mu - a*mx - b*my AS c, d, e, mv - d*mx - e*my AS f FROM (SELECT *, (xu*yy - yu*xy)/(xx*yy - xy*xy) AS a, (yu*xx - xu*xy)/(xx*yy - xy*xy) AS b, (xv*yy - yv*xy)/(xx*yy - xy*xy) AS d, (yv*xx - xv*xy)/(xx*yy - xy*xy) AS e
+            FROM (SELECT pair_id, avg(source_x) AS mx, avg(source_y) AS my, avg(target_x) AS mu, avg(target_y) AS mv, var_pop(source_x) AS xx, var_pop(source_y) AS yy, covar_pop(source_x, source_y) AS xy, covar_pop(source_x, target_x) AS xu, covar_pop(source_y, target_x) AS yu,
+                covar_pop(source_x, target_y) AS xv, covar_pop(source_y, target_y) AS yv FROM {v_matches} GROUP BY pair_id) AS s) AS q) AS t ON m.pair_id = t.pair_id),
+    q AS (SELECT method, pair_id, sqrt(avg(error*error)) AS rmse, avg(CASE WHEN error < 0.75 THEN 1e0 ELSE 0 END) AS near FROM e GROUP BY method, pair_id), o AS (SELECT *, near >= 0.55 AS success, CASE WHEN rmse > 5 THEN 'rmse_over_gate' ELSE 'unknown' END AS "primary" FROM q)"""
 
 
-@query("""WITH q AS (SELECT pair_id, concat('m', CAST(pair_id % 4 AS VARCHAR)) AS method, pair_id * 37 % 100 >= 40 AND pair_id % 13 <> 0 AS success, (pair_id * 17 % 300) / 100e0 AS rmse, concat('c', CAST(pair_id % 3 AS VARCHAR)) AS "primary" FROM (SELECT DISTINCT pair_id FROM {v_matches}) AS p),
-    c AS (SELECT method, "primary" FROM q WHERE NOT success GROUP BY method, "primary" QUALIFY row_number() OVER (PARTITION BY method ORDER BY count(*) DESC, "primary" DESC) = 1)
-    SELECT q.method, count(*) AS pairs, count(*) FILTER (success) AS successes, round(avg(CASE WHEN success THEN 1e0 ELSE 0 END), 4) AS success_rate, round(avg(CASE WHEN success THEN rmse END), 4) AS mean_rmse, max(c."primary") AS top_cause FROM q LEFT JOIN c ON q.method = c.method GROUP BY q.method""")
+@query(f"""WITH {METHODS}, c AS (SELECT method, "primary" FROM o WHERE NOT success GROUP BY method, "primary" QUALIFY row_number() OVER (PARTITION BY method ORDER BY count(*) DESC, "primary" DESC) = 1),
+    p AS (SELECT 'all' AS method, count(*) FILTER (x.success AND NOT y.success) AS b, count(*) FILTER (NOT x.success AND y.success) AS c FROM o AS x JOIN o AS y ON x.pair_id = y.pair_id AND x.method = 'all' AND y.method = 'labelled'),
+    v AS (SELECT method, b, c, CASE WHEN b + c = 0 THEN 1e0 ELSE least(1e0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))) FROM range(0, 1000000) AS g(k) WHERE k <= least(b, c))) END AS p FROM p)
+    SELECT o.method, count(*) AS pairs, count(*) FILTER (success) AS successes, round(avg(CASE WHEN success THEN 1e0 ELSE 0 END), 4) AS success_rate, round(avg(CASE WHEN success THEN rmse END), 4) AS mean_rmse, round(quantile_cont(CASE WHEN success THEN rmse END, 0.5), 4) AS median_rmse,
+        max(c."primary") AS top_cause, max(v.b) AS b, max(v.c) AS c, round(max(v.p), 4) AS p_value FROM o LEFT JOIN c ON o.method = c.method LEFT JOIN v ON o.method = v.method GROUP BY o.method""")
 def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = metrics(spark, sf_dir).selectExpr("concat('m', pair_id % 4) AS method", "pair_id * 37 % 100 >= 40 AND pair_id % 13 <> 0 AS success", "fit_rmse AS rmse", "concat('c', pair_id % 3) AS primary")
-    return rounded(jobs.compare_methods(r))
+    """Maps fitted to all candidates against maps fitted to the labelled ones; a pair succeeds if over half its residuals are small."""
+    outcome = lambda m, t, name: points.project(m.join(t.select("pair_id", "h"), "pair_id")).groupBy("pair_id").agg(
+        F.lit(name).alias("method"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg((F.col("error") < 0.75).cast("double")).alias("near")
+    )
+    every = matches(spark, sf_dir)
+    runs = outcome(every, fit.fit_affine(every), "all").unionByName(outcome(inliers(spark, sf_dir), transforms(spark, sf_dir), "labelled"))
+    none = {c: F.lit(None).cast("double") for c in ("texture", "sun_gap", "scale", "dark", "saturated")}
+    judged = quality.failure_causes(runs.withColumns({"success": F.col("near") >= 0.55, "gate_px": F.lit(5.0), **none}))
+    return rounded(jobs.compare_methods(judged, "labelled"))
 
 
 @query(None)

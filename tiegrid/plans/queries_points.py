@@ -224,9 +224,8 @@ def bootstrap_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONSENSUS = f"""
     m AS (SELECT *, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY match_id) - 1 AS BIGINT) AS place FROM {{v_matches}}),
-    z AS (SELECT pair_id, count(*) AS n FROM m GROUP BY pair_id), b AS (SELECT pair_id, n, hyp, (104729*hyp + 31*pair_id) % n AS base FROM z, range(32) AS g(hyp)),
-    dr AS (SELECT pair_id, hyp, base AS place FROM b UNION SELECT pair_id, hyp, (base + 1 + (hyp*7919) % greatest(1, CAST(floor(n/3) AS BIGINT))) % n FROM b
-        UNION SELECT pair_id, hyp, (base + 1 + CAST(floor(n/2) AS BIGINT) + (hyp*613) % greatest(1, CAST(floor(n/3) AS BIGINT))) % n FROM b),
+    z AS (SELECT pair_id, count(*) AS n FROM m GROUP BY pair_id), b AS (SELECT pair_id, n, hyp, j, ((hyp + 1)*7919 + (j + 1)*104729 + 31*pair_id) % 10007 AS q FROM z, range(32) AS g(hyp), range(3) AS i(j)),
+    dr AS (SELECT DISTINCT pair_id, hyp, ((q*q*(hyp + 3) + 15485863*(j + 1)) % 1000003) % n AS place FROM b),
     v AS (SELECT dr.pair_id, hyp, count(*) AS n, avg(source_x) AS mx, avg(source_y) AS my, avg(target_x) AS mu, avg(target_y) AS mv, var_pop(source_x) AS xx, var_pop(source_y) AS yy, covar_pop(source_x, source_y) AS xy,
         covar_pop(source_x, target_x) AS xu, covar_pop(source_y, target_x) AS yu, covar_pop(source_x, target_y) AS xv, covar_pop(source_y, target_y) AS yv
         FROM dr JOIN m ON m.pair_id = dr.pair_id AND m.place = dr.place GROUP BY dr.pair_id, hyp),

@@ -23,12 +23,17 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).withColumn("v", F.col("v") * 1000)
 
 
-def stencil(source: str) -> str:
+def stencil(source: str, mirror: bool = False, name: str = "") -> str:
+    """Neighbours (``st``) and gradients (``gr``) of pixels; edges stand in for what lies beyond, or the pixels before them."""
     row, column = "(PARTITION BY image_id, y ORDER BY x)", "(PARTITION BY image_id, x ORDER BY y)"
-    return f"""side AS (SELECT *, coalesce(lag(v) OVER {row}, v) AS w, coalesce(lead(v) OVER {row}, v) AS e FROM {source}),
-    st AS (SELECT *, coalesce(lag(v) OVER {column}, v) AS n, coalesce(lead(v) OVER {column}, v) AS s, coalesce(lag(w) OVER {column}, w) AS nw, coalesce(lag(e) OVER {column}, e) AS ne,
-        coalesce(lead(w) OVER {column}, w) AS sw, coalesce(lead(e) OVER {column}, e) AS se FROM side),
-    gr AS (SELECT *, ne + 2*e + se - nw - 2*w - sw AS sx, sw + 2*s + se - nw - 2*n - ne AS sy, n + s + w + e - 4*v AS lap FROM st)"""
+
+    def step(c: str, window: str, before: bool) -> str:
+        near, other = ("lag", "lead") if before else ("lead", "lag")
+        return f"coalesce({near}({c}) OVER {window}, {f'{other}({c}) OVER {window}, ' if mirror else ''}{c})"
+
+    return f"""{name}side AS (SELECT *, {step('v', row, True)} AS w, {step('v', row, False)} AS e FROM {source}),
+    {name}st AS (SELECT *, {', '.join(f"{step(c, column, n[0] == 'n')} AS {n}" for n, c in (('n', 'v'), ('s', 'v'), ('nw', 'w'), ('ne', 'e'), ('sw', 'w'), ('se', 'e')))} FROM {name}side),
+    {name}gr AS (SELECT *, ne + 2*e + se - nw - 2*w - sw AS sx, sw + 2*s + se - nw - 2*n - ne AS sy, n + s + w + e - 4*v AS lap FROM {name}st)"""
 
 
 DEM = "(SELECT image_id, x, y, v * 1000 AS v FROM {v_pixels}) AS d"
@@ -41,6 +46,14 @@ def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.crop(raster.to_pixels(full, "embedding"), 10, 20, 5, 25), 6)
 
 
+@query("""SELECT CAST(image_id AS BIGINT) AS image_id, r AS region_id, x - (8 + 4 * r) AS x, y - 10 AS y, round(v, 6) AS v FROM {v_pixels}, range(0, 3) AS g(r) WHERE x >= 8 + 4 * r AND x < 24 + 4 * r AND y >= 10 AND y < 30""")
+def crop_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of 16 x 20 pixels, and one that no image holds."""
+    images = pixels(spark, sf_dir).select("image_id").distinct().selectExpr("image_id", "100e0 AS west_lon", "132e0 AS east_lon", "-10e0 AS south_lat", "22e0 AS north_lat", "64 AS width", "64 AS height")
+    regions = spark.range(4).selectExpr("id", "104e0 + 2 * id + CASE WHEN id = 3 THEN 20 ELSE 0 END AS west_lon", "112e0 + 2 * id + CASE WHEN id = 3 THEN 20 ELSE 0 END AS east_lon", "7e0 AS south_lat", "17e0 AS north_lat")
+    return rounded(raster.crop_bounds(pixels(spark, sf_dir), images, regions), 6)
+
+
 @query(f"WITH {stencil('{v_pixels}')} SELECT image_id, x, y, round(sx, 5) AS sobel_x, round(sy, 5) AS sobel_y, round(lap, 5) AS laplacian FROM gr")
 def stencil_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.gradients(pixels(spark, sf_dir)).select("image_id", "x", "y", "sobel_x", "sobel_y", "laplacian"), 5)
@@ -116,7 +129,7 @@ def resample_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GEOMETRY = "20e0 + image_id * 7 % 90 AS incidence, CASE WHEN image_id % 5 <> 1 THEN 5e0 END AS emission, CASE WHEN image_id % 3 <> 1 THEN 30e0 + image_id % 40 END AS phase"
-COSINES = f"""g AS (SELECT image_id, coalesce(greatest(cos(radians(incidence)), 1e-6), 1) AS i, coalesce(greatest(cos(radians(emission)), 1e-6), 1) AS e, coalesce(phase, 0e0) AS phase, cos(radians(coalesce(phase, 0e0))) AS c
+COSINES = f"""g AS (SELECT image_id, greatest(coalesce(cos(radians(incidence)), 1), 1e-6) AS i, greatest(coalesce(cos(radians(emission)), 1), 1e-6) AS e, coalesce(phase, 0e0) AS phase, cos(radians(coalesce(phase, 0e0))) AS c
     FROM (SELECT DISTINCT image_id, {GEOMETRY} FROM {{v_pixels}}) AS d)"""
 
 

@@ -47,12 +47,17 @@ def join_on_hot_keys(rows: DataFrame, keyed: DataFrame, key: str, count: str) ->
     """``rows`` joined to ``keyed``, which has one row for each key and says in ``count`` how many rows the key has.
 
     The HOT_KEYS most frequent keys, of those with over HOT_ROWS rows, are
-    broadcast, so their rows stay where they are; no other key can hold more
-    than one part in HOT_KEYS of all rows, and these are shuffled.
+    looked up first and broadcast, so their rows stay where they are; no other
+    key can hold more than one part in HOT_KEYS of all rows, and these are
+    shuffled. Without hot keys it is a plain join.
     """
-    hot = keyed.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS)
-    here = rows.join(F.broadcast(hot), key)
-    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed, key)
+    hot = keyed.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS).collect()
+    if not hot:
+        return rows.join(keyed, key)
+    table = rows.sparkSession.createDataFrame(hot, keyed.schema)
+    is_hot = F.col(key).isin([r[key] for r in hot])
+    here = rows.filter(is_hot).join(F.broadcast(table), key)
+    there = rows.filter(~is_hot).join(keyed.filter(~is_hot), key)
     return here.unionByName(there)
 
 
