@@ -50,6 +50,30 @@ def resolve_metadata(labels: DataFrame, requests: DataFrame, fields: list[str],
     return both.select(key, *(F.coalesce(f, f"r_{f}", f"default_{f}").alias(f) for f in fields), provenance.alias("provenance"))
 
 
+def harmonize_gsd(products: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Fills ``native_gsd``, ``effective_gsd`` and ``gsd`` from each other and ``resampling_factor`` (1 if missing), and adds gsd_ok and gsd_problem.
+
+    A missing effective distance is gsd; a missing native one the effective one
+    where nothing was resampled, else gsd; an effective one still missing is
+    native / factor; gsd then follows the effective one. A problem is a
+    distance or factor that isn't positive, or an effective distance that
+    differs from native / factor by more than the relative tolerance.
+    """
+    factor = F.coalesce("resampling_factor", lit(1))
+    out = products.withColumn("resampling_factor", factor).withColumn("effective_gsd", F.coalesce("effective_gsd", "gsd"))
+    plain = F.when(F.abs(F.col("resampling_factor") - 1) < 1e-6, F.col("effective_gsd"))
+    out = out.withColumn("native_gsd", F.coalesce(F.col("native_gsd"), plain, F.col("gsd")))
+    out = out.withColumn("effective_gsd", F.coalesce(F.col("effective_gsd"), F.col("native_gsd") / F.greatest("resampling_factor", lit(1e-9))))
+    out = out.withColumn("gsd", F.coalesce("effective_gsd", "gsd"))
+    expected = F.col("native_gsd") / F.col("resampling_factor")
+    positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    problem = (
+        F.when(~positive("native_gsd"), "native_gsd").when(~positive("effective_gsd"), "effective_gsd").when(~positive("resampling_factor"), "resampling_factor")
+        .when(F.abs(F.col("effective_gsd") - expected) > tolerance * expected, "inconsistent")
+    )
+    return out.withColumn("gsd_problem", problem).withColumn("gsd_ok", F.col("gsd_problem").isNull())
+
+
 def audit_gsd(products: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """(sensor, products, failed): products whose effective distance isn't native / factor within a relative tolerance."""
     expected = F.col("native_gsd") / F.col("factor")

@@ -252,6 +252,16 @@ def grouped_split(df: DataFrame, group: str, label: str, test_size: float, tries
     return df.withColumn("is_test", chosen)
 
 
+def persist_split(split: DataFrame, group: str, path: str) -> None:
+    """Write the groups of both sides of ``grouped_split`` as JSON, in order, under ``path``/train_groups and ``path``/test_groups; overlapping sides raise."""
+    from tiegrid.operators.catalog import assert_disjoint
+
+    train, test = (split.filter(c).select(group).distinct() for c in ("NOT is_test", "is_test"))
+    assert_disjoint(train, test, group)
+    for name, side in (("train_groups", train), ("test_groups", test)):
+        side.orderBy(group).write.mode("overwrite").json(f"{path}/{name}")
+
+
 def train_verifier(df: DataFrame, features: list[str], label: str = "truth", trees: int = 100):
     """A class-balanced random forest; data of one class is refused."""
     from pyspark.ml import Pipeline

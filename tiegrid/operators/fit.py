@@ -27,8 +27,9 @@ def solve_moments(m: dict[str, Column]) -> tuple[Column, list[Column]]:
     xu, yu, xv, yv = cov("sxu", "sx", "su"), cov("syu", "sy", "su"), cov("sxv", "sx", "sv"), cov("syv", "sy", "sv")
     det = xx * yy - xy * xy
     good = det > 1e-12
-    a, b = (xu * yy - yu * xy) / det, (yu * xx - xu * xy) / det
-    d, e = (xv * yy - yv * xy) / det, (yv * xx - xv * xy) / det
+    safe = F.when(good, det)
+    a, b = (xu * yy - yu * xy) / safe, (yu * xx - xu * xy) / safe
+    d, e = (xv * yy - yv * xy) / safe, (yv * xx - xv * xy) / safe
     mean = lambda n: m[n] / w
     c, f = mean("su") - a * mean("sx") - b * mean("sy"), mean("sv") - d * mean("sx") - e * mean("sy")
     return det, [F.when(good, k) for k in (a, b, c, d, e, f)]
@@ -127,15 +128,15 @@ def bootstrap_transform(matches: DataFrame, replicates: int, key: str = "pair_id
 
 
 def consensus_hypotheses(matches: DataFrame, hypotheses: int, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
-    """(key, hyp, h): affine maps through 3 matches each, drawn by a fixed hash; degenerate draws are left out."""
+    """(key, hyp, h): affine maps through 3 matches each, each drawn by a fixed hash of its own; draws that repeat or lie on a line are left out."""
     order = Window.partitionBy(key).orderBy(id_col)
     placed = matches.select(key, X, Y, U, V, (F.row_number().over(order) - 1).cast("bigint").alias("place"))
     sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
     draws = sizes.select(key, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(hypotheses - 1).cast("bigint"))).alias("hyp"))
-    base = pick(F.col("n"), (104729, F.col("hyp")), (31, F.col(key)))
-    places = [base, F.pmod(base + 1 + F.pmod(F.col("hyp") * 7919, F.greatest(F.lit(1), F.floor(F.col("n") / 3))), F.col("n")),
-              F.pmod(base + 1 + F.floor(F.col("n") / 2) + F.pmod(F.col("hyp") * 613, F.greatest(F.lit(1), F.floor(F.col("n") / 3))), F.col("n"))]
-    drawn = draws.select(key, "hyp", F.explode(F.array(*(p.cast("bigint") for p in places))).alias("place")).distinct()
+    draws = draws.select("*", F.explode(F.array(*(F.lit(j).cast("bigint") for j in range(3)))).alias("j"))
+    mixed = F.pmod((F.col("hyp") + 1) * 7919 + (F.col("j") + 1) * 104729 + F.col(key) * 31, F.lit(10007))
+    place = F.pmod(F.pmod(mixed * mixed * (F.col("hyp") + 3) + (F.col("j") + 1) * 15485863, F.lit(1000003)), F.col("n"))
+    drawn = draws.select(key, "hyp", place.alias("place")).distinct()
     fits = fit_affine(drawn.join(placed, [key, "place"]), [key, "hyp"], None)
     return fits.filter("n = 3").select(key, "hyp", "h")
 
@@ -143,22 +144,49 @@ def consensus_hypotheses(matches: DataFrame, hypotheses: int, key: str = "pair_i
 def consensus_fit(
     matches: DataFrame, threshold: float = 5.0, hypotheses: int = 64, key: str = "pair_id", id_col: str = "match_id", weight: str | None = None
 ) -> DataFrame:
-    """(key, h, hyp, n, inliers): the affine map that most matches agree with, refitted on these.
-
-    Hypotheses are a table; one join by pair scores them all, and only counts
-    are shuffled. Ties go to the smaller hypothesis.
+    """(key, h, hyp, n, inliers): the affine map that most matches, by ``weight``, agree with, refitted on these.
+
+    Hypotheses are a table of one list for each pair, so every match meets all
+    of its pair's in one row. One aggregation over the matches within the
+    threshold of each gives its support and its refit; the best supported
+    hypothesis whose refit passes gate 3 (conditioning, scale, RMSE over its
+    inliers) is taken, so a degenerate one gives way to the next best. Pairs
+    without any are left out. Ties go to the smaller hypothesis.
     """
-    from tiegrid.operators.points import project
-
-    tried = consensus_hypotheses(matches, hypotheses, key, id_col)
-    scored = project(matches.join(tried, key))
-    inside = F.col("error") <= threshold
-    support = F.sum(F.when(inside, F.col(weight) if weight else lit(1)).otherwise(lit(0)))
-    best = (
-        scored.groupBy(key, "hyp").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inliers"), support.alias("support"))
-        .groupBy(key).agg(F.max_by(F.struct("hyp", "n", "inliers"), F.struct("support", -F.col("hyp"))).alias("best"))
-        .select(key, "best.*")
+    from tiegrid.operators.points import mapped
+    from tiegrid.operators.quality import transform_gate
+
+    tried = consensus_hypotheses(matches, hypotheses, key, id_col).groupBy(key).agg(F.collect_list(F.struct("hyp", "h")).alias("tries"))
+    w = F.col(weight).cast("double") if weight else lit(1)
+    sizes = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows = matches.select(key, X, Y, U, V, w.alias("w")).join(tried, key).select(key, X, Y, U, V, "w", F.explode("tries").alias("t"))
+    px, py, _ = mapped(F.col("t.h"), F.col(X), F.col(Y))
+    inside = rows.withColumn("px", px).withColumn("py", py).filter(F.sqrt(F.pow(F.col("px") - F.col(U), 2) + F.pow(F.col("py") - F.col(V), 2)) <= threshold)
+    x, y, u, v = (F.col(c) for c in (X, Y, U, V))
+    counts = [F.count(F.lit(1)).alias("inliers"), F.sum("w").alias("support")]
+    if weight:
+        total = {n: F.sum(c).alias(n) for n, c in zip(MOMENTS, moment_columns(F.col("w")), strict=True)}
+        total |= {"suu": F.sum(F.col("w") * u * u).alias("suu"), "svv": F.sum(F.col("w") * v * v).alias("svv")}
+        found = inside.groupBy(key, F.col("t.hyp").alias("hyp")).agg(*counts, *total.values()).filter("sw > 0")
+        det, six = solve_moments({n: F.col(n) for n in MOMENTS})
+        cov = lambda ab, a, b: F.col(ab) / F.col("sw") - F.col(a) / F.col("sw") * (F.col(b) / F.col("sw"))
+        left = cov("suu", "su", "su") - six[0] * cov("sxu", "sx", "su") - six[1] * cov("syu", "sy", "su") + cov("svv", "sv", "sv") - six[3] * cov("sxv", "sx", "sv") - six[4] * cov("syv", "sy", "sv")
+    else:
+        moments = {
+            "mx": F.avg(x), "my": F.avg(y), "mu": F.avg(u), "mv": F.avg(v), "xx": F.var_pop(x), "yy": F.var_pop(y), "xy": F.covar_pop(x, y), "uu": F.var_pop(u), "vv": F.var_pop(v),
+            "xu": F.covar_pop(x, u), "yu": F.covar_pop(y, u), "xv": F.covar_pop(x, v), "yv": F.covar_pop(y, v),
+        }
+        found = inside.groupBy(key, F.col("t.hyp").alias("hyp")).agg(*counts, *(f.alias(n) for n, f in moments.items()))
+        c = F.col
+        det = c("xx") * c("yy") - c("xy") * c("xy")
+        det = F.when(det > 1e-12, det)
+        a, b = (c("xu") * c("yy") - c("yu") * c("xy")) / det, (c("yu") * c("xx") - c("xu") * c("xy")) / det
+        d, e = (c("xv") * c("yy") - c("yv") * c("xy")) / det, (c("yv") * c("xx") - c("xv") * c("xy")) / det
+        six = [a, b, c("mu") - a * c("mx") - b * c("my"), d, e, c("mv") - d * c("mx") - e * c("my")]
+        left = c("uu") - a * c("xu") - b * c("yu") + c("vv") - d * c("xv") - e * c("yv")
+    fitted = found.filter((F.col("inliers") >= 3) & (det > 1e-12)).select(
+        key, "hyp", "inliers", "support", affine(*six).alias("h"), F.sqrt(F.greatest(left, lit(0))).alias("refit_rmse")
     )
-    kept = project(matches.join(best, key).join(tried, [key, "hyp"])).filter(inside)
-    refit = fit_affine(kept.drop("h", "n"), key).select(key, "h")
-    return best.join(refit, key, "left").select(key, "h", "hyp", "n", "inliers")
+    valid = transform_gate(fitted, "refit_rmse").filter("is_valid")
+    best = valid.groupBy(key).agg(F.max_by(F.struct("h", "hyp", "inliers"), F.struct("support", -F.col("hyp"))).alias("best"))
+    return best.join(sizes, key).select(key, "best.h", "best.hyp", "n", "best.inliers")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegrid.functions.algebra import lit
-from tiegrid.operators import catalog, fit, points, quality, selection
+from tiegrid.operators import catalog, experiments, fit, points, quality, selection
+from tiegrid.operators.solvers import adjust_network
 from tiegrid.plans.graph import connected_components
 from tiegrid.plans.work import materialize
 
@@ -41,23 +42,45 @@ def canonical_metrics(matches: DataFrame, transforms: DataFrame, width: float, h
     return lit_up.withColumns({"verdict": quality.verdict(F.col("color"), F.col("quality_tier"), n, F.lit(False)), "composite": score})
 
 
-def register_pairs(candidates: DataFrame, width: float, height: float, threshold: float = 5.0, hypotheses: int = 64, key: str = "pair_id") -> DataFrame:
-    """(key, status, h, candidates, inliers, near_share, metrics): the gates as columns over all pairs at once.
+def match_weights(matches: DataFrame, model=None, key: str = "pair_id") -> DataFrame:
+    """Adds ``weight`` in [0, 1]: the classifier's inlier probability, or the confidence without one, over the largest of the pair; 0.5 in a pair of zeros."""
+    prior = F.coalesce("confidence", lit(0.5))
+    if model is not None:
+        from pyspark.ml.functions import vector_to_array
 
-    Gate 1 wants 4 candidates, gate 2 a consensus map, gate 3 a sound map, gate
-    4 spread support, gate 5 that 30 % of all candidates lie within 3 px and
-    the held-out error is small. A failed pair has a NULL map.
+        scored = model.transform(matches).withColumn("weight", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    else:
+        scored = matches.withColumn("weight", prior.cast("double"))
+    largest = F.max("weight").over(Window.partitionBy(key))
+    return scored.withColumn("weight", F.when(largest > 0, F.col("weight") / largest).otherwise(lit(0.5)))
+
+
+def register_pairs(
+    candidates: DataFrame, width: float, height: float, threshold: float = 5.0, hypotheses: int = 64, key: str = "pair_id", grid: int = 10, per_cell: int = 4, total: int | None = None, model=None
+) -> DataFrame:
+    """(key, status, h, candidates, selected, inliers, near_share, metrics): the gates as columns over all pairs at once.
+
+    A density budget first keeps ``per_cell`` candidates of each cell, so that
+    crowded cells don't decide a fit. Gate 1 wants 4 of these; gate 2 a
+    consensus map, weighted by ``match_weights``, that is sound (gate 3) by
+    itself; gate 4 spread support; gate 5 that 30 % of all selected candidates
+    lie within 3 px and the held-out error is small. A failed pair has a NULL map.
     """
-    sizes = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"))
-    enough = candidates.join(sizes.filter("candidates >= 4").select(key), key, "left_semi")
-    fitted = materialize(fit.consensus_fit(enough, threshold, hypotheses, key).filter("h IS NOT NULL").select(key, "h"), "registered")
+    defaults = {"sigma_major": 0.5, "sigma_minor": 0.5, "angle": 0.0}
+    full = candidates.withColumns({c: lit(v) for c, v in defaults.items() if c not in candidates.columns})
+    chosen = quality.density_budget(full, width, height, grid, per_cell, total, key).drop("rank_score", "gx", "gy", "round", "slot")
+    chosen = materialize(match_weights(chosen, model, key), "selected")
+    sizes = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("candidates")).join(chosen.groupBy(key).agg(F.count(F.lit(1)).alias("selected")), key, "left")
+    enough = chosen.join(sizes.filter("selected >= 4").select(key), key, "left_semi")
+    fitted = materialize(fit.consensus_fit(enough, threshold, hypotheses, key, weight="weight").select(key, "h"), "registered")
     placed = points.project(enough.join(fitted, key)).withColumn("inlier", F.col("error") <= threshold)
+    placed = materialize(placed.drop("h", "px", "py"), "placed")
     near = placed.groupBy(key).agg(F.avg((F.col("error") < 3.0).cast("double")).alias("near_share"))
-    metrics = canonical_metrics(placed.drop("h", "px", "py"), fitted, width, height, 8, key)
+    metrics = canonical_metrics(placed, fitted, width, height, 8, key)
     wide = sizes.join(fitted, key, "left").join(near, key, "left").join(metrics.drop("matches"), key, "left")
     held_bad = F.coalesce((F.col("inliers") >= 20) & ((F.col("held_out") > 3.0) | ((F.col("held_out") > 2.5) & (F.col("fit_rmse") > 1.5))), F.lit(False))
     status = (
-        F.when(F.col("candidates") < 4, "insufficient_correspondences").when(F.col("h").isNull(), "geometric_verification_failed")
+        F.when(F.coalesce("selected", F.lit(0)) < 4, "insufficient_correspondences").when(F.col("h").isNull(), "geometric_verification_failed")
         .when(~F.coalesce("transform_ok", F.lit(False)), "degenerate_transform").when(~F.coalesce("support_ok", F.lit(False)), "insufficient_support")
         .when((F.col("near_share") < 0.3) | held_bad, "registration_failed").otherwise("registered")
     )
@@ -69,20 +92,43 @@ def register_tiled(matches: DataFrame, width: float, height: float, key: str = "
     return register_pairs(selection.stitch_tiles(matches, key=key), width, height, key=key)
 
 
-def evaluate_triplets(legs: DataFrame, width: float, height: float) -> DataFrame:
-    """One report row for each triplet: which leg was composed, whether the loop closes, and its error."""
+def evaluate_triplets(legs: DataFrame, width: float, height: float, matches: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """One report row for each triplet: which leg was composed, whether the loop closes, and its error.
+
+    With ``matches`` (triplet_id, src, ref, source_x, ...), image ids being
+    unique over triplets, also the RMSE before and after the joint adjustment
+    of its images; with ``references`` (triplet_id, fit_rmse, inliers,
+    quality_tier) the figures against external reference frames.
+    """
     done = points.complete_cycle(legs).select("triplet_id", "composed", F.col("status").alias("completion"))
-    return done.join(points.cycle_consistency(legs, width, height).select("triplet_id", "rmse", "mean", "is_closed"), "triplet_id", "left")
+    found = done.join(points.cycle_consistency(legs, width, height).select("triplet_id", "rmse", "mean", "is_closed"), "triplet_id", "left")
+    if matches is not None:
+        _, report = adjust_network(matches, network="triplet_id")
+        found = found.join(report.select("triplet_id", "rmse_before", "rmse_after", "improvement_pct", F.col("status").alias("network_status")), "triplet_id", "left")
+    if references is not None:
+        figures = [F.col(c).alias("reference_" + c) for c in ("fit_rmse", "inliers", "quality_tier")]
+        found = found.join(references.select("triplet_id", *figures), "triplet_id", "left")
+    return found
+
 
+def compare_methods(results: DataFrame, baseline: str | None = None, key: str = "pair_id") -> DataFrame:
+    """(method, pairs, successes, success_rate, mean_rmse, median_rmse, top_cause): an ablation table; the commonest cause among failed pairs.
 
-def compare_methods(results: DataFrame) -> DataFrame:
-    """(method, pairs, successes, success_rate, mean_rmse, top_cause): an ablation table; the commonest cause among failed pairs."""
+    With ``baseline`` also b, c and p_value of the paired test of each method
+    against that one, over the pairs (``key``) that both have.
+    """
     failed = results.filter("NOT success").groupBy("method", "primary").agg(F.count(F.lit(1)).alias("n"))
     cause = failed.groupBy("method").agg(F.max_by("primary", F.struct("n", "primary")).alias("top_cause"))
+    good = F.when(F.col("success"), F.col("rmse"))
     table = results.groupBy("method").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if("success").alias("successes"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg(F.when(F.col("success"), F.col("rmse"))).alias("mean_rmse")
-    )
-    return table.join(cause, "method", "left")
+        F.count(F.lit(1)).alias("pairs"), F.count_if("success").alias("successes"), F.avg(F.col("success").cast("double")).alias("success_rate"),
+        F.avg(good).alias("mean_rmse"), F.percentile(good, F.lit(0.5)).alias("median_rmse"),
+    ).join(cause, "method", "left")
+    if baseline is None:
+        return table
+    base = results.filter(F.col("method") == baseline).select(key, F.col("success").alias("base"))
+    tested = experiments.mcnemar(results.filter(F.col("method") != baseline).join(base, key), "success", "base", "method")
+    return table.join(tested.select("method", "b", "c", "p_value"), "method", "left")
 
 
 def diverse_triplets(triplets: DataFrame, products: DataFrame, overlap: float, min_sun_gap: float, most: int) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegrid.functions.algebra import clip, lit
 from tiegrid.operators.raster import PIXEL, gradients, horn_slope, sample_raster
+from tiegrid.plans.work import materialize
 
 
 def offsets(low: int, high: int) -> Column:
@@ -16,25 +18,65 @@ def offsets(low: int, high: int) -> Column:
     return F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps))
 
 
-def search_displacement(source: DataFrame, target: DataFrame, keypoints: DataFrame, half: int, radius: int, apart: int = 5) -> DataFrame:
-    """(image_id, kp_id, dx, dy, ncc, uniqueness) of keypoints (image_id, kp_id, kx, ky).
+def search_displacement(
+    source: DataFrame, target: DataFrame, keypoints: DataFrame, half: int, radius: int, apart: int = 5, multimodal: bool = False, preselect: str = "orientation", top: int = 5,
+    w_mi: float = 0.6, w_ncc: float = 0.4,
+) -> DataFrame:
+    """(image_id, kp_id, dx, dy, score, ncc, uniqueness) of keypoints (image_id, kp_id, kx, ky).
 
     A keypoint's patch is joined to the target at every displacement and their
-    correlation aggregated; uniqueness is the best less the best that lies
-    further than ``apart`` away.
-    """
-    kp = keypoints.select("image_id", "kp_id", "kx", "ky", F.explode(offsets(-half, half)).alias("o"))
-    kp = kp.select("image_id", "kp_id", (F.col("kx") + F.col("o.dx")).alias("x"), (F.col("ky") + F.col("o.dy")).alias("y"))
-    patch = kp.join(source.select(*PIXEL, F.col("v").alias("a")), PIXEL)
-    moved = patch.select("image_id", "kp_id", "x", "y", "a", F.explode(offsets(-radius, radius)).alias("d"))
-    moved = moved.select("image_id", "kp_id", "a", F.col("d.dx").alias("dx"), F.col("d.dy").alias("dy"), (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
-    pair = moved.join(target.select(*PIXEL, F.col("v").alias("b")), PIXEL)
-    whole = (2 * half + 1) ** 2
-    scored = pair.groupBy("image_id", "kp_id", "dx", "dy").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("ncc")).filter((F.col("n") == whole) & F.col("ncc").isNotNull())
-    best = scored.groupBy("image_id", "kp_id").agg(F.max_by(F.struct("dx", "dy", "ncc"), F.struct("ncc", -F.col("dx"), -F.col("dy"))).alias("m"))
+    correlation aggregated; uniqueness is that of the best displacement less
+    the largest that lies further than ``apart`` from it. With ``multimodal``
+    the ``top`` displacements by orientation agreement of gradients, or by
+    correlation (preselect "ncc"), are ranked by w_mi of their mutual
+    information and w_ncc of their correlation, if positive. Ties go to the
+    smaller displacement.
+    """
+    image = lambda df, v, x, y: gradients(df, mirror=True).select(*PIXEL, F.col("v").alias(v), F.col("sobel_x").alias(x), F.col("sobel_y").alias(y))
+    near = keypoints.select("image_id", "kp_id", "kx", "ky", F.explode(offsets(-half, half)).alias("o"))
+    near = near.select("image_id", "kp_id", (F.col("kx") + F.col("o.dx")).alias("x"), (F.col("ky") + F.col("o.dy")).alias("y"))
+    patch = near.join(image(source, "a", "ax", "ay") if multimodal else source.select(*PIXEL, F.col("v").alias("a")), PIXEL)
+    moved = patch.withColumn("d", F.explode(offsets(-radius, radius))).withColumns({"dx": F.col("d.dx"), "dy": F.col("d.dy"), "x": F.col("x") + F.col("d.dx"), "y": F.col("y") + F.col("d.dy")}).drop("d")
+    pair = moved.join(image(target, "b", "bx", "by") if multimodal else target.select(*PIXEL, F.col("v").alias("b")), PIXEL)
+    spot, whole = ["image_id", "kp_id", "dx", "dy"], (2 * half + 1) ** 2
+    figures = [F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("ncc")]
+    if multimodal:
+        c = F.col
+        double_cos = (c("ax") ** 2 - c("ay") ** 2) * (c("bx") ** 2 - c("by") ** 2) + 4 * c("ax") * c("ay") * c("bx") * c("by")
+        sizes = (c("ax") ** 2 + c("ay") ** 2) * (c("bx") ** 2 + c("by") ** 2)
+        agreed = F.sum(F.sqrt(sizes) * 0.5 * (double_cos / (sizes + 1e-8) + 1))
+        figures.append(F.when(F.sum(F.sqrt(sizes)) >= 1e-8, agreed / F.sum(F.sqrt(sizes))).otherwise(lit(0.5)).alias("goa"))
+    scored = pair.groupBy(*spot).agg(*figures).filter((F.col("n") == whole) & F.col("ncc").isNotNull() & ~F.isnan("ncc"))
+    scored = materialize(scored, "displacements")
+    kp = ["image_id", "kp_id"]
+    if multimodal:
+        ranked = Window.partitionBy(*kp).orderBy(F.desc("goa" if preselect == "orientation" else "ncc"), "dx", "dy")
+        few = scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
+        pixels = pair.join(few.select(*spot), spot, "left_semi").select(*spot, "a", "b")
+        joint = few.join(mutual_information(pixels, spot), spot, "left")
+        value = w_mi * F.coalesce("mi", lit(0)) + w_ncc * F.greatest("ncc", lit(0))
+        best = joint.withColumn("score", value).groupBy(*kp).agg(F.max_by(F.struct("dx", "dy", "score", "ncc"), F.struct("score", -F.col("rank"))).alias("m"))
+    else:
+        best = scored.withColumn("score", F.col("ncc")).groupBy(*kp).agg(F.max_by(F.struct("dx", "dy", "score", "ncc"), F.struct("ncc", -F.col("dx"), -F.col("dy"))).alias("m"))
     far = F.greatest(F.abs(F.col("dx") - F.col("m.dx")), F.abs(F.col("dy") - F.col("m.dy"))) > apart
-    rest = scored.join(best, ["image_id", "kp_id"]).groupBy("image_id", "kp_id").agg(F.max(F.when(far, F.col("ncc"))).alias("second"))
-    return best.join(rest, ["image_id", "kp_id"]).select("image_id", "kp_id", "m.dx", "m.dy", "m.ncc", (F.col("m.ncc") - F.coalesce("second", lit(0))).alias("uniqueness"))
+    rest = scored.join(best, kp).groupBy(*kp).agg(F.max(F.when(far, F.col("ncc"))).alias("second"))
+    return best.join(rest, kp).select(*kp, "m.dx", "m.dy", "m.score", "m.ncc", (F.col("m.ncc") - F.coalesce("second", lit(0))).alias("uniqueness"))
+
+
+def mutual_information(pixels: DataFrame, keys: list[str], bins: int = 32) -> DataFrame:
+    """(keys, mi) of pairs (keys, a, b): mutual information over joint entropy of ``bins`` x ``bins`` histograms, in nats; 0 for a flat side."""
+    ends = pixels.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in "ab" for n, f in (("low", F.min), ("high", F.max), ("sd", F.stddev_pop)))
+    )
+    slot = lambda c: F.least(F.lit(bins - 1), F.floor((F.col(c) - F.col(f"low_{c}")) / ((F.col(f"high_{c}") - F.col(f"low_{c}") + 1e-6) / bins)).cast("int"))
+    joint = pixels.join(ends, keys).groupBy(*keys, "n", "sd_a", "sd_b", slot("a").alias("i"), slot("b").alias("j")).agg(F.count(F.lit(1)).alias("c"))
+    w = lambda k: Window.partitionBy(*keys, *k)
+    p = F.col("c") / F.col("n")
+    sides = joint.withColumns({"pi": F.sum("c").over(w(["i"])) / F.col("n"), "pj": F.sum("c").over(w(["j"])) / F.col("n")})
+    mi, entropy = F.sum(p * F.ln((p + 1e-12) / (F.col("pi") * F.col("pj") + 1e-12))), -F.sum(p * F.ln(p + 1e-12))
+    flat = (F.col("sd_a") < 1e-6) | (F.col("sd_b") < 1e-6)
+    found = sides.groupBy(*keys, "sd_a", "sd_b").agg((mi / F.greatest(entropy, lit(1e-12))).alias("mi"))
+    return found.select(*keys, F.when(flat, lit(0)).otherwise(F.col("mi")).alias("mi"))
 
 
 def spatial_quality(peaks: DataFrame, width: float, height: float) -> DataFrame:
@@ -108,11 +150,63 @@ def orientation_agreement(a: DataFrame, b: DataFrame, pairs: DataFrame, half: in
     return pairs.select("image_id", "kp_id").join(each, ["image_id", "kp_id"], "left").select("image_id", "kp_id", F.coalesce("agreement", lit(0.5)).alias("agreement"))
 
 
-def ssim(a: DataFrame, b: DataFrame, span: float, sigma: float = 1.5) -> DataFrame:
-    """(image_id, n, ssim): structural similarity under a 7 x 7 Gaussian window, over pixels whose whole window both images have.
+def inlier_hulls(points: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, hull): the corners of the convex hull of each image's points (image_id, px, py), counter-clockwise, as whole pixels.
 
-    Two passes of seven taps, along rows and then columns.
+    Points are clamped to the frame and cut to whole pixels. Only the lowest
+    and highest of each column can be corners, so a task gets twice as many
+    points as the image is wide, however many there are. Fewer than 3 points give none.
     """
+    x, y = (clip(F.col(c), 0, size - 1).cast("int") for c, size in (("px", width), ("py", height)))
+    known_ = points.filter("px IS NOT NULL AND py IS NOT NULL AND NOT isnan(px) AND NOT isnan(py)")
+    enough = known_.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("image_id")
+    ends = known_.join(enough, "image_id").groupBy("image_id", x.alias("x")).agg(F.min(y).alias("low"), F.max(y).alias("high"))
+
+    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
+        corners = sorted({(int(r.x), int(v)) for r in pdf.itertuples() for v in (r.low, r.high)})
+
+        def half(points: list) -> list:
+            out: list = []
+            for p in points:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(p)
+            return out
+
+        ring = half(corners)[:-1] + half(corners[::-1])[:-1] if len(corners) > 1 else corners
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "hull": [[{"x": float(p), "y": float(q)} for p, q in ring]]})
+
+    kind = points.schema["image_id"].dataType.simpleString()
+    return ends.groupBy("image_id").applyInPandas(hull, f"image_id {kind}, hull array<struct<x:double,y:double>>")
+
+
+def ssim_within_inliers(a: DataFrame, b: DataFrame, points: DataFrame, width: int, height: int, span: float, least: int = 36) -> DataFrame:
+    """(image_id, n, ssim) in [0, 1] over pixels within the convex hull of the image's inliers (image_id, px, py).
+
+    An image with fewer than 3 inliers, or ``least`` pixels within, is judged
+    over all its overlap; one with fewer than that has similarity 0.
+    """
+    every = ssim_map(a, b, span)
+    placed = every.join(inlier_hulls(points, width, height), "image_id", "left")
+    turned = F.concat(F.slice("hull", 2, F.greatest(F.size("hull") - 1, F.lit(0))), F.slice("hull", 1, 1))
+    left = lambda e: (e["q"]["x"] - e["p"]["x"]) * (F.col("y") - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (F.col("x") - e["p"]["x"]) >= 0
+    edges = F.zip_with("hull", turned, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    inside = F.coalesce(F.forall(edges, left), F.lit(True))
+    s = placed.withColumn("inside", inside).groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n_all"), F.avg("s").alias("s_all"), F.count_if("inside").alias("n_in"), F.avg(F.when(F.col("inside"), F.col("s"))).alias("s_in")
+    )
+    use = F.col("n_in") >= least
+    n, value = F.when(use, F.col("n_in")).otherwise(F.col("n_all")), F.when(use, F.col("s_in")).otherwise(F.col("s_all"))
+    return s.select("image_id", n.alias("n"), F.when(n >= least, clip(value, 0, 1)).otherwise(lit(0)).alias("ssim"))
+
+
+def ssim(a: DataFrame, b: DataFrame, span: float, sigma: float = 1.5) -> DataFrame:
+    """(image_id, n, ssim): mean structural similarity under a 7 x 7 Gaussian window, over pixels whose whole window both images have."""
+    return ssim_map(a, b, span, sigma).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("ssim"))
+
+
+def ssim_map(a: DataFrame, b: DataFrame, span: float, sigma: float = 1.5) -> DataFrame:
+    """(image_id, x, y, s): structural similarity at each pixel, by two passes of seven taps, along rows and then columns."""
     taps = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-3, 4)]
     taps = [t / sum(taps) for t in taps]
     p, q = F.col("a"), F.col("b")
@@ -126,7 +220,7 @@ def ssim(a: DataFrame, b: DataFrame, span: float, sigma: float = 1.5) -> DataFra
     ma, mb, aa, bb, ab = (F.col(f"s{k}") for k in range(5))
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
     value = (2 * ma * mb + c1) * (2 * (ab - ma * mb) + c2) / ((ma * ma + mb * mb + c1) * (aa - ma * ma + bb - mb * mb + c2))
-    return both.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("ssim"))
+    return both.select(*PIXEL, value.alias("s"))
 
 
 def relief_shift(points: DataFrame, dem: DataFrame, emission: float | None, azimuth: float | None, gsd: float, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:

@@ -79,17 +79,22 @@ def score_covariance(matches: DataFrame, alpha: float = 0.5, beta: float = 0.6)
     return scored.drop(*(c for c in axes if c not in matches.columns))
 
 
+def conditioned(matches: DataFrame, low: float = 1e-4, high: float = 100.0, cond: float = 1e4) -> DataFrame:
+    """``covariance_axes`` with sxx, sxy, syy: the covariance with eigenvalues within [low, high] and a ratio of at most ``cond``."""
+    axes = covariance_axes(matches)
+    big = clip(F.col("axis_major") * F.col("axis_major"), low, high)
+    small = F.greatest(clip(F.col("axis_minor") * F.col("axis_minor"), low, high), big / cond)
+    t = F.radians("axis_angle")
+    sxx, syy = big * F.cos(t) * F.cos(t) + small * F.sin(t) * F.sin(t), big * F.sin(t) * F.sin(t) + small * F.cos(t) * F.cos(t)
+    return axes.withColumns({"sxx": sxx, "sxy": (big - small) * F.sin(t) * F.cos(t), "syy": syy})
+
+
 def whiten(matches: DataFrame, transforms: DataFrame, key: str = "pair_id", low: float = 1e-4, high: float = 100.0, cond: float = 1e4) -> DataFrame:
     """Adds ``error`` and ``distance``: the residual in units of its covariance J S J' + S.
 
     S is conditioned first: eigenvalues within [low, high] and their ratio at most ``cond``.
     """
-    axes = project(covariance_axes(matches).join(transforms.select(key, "h"), key))
-    big = clip(F.col("axis_major") * F.col("axis_major"), low, high)
-    small = F.greatest(clip(F.col("axis_minor") * F.col("axis_minor"), low, high), big / cond)
-    t = F.radians("axis_angle")
-    sxx, syy = big * F.cos(t) * F.cos(t) + small * F.sin(t) * F.sin(t), big * F.sin(t) * F.sin(t) + small * F.cos(t) * F.cos(t)
-    axes = axes.withColumns({"sxx": sxx, "sxy": (big - small) * F.sin(t) * F.cos(t), "syy": syy})
+    axes = project(conditioned(matches, low, high, cond).join(transforms.select(key, "h"), key))
     h, x, y = F.col("h"), F.col("source_x"), F.col("source_y")
     z = h[6] * x + h[7] * y + h[8]
     a, b = (h[0] - F.col("px") * h[6]) / z, (h[1] - F.col("px") * h[7]) / z

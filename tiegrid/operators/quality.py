@@ -1,12 +1,11 @@
 """Gates, tiers, lights and scores of pairs, and how matches spread over an image."""
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from tiegrid.functions.algebra import cell, clip, det3, lit, singular2
+from tiegrid.functions.algebra import cell, clip, det3, let, lit, singular2
 
 #: Gate 3 limits: fixed values.
 MAX_CONDITION, MIN_DETERMINANT, MAX_SCALE_RATIO, MAX_PROJECTIVITY, MAX_RMSE_PX = 1e7, 1e-4, 20.0, 0.05, 5.0
@@ -78,14 +77,30 @@ def cell_covariance_stats(matches: DataFrame, width: float, height: float, g: in
     return axes.groupingSets([[F.col(key), F.col("gx"), F.col("gy")], [F.col(key)]], F.col(key), F.col("gx"), F.col("gy")).agg(*stats)
 
 
-@F.pandas_udf(DoubleType())
-def cond3x3(h: pd.Series) -> pd.Series:
-    """Condition numbers of 3 x 3 matrices; NaN for one that is missing or not finite."""
-    out = np.full(len(h), np.nan)
-    ok = np.array([x is not None and len(x) == 9 and bool(np.all(np.isfinite(x))) for x in h], bool)
-    if ok.any():
-        out[ok] = np.linalg.cond(np.stack(list(h[ok])).reshape(-1, 3, 3).astype(float))
-    return pd.Series(out)
+def condition3(m: Column) -> Column:
+    """The condition number of a 3 x 3 matrix, largest over smallest singular value; NULL for one that is missing, singular or not finite.
+
+    The two larger singular values follow from the eigenvalues of M'M in closed
+    form; the smallest is the determinant over their product, which keeps its digits.
+    """
+
+    def of(m: Column) -> Column:
+        dot = lambda i, j: m[i] * m[j] + m[3 + i] * m[3 + j] + m[6 + i] * m[6 + j]
+        xx, yy, zz, xy, xz, yz = dot(0, 0), dot(1, 1), dot(2, 2), dot(0, 1), dot(0, 2), dot(1, 2)
+        mean = (xx + yy + zz) / 3
+        return F.struct(*(c.alias(n) for n, c in {"q": mean, "xx": xx - mean, "yy": yy - mean, "zz": zz - mean, "xy": xy, "xz": xz, "yz": yz}.items()))
+
+    def larger(s: Column) -> Column:
+        p = F.sqrt((s["xx"] * s["xx"] + s["yy"] * s["yy"] + s["zz"] * s["zz"] + 2 * (s["xy"] * s["xy"] + s["xz"] * s["xz"] + s["yz"] * s["yz"])) / 6)
+        det = s["xx"] * (s["yy"] * s["zz"] - s["yz"] * s["yz"]) - s["xy"] * (s["xy"] * s["zz"] - s["yz"] * s["xz"]) + s["xz"] * (s["xy"] * s["yz"] - s["yy"] * s["xz"])
+        turn = F.acos(F.coalesce(clip(F.try_divide(det, 2 * p * p * p), -1, 1), lit(1))) / 3
+        first, last = s["q"] + 2 * p * F.cos(turn), s["q"] + 2 * p * F.cos(turn + 2 * math.pi / 3)
+        return F.struct(first.alias("first"), F.greatest(3 * s["q"] - first - last, lit(0)).alias("second"))
+
+    sound = (F.size(m) == 9) & F.forall(m, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    values = let(let(m, of), larger)
+    found = let(F.struct(values.alias("l"), F.abs(det3(m)).alias("d")), lambda s: F.try_divide(s["l"]["first"] * F.sqrt(s["l"]["second"]), s["d"]))
+    return F.when(sound, found)
 
 
 def transform_gate(transforms: DataFrame, rmse: str | None = None) -> DataFrame:
@@ -93,10 +108,10 @@ def transform_gate(transforms: DataFrame, rmse: str | None = None) -> DataFrame:
     h = F.col("h")
     big, small = singular2(h[0], h[1], h[3], h[4])
     out = transforms.withColumns({
-        "determinant": det3(h), "condition": cond3x3(h), "scale_ratio": big / F.greatest(small, lit(1e-9)), "projectivity": F.sqrt(h[6] * h[6] + h[7] * h[7]),
+        "determinant": det3(h), "condition": condition3(h), "scale_ratio": big / F.greatest(small, lit(1e-9)), "projectivity": F.sqrt(h[6] * h[6] + h[7] * h[7]),
     })
     sound = (
-        ~F.isnan("condition") & (F.col("condition") < MAX_CONDITION) & (F.col("determinant") > MIN_DETERMINANT)
+        F.col("condition").isNotNull() & (F.col("condition") < MAX_CONDITION) & (F.col("determinant") > MIN_DETERMINANT)
         & (F.col("scale_ratio") < MAX_SCALE_RATIO) & (F.col("projectivity") < MAX_PROJECTIVITY)
     )
     close = F.coalesce(F.col(rmse) <= MAX_RMSE_PX, F.lit(True)) if rmse else F.lit(True)
@@ -159,11 +174,11 @@ def failure_causes(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("causes", causes).withColumn("primary", F.coalesce(F.get("causes", F.lit(0)), F.lit("unknown")))
 
 
-def density_budget(matches: DataFrame, width: float, height: float, g: int, per_cell: int, total: int, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+def density_budget(matches: DataFrame, width: float, height: float, g: int, per_cell: int, total: int | None, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
     """Matches kept in rounds: the best of every cell, then the most confident ones whose angle differs, within a budget.
 
     In a later round a candidate counts confidence * (1 + 0.25 sin(2 d)), d the
-    smallest angle to what its cell has chosen. The budget cuts by round, then cell.
+    smallest angle to what its cell has chosen. The budget (``total``, or none) cuts by round, then cell.
     """
     from tiegrid.operators.points import score_covariance
 
@@ -180,4 +195,5 @@ def density_budget(matches: DataFrame, width: float, height: float, g: int, per_
         chosen = rest.withColumn("value", value).withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k", "value", "had", "ids")
         kept = kept.union(chosen.withColumn("round", F.lit(turn)).select(kept.columns))
     budget = Window.partitionBy(key).orderBy("round", "gx", "gy")
-    return kept.withColumn("slot", F.row_number().over(budget)).filter(F.col("slot") <= total)
+    kept = kept.withColumn("slot", F.row_number().over(budget))
+    return kept if total is None else kept.filter(F.col("slot") <= total)

@@ -27,6 +27,28 @@ def crop(pixels: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
     return inside.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
+def crop_bounds(pixels: DataFrame, images: DataFrame, regions: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """(region_id, image_id, x, y, v): pixels of each region's window in each image that fully holds it, counted from the window's corner.
+
+    ``images`` has image_id, bounds and width and height in pixels, ``regions``
+    id and bounds. Window edges are rounded to whole pixels; a region that an
+    image doesn't hold gives none of its pixels (``coverage_check`` lists such).
+    """
+    from tiegrid.operators.catalog import BOUNDS, overlapping
+
+    held = overlapping(regions.select("id", *BOUNDS), images.select("image_id", *BOUNDS, "width", "height"), "id", "image_id")
+    b = {c: F.col("b_" + c) for c in (*BOUNDS, "width", "height")}
+    inside = (F.col("west_lon") >= b["west_lon"] - eps) & (F.col("east_lon") <= b["east_lon"] + eps) & (F.col("south_lat") >= b["south_lat"] - eps) & (F.col("north_lat") <= b["north_lat"] + eps)
+    dx, dy = (b["east_lon"] - b["west_lon"]) / b["width"], (b["north_lat"] - b["south_lat"]) / b["height"]
+    edge = lambda away, step: F.round(away / step).cast("bigint")
+    windows = held.filter(inside).select(
+        F.col("id").alias("region_id"), F.col("b_image_id").alias("image_id"), edge(F.col("west_lon") - b["west_lon"], dx).alias("x0"), edge(F.col("east_lon") - b["west_lon"], dx).alias("x1"),
+        edge(b["north_lat"] - F.col("north_lat"), dy).alias("y0"), edge(b["north_lat"] - F.col("south_lat"), dy).alias("y1"),
+    )
+    cut = pixels.join(windows, "image_id").filter("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
+    return cut.select("region_id", "image_id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "v")
+
+
 def neighbours(pixels: DataFrame, value: str = "v", mirror: bool = False) -> DataFrame:
     """Adds the eight neighbours (nw, n, ne, w, e, sw, s, se); beyond an edge the pixel at the edge stands in, or with ``mirror`` the one before it."""
     row = Window.partitionBy("image_id", "y").orderBy("x")
@@ -191,7 +213,7 @@ def disk_function(model: str, incidence: Column, emission: Column, phase: Column
     A missing incidence or emission has cosine 1, a missing phase is 0. Cosines and the result are 1e-6 at least.
     """
     least = 1e-6
-    cosine = lambda a: F.coalesce(F.greatest(F.cos(F.radians(a)), lit(least)), lit(1))
+    cosine = lambda a: F.greatest(F.coalesce(F.cos(F.radians(a)), lit(1)), lit(least))
     i, e = cosine(incidence), cosine(emission)
     if model == "none":
         return lit(1)

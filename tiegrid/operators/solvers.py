@@ -2,13 +2,13 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tiegrid.functions.algebra import affine, lit
 from tiegrid.operators.fit import U, V, X, Y, fit_affine
-from tiegrid.operators.points import project, whiten
+from tiegrid.operators.points import conditioned, project, whiten
 from tiegrid.plans.work import materialize
 
 PAIRS9 = [(i, j) for i in range(9) for j in range(i, 9)]
@@ -59,8 +59,27 @@ def solve6(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(list(out))
 
 
-def fit_homography(matches: DataFrame, key: str = "pair_id", weight: str | None = None) -> DataFrame:
-    """(key, n, h): normalised direct linear transform of each group of at least 4 matches, weighted by the roots of ``weight``."""
+def fit_homography(matches: DataFrame, key: str = "pair_id", weight: str | None = None, mode: str = "ordinary") -> DataFrame:
+    """(key, n, h): normalised direct linear transform of each group of at least 4 matches.
+
+    mode "scaled" weighs a match's rows by the root of ``weight`` (at least
+    1e-6), or without one of 2 over the trace of its conditioned covariance;
+    "whitened" weighs both rows together by the inverse of that covariance;
+    "ordinary" weighs all alike.
+    """
+    if mode not in ("ordinary", "scaled", "whitened"):
+        raise ValueError(f"no mode {mode!r}")
+    if mode == "whitened" or mode == "scaled" and not weight:
+        matches = conditioned(matches)
+    if mode == "scaled" and not weight:
+        matches = matches.withColumn("_w", 1 / F.greatest((F.col("sxx") + F.col("syy")) / 2, lit(1e-4)))
+    elif mode == "scaled" or weight:
+        matches = matches.withColumn("_w", F.greatest(F.col(weight).cast("double"), lit(1e-6)))
+    else:
+        matches = matches.withColumn("_w", lit(1))
+    det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy") if mode == "whitened" else None
+    parts = {"p": F.col("syy") / det, "q": -F.col("sxy") / det, "r": F.col("sxx") / det} if mode == "whitened" else {"p": F.col("_w"), "q": lit(0), "r": F.col("_w")}
+    matches = matches.select(key, X, Y, U, V, *(v.alias(k) for k, v in parts.items()))
     means = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias("m_" + c) for c in (X, Y, U, V))).filter("n >= 4")
     away = lambda a, b: F.sqrt(F.pow(F.col(a) - F.col("m_" + a), 2) + F.pow(F.col(b) - F.col("m_" + b), 2))
     centred = matches.join(means, key)
@@ -68,11 +87,12 @@ def fit_homography(matches: DataFrame, key: str = "pair_id", weight: str | None
     c = centred.join(scales, key)
     x, y = (F.col(X) - F.col("m_" + X)) * F.col("s"), (F.col(Y) - F.col("m_" + Y)) * F.col("s")
     u, v = (F.col(U) - F.col("m_" + U)) * F.col("t"), (F.col(V) - F.col("m_" + V)) * F.col("t")
-    w = F.col(weight) if weight else lit(1)
-    c = c.select(key, "n", *("m_" + k for k in (X, Y, U, V)), "s", "t", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), w.alias("w"))
+    c = c.select(key, "n", *("m_" + k for k in (X, Y, U, V)), "s", "t", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), "p", "q", "r")
     x, y, u, v, zero, one = F.col("x"), F.col("y"), F.col("u"), F.col("v"), lit(0), lit(1)
     rows = [(-x, -y, -one, zero, zero, zero, u * x, u * y, u), (zero, zero, zero, -x, -y, -one, v * x, v * y, v)]
-    sums = [F.sum(F.col("w") * sum((r[i] * r[j] for r in rows[1:]), rows[0][i] * rows[0][j])) for i, j in PAIRS9]
+    one_, two = rows
+    mixed = lambda i, j: F.col("p") * one_[i] * one_[j] + F.col("q") * (one_[i] * two[j] + two[i] * one_[j]) + F.col("r") * two[i] * two[j]
+    sums = [F.sum(mixed(i, j)) for i, j in PAIRS9]
     norms = F.array(*(F.first(k) for k in ("m_" + X, "m_" + Y, "s", "m_" + U, "m_" + V, "t")))
     found = c.groupBy(key, "n").agg(F.array(*sums).alias("sums"), norms.alias("norms"))
     return found.select(key, "n", homography_of("sums", "norms").alias("h"))
@@ -122,23 +142,32 @@ def _apply(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
     return h[0] * x + h[1] * y + h[2], h[3] * x + h[4] * y + h[5]
 
 
-def adjust_network(matches: DataFrame, rounds: int = 6, huber: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """(poses (image_id, h), report) of matches (src, ref, source_x, ...): affine poses that agree on all edges.
+def adjust_network(matches: DataFrame, rounds: int = 6, huber: float = 3.0, network: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(poses (image_id, h), report) of matches (src, ref, source_x, ...): affine poses that agree on all edges of each network.
 
-    The most frequent reference stays fixed. Initial poses are composed along
-    edges, a frontier join for each step away from it; then each round fits
-    every image to its neighbours' poses with Huber weights. Poses, one row an
-    image, are written after every round.
+    With ``network`` that column tells networks apart, whose images have ids of
+    their own; else all matches are one. The most frequent reference of a
+    network stays fixed. Initial poses are composed along edges, a frontier
+    join for each step away from it; then each round fits every image to its
+    neighbours' poses with Huber weights, as long as the overall RMSE falls.
+    The report has a row for each network: rmse_before, rmse_after,
+    improvement_pct and status, "failed" for one of fewer than 2 edges, which
+    isn't adjusted. Poses, one row an image, are written after every round.
     """
-    m = materialize(matches.select("src", "ref", X, Y, U, V), "network")
-    if m.select("src", "ref").distinct().limit(2).count() < 2:
+    name = network or "network"
+    m = materialize(matches.select((F.col(network) if network else F.lit(0)).alias(name), "src", "ref", X, Y, U, V), "network")
+    edges = m.select(name, "src", "ref").distinct().groupBy(name).agg(F.count(F.lit(1)).alias("edges"))
+    good = edges.filter("edges >= 2").select(name)
+    if not network and good.isEmpty():
         raise ValueError("a network needs two edges")
-    root = m.groupBy("ref").count().orderBy(F.desc("count"), "ref").first()[0]
+    m = materialize(m.join(good, name, "left_semi"), "network")
+    counted = m.groupBy(name, "ref").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.withColumn("k", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("n"), "ref"))).filter("k = 1")
+    roots = materialize(first.select(F.col("ref").alias("image_id")), "network-roots")
     there = fit_affine(m, ["src", "ref"]).select("src", "ref", "h")
-    turned = m.toDF("ref", "src", U, V, X, Y).select("src", "ref", X, Y, U, V)
+    turned = m.select(F.col("ref").alias("src"), F.col("src").alias("ref"), F.col(U).alias(X), F.col(V).alias(Y), F.col(X).alias(U), F.col(Y).alias(V))
     steps = materialize(there.unionByName(fit_affine(turned, ["src", "ref"]).select("src", "ref", "h")), "network-steps")
-    one = affine(*(lit(v) for v in (1, 0, 0, 0, 1, 0)))
-    poses = m.sparkSession.range(1).select(F.lit(root).cast(m.schema["src"].dataType).alias("image_id"), one.alias("h"))
+    poses = roots.withColumn("h", affine(*(lit(v) for v in (1, 0, 0, 0, 1, 0))))
     while True:
         known = poses.select(F.col("image_id").alias("ref"), F.col("h").alias("g"))
         new = steps.join(known, "ref").join(poses.select(F.col("image_id").alias("src")), "src", "left_anti")
@@ -157,22 +186,26 @@ def adjust_network(matches: DataFrame, rounds: int = 6, huber: float = 3.0) -> t
         both = both.withColumns({"px": px, "py": py, "qx": qx, "qy": qy})
         return both.withColumn("e", F.sqrt(F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)))
 
-    rmse = lambda p: placed(p).agg(F.sqrt(F.avg(F.col("e") * F.col("e")))).first()[0]
-    before = now = rmse(poses)
-    best = poses
-    for _ in range(rounds):
+    error = F.sqrt(F.avg(F.col("e") * F.col("e")))
+    rmse = lambda p: placed(p).agg(error).first()[0]
+    start = best = poses
+    now = rmse(poses)
+    for _ in range(rounds if now is not None else 0):
         p = placed(poses).withColumn("w", F.least(lit(1), huber / F.greatest("e", lit(1e-9))))
         half = lambda a, b: (F.col(a) + F.col(b)) / 2
         as_src = p.select(F.col("src").alias("image_id"), F.col(X), F.col(Y), half("px", "qx").alias(U), half("py", "qy").alias(V), "w")
         as_ref = p.select(F.col("ref").alias("image_id"), F.col(U).alias(X), F.col(V).alias(Y), half("px", "qx").alias("a"), half("py", "qy").alias("b"), "w").toDF("image_id", X, Y, U, V, "w")
-        fits = fit_affine(as_src.union(as_ref).filter(F.col("image_id") != root), "image_id", "w").select("image_id", F.col("h").alias("new"))
+        fits = fit_affine(as_src.union(as_ref).join(roots, "image_id", "left_anti"), "image_id", "w").select("image_id", F.col("h").alias("new"))
         poses = materialize(poses.join(fits, "image_id", "left").select("image_id", F.coalesce("new", "h").alias("h")), "network-poses")
         after = rmse(poses)
         if after < now:
             best, gain, now = poses, now - after, after
             if gain < 1e-6:
                 break
-    report = m.sparkSession.createDataFrame([(float(before), float(now), 100 * (before - now) / before if before else 0.0)], "rmse_before double, rmse_after double, improvement_pct double")
+    before, done = (placed(p).groupBy(name).agg(error.alias(c)) for p, c in ((start, "rmse_before"), (best, "rmse_after")))
+    report = edges.join(before, name, "left").join(done, name, "left")
+    gained = F.try_divide(100 * (F.col("rmse_before") - F.col("rmse_after")), F.col("rmse_before"))
+    report = report.select(name, "edges", "rmse_before", "rmse_after", F.coalesce(gained, F.when(F.col("rmse_before") == 0, lit(0))).alias("improvement_pct"), F.when(F.col("edges") < 2, "failed").otherwise("ok").alias("status"))
     return best, report
 
 

@@ -81,6 +81,42 @@ def job_state(events: DataFrame, fields: list[str], ttl: str, now: Column) -> Da
     return events.groupBy("job_id").agg(F.max("ts").alias("updated"), *latest).filter(F.col("updated") >= now - F.expr(f"INTERVAL {ttl}"))
 
 
+def job_state_stream(events: DataFrame, fields: list[str], ttl_ms: int) -> DataFrame:
+    """Streaming job state: after each batch (job_id, updated, fields) of every job that got events; fields are strings.
+
+    A job's state expires ``ttl_ms`` of processing time after its last event.
+    Events older than the job's latest don't take back what is known.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    schema = ", ".join(f"{f} string, {f}_at timestamp, {f}_event bigint" for f in fields)
+
+    class Latest(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.known = handle.getValueState("known", f"updated timestamp, {schema}", ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            old = self.known.get() if self.known.exists() else None
+            updated = old[0] if old else None
+            values = {f: tuple(old[1 + 3 * k : 4 + 3 * k]) if old else (None, None, None) for k, f in enumerate(fields)}
+            for row in pd.concat(list(rows)).itertuples():
+                at = row.ts.to_pydatetime()
+                updated = at if updated is None or at > updated else updated
+                for f in fields:
+                    value = getattr(row, f)
+                    if isinstance(value, str) and (values[f][1] is None or (at, row.event_id) >= values[f][1:]):
+                        values[f] = (value, at, row.event_id)
+            self.known.update((updated, *(v for f in fields for v in values[f])))
+            yield pd.DataFrame({"job_id": [key[0]], "updated": [updated], **{f: [values[f][0]] for f in fields}})
+
+        def close(self) -> None:
+            pass
+
+    return events.select("job_id", "event_id", "ts", *(F.col(f).cast("string").alias(f) for f in fields)).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=Latest(), outputStructType="job_id bigint, updated timestamp, " + ", ".join(f"{f} string" for f in fields), outputMode="Update", timeMode="ProcessingTime"
+    )
+
+
 def failure_lockout(events: DataFrame, most: int = 5, window_s: int = 900) -> DataFrame:
     """(job_id, event_id, failures, locked, retry_after_s) at each failure: failures within the window since the last success.
 
@@ -168,8 +204,9 @@ def incremental_ingest(labels: DataFrame, catalog_dir: str, manifest_dir: str, c
         fresh = tagged.join(known.select("product_id", "sensor"), ["product_id", "sensor"], "left_anti").select(tagged.columns)
         put(fresh, catalog_dir)
         every = table(spark, catalog_dir, tagged)
-        found = build_triplets(every.drop("run"), containment)
-        ids = every.filter(F.col("run") == run).select("product_id")
+        added = every.filter(F.col("run") == run).drop("run")
+        ids = added.select("product_id")
+        found = build_triplets(_around(every.drop("run"), added), containment)
         new = _touching(found, ids).withColumn("run", F.lit(run).cast("bigint"))
         old = table(spark, manifest_dir, new).filter(F.col("run") != run)
         put(new.join(old.select("ohrc_id", "tmc_id", "iirs_id"), ["ohrc_id", "tmc_id", "iirs_id"], "left_anti").select(new.columns), manifest_dir)
@@ -177,6 +214,18 @@ def incremental_ingest(labels: DataFrame, catalog_dir: str, manifest_dir: str, c
     return labels.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _around(every: DataFrame, added: DataFrame) -> DataFrame:
+    """The products that can be in a triplet with an added one: anchors that it is or touches, and all that touch such an anchor."""
+    from tiegrid.operators.catalog import BOUNDS, overlapping
+
+    box = ["product_id", *BOUNDS]
+    touch = lambda a, b: overlapping(a.select(box), b.select(box), "product_id", "product_id").select("product_id").distinct()
+    anchors = every.filter("sensor = 'OHRC'")
+    anchors = anchors.join(touch(anchors, added), "product_id", "left_semi")
+    others = every.filter("sensor <> 'OHRC'")
+    return anchors.unionByName(others.join(touch(others, anchors), "product_id", "left_semi"))
+
+
 def _touching(triplets: DataFrame, ids: DataFrame) -> DataFrame:
     """Triplets that hold one of the ids."""
     parts = [triplets.join(ids.withColumnRenamed("product_id", c), c, "left_semi").select(triplets.columns) for c in ("ohrc_id", "tmc_id", "iirs_id")]
