@@ -43,9 +43,9 @@ from tiegrid.plans.work import join_on_hot_keys
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
 #: Fingerprints of one key that are compared in one block; two blocks meet in a task.
-BLOCK = 1024
+BLOCK = 512
 #: SimHashes of 64 bits each that confirm a link, and under which ``deduplicate`` looks for candidates.
-CONFIRM, CANDIDATES = 6, 7
+CONFIRM, CANDIDATES = 6, 5
 
 
 #: Of each byte its eight bits, one to a byte of a long.
@@ -253,7 +253,7 @@ def in_blocks(prints: DataFrame, fps: list[str], extra: list[str], max_bits: int
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     return (
-        join_on_hot_keys(keyed, shared, "key", "n")
+        keyed.join(shared, "key")
         .withColumn("blocks", blocks)
         .select("key", F.struct("fp", "node", *extra).alias("item"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
@@ -347,10 +347,10 @@ def classes(base: DataFrame, prints: DataFrame, found: DataFrame, id_col: str) -
     """``base`` with component_id, of its distinct ``prints`` (node, rep, copies) and the links between their nodes."""
     joined = connected_components(found)
     members = joined.join(prints.select("node", "rep"), "node")
-    least = members.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"))
-    moved = join_on_hot_keys(members, least, "component", "n").select("node", "least")
+    least = members.groupBy("component").agg(F.min("rep").alias("least"))
+    moved = members.join(least, "component").select("node", "least")
     labelled = prints.join(moved, "node", "left").select("node", "copies", F.coalesce("least", "rep").cast(id_type(base, id_col)).alias("component_id"))
-    return join_on_hot_keys(base, labelled, "node", "copies")
+    return join_on_hot_keys(base, materialize(labelled, "simhash-classes"), "node", "copies")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
