@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tiegrid.plans.work import materialize, work_path
 
-__all__ = ["materialize", "work_path", "id_type", "by_bytes", "map_texts", "release_others", "worker_object", "table", "text_bytes", "string_sha256"]
+__all__ = ["arrow_rows", "materialize", "work_path", "id_type", "by_bytes", "map_texts", "release_others", "worker_object", "table", "text_bytes", "string_sha256"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,18 @@ def by_bytes(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[pa.
             at, size = k + 1, 0
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within this, Python tasks get at most so many rows at a time: for rows that hold long lists. What runs in it has to be written in it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _HELD: dict = {}
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from tiegrid.llm.common import id_type, map_texts, materialize, worker_object
+from tiegrid.llm.common import arrow_rows, id_type, map_texts, materialize, worker_object
 from tiegrid.plans.graph import connected_components
 from tiegrid.plans.work import join_on_hot_keys
 
@@ -44,6 +44,8 @@ SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
 #: Fingerprints of one key that are compared in one block; two blocks meet in a task.
 BLOCK = 512
+#: Block pairs that a Python task gets at a time.
+AT_ONCE = 128
 #: SimHashes of 64 bits each that confirm a link, and under which ``deduplicate`` looks for candidates.
 CONFIRM, CANDIDATES = 6, 5
 
@@ -88,7 +90,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         made = xxhash.xxh64_intdigest(word)
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = made
         return made
@@ -315,9 +317,11 @@ def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, co
     extra: list[str] = []
     if confirm is not None:
         extra = [c for c in prints.columns if c in CS]
-        with_some = materialize(in_blocks(prints, fps, [], max_bits).mapInArrow(near, "node bigint").distinct(), "simhash-candidates")
+        with arrow_rows(prints.sparkSession, AT_ONCE):
+            with_some = materialize(in_blocks(prints, fps, [], max_bits).mapInArrow(near, "node bigint").distinct(), "simhash-candidates")
         prints = prints.join(with_some, "node", "left_semi")
-    return in_blocks(prints, fps, extra, max_bits).mapInArrow(joined, "u bigint, v bigint, sure boolean").distinct()
+    with arrow_rows(prints.sparkSession, AT_ONCE):
+        return materialize(in_blocks(prints, fps, extra, max_bits).mapInArrow(joined, "u bigint, v bigint, sure boolean").distinct(), "simhash-links")
 
 
 def confirm_budget(similarity: float) -> tuple[int, int]:
@@ -363,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = materialize(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.col("fp")), "simhash")
     prints = base.groupBy("node", "fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    found = materialize(links(prints, max_bits).select("u", "v"), "simhash-links")
+    found = links(prints, max_bits).select("u", "v")
     return classes(base, prints, found, id_col).select(id_col, "fp", "component_id")
 
 
@@ -387,7 +391,7 @@ def deduplicate(
     base = set_fingerprints(with_id, id_col, text_col, shingle).withColumn("node", F.xxhash64(*FPS, *CS))
     base = materialize(base, "simhash")
     prints = base.groupBy("node", *FPS, *CS).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    found = materialize(links(prints, max_bits, FPS, confirm_budget(similarity)), "simhash-links")
+    found = links(prints, max_bits, FPS, confirm_budget(similarity))
     known = found.filter("sure").select("u", "v")
     rep = prints.select("node", "rep")
     open_ = found.filter("NOT sure").select("u", "v").join(known, ["u", "v"], "left_anti")
