@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tiegrid.plans.work import materialize, work_path
 
@@ -93,7 +94,7 @@ def map_texts(
             for part, texts in by_bytes(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), *rows(texts)], names=names)
 
-    names = [id_col, *(f.strip().split(" ")[0] for f in fields.split(","))]
+    names = StructType.fromDDL(schema).names
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
