@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiegrid.functions.algebra import clip, lit
+from tiegrid.functions.algebra import clip, let, lit
 
 MOON_RADIUS_M = 1_737_400.0
 DEG_M = math.pi / 180 * MOON_RADIUS_M
@@ -145,6 +145,45 @@ def clip_ring(subject: Column, window: Column) -> Column:
     return F.aggregate(edges, subject, by_edge)
 
 
+def ring_xy(ring: Column, x: str = "lon", y: str = "lat") -> Column:
+    """A ring of points as struct<x, y>, those with a missing coordinate left out."""
+    whole = F.filter(ring, lambda p: p[x].isNotNull() & p[y].isNotNull())
+    return F.transform(whole, lambda p: F.struct(p[x].cast("double").alias("x"), p[y].cast("double").alias("y")))
+
+
+def triangles(ring: Column) -> Column:
+    """The fan of counter-clockwise triangles from a ring's first point, each with the sign of its turn; empty ones are left out.
+
+    With these signs they add up to the ring, concave or not, times the sense in
+    which it runs, so areas shared by any two simple rings are signed sums over
+    pairs of triangles.
+    """
+
+    def one(r: Column, k: Column) -> Column:
+        a, b, c = r[0], F.element_at(r, k), F.element_at(r, k + 1)
+        cross = (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+        return F.struct(F.signum(cross).alias("sign"), F.when(cross > 0, F.array(a, b, c)).otherwise(F.array(a, c, b)).alias("ring"))
+
+    steps = lambda r: F.when(F.size(r) >= 3, F.sequence(F.lit(2), F.size(r) - 1)).otherwise(F.array().cast("array<int>"))
+    return let(ring, lambda r: F.filter(F.transform(steps(r), lambda k: one(r, k)), lambda t: t["sign"] != 0))
+
+
+def shared_rings(first: Column, *others: Column) -> Column:
+    """The area that fans of ``triangles`` share: of two rings, or of three."""
+
+    def under(ring: Column, fans: tuple[Column, ...]) -> Column:
+        step = lambda s, t: s + t["sign"] * let(clip_ring(ring, t["ring"]), lambda c: under(c, fans[1:]) if len(fans) > 1 else shoelace(c))
+        return F.when(F.size(ring) >= 3, F.aggregate(fans[0], lit(0), step)).otherwise(lit(0))
+
+    return F.abs(F.aggregate(first, lit(0), lambda s, t: s + t["sign"] * under(t["ring"], others)))
+
+
+def box_ring(west: Column, east: Column, south: Column, north: Column) -> Column:
+    """The four corners of a box as struct<lon, lat>; NULL if a bound is missing."""
+    known = west.isNotNull() & east.isNotNull() & south.isNotNull() & north.isNotNull()
+    return F.when(known, F.array(*(F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat")) for x, y in ((west, south), (east, south), (east, north), (west, north)))))
+
+
 def cell_range(low: Column, high: Column, size: float = CELL_DEG) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
@@ -179,29 +218,101 @@ def shared_area() -> Column:
     )
 
 
+def _fan(prefix: str = "") -> Column:
+    """The triangles of a row's ring, or of its box where the ring is missing."""
+    box = box_ring(*(F.col(prefix + c) for c in BOUNDS))
+    return triangles(ring_xy(F.coalesce(F.when(F.size(prefix + "ring") >= 3, _lon_lat(F.col(prefix + "ring"))), box)))
+
+
+def _lon_lat(ring: Column) -> Column:
+    return F.transform(ring, lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat")))
+
+
 def footprint_join(a: DataFrame, b: DataFrame, containment: float, a_id: str = "product_id", b_id: str = "product_id") -> DataFrame:
-    """Pairs with |A and B| / |A| of at least ``containment``; adds ``overlap``. If both have ``ring``s, polygons count, else boxes."""
+    """Pairs with |A and B| / |A| of at least ``containment``; adds ``overlap``.
+
+    If both have ``ring``s, polygons count, else boxes. Rings may run either way
+    and be concave; where one is missing its box stands for it. A ring without
+    area has no overlap with anything.
+    """
     pairs = overlapping(a, b, a_id, b_id)
     if "ring" in a.columns and "ring" in b.columns:
-        xy = lambda r: F.transform(r, lambda p: F.struct((p["lon"] * 1.0).alias("x"), (p["lat"] * 1.0).alias("y")))
-        share = shoelace(clip_ring(xy(F.col("ring")), xy(F.col("b_ring")))) / shoelace(xy(F.col("ring")))
+        pairs = pairs.withColumns({"_fan": _fan(), "_b_fan": _fan("b_")})
+        share = F.try_divide(shared_rings(F.col("_fan"), F.col("_b_fan")), fan_area(F.col("_fan")))
     else:
-        share = shared_area() / box_area(*(F.col(c) for c in BOUNDS))
-    return pairs.withColumn("overlap", share).filter(F.col("overlap") >= containment)
+        share = F.try_divide(shared_area(), box_area(*(F.col(c) for c in BOUNDS)))
+    return pairs.withColumn("overlap", share).filter(F.col("overlap") >= containment).drop("_fan", "_b_fan")
 
 
-def footprint_overlap(pairs: DataFrame) -> DataFrame:
-    """Adds area1, area2, intersection (km2, true to scale at the mean latitude of both), pct1, pct2 and iou of two boxes.
+def fan_area(fan: Column) -> Column:
+    return F.abs(F.aggregate(fan, lit(0), lambda s, t: s + t["sign"] * shoelace(t["ring"])))
+
+
+#: How far a footprint can be trusted, the best first: fixed values.
+CONFIDENCE = ("polygon_exact", "approximate", "bbox_only", "unavailable")
 
-    The second box is shifted by whole turns to lie nearest to the first.
+
+def footprint_overlap(pairs: DataFrame) -> DataFrame:
+    """Adds area1, area2, intersection (km2), pct1, pct2 and iou of two footprints.
+
+    Without rings, boxes are compared, true to scale at the mean latitude of
+    both, the second one shifted by whole turns to lie nearest to the first.
+
+    With ``ring`` and ``b_ring`` (array<struct<lon, lat>>, of any sense, concave
+    or not) polygons are, in a plane for the pair: polar stereographic about
+    their mean longitude if the mean latitude of all their points is 65 degrees
+    or more, or any is 80, else equirectangular, true to scale at the mean
+    latitude; longitudes are unwrapped about the mean one. Where a ring is
+    missing its box stands for it. Also added are ``projection`` and
+    ``confidence``, the worse one of both footprints: ``confidence`` and
+    ``b_confidence`` if the table has them, else polygon_exact for a ring,
+    bbox_only for a box, unavailable for neither, which leaves zeros. A ring
+    that crosses itself counts its parts by the sense in which they run.
     """
-    shift = F.round((F.col("west_lon") + F.col("east_lon") - F.col("b_west_lon") - F.col("b_east_lon")) / 720) * 360
-    moved = pairs.withColumns({"b_west_lon": F.col("b_west_lon") + shift, "b_east_lon": F.col("b_east_lon") + shift})
-    mean = (F.col("south_lat") + F.col("north_lat") + F.col("b_south_lat") + F.col("b_north_lat")) / 4
-    unit = (DEG_M / 1000) ** 2 * F.cos(F.radians(mean))
-    a, b = box_area(*(F.col(c) for c in BOUNDS)) * unit, box_area(*(F.col("b_" + c) for c in BOUNDS)) * unit
-    both = shared_area() * unit
-    return moved.withColumns({"area1": a, "area2": b, "intersection": both, "pct1": F.try_divide(both, a) * 100, "pct2": F.try_divide(both, b) * 100, "iou": F.try_divide(both, a + b - both)})
+    if not ("ring" in pairs.columns and "b_ring" in pairs.columns):
+        shift = F.round((F.col("west_lon") + F.col("east_lon") - F.col("b_west_lon") - F.col("b_east_lon")) / 720) * 360
+        moved = pairs.withColumns({"b_west_lon": F.col("b_west_lon") + shift, "b_east_lon": F.col("b_east_lon") + shift})
+        mean = (F.col("south_lat") + F.col("north_lat") + F.col("b_south_lat") + F.col("b_north_lat")) / 4
+        unit = (DEG_M / 1000) ** 2 * F.cos(F.radians(mean))
+        a, b = box_area(*(F.col(c) for c in BOUNDS)) * unit, box_area(*(F.col("b_" + c) for c in BOUNDS)) * unit
+        both = shared_area() * unit
+        return moved.withColumns({"area1": a, "area2": b, "intersection": both, "pct1": F.try_divide(both, a) * 100, "pct2": F.try_divide(both, b) * 100, "iou": F.try_divide(both, a + b - both)})
+
+    worst = F.lit(len(CONFIDENCE) - 1)
+
+    def level(prefix: str) -> Column:
+        has = F.when(F.size(prefix + "ring") >= 3, 0).when(box_ring(*(F.col(prefix + c) for c in BOUNDS)).isNotNull(), 2).otherwise(worst)
+        said = F.col(prefix + "confidence") if prefix + "confidence" in pairs.columns else F.lit(None).cast("string")
+        told = F.coalesce(*(F.when(said == name, k) for k, name in enumerate(CONFIDENCE)))
+        return F.when(has == worst, worst).otherwise(F.coalesce(told, has))
+
+    def points(prefix: str) -> Column:
+        box = box_ring(*(F.col(prefix + c) for c in BOUNDS))
+        return ring_xy(F.coalesce(F.when(F.size(prefix + "ring") >= 3, _lon_lat(F.col(prefix + "ring"))), box, F.array().cast("array<struct<lon:double,lat:double>>")))
+
+    out = pairs.withColumns({"_level": F.greatest(level(""), level("b_")), "_a": points(""), "_b": points("b_")}).withColumn("_all", F.concat("_a", "_b"))
+    mean = lambda c: F.try_divide(F.aggregate("_all", lit(0), lambda s, p: s + p[c]), F.size("_all"))
+    out = out.withColumns({"_lon": mean("x"), "_lat": mean("y"), "_top": F.array_max(F.transform("_all", lambda p: F.abs(p["y"])))})
+    polar = (F.abs("_lat") >= 65) | (F.col("_top") >= 80)
+
+    def placed(p: Column) -> Column:
+        east = wrap180(p["x"] - F.col("_lon"))
+        side = F.when(F.col("_lat") < 0, lit(-1)).otherwise(lit(1))
+        rho = 2 * MOON_RADIUS_M * F.tan(math.pi / 4 - F.radians(side * p["y"]) / 2)
+        flat = F.struct((east * DEG_M * F.cos(F.radians("_lat"))).alias("x"), (p["y"] * DEG_M).alias("y"))
+        return F.when(polar, F.struct((rho * F.sin(F.radians(east))).alias("x"), (-side * rho * F.cos(F.radians(east))).alias("y"))).otherwise(flat)
+
+    usable = F.col("_level") < worst
+    out = out.withColumns({c: triangles(F.when(usable, F.transform(c, placed))) for c in ("_a", "_b")})
+    areas = {"area1": fan_area(F.col("_a")), "area2": fan_area(F.col("_b")), "intersection": shared_rings(F.col("_a"), F.col("_b"))}
+    out = out.withColumns({k: F.when(usable, v / 1e6).otherwise(lit(0)) for k, v in areas.items()})
+    both = F.col("intersection")
+    share = lambda whole: F.least(F.coalesce(F.try_divide(100 * both, whole), lit(0)), lit(100))
+    name = F.when(~polar, "equirectangular").when(F.col("_lat") < 0, "south_polar_stereographic").otherwise("north_polar_stereographic")
+    return out.withColumns({
+        "pct1": share(F.col("area1")), "pct2": share(F.col("area2")), "iou": F.coalesce(F.try_divide(both, F.col("area1") + F.col("area2") - both), lit(0)),
+        "projection": F.when(usable, name), "confidence": F.array(*map(F.lit, CONFIDENCE))[F.col("_level")],
+    }).drop("_level", "_a", "_b", "_all", "_lon", "_lat", "_top")
 
 
 def gap_days(a: Column, b: Column) -> Column:
@@ -216,21 +327,27 @@ def time_ok(t_o: Column, t_t: Column, t_i: Column, least: float, most: float, re
 
 
 def build_triplets(products: DataFrame, containment: float, least_gap: float = 0.0, most_gap: float = 1e9, require_dates: bool = False) -> DataFrame:
-    """(ohrc_id, tmc_id, iirs_id, fraction, pct_ot, pct_oi): products of three sensors that share ground and time, anchored on OHRC."""
-    cols = ["product_id", *BOUNDS, "acquired"]
+    """(ohrc_id, tmc_id, iirs_id, fraction, pct_ot, pct_oi): products of three sensors that share ground and time, anchored on OHRC.
+
+    Footprints are the ``ring``s if there are any, of any sense, concave or not, else boxes.
+    """
+    rings = ["ring"] if "ring" in products.columns else []
+    cols = ["product_id", *BOUNDS, "acquired", *rings]
     of = lambda s: products.filter(F.col("sensor") == s).select(cols)
     o_t = footprint_join(of("OHRC"), of("TMC"), containment).select(
-        *cols, F.col("overlap").alias("ot"), F.col("b_product_id").alias("tmc_id"), F.col("b_acquired").alias("t_acquired"),
-        F.greatest("west_lon", "b_west_lon").alias("w2"), F.least("east_lon", "b_east_lon").alias("e2"),
-        F.greatest("south_lat", "b_south_lat").alias("s2"), F.least("north_lat", "b_north_lat").alias("n2"),
-    )
+        *cols, F.col("overlap").alias("ot"), F.col("b_product_id").alias("tmc_id"), F.col("b_acquired").alias("t_acquired"), *(F.col("b_" + c).alias("t_" + c) for c in (*BOUNDS, *rings))
+    )
     o_i = footprint_join(of("OHRC"), of("IIRS"), containment).select(
-        "product_id", F.col("overlap").alias("oi"), F.col("b_product_id").alias("iirs_id"), F.col("b_acquired").alias("i_acquired"),
-        *(F.col("b_" + c).alias("i_" + c) for c in BOUNDS),
-    )
+        "product_id", F.col("overlap").alias("oi"), F.col("b_product_id").alias("iirs_id"), F.col("b_acquired").alias("i_acquired"), *(F.col("b_" + c).alias("i_" + c) for c in (*BOUNDS, *rings))
+    )
     both = o_t.join(o_i, "product_id").filter(time_ok(F.col("acquired"), F.col("t_acquired"), F.col("i_acquired"), least_gap, most_gap, require_dates))
-    three = box_area(F.greatest("w2", "i_west_lon"), F.least("e2", "i_east_lon"), F.greatest("s2", "i_south_lat"), F.least("n2", "i_north_lat"))
-    fraction = three / box_area(*(F.col(c) for c in BOUNDS))
+    if rings:
+        both = both.withColumns({"_o": _fan(), "_t": _fan("t_"), "_i": _fan("i_")})
+        fraction = F.try_divide(shared_rings(F.col("_o"), F.col("_t"), F.col("_i")), fan_area(F.col("_o")))
+    else:
+        most_of = lambda c: F.greatest(c, "t_" + c, "i_" + c)
+        least_of = lambda c: F.least(c, "t_" + c, "i_" + c)
+        fraction = F.try_divide(box_area(most_of("west_lon"), least_of("east_lon"), most_of("south_lat"), least_of("north_lat")), box_area(*(F.col(c) for c in BOUNDS)))
     return both.withColumn("fraction", fraction).filter(F.col("fraction") >= containment).select(
         F.col("product_id").alias("ohrc_id"), "tmc_id", "iirs_id", "fraction",
         F.round(F.col("ot") * 100, 3).alias("pct_ot"), F.round(F.col("oi") * 100, 3).alias("pct_oi"),
@@ -263,13 +380,30 @@ def rank_candidates(targets: DataFrame, candidates: DataFrame, least: float = 0.
     return ranked.select(F.col("product_id").alias("target_id"), F.col("b_product_id").alias("product_id"), "overlap", "score", F.row_number().over(order).alias("rank"))
 
 
+SIDES = ("west", "east", "south", "north")
+
+
 def coverage_check(regions: DataFrame, dems: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """(id, dem_id, margin_deg): the DEM that fully holds each region with the widest margin; NULL if none does."""
-    pairs = overlapping(regions, dems, "id", "id")
-    margin = F.least(F.col("west_lon") - F.col("b_west_lon"), F.col("b_east_lon") - F.col("east_lon"), F.col("south_lat") - F.col("b_south_lat"), F.col("b_north_lat") - F.col("north_lat"))
-    inside = pairs.withColumn("margin", margin).filter(F.col("margin") >= -eps)
-    best = inside.groupBy("id").agg(F.max_by(F.struct(F.col("b_id").alias("dem_id"), F.col("margin").alias("margin_deg")), F.struct("margin", -F.col("b_id"))).alias("m"))
-    return regions.select("id").join(best, "id", "left").select("id", "m.dem_id", "m.margin_deg")
+    """(id, contained, dem_id, margin_deg, margin_west, margin_east, margin_south, margin_north): the DEM that fully holds each region with the widest margin.
+
+    Margins of the sides are in pixels of that DEM, by its ``res_x_deg`` and
+    ``res_y_deg``; NULL where these aren't known or positive. A region that none
+    holds has no DEM; ``missing_regions`` lists such. Bounds are taken as they are.
+    """
+    known = {c: F.col(c) if c in dems.columns else F.lit(None).cast("double") for c in ("res_x_deg", "res_y_deg")}
+    pairs = overlapping(regions.select("id", *BOUNDS), dems.select("id", *BOUNDS, *(v.alias(c) for c, v in known.items())), "id", "id")
+    away = {"west": F.col("west_lon") - F.col("b_west_lon"), "east": F.col("b_east_lon") - F.col("east_lon"), "south": F.col("south_lat") - F.col("b_south_lat"), "north": F.col("b_north_lat") - F.col("north_lat")}
+    size = lambda side: F.col("b_res_x_deg" if side in ("west", "east") else "b_res_y_deg")
+    pixels = {f"margin_{s}": F.when(size(s) > 0, away[s] / size(s)) for s in SIDES}
+    inside = pairs.withColumns({"margin_deg": F.least(*away.values()), **pixels}).filter(F.col("margin_deg") >= -eps)
+    found = F.struct(F.col("b_id").alias("dem_id"), "margin_deg", *pixels)
+    best = inside.groupBy("id").agg(F.max_by(found, F.struct("margin_deg", -F.col("b_id"))).alias("m"))
+    return regions.select("id").join(best, "id", "left").select("id", F.col("m").isNotNull().alias("contained"), "m.*")
+
+
+def missing_regions(covered: DataFrame) -> DataFrame:
+    """(id) of the regions of a ``coverage_check`` that no DEM holds: what stops a job that must not go on without."""
+    return covered.filter(~F.col("contained")).select("id")
 
 
 def merge_catalog(sources: list[DataFrame], key: str, fill: list[str], required: list[str]) -> DataFrame:
@@ -360,10 +494,28 @@ def paired_tiles(pairs: DataFrame, size: int, overlap: int) -> DataFrame:
     )
 
 
-def audit_axis_alignment(products: DataFrame, ring: str = "ring", tolerance: float = 0.02) -> DataFrame:
-    """(sensor, products, rotated): footprints whose area is smaller than that of their box by more than a share."""
+def axis_alignment(products: DataFrame, ring: str = "ring") -> DataFrame:
+    """Adds lat_paired, lon_paired, polygon_area, bbox_area, relative_diff and is_axis_aligned of footprints.
+
+    Coordinates are paired if, to ten digits, there are two and each stands at
+    two corners; a footprint is aligned if both are. Areas are in square
+    degrees; the difference is over the box's, 0 for a box without area.
+    """
     r = F.col(ring)
-    area = shoelace(F.transform(r, lambda p: F.struct((p["lon"] * 1.0).alias("x"), (p["lat"] * 1.0).alias("y"))))
+
+    def paired(c: str) -> Column:
+        values = F.transform(r, lambda p: F.round(p[c], 10))
+        return let(values, lambda v: (F.size(F.array_distinct(v)) == 2) & F.forall(F.array_distinct(v), lambda x: F.size(F.filter(v, lambda y: y == x)) == 2))
+
     side = lambda c: F.array_max(F.transform(r, lambda p: p[c])) - F.array_min(F.transform(r, lambda p: p[c]))
-    off = 1 - F.try_divide(area, side("lon") * side("lat"))
-    return products.groupBy("sensor").agg(F.count(F.lit(1)).alias("products"), F.count_if(off > tolerance).alias("rotated"))
+    out = products.withColumns({"lat_paired": paired("lat"), "lon_paired": paired("lon"), "polygon_area": shoelace(ring_xy(r)), "bbox_area": side("lon") * side("lat")})
+    off = F.coalesce(F.try_divide(F.abs(F.col("bbox_area") - F.col("polygon_area")), F.col("bbox_area")), F.when(F.col("bbox_area") == 0, lit(0)))
+    return out.withColumns({"relative_diff": off, "is_axis_aligned": F.col("lat_paired") & F.col("lon_paired")})
+
+
+def audit_axis_alignment(products: DataFrame, ring: str = "ring") -> DataFrame:
+    """(sensor, products, rotated, lat_paired, lon_paired, max_relative_diff): footprints that aren't aligned with the axes, by sensor."""
+    return axis_alignment(products, ring).groupBy("sensor").agg(
+        F.count(F.lit(1)).alias("products"), F.count_if(~F.col("is_axis_aligned")).alias("rotated"), F.count_if("lat_paired").alias("lat_paired"),
+        F.count_if("lon_paired").alias("lon_paired"), F.max("relative_diff").alias("max_relative_diff"),
+    )

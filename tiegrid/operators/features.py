@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,26 +122,35 @@ def neighborhood_consistency(matches: DataFrame, k: int = 5, sigma: float = 20.0
     return scored.union(small)
 
 
-def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 5, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
-    """(key, global_rmse, local_rmse, ratio, strained): residuals of the pair's map against affine maps of each match's k nearest.
+def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 6, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
+    """(key, global_rmse, local_rmse, ratio, strained): residuals of the pair's map against those of local affine maps.
 
-    Pairs of fewer than 6 matches aren't computed.
+    A local map is fitted by least squares to the k matches nearest to a match,
+    itself included, and judged at that match; where it can't be fitted the
+    pair's residual counts. A match that has no place under the pair's map
+    counts 1e6 px. Pairs of fewer than 6 matches aren't computed.
     """
     from tiegrid.operators.fit import fit_affine
     from tiegrid.operators.points import project
 
     big = matches.join(matches.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 6").select(key), key, "left_semi")
-    overall = project(big.join(fitted.select(key, "h"), key)).groupBy(key).agg(F.sqrt(F.avg(F.pow("error", lit(2)))).alias("global_rmse"))
-    near = nearest(big, k, key, id_col)
-    around = near.select(key, F.col(id_col).alias("centre"), *(F.col("o_" + c).alias(c) for c in XY))
-    local = fit_affine(around, [key, "centre"])
-    errors = project(around.join(local.select(key, "centre", "h"), [key, "centre"])).groupBy(key).agg(F.sqrt(F.avg(F.pow("error", lit(2)))).alias("local_rmse"))
-    ratio = F.col("global_rmse") / F.greatest("local_rmse", lit(1e-6))
-    return overall.join(errors, key).select(key, "global_rmse", "local_rmse", ratio.alias("ratio"), ((ratio >= 1.35) & (F.col("global_rmse") >= 1.2)).alias("strained"))
+    far = F.when(F.isnan("error") | (F.col("error") == float("inf")), lit(1e6)).otherwise(F.coalesce("error", lit(1e6)))
+    overall = project(big.join(fitted.select(key, "h"), key)).select(key, F.col(id_col).alias("centre"), *XY, far.alias("whole"))
+    near = nearest(big, k - 1, key, id_col)
+    around = near.select(key, F.col(id_col).alias("centre"), *(F.col("o_" + c).alias(c) for c in XY)).unionByName(big.select(key, F.col(id_col).alias("centre"), *XY))
+    local = fit_affine(around, [key, "centre"]).select(key, "centre", "h")
+    judged = project(overall.join(local, [key, "centre"], "left")).withColumn("error", F.when(F.col("h").isNotNull(), F.col("error")).otherwise(F.col("whole")))
+    rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    found = judged.groupBy(key).agg(rms("whole").alias("global_rmse"), rms("error").alias("local_rmse"))
+    ratio = F.col("global_rmse") / F.greatest("local_rmse", lit(0.05))
+    return found.select(key, "global_rmse", "local_rmse", ratio.alias("ratio"), ((ratio >= 1.35) & (F.col("global_rmse") >= 1.2)).alias("strained"))
 
 
 def descriptor_match(source: DataFrame, target: DataFrame, ratio: float = 0.8, key: str = "pair_id") -> DataFrame:
-    """(key, kp_id, target_id, distance, second, kept): the nearest target descriptor and the next one that isn't equally near (1e-6)."""
+    """(key, kp_id, target_id, distance, second, kept): the nearest target descriptor and the next one that isn't equally near (1e-6).
+
+    Kept if the distance is at most ``ratio`` of the second one; without a second one, only if it is 0 (1e-8).
+    """
     pairs = source.select(key, "kp_id", "bands").join(target.select(key, F.col("kp_id").alias("target_id"), F.col("bands").alias("b")), key)
     away = F.sqrt(F.aggregate(F.zip_with("bands", "b", lambda p, q: (p - q) * (p - q)), lit(0), lambda s, v: s + v))
     d = pairs.select(key, "kp_id", "target_id", away.alias("d"))
@@ -148,7 +160,7 @@ def descriptor_match(source: DataFrame, target: DataFrame, ratio: float = 0.8, k
     second = least.groupBy(key, "kp_id").agg(
         F.first("_target").alias("target_id"), F.first("_least").alias("distance"), F.min(F.when(F.col("d") > F.col("_least") + 1e-6, F.col("d"))).alias("second")
     )
-    return second.withColumn("kept", F.coalesce(F.col("distance") <= ratio * F.col("second"), F.lit(True)))
+    return second.withColumn("kept", F.coalesce(F.col("distance") <= ratio * F.col("second"), F.col("distance") <= 1e-8))
 
 
 def backfill_features(records: DataFrame, index: DataFrame, features: list[str]) -> DataFrame:
@@ -319,12 +331,46 @@ def ranking_report(scored: DataFrame, score: str, truth: str = "truth", key: str
     )
 
 
-def training_set(matches: DataFrame, features: list[str], needed: list[str]) -> DataFrame:
-    """Labelled, complete and distinct rows with group and domain; repeats on rounded features, label and position go."""
-    from tiegrid.operators.selection import keep_first
+def _training_rows(matches: DataFrame, features: list[str], needed: list[str], defaults: dict[str, float] | None, allow_consensus: bool) -> DataFrame:
+    """All rows with truth, group, features filled by their defaults, and ``fate``: no_label, missing_features, duplicate or kept."""
+    labelled = label_matches(matches, allow_consensus)
+    whole = reduce(and_, (F.col(c).isNotNull() & (~F.isnan(c) if t in ("double", "float") else F.lit(True)) for c, t in labelled.dtypes if c in needed), F.lit(True))
+    fate = F.when(F.col("truth").isNull(), "no_label").when(~whole, "missing_features")
+    marked = labelled.withColumn("fate", fate).withColumns({c: F.coalesce(c, lit(v)) for c, v in (defaults or {}).items()})
+    keys = [*(F.round(f, 6) for f in features), F.col("truth"), *(F.round(F.coalesce(c, lit(0)), 4) for c in XY)]
+    grouped = provenance_group(marked)
+    order = Window.partitionBy(F.col("fate"), *keys).orderBy("match_id", "group_id")
+    rows = grouped.filter("fate IS NULL").withColumn("fate", F.when(F.row_number().over(order) == 1, "kept").otherwise("duplicate"))
+    return rows.unionByName(grouped.filter("fate IS NOT NULL"))
 
-    labelled = label_matches(matches).filter(F.col("truth").isNotNull()).dropna(subset=needed)
-    keys = [*(F.round(f, 6) for f in features), F.col("truth"), *(F.round(c, 4) for c in XY)]
-    return keep_first(provenance_group(labelled), keys, ["match_id", "group_id"])
+
+def training_set(matches: DataFrame, features: list[str], needed: list[str], defaults: dict[str, float] | None = None, allow_consensus: bool = False) -> DataFrame:
+    """Labelled, complete and distinct rows with group and domain; repeats on rounded features, label and position go.
+
+    Features that are missing take ``defaults``, if given; rows that lack a
+    ``needed`` one are left out. ``training_report`` counts what goes.
+    """
+    return _training_rows(matches, features, needed, defaults, allow_consensus).filter("fate = 'kept'").drop("fate")
+
+
+def training_report(matches: DataFrame, features: list[str], needed: list[str], file_col: str = "file", defaults: dict[str, float] | None = None, allow_consensus: bool = False) -> DataFrame:
+    """Counts of ``training_set``'s rows for each file, and of all files in a row of NULL file.
+
+    inliers and outliers are kept rows; skipped_no_label, skipped_missing_features
+    and duplicates are not. synthetic_geometry, hand and ransac count where the
+    labels of complete rows, repeated ones included, come from. ``group_key`` is
+    the finest kind of group among the kept rows. One aggregation, two levels.
+    """
+    rows = _training_rows(matches, features, needed, defaults, allow_consensus)
+    is_fate = lambda f: F.col("fate") == f
+    complete = F.col("fate").isin("kept", "duplicate")
+    has = lambda level: F.max(is_fate("kept") & (F.col("group_level") == level))
+    counts = rows.groupingSets([[F.col(file_col)], []], F.col(file_col)).agg(
+        F.grouping(file_col).alias("is_total"), F.count_if(is_fate("kept") & F.col("truth")).alias("inliers"), F.count_if(is_fate("kept") & ~F.col("truth")).alias("outliers"),
+        F.count_if(is_fate("no_label")).alias("skipped_no_label"), F.count_if(is_fate("missing_features")).alias("skipped_missing_features"), F.count_if(is_fate("duplicate")).alias("duplicates"),
+        *(F.count_if(complete & (F.col("truth_source") == s)).alias(s) for s in ("synthetic_geometry", "hand", "ransac")),
+        F.when(has("image_pair"), "image_pair").when(has("region"), "region").when(has("source_image"), "source_image").otherwise("none").alias("group_key"),
+    )
+    return counts.withColumn("is_total", F.col("is_total") == 1)
 
 

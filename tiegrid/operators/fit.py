@@ -127,8 +127,16 @@ def bootstrap_transform(matches: DataFrame, replicates: int, key: str = "pair_id
     )
 
 
-def consensus_hypotheses(matches: DataFrame, hypotheses: int, key: str = "pair_id", id_col: str = "match_id") -> DataFrame:
-    """(key, hyp, h): affine maps through 3 matches each, each drawn by a fixed hash of its own; draws that repeat or lie on a line are left out."""
+def consensus_hypotheses(matches: DataFrame, hypotheses: int, key: str = "pair_id", id_col: str = "match_id", weight: str | None = None) -> DataFrame:
+    """(key, hyp, h): affine maps through 3 matches each, each drawn by a fixed hash of its own; draws that repeat or lie on a line are left out.
+
+    With ``weight`` heavier matches are likelier to be drawn, and none repeats.
+    """
+    if weight is not None:
+        from tiegrid.operators.consensus import sampling_weight, weighted_draws
+
+        weighed = matches.dropna(subset=[X, Y, U, V]).select(key, id_col, X, Y, U, V, sampling_weight(weight).alias("_w"))
+        return fit_affine(weighted_draws(weighed, hypotheses, 3, key, id_col), [key, "hyp"]).filter("n = 3").select(key, "hyp", "h")
     order = Window.partitionBy(key).orderBy(id_col)
     placed = matches.select(key, X, Y, U, V, (F.row_number().over(order) - 1).cast("bigint").alias("place"))
     sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
@@ -146,6 +154,7 @@ def consensus_fit(
 ) -> DataFrame:
     """(key, h, hyp, n, inliers): the affine map that most matches, by ``weight``, agree with, refitted on these.
 
+    With ``weight`` heavier matches are also likelier to be drawn.
     Hypotheses are a table of one list for each pair, so every match meets all
     of its pair's in one row. One aggregation over the matches within the
     threshold of each gives its support and its refit; the best supported
@@ -156,7 +165,7 @@ def consensus_fit(
     from tiegrid.operators.points import mapped
     from tiegrid.operators.quality import transform_gate
 
-    tried = consensus_hypotheses(matches, hypotheses, key, id_col).groupBy(key).agg(F.collect_list(F.struct("hyp", "h")).alias("tries"))
+    tried = consensus_hypotheses(matches, hypotheses, key, id_col, weight).groupBy(key).agg(F.collect_list(F.struct("hyp", "h")).alias("tries"))
     w = F.col(weight).cast("double") if weight else lit(1)
     sizes = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     rows = matches.select(key, X, Y, U, V, w.alias("w")).join(tried, key).select(key, X, Y, U, V, "w", F.explode("tries").alias("t"))

@@ -13,33 +13,50 @@ from tiegrid.plans.graph import connected_components
 from tiegrid.plans.work import materialize
 
 
-def canonical_metrics(matches: DataFrame, transforms: DataFrame, width: float, height: float, g: int = 8, key: str = "pair_id") -> DataFrame:
+def canonical_metrics(
+    matches: DataFrame, transforms: DataFrame, width: float, height: float, g: int = 8, key: str = "pair_id", checkpoints: DataFrame | None = None, images: DataFrame | None = None
+) -> DataFrame:
     """One wide row for each pair of ``matches`` (with ``inlier``): residuals, spread, gates, validation, light, tier and verdict.
 
-    Validation is leave-one-out for 4 to 7 inliers and a holdout from 8 on. Missing figures are NULL, never 0.
+    Validation is by independent ``checkpoints`` (key and coordinates) for pairs
+    that have any, else leave-one-out for 4 to 7 inliers and a holdout from 8
+    on; ``held_out`` and ``held_out_median`` are its figures. ``images`` (key,
+    ssim, nmi) brings the similarities of warped images, which the light and the
+    composite score use. The fit's residual counts for gate 3, an infinite one
+    fails it. Missing figures are NULL, never 0.
     """
     kept = matches.filter("inlier")
     base = matches.groupBy(key).agg(F.count(F.lit(1)).alias("matches"), F.count_if("inlier").alias("inliers"))
     summary = points.residual_summary(kept, transforms, key).select(key, F.col("rmse").alias("fit_rmse"), F.col("median").alias("fit_median"))
     spread = quality.spatial_distribution(kept, width, height, g, key).select(key, "coverage", "entropy", "uniformity")
     gate4 = quality.support_gate(kept, width, height, 4, key).select(key, F.col("accepted").alias("support_ok"))
-    gate3 = quality.transform_gate(transforms.select(key, "h")).select(key, "determinant", "condition", F.col("is_valid").alias("transform_ok"))
+    fitted = transforms.select(key, "h").join(summary.select(key, F.coalesce("fit_rmse", lit(float("inf"))).alias("_rmse")), key, "left")
+    gate3 = quality.transform_gate(fitted, "_rmse").select(key, "determinant", "condition", F.col("is_valid").alias("transform_ok"))
     few = kept.join(base.filter("inliers BETWEEN 4 AND 7").select(key), key, "left_semi")
-    loo = fit.leave_one_out(few, key).select(key, F.col("rmse").alias("loo"))
-    hold = fit.holdout_validation(kept, key).select(key, F.col("rmse").alias("hold"))
+    loo = fit.leave_one_out(few, key).select(key, F.struct("rmse", "median").alias("loo"))
+    hold = fit.holdout_validation(kept, key).select(key, F.struct("rmse", "median").alias("hold"))
+    parts = [summary, spread, gate4, gate3, loo, hold]
+    if checkpoints is not None:
+        checked = points.residual_summary(checkpoints, transforms, key)
+        parts.append(checked.select(key, F.col("n").alias("checkpoints"), F.struct("rmse", "median").alias("check")))
+    if images is not None:
+        parts.append(images.select(key, *(F.col(c).cast("double").alias(c) for c in ("ssim", "nmi"))))
     wide = base
-    for part in (summary, spread, gate4, gate3, loo, hold):
+    for part in parts:
         wide = wide.join(part, key, "left")
     n = F.col("inliers")
+    given = F.coalesce(F.col("checkpoints") > 0, F.lit(False)) if checkpoints is not None else F.lit(False)
+    by = F.when(given, F.col("check") if checkpoints is not None else F.col("hold")).when(n >= 8, F.col("hold")).when(n >= 4, F.col("loo"))
+    missing = {c: F.lit(None).cast("double") for c in ("ssim", "nmi") if images is None}
     wide = wide.withColumns({
-        "inlier_ratio": F.try_divide(n, F.col("matches")), "held_out": F.when(n >= 8, F.col("hold")).when(n >= 4, F.col("loo")),
-        "validation": F.when(n >= 8, "holdout").when(n >= 4, "leave_one_out").otherwise("none"), "ssim": F.lit(None).cast("double"),
-    }).drop("loo", "hold")
+        "inlier_ratio": F.try_divide(n, F.col("matches")), "held_out": by["rmse"], "held_out_median": by["median"], "checkpoints": F.when(given, F.col("checkpoints")) if checkpoints is not None else F.lit(None).cast("bigint"),
+        "validation": F.when(given, "checkpoints").when(n >= 8, "holdout").when(n >= 4, "leave_one_out").otherwise("none"), **missing,
+    }).drop("loo", "hold", "check")
     lit_up = quality.traffic_light(wide)
     tier = quality.quality_tier(n, F.coalesce("coverage", lit(0)), F.col("held_out"), F.coalesce("transform_ok", F.lit(False)))
     lit_up = lit_up.withColumn("quality_tier", tier)
-    score = quality.composite_score(F.col("inlier_ratio"), F.col("fit_rmse"), F.coalesce("uniformity", lit(0)), F.lit(None).cast("double"), F.lit(None).cast("double"))
-    return lit_up.withColumns({"verdict": quality.verdict(F.col("color"), F.col("quality_tier"), n, F.lit(False)), "composite": score})
+    score = quality.composite_score(F.col("inlier_ratio"), F.col("fit_rmse"), F.coalesce("uniformity", lit(0)), F.col("nmi"), F.col("ssim"))
+    return lit_up.withColumns({"verdict": quality.verdict(F.col("color"), F.col("quality_tier"), n, F.col("validation") == "checkpoints"), "composite": score})
 
 
 def match_weights(matches: DataFrame, model=None, key: str = "pair_id") -> DataFrame:

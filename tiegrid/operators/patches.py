@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegrid.functions.algebra import clip, lit
-from tiegrid.operators.raster import PIXEL, gradients, horn_slope, sample_raster
+from tiegrid.operators.raster import PIXEL, central_slope, gradients, known, sample_raster
 from tiegrid.plans.work import materialize
 
 
@@ -238,8 +238,17 @@ def relief_shift(points: DataFrame, dem: DataFrame, emission: float | None, azim
 
 
 def slope_residual_corr(points: DataFrame, dem: DataFrame, gsd: float, key: str = "pair_id") -> DataFrame:
-    """(key, n, correlation) of ``error`` and the slope under points (image_id, px, py); 0 below 4 points or without spread."""
-    slope = horn_slope(dem, gsd).select(*PIXEL, F.col("slope_deg").alias("v"))
-    at = sample_raster(points.select(key, "match_id", "image_id", "px", "py", "error"), slope, False)
-    s = at.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.corr("error", "value").alias("c"))
-    return s.select(key, "n", F.when((F.col("n") >= 4) & F.col("c").isNotNull() & ~F.isnan("c"), F.col("c")).otherwise(lit(0)).alias("correlation"))
+    """(key, n, correlation) of ``error`` and the slope, rise over run, at the pixels nearest to points (image_id, px, py).
+
+    Points beyond an edge take its pixel; n counts those of which both figures
+    are finite. 0 below 4 of them or without spread.
+    """
+    slope = central_slope(dem, max(gsd, 1e-6))
+    ends = slope.groupBy("image_id").agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
+    near = lambda c, most: F.least(F.greatest(F.bround(c).cast("bigint"), F.lit(0)), F.col(most))
+    placed = points.select(key, "image_id", "px", "py", known("error").alias("error")).join(ends, "image_id").withColumns({"x": near("px", "_mx"), "y": near("py", "_my")})
+    at = placed.join(slope.select(*PIXEL, known("v").alias("slope")), PIXEL, "left")
+    both = F.col("error").isNotNull() & F.col("slope").isNotNull()
+    s = at.groupBy(key).agg(F.count_if(both).alias("n"), F.corr("error", "slope").alias("c"), F.stddev_pop(F.when(both, F.col("error"))).alias("se"), F.stddev_pop(F.when(both, F.col("slope"))).alias("ss"))
+    good = (F.col("n") >= 4) & (F.col("se") >= 1e-12) & (F.col("ss") >= 1e-12) & ~F.isnan("c")
+    return s.select(key, "n", F.coalesce(F.when(good, F.col("c")), lit(0)).alias("correlation"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,11 +83,12 @@ def score_covariance(matches: DataFrame, alpha: float = 0.5, beta: float = 0.6)
 
 
 def conditioned(matches: DataFrame, low: float = 1e-4, high: float = 100.0, cond: float = 1e4) -> DataFrame:
-    """``covariance_axes`` with sxx, sxy, syy: the covariance with eigenvalues within [low, high] and a ratio of at most ``cond``."""
+    """``covariance_axes`` with sxx, sxy, syy: the covariance, the given one where there is one, with eigenvalues within [low, high] and a ratio of at most ``cond``."""
     axes = covariance_axes(matches)
-    big = clip(F.col("axis_major") * F.col("axis_major"), low, high)
-    small = F.greatest(clip(F.col("axis_minor") * F.col("axis_minor"), low, high), big / cond)
-    t = F.radians("axis_angle")
+    larger, smaller, turned = eigen2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
+    big = clip(larger, low, high)
+    small = F.greatest(clip(smaller, low, high), big / cond)
+    t = F.radians(turned)
     sxx, syy = big * F.cos(t) * F.cos(t) + small * F.sin(t) * F.sin(t), big * F.sin(t) * F.sin(t) + small * F.cos(t) * F.cos(t)
     return axes.withColumns({"sxx": sxx, "sxy": (big - small) * F.sin(t) * F.cos(t), "syy": syy})
 
@@ -118,11 +122,27 @@ def dual_rmse(matches: DataFrame, transforms: DataFrame, key: str = "pair_id") -
     )
 
 
-def absolute_rmse(matches: DataFrame, transforms: DataFrame, gsd_x: float, gsd_y: float, key: str = "pair_id") -> DataFrame:
-    """(key, n, rmse_m): root mean square residual in metres, with a ground distance for each axis."""
-    p = project(matches.join(transforms.select(key, "h"), key))
+def absolute_rmse(matches: DataFrame, transforms: DataFrame, gsd_x: float, gsd_y: float, key: str = "pair_id", dem: DataFrame | None = None) -> DataFrame:
+    """(key, n, rmse_m): root mean square residual in metres, with a ground distance for each axis.
+
+    With ``dem`` (image_id, x, y, v in metres; ``matches`` then has image_id, the
+    target's elevation raster) the height difference between where a match is
+    mapped to and its target adds to it, read at the pixels that hold both
+    places, or the nearest ones of the raster. Matches that have no place under
+    the transform, or whose heights aren't known, don't count.
+    """
+    columns = [key, "target_x", "target_y", *(["image_id"] if dem is not None else [])]
+    p = project(matches.select(*columns, "source_x", "source_y").join(transforms.select(key, "h"), key)).filter("px IS NOT NULL")
     dx, dy = (F.col("px") - F.col("target_x")) * gsd_x, (F.col("py") - F.col("target_y")) * gsd_y
-    return p.groupBy(key).agg(F.count("px").alias("n"), F.sqrt(F.avg(dx * dx + dy * dy)).alias("rmse_m"))
+    squared = dx * dx + dy * dy
+    if dem is not None:
+        ends = dem.groupBy("image_id").agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
+        at = lambda c, most: F.least(F.greatest(F.floor(c), F.lit(0)), F.col(most))
+        heights = lambda name, x, y: dem.select("image_id", F.col("x").alias(x), F.col("y").alias(y), finite(F.col("v")).alias(name))
+        p = p.join(ends, "image_id").withColumns({"_ax": at("px", "_mx"), "_ay": at("py", "_my"), "_bx": at("target_x", "_mx"), "_by": at("target_y", "_my")})
+        p = p.join(heights("_z1", "_ax", "_ay"), ["image_id", "_ax", "_ay"], "left").join(heights("_z2", "_bx", "_by"), ["image_id", "_bx", "_by"], "left")
+        squared = squared + F.pow(F.col("_z2") - F.col("_z1"), 2)
+    return p.groupBy(key).agg(F.count(squared).alias("n"), F.sqrt(F.avg(squared)).alias("rmse_m"))
 
 
 def checkpoint_metrics(checkpoints: DataFrame, transforms: DataFrame, gsd: float, key: str = "pair_id") -> DataFrame:
@@ -145,23 +165,28 @@ def checkpoint_metrics(checkpoints: DataFrame, transforms: DataFrame, gsd: float
 
 
 def corner_error(transforms: DataFrame, truth: DataFrame, width: float, height: float, key: str = "pair_id") -> DataFrame:
-    """(key, corner_error): mean distance of the four image corners under two transforms."""
+    """(key, corner_error): mean distance of the four image corners under two transforms; NULL if a corner has no place under one of them."""
     corners = F.array(*(F.struct(lit(x).alias("x"), lit(y).alias("y")) for x, y in ((0, 0), (width, 0), (width, height), (0, height))))
     both = transforms.select(key, "h").join(truth.select(key, F.col("h").alias("g")), key).select(key, "h", "g", F.explode(corners).alias("p"))
     (ax, ay, az), (bx, by, bz) = (mapped(F.col(m), F.col("p.x"), F.col("p.y")) for m in ("h", "g"))
-    away = F.sqrt(F.pow(ax / az - bx / bz, 2) + F.pow(ay / az - by / bz, 2))
-    return both.groupBy(key).agg(finite(F.avg(away)).alias("corner_error"))
+    gap = lambda a, b: F.pow(F.try_divide(a, az) - F.try_divide(b, bz), 2)
+    away = finite(F.sqrt(gap(ax, bx) + gap(ay, by)))
+    return both.groupBy(key).agg(F.when(F.count_if(away.isNull()) == 0, F.avg(away)).alias("corner_error"))
 
 
 def complete_cycle(legs: DataFrame, tolerance: float = 1e-2) -> DataFrame:
     """(triplet_id, ab, bc, ca, composed, status) of legs (triplet_id, leg, h).
 
     A single missing leg is composed from the others; a loop that is further
-    than ``tolerance`` from the identity is rejected; two missing legs can't be completed.
+    than ``tolerance`` from the identity is rejected; two missing legs can't be
+    completed. A given leg that can't be scaled to a last element of 1 is no
+    missing one: it stays NULL, and its loop isn't computable.
     """
-    wide = legs.groupBy("triplet_id").pivot("leg", ["AB", "BC", "CA"]).agg(F.first(normal3(F.col("h"))))
+    both = legs.groupBy("triplet_id").pivot("leg", ["AB", "BC", "CA"]).agg(F.first(normal3(F.col("h"))).alias("h"), F.count("h").alias("given"))
+    wide = both.select("triplet_id", *(F.col(f"{k}_h").alias(k) for k in ("AB", "BC", "CA")), *(F.coalesce(f"{k}_given", F.lit(0)).alias(f"{k}_given") for k in ("AB", "BC", "CA")))
     ab, bc, ca = F.col("AB"), F.col("BC"), F.col("CA")
-    have = sum(c.isNotNull().cast("int") for c in (ab, bc, ca))
+    broken = reduce(or_, ((F.col(f"{k}_given") > 0) & F.col(k).isNull() for k in ("AB", "BC", "CA")))
+    have = F.when(broken, 0).otherwise(sum(c.isNotNull().cast("int") for c in (ab, bc, ca)))
     new = {"AB": inverse3(matmul3(ca, bc)), "BC": inverse3(matmul3(ab, ca)), "CA": inverse3(matmul3(bc, ab))}
     composed = F.when(have == 2, F.when(ab.isNull(), "AB").when(bc.isNull(), "BC").otherwise("CA"))
     out = wide.withColumn("have", have).withColumn("composed", composed)
@@ -180,7 +205,7 @@ def complete_cycle(legs: DataFrame, tolerance: float = 1e-2) -> DataFrame:
 def cycle_consistency(legs: DataFrame, width: float, height: float, closed: float = 5.0) -> DataFrame:
     """(triplet_id, rmse, mean, is_closed, status): 10 x 10 points over the middle of the frame pushed around the loop.
 
-    NULL, not 0, for a loop with a composed or missing leg.
+    NULL, not 0, for a loop with a composed or missing leg, or in which a point has no place.
     """
     full = complete_cycle(legs)
     steps = F.sequence(F.lit(0), F.lit(9))
@@ -189,15 +214,21 @@ def cycle_consistency(legs: DataFrame, width: float, height: float, closed: floa
     grid = grid.withColumns({"x0": x, "y0": y})
     for k, leg in enumerate(("ab", "bc", "ca")):
         px, py, pz = mapped(F.col(leg), F.col(f"x{k}"), F.col(f"y{k}"))
-        grid = grid.withColumns({f"x{k + 1}": px / pz, f"y{k + 1}": py / pz})
+        grid = grid.withColumns({f"x{k + 1}": F.try_divide(px, pz), f"y{k + 1}": F.try_divide(py, pz)})
     away = F.sqrt(F.pow(F.col("x3") - F.col("x0"), 2) + F.pow(F.col("y3") - F.col("y0"), 2))
-    found = grid.withColumn("away", away).groupBy("triplet_id").agg(F.sqrt(F.avg(F.col("away") * F.col("away"))).alias("rmse"), F.avg("away").alias("mean"))
+    whole = F.count_if(F.col("away").isNull()) == 0
+    found = grid.withColumn("away", finite(away)).groupBy("triplet_id").agg(
+        F.when(whole, F.sqrt(F.avg(F.col("away") * F.col("away")))).alias("rmse"), F.when(whole, F.avg("away")).alias("mean")
+    )
     status = F.when(F.col("status") == "measured", "ok").otherwise(F.col("status"))
     return full.join(found, "triplet_id", "left").select("triplet_id", "rmse", "mean", (F.col("rmse") < closed).alias("is_closed"), status.alias("status"))
 
 
 def intersection_error(points: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, n, dropped, rmse, mean, max, ce90, le90) of point pairs (lat, lon, alt and lat2, lon2, alt2; degrees and metres)."""
+    """(key, n, dropped, rmse, mean, max, ce90, le90) of point pairs (lat, lon, alt and lat2, lon2, alt2; degrees and metres).
+
+    ce90 is the 90th percentile of the distance in space, le90 that of the height difference.
+    """
 
     def xyz(lat: str, lon: str, alt: str) -> tuple[Column, Column, Column]:
         r, p, q = MOON_RADIUS_M + F.col(alt), F.radians(lat), F.radians(lon)
@@ -206,9 +237,8 @@ def intersection_error(points: DataFrame, key: str = "pair_id") -> DataFrame:
     a, b = xyz("lat", "lon", "alt"), xyz("lat2", "lon2", "alt2")
     away = F.sqrt(sum(F.pow(p - q, 2) for p, q in zip(a, b, strict=True)))
     up = F.abs(F.col("alt") - F.col("alt2"))
-    flat = F.sqrt(F.greatest(away * away - up * up, lit(0)))
-    out = points.select(key, finite(away).alias("d"), finite(flat).alias("flat"), finite(up).alias("up"))
+    out = points.select(key, finite(away).alias("d"), finite(up).alias("up"))
     return out.groupBy(key).agg(
         F.count("d").alias("n"), F.count_if(F.col("d").isNull()).alias("dropped"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"),
-        F.avg("d").alias("mean"), F.max("d").alias("max"), F.percentile("flat", F.lit(0.9)).alias("ce90"), F.percentile("up", F.lit(0.9)).alias("le90"),
+        F.avg("d").alias("mean"), F.max("d").alias("max"), F.percentile("d", F.lit(0.9)).alias("ce90"), F.percentile("up", F.lit(0.9)).alias("le90"),
     )

@@ -72,8 +72,8 @@ def gradients(pixels: DataFrame, value: str = "v", mirror: bool = False) -> Data
 
 
 def image_stats(pixels: DataFrame, dark: float, bright: float, max_nodata: float = 0.10) -> DataFrame:
-    """Per image: Laplacian variance, Tenengrad energy, dark, saturated and finite shares, min, max, mean, median, verdict."""
-    g = gradients(pixels)
+    """Per image: Laplacian variance, Tenengrad energy, dark, saturated and finite shares, min, max, mean, median, verdict; edges mirror."""
+    g = gradients(pixels, mirror=True)
     known = g.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     total = pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("total"))
     v = F.col("v")
@@ -235,31 +235,67 @@ def photometric_correct(pixels: DataFrame, geometry: DataFrame, model: str) -> D
     return pixels.join(per_image, "image_id").select(*PIXEL, (F.col("v") / F.col("factor")).alias("v"))
 
 
+def fill_voids(dem: DataFrame) -> DataFrame:
+    """Elevations with missing and infinite ones replaced by the mean of their image's others, 0 if it has none."""
+    mean = dem.groupBy("image_id").agg(F.avg(known("v")).alias("_mean"))
+    return dem.join(mean, "image_id").withColumn("v", F.coalesce(known("v"), F.col("_mean"), lit(0))).drop("_mean")
+
+
 def horn_slope(dem: DataFrame, gsd: float) -> DataFrame:
-    """Adds dzdx, dzdy and slope_deg of (image_id, x, y, v) elevations."""
-    g = gradients(dem)
+    """Adds dzdx, dzdy and slope_deg of (image_id, x, y, v) elevations; edges mirror."""
+    g = gradients(dem, mirror=True)
     dx, dy = F.col("sobel_x") / (8 * gsd), F.col("sobel_y") / (8 * gsd)
     return g.withColumns({"dzdx": dx, "dzdy": dy}).withColumn("slope_deg", F.degrees(F.atan(F.sqrt(F.col("dzdx") ** 2 + F.col("dzdy") ** 2))))
 
 
-def terrain_metrics(dem: DataFrame, gsd: float) -> DataFrame:
-    """(image_id, mean_slope, max_slope, mean_laplacian, roughness): roughness is the deviation from the least-squares plane."""
+def central_slope(dem: DataFrame, gsd: float) -> DataFrame:
+    """(image_id, x, y, v): rise over run by central differences, one-sided at an edge."""
+
+    def rate(line: str, across: str) -> Column:
+        window = Window.partitionBy("image_id", across).orderBy(line)
+        before, after = F.lag("v").over(window), F.lead("v").over(window)
+        has = F.lag("x").over(window).isNotNull().cast("int") + F.lead("x").over(window).isNotNull().cast("int")
+        ends = F.when(F.lead("x").over(window).isNotNull(), after).otherwise(F.col("v")) - F.when(F.lag("x").over(window).isNotNull(), before).otherwise(F.col("v"))
+        return F.try_divide(ends, has * gsd)
+
+    return dem.withColumns({"_dx": rate("x", "y"), "_dy": rate("y", "x")}).select(*PIXEL, F.sqrt(F.pow("_dx", lit(2)) + F.pow("_dy", lit(2))).alias("v"))
+
+
+def terrain_metrics(dem: DataFrame, gsd: float, least: int = 4) -> DataFrame:
+    """(image_id, mean_slope, max_slope, mean_laplacian, roughness).
+
+    Voids take the mean of their image. The Laplacian is that of two Sobel
+    second derivatives, over the squared ground distance, at its absolute mean;
+    roughness is the deviation from the least-squares plane. Images of fewer than
+    ``least`` rows or columns, or without any elevation, have NULL figures.
+    """
     x, y, z = F.col("x"), F.col("y"), F.col("v")
-    s = horn_slope(dem, gsd).groupBy("image_id").agg(
-        F.avg("slope_deg").alias("mean_slope"), F.max("slope_deg").alias("max_slope"), F.avg(F.abs("laplacian")).alias("mean_laplacian"),
+    known_any = dem.groupBy("image_id").agg(F.count(known("v")).alias("_known"))
+    curved = 2 * (F.col("nw") + F.col("ne") + F.col("sw") + F.col("se")) - 8 * z
+    s = horn_slope(fill_voids(dem), gsd).withColumn("curved", curved / (gsd * gsd)).groupBy("image_id").agg(
+        (F.max(x) - F.min(x)).alias("_w"), (F.max(y) - F.min(y)).alias("_h"),
+        F.avg("slope_deg").alias("mean_slope"), F.max("slope_deg").alias("max_slope"), F.avg(F.abs("curved")).alias("mean_laplacian"),
         F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"), F.var_pop(z).alias("zz"),
     )
     c = F.col
     det = c("xx") * c("yy") - c("xy") * c("xy")
-    a, b = (c("xz") * c("yy") - c("yz") * c("xy")) / det, (c("yz") * c("xx") - c("xz") * c("xy")) / det
+    a, b = F.try_divide(c("xz") * c("yy") - c("yz") * c("xy"), det), F.try_divide(c("yz") * c("xx") - c("xz") * c("xy"), det)
     left = c("zz") - a * c("xz") - b * c("yz")
-    return s.select("image_id", "mean_slope", "max_slope", "mean_laplacian", F.when(det > 1e-12, F.sqrt(F.greatest(left, lit(0)))).alias("roughness"))
+    s = s.withColumn("roughness", F.when(det > 1e-12, F.sqrt(F.greatest(left, lit(0))))).join(known_any, "image_id")
+    valid = (c("_w") >= least - 1) & (c("_h") >= least - 1) & (c("_known") > 0)
+    return s.select("image_id", *(F.when(valid, c(m)).alias(m) for m in ("mean_slope", "max_slope", "mean_laplacian", "roughness")))
 
 
 def cast_shadow(dem: DataFrame, azimuth: float, elevation: float, gsd: float, steps: int) -> DataFrame:
-    """Adds ``shadow``: some pixel toward the sun, at most ``steps`` away, rises above the ray."""
-    ux, uy, rise = math.sin(math.radians(azimuth)), -math.cos(math.radians(azimuth)), math.tan(math.radians(elevation)) * gsd
-    ahead = [(round(k * ux), round(k * uy), rise * math.hypot(round(k * ux), round(k * uy))) for k in range(1, steps + 1)]
+    """Adds ``shadow``: some pixel toward the sun, at most ``steps`` pixels away, rises above the ray.
+
+    Each step goes one pixel along the axis nearer to the sun's azimuth (from
+    north, which is up), and the ray rises with the elevation, within 2 to 88 degrees.
+    """
+    ux, uy = math.sin(math.radians(azimuth % 360)), -math.cos(math.radians(azimuth % 360))
+    step = 1 / max(abs(ux), abs(uy), 1e-4)
+    rise = math.tan(math.radians(min(max(elevation, 2.0), 88.0))) * max(gsd, 1e-3) * step
+    ahead = [(round(k * ux * step), round(k * uy * step), rise * k) for k in range(1, int(steps / step + 1e-9) + 1)]
     rays = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), lit(up).alias("up")) for dx, dy, up in dict.fromkeys(ahead)))
     asked = dem.select(*PIXEL, "v", F.explode(rays).alias("r"))
     asked = asked.select("image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("r.dx")).alias("x"), (F.col("y") + F.col("r.dy")).alias("y"), (F.col("v") + F.col("r.up")).alias("ray"))
@@ -267,12 +303,22 @@ def cast_shadow(dem: DataFrame, azimuth: float, elevation: float, gsd: float, st
     return dem.join(hit.toDF(*PIXEL, "hit"), PIXEL, "left").select(*PIXEL, "v", F.coalesce("hit", F.lit(False)).alias("shadow"))
 
 
-def hillshade(dem: DataFrame, azimuth: float, elevation: float, gsd: float) -> DataFrame:
-    """(image_id, x, y, shade) in [0, 1] of a sun at an azimuth from north and an elevation, in degrees."""
-    a, e = math.radians(azimuth), math.radians(elevation)
-    s = horn_slope(dem, gsd)
-    light = (math.sin(e) - F.col("dzdx") * math.cos(e) * math.sin(a) + F.col("dzdy") * math.cos(e) * math.cos(a)) / F.sqrt(1 + F.col("dzdx") ** 2 + F.col("dzdy") ** 2)
-    return s.select(*PIXEL, clip(light, 0, 1).alias("shade"))
+def hillshade(dem: DataFrame, azimuth: float, elevation: float, gsd: float, z_factor: float = 1.0, shadow_px: int = 150) -> DataFrame:
+    """(image_id, x, y, shade) in [0, 1] of a sun at an azimuth and an elevation (5 to 85) in degrees; 0 in the shadow of what lies within ``shadow_px`` pixels.
+
+    Voids take the mean of their image, edges mirror. The slope's aspect is
+    atan2(dzdx, -dzdy) with y down the image, and the sun stands at 90 degrees
+    less its azimuth.
+    """
+    filled, e = fill_voids(dem), math.radians(min(max(elevation, 5.0), 85.0))
+    turn = math.radians((450 - azimuth % 360) % 360)
+    dx, dy = F.col("dzdx") * z_factor, F.col("dzdy") * z_factor
+    light = (math.sin(e) + math.cos(e) * (dx * math.sin(turn) - dy * math.cos(turn))) / F.sqrt(1 + dx * dx + dy * dy)
+    shade = horn_slope(filled, gsd).select(*PIXEL, clip(light, 0, 1).alias("shade"))
+    if shadow_px < 1:
+        return shade
+    dark = cast_shadow(filled, azimuth, math.degrees(e), gsd, shadow_px).select(*PIXEL, "shadow")
+    return shade.join(dark, PIXEL).select(*PIXEL, F.when(F.col("shadow"), lit(0)).otherwise(F.col("shade")).alias("shade"))
 
 
 #: Neighbours in the order of their bits.
@@ -301,16 +347,30 @@ def lbp(pixels: DataFrame) -> DataFrame:
 
 
 def profile_shift(a: DataFrame, b: DataFrame, max_shift: int) -> DataFrame:
-    """(image_id, axis, shift, score): the shift at which z-scored row or column means of two images correlate best; ties to the smaller."""
-    out = None
-    for axis in ("x", "y"):
-        def profile(df: DataFrame, name: str, axis: str = axis) -> DataFrame:
-            means = df.groupBy("image_id", F.col(axis).alias("k")).agg(F.avg("v").alias("m"))
-            image = Window.partitionBy("image_id")
-            return means.select("image_id", "k", F.try_divide(F.col("m") - F.avg("m").over(image), F.stddev_pop("m").over(image)).alias(name))
+    """(image_id, axis, shift, score): the shift of a's row or column profile at which it correlates best with b's; ties to the smaller.
 
-        shifts = profile(a, "p").select("*", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("shift")).withColumn("k", F.col("k") + F.col("shift"))
-        score = shifts.join(profile(b, "q"), ["image_id", "k"]).groupBy("image_id", "shift").agg(F.avg(F.col("p") * F.col("q")).alias("score"))
+    A profile is the line means of 0.6 times the image plus 0.4 times its Sobel
+    gradient magnitude, each less its mean over the image and over its deviation,
+    unless that is 1e-6 or less; edges mirror. The score is the sum of products
+    over the lines that both have, over the product of both profiles' norms.
+    """
+
+    def blend(df: DataFrame) -> DataFrame:
+        g = gradients(df, mirror=True).select(*PIXEL, "v", F.sqrt(F.pow("sobel_x", lit(2)) + F.pow("sobel_y", lit(2))).alias("g"))
+        s = g.groupBy("image_id").agg(*(f(c).alias(n + c) for c in "vg" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+        z = lambda c: (F.col(c) - F.col("m" + c)) / F.when(F.col("s" + c) > 1e-6, F.col("s" + c)).otherwise(lit(1))
+        return g.join(s, "image_id").select(*PIXEL, (0.6 * z("v") + 0.4 * z("g")).alias("v"))
+
+    def profile(df: DataFrame, axis: str, name: str) -> tuple[DataFrame, DataFrame]:
+        means = df.groupBy("image_id", F.col(axis).alias("k")).agg(F.avg("v").alias(name))
+        return means, means.groupBy("image_id").agg(F.sqrt(F.sum(F.col(name) * F.col(name))).alias("n" + name))
+
+    out, one, two = None, blend(a), blend(b)
+    for axis in ("x", "y"):
+        (p, norm_p), (q, norm_q) = profile(one, axis, "p"), profile(two, axis, "q")
+        shifts = p.select("*", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("shift")).withColumn("k", F.col("k") + F.col("shift"))
+        score = shifts.join(q, ["image_id", "k"]).groupBy("image_id", "shift").agg(F.sum(F.col("p") * F.col("q")).alias("sum"))
+        score = score.join(norm_p, "image_id").join(norm_q, "image_id").withColumn("score", F.col("sum") / (F.col("np") * F.col("nq") + 1e-9))
         best = score.groupBy("image_id").agg(F.max_by(F.struct("shift", "score"), F.struct(F.round("score", 9), -F.abs("shift"), -F.col("shift"))).alias("b"))
         best = best.select("image_id", F.lit(axis).alias("axis"), "b.shift", "b.score")
         out = best if out is None else out.union(best)

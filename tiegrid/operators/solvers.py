@@ -59,7 +59,7 @@ def solve6(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(list(out))
 
 
-def fit_homography(matches: DataFrame, key: str = "pair_id", weight: str | None = None, mode: str = "ordinary") -> DataFrame:
+def fit_homography(matches: DataFrame, key: str | list[str] = "pair_id", weight: str | None = None, mode: str = "ordinary") -> DataFrame:
     """(key, n, h): normalised direct linear transform of each group of at least 4 matches.
 
     mode "scaled" weighs a match's rows by the root of ``weight`` (at least
@@ -67,6 +67,7 @@ def fit_homography(matches: DataFrame, key: str = "pair_id", weight: str | None
     "whitened" weighs both rows together by the inverse of that covariance;
     "ordinary" weighs all alike.
     """
+    keys = [key] if isinstance(key, str) else key
     if mode not in ("ordinary", "scaled", "whitened"):
         raise ValueError(f"no mode {mode!r}")
     if mode == "whitened" or mode == "scaled" and not weight:
@@ -79,23 +80,23 @@ def fit_homography(matches: DataFrame, key: str = "pair_id", weight: str | None
         matches = matches.withColumn("_w", lit(1))
     det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy") if mode == "whitened" else None
     parts = {"p": F.col("syy") / det, "q": -F.col("sxy") / det, "r": F.col("sxx") / det} if mode == "whitened" else {"p": F.col("_w"), "q": lit(0), "r": F.col("_w")}
-    matches = matches.select(key, X, Y, U, V, *(v.alias(k) for k, v in parts.items()))
-    means = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias("m_" + c) for c in (X, Y, U, V))).filter("n >= 4")
+    matches = matches.select(*keys, X, Y, U, V, *(v.alias(k) for k, v in parts.items()))
+    means = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias("m_" + c) for c in (X, Y, U, V))).filter("n >= 4")
     away = lambda a, b: F.sqrt(F.pow(F.col(a) - F.col("m_" + a), 2) + F.pow(F.col(b) - F.col("m_" + b), 2))
-    centred = matches.join(means, key)
-    scales = centred.groupBy(key).agg((np.sqrt(2.0) / F.avg(away(X, Y))).alias("s"), (np.sqrt(2.0) / F.avg(away(U, V))).alias("t"))
-    c = centred.join(scales, key)
+    centred = matches.join(means, keys)
+    scales = centred.groupBy(*keys).agg((np.sqrt(2.0) / F.avg(away(X, Y))).alias("s"), (np.sqrt(2.0) / F.avg(away(U, V))).alias("t"))
+    c = centred.join(scales, keys)
     x, y = (F.col(X) - F.col("m_" + X)) * F.col("s"), (F.col(Y) - F.col("m_" + Y)) * F.col("s")
     u, v = (F.col(U) - F.col("m_" + U)) * F.col("t"), (F.col(V) - F.col("m_" + V)) * F.col("t")
-    c = c.select(key, "n", *("m_" + k for k in (X, Y, U, V)), "s", "t", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), "p", "q", "r")
+    c = c.select(*keys, "n", *("m_" + k for k in (X, Y, U, V)), "s", "t", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), "p", "q", "r")
     x, y, u, v, zero, one = F.col("x"), F.col("y"), F.col("u"), F.col("v"), lit(0), lit(1)
     rows = [(-x, -y, -one, zero, zero, zero, u * x, u * y, u), (zero, zero, zero, -x, -y, -one, v * x, v * y, v)]
     one_, two = rows
     mixed = lambda i, j: F.col("p") * one_[i] * one_[j] + F.col("q") * (one_[i] * two[j] + two[i] * one_[j]) + F.col("r") * two[i] * two[j]
     sums = [F.sum(mixed(i, j)) for i, j in PAIRS9]
     norms = F.array(*(F.first(k) for k in ("m_" + X, "m_" + Y, "s", "m_" + U, "m_" + V, "t")))
-    found = c.groupBy(key, "n").agg(F.array(*sums).alias("sums"), norms.alias("norms"))
-    return found.select(key, "n", homography_of("sums", "norms").alias("h"))
+    found = c.groupBy(*keys, "n").agg(F.array(*sums).alias("sums"), norms.alias("norms"))
+    return found.select(*keys, "n", homography_of("sums", "norms").alias("h"))
 
 
 def refine_gls(matches: DataFrame, initial: DataFrame, rounds: int = 4, tolerance: float = 1e-6, key: str = "pair_id") -> DataFrame:
@@ -149,7 +150,9 @@ def adjust_network(matches: DataFrame, rounds: int = 6, huber: float = 3.0, netw
     their own; else all matches are one. The most frequent reference of a
     network stays fixed. Initial poses are composed along edges, a frontier
     join for each step away from it; then each round fits every image to its
-    neighbours' poses with Huber weights, as long as the overall RMSE falls.
+    neighbours' poses with Huber weights. Each network keeps the poses of its
+    own least RMSE and leaves the loop by itself, once a round gains less than
+    1e-6, so its result doesn't hang on the others.
     The report has a row for each network: rmse_before, rmse_after,
     improvement_pct and status, "failed" for one of fewer than 2 edges, which
     isn't adjusted. Poses, one row an image, are written after every round.
@@ -164,6 +167,7 @@ def adjust_network(matches: DataFrame, rounds: int = 6, huber: float = 3.0, netw
     counted = m.groupBy(name, "ref").agg(F.count(F.lit(1)).alias("n"))
     first = counted.withColumn("k", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("n"), "ref"))).filter("k = 1")
     roots = materialize(first.select(F.col("ref").alias("image_id")), "network-roots")
+    members = m.select(F.col("src").alias("image_id"), name).union(m.select("ref", name)).distinct()
     there = fit_affine(m, ["src", "ref"]).select("src", "ref", "h")
     turned = m.select(F.col("ref").alias("src"), F.col("src").alias("ref"), F.col(U).alias(X), F.col(V).alias(Y), F.col(X).alias(U), F.col(Y).alias(V))
     steps = materialize(there.unionByName(fit_affine(turned, ["src", "ref"]).select("src", "ref", "h")), "network-steps")
@@ -187,22 +191,32 @@ def adjust_network(matches: DataFrame, rounds: int = 6, huber: float = 3.0, netw
         return both.withColumn("e", F.sqrt(F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)))
 
     error = F.sqrt(F.avg(F.col("e") * F.col("e")))
-    rmse = lambda p: placed(p).agg(error).first()[0]
-    start = best = poses
-    now = rmse(poses)
-    for _ in range(rounds if now is not None else 0):
-        p = placed(poses).withColumn("w", F.least(lit(1), huber / F.greatest("e", lit(1e-9))))
+    poses = materialize(poses.join(members, "image_id"), "network-poses")
+    rmse = lambda p: placed(p.select("image_id", "h")).groupBy(name).agg(error.alias("rmse"))
+    state = materialize(rmse(poses).select(name, F.col("rmse").alias("rmse_before"), F.col("rmse").alias("best"), F.lit(True).alias("running")), "network-state")
+    best = poses
+    for _ in range(rounds):
+        active = state.filter("running").select(name)
+        if active.isEmpty():
+            break
+        now = poses.join(active, name, "left_semi")
+        p = placed(now.select("image_id", "h")).withColumn("w", F.least(lit(1), huber / F.greatest("e", lit(1e-9))))
         half = lambda a, b: (F.col(a) + F.col(b)) / 2
         as_src = p.select(F.col("src").alias("image_id"), F.col(X), F.col(Y), half("px", "qx").alias(U), half("py", "qy").alias(V), "w")
         as_ref = p.select(F.col("ref").alias("image_id"), F.col(U).alias(X), F.col(V).alias(Y), half("px", "qx").alias("a"), half("py", "qy").alias("b"), "w").toDF("image_id", X, Y, U, V, "w")
         fits = fit_affine(as_src.union(as_ref).join(roots, "image_id", "left_anti"), "image_id", "w").select("image_id", F.col("h").alias("new"))
-        poses = materialize(poses.join(fits, "image_id", "left").select("image_id", F.coalesce("new", "h").alias("h")), "network-poses")
-        after = rmse(poses)
-        if after < now:
-            best, gain, now = poses, now - after, after
-            if gain < 1e-6:
-                break
-    before, done = (placed(p).groupBy(name).agg(error.alias(c)) for p, c in ((start, "rmse_before"), (best, "rmse_after")))
+        poses = materialize(now.join(fits, "image_id", "left").select("image_id", name, F.coalesce("new", "h").alias("h")), "network-poses")
+        after = state.join(rmse(poses), name, "left").withColumn("gain", F.when(F.col("running"), F.col("best") - F.col("rmse")))
+        better = F.coalesce(F.col("gain") > 0, F.lit(False))
+        after = materialize(after.select(
+            name, "rmse_before", F.when(better, F.col("rmse")).otherwise(F.col("best")).alias("best"),
+            (F.col("running") & ~F.coalesce((F.col("gain") > 0) & (F.col("gain") < 1e-6), F.lit(False))).alias("running"), better.alias("better"),
+        ), "network-state")
+        kept = poses.join(after.filter("better").select(name), name, "left_semi")
+        best = materialize(best.join(kept.select("image_id"), "image_id", "left_anti").unionByName(kept), "network-best")
+        state = after.drop("better")
+    best = best.select("image_id", "h")
+    before, done = (state.select(name, F.col(c).alias(k)) for c, k in (("rmse_before", "rmse_before"), ("best", "rmse_after")))
     report = edges.join(before, name, "left").join(done, name, "left")
     gained = F.try_divide(100 * (F.col("rmse_before") - F.col("rmse_after")), F.col("rmse_before"))
     report = report.select(name, "edges", "rmse_before", "rmse_after", F.coalesce(gained, F.when(F.col("rmse_before") == 0, lit(0))).alias("improvement_pct"), F.when(F.col("edges") < 2, "failed").otherwise("ok").alias("status"))

@@ -91,14 +91,57 @@ def footprint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("product_id", "b_product_id", "overlap"))
 
 
-@query(f"""SELECT a.product_id, b.product_id AS b_product_id, round({OV} / {AREA}, 4) AS overlap FROM {{v_products}} AS a, {{v_products}} AS b
-    WHERE a.sensor = 'TMC' AND b.sensor = 'IIRS' AND {TOUCH} AND {OV} / {AREA} >= 0.25""")
+#: An L, concave, that runs clockwise for odd ids: a box without the part east of its middle and north of it.
+L_RING = """CASE WHEN product_id % 2 = 1 THEN reverse(l) ELSE l END"""
+CORNERS = ("west_lon, south_lat", "east_lon, south_lat", "east_lon, (south_lat + north_lat) / 2", "(west_lon + east_lon) / 2, (south_lat + north_lat) / 2", "(west_lon + east_lon) / 2, north_lat", "west_lon, north_lat")
+L_POINTS = "array(" + ", ".join("named_struct('lon', {}, 'lat', {})".format(*c.split(", ")) for c in CORNERS) + ")"
+#: The same L as two boxes.
+PARTS = """parts AS (SELECT product_id, sensor, acquired, west_lon AS w, east_lon AS e, south_lat AS s, (south_lat + north_lat) / 2 AS n FROM {v_products}
+    UNION ALL SELECT product_id, sensor, acquired, west_lon, (west_lon + east_lon) / 2, (south_lat + north_lat) / 2, north_lat FROM {v_products}),
+    whole AS (SELECT product_id, sum((e - w) * (n - s)) AS area, sum((e - w) * (n - s)) / 3 AS unit FROM parts GROUP BY product_id)"""
+PART_OV = "greatest(least(a.e, b.e) - greatest(a.w, b.w), 0e0) * greatest(least(a.n, b.n) - greatest(a.s, b.s), 0e0)"
+
+
+def l_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products(spark, sf_dir).withColumn("l", F.expr(L_POINTS)).withColumn("ring", F.expr(L_RING)).drop("l")
+
+
+@query(f"""WITH {PARTS} SELECT a.product_id, b.product_id AS b_product_id, round(sum({PART_OV}) / any_value(area), 4) AS overlap
+    FROM parts AS a JOIN whole ON whole.product_id = a.product_id, parts AS b WHERE a.sensor = 'TMC' AND b.sensor = 'IIRS' GROUP BY 1, 2 HAVING sum({PART_OV}) / any_value(area) >= 0.25""")
 def polygon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = products(spark, sf_dir).withColumn("ring", F.expr(RING))
+    p = l_products(spark, sf_dir)
     found = catalog.footprint_join(p.filter("sensor = 'TMC'"), p.filter("sensor = 'IIRS'"), 0.25)
     return rounded(found.select("product_id", "b_product_id", "overlap"))
 
 
+#: The mean latitude of all twelve points: two each at the foot, the middle and the top of both footprints.
+MEAN_LAT = "((a.s0 * 2 + (a.s0 + a.n0) + a.n0 * 2) + (b.s0 * 2 + (b.s0 + b.n0) + b.n0 * 2)) / 12"
+
+
+@query(f"""WITH {PARTS}, boxes AS (SELECT product_id, sensor, south_lat AS s0, north_lat AS n0 FROM {{v_products}}),
+    o AS (SELECT a.product_id, b.product_id AS b_product_id, sum({PART_OV}) AS shared FROM parts AS a, parts AS b WHERE a.sensor = 'TMC' AND b.sensor = 'OHRC' GROUP BY 1, 2 HAVING sum({PART_OV}) > 0),
+    u AS (SELECT o.*, x.area AS a1, y.area AS a2, pow(pi() / 180 * 1737.4, 2) * cos(radians({MEAN_LAT})) AS unit FROM o JOIN boxes AS a ON a.product_id = o.product_id JOIN boxes AS b ON b.product_id = b_product_id
+        JOIN whole AS x ON x.product_id = o.product_id JOIN whole AS y ON y.product_id = b_product_id)
+    SELECT product_id, b_product_id, round(a1 * unit, 3) AS area1, round(shared * unit, 3) AS intersection, round(100 * shared / a1, 3) AS pct1, round(shared / (a1 + a2 - shared), 4) AS iou,
+        'equirectangular' AS projection, CASE WHEN b_product_id % 4 = 0 THEN 'approximate' ELSE 'polygon_exact' END AS confidence FROM u""")
+def polygon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = l_products(spark, sf_dir).withColumn("confidence", F.expr("CASE WHEN product_id % 4 = 0 AND sensor = 'OHRC' THEN 'approximate' END"))
+    pairs = catalog.overlapping(p.filter("sensor = 'TMC'"), p.filter("sensor = 'OHRC'"), "product_id", "product_id")
+    done = catalog.footprint_overlap(pairs).filter("intersection > 1e-9")
+    digits = {"area1": 3, "intersection": 3, "pct1": 3, "iou": 4}
+    return done.select("product_id", "b_product_id", *((F.round(c, d) + 0.0).alias(c) for c, d in digits.items()), "projection", "confidence")
+
+
+@query(f"""WITH {PARTS}, r AS (SELECT a.product_id, a.sensor, b.product_id AS other, b.sensor AS kind, sum({PART_OV}) / any_value(area) AS share FROM parts AS a JOIN whole ON whole.product_id = a.product_id, parts AS b
+        WHERE a.sensor = 'OHRC' AND b.sensor IN ('TMC', 'IIRS') GROUP BY 1, 2, 3, 4 HAVING sum({PART_OV}) / any_value(area) >= 0.3),
+    c AS (SELECT x.product_id AS o, x.other AS t, y.other AS i, x.share AS ot, y.share AS oi FROM r AS x JOIN r AS y ON x.product_id = y.product_id WHERE x.kind = 'TMC' AND y.kind = 'IIRS'),
+    f AS (SELECT o, t, i, any_value(ot) AS ot, any_value(oi) AS oi, sum(greatest(least(a.e, b.e, d.e) - greatest(a.w, b.w, d.w), 0e0) * greatest(least(a.n, b.n, d.n) - greatest(a.s, b.s, d.s), 0e0)) / any_value(area) AS fraction
+        FROM c JOIN whole ON whole.product_id = o JOIN parts AS a ON a.product_id = o JOIN parts AS b ON b.product_id = t JOIN parts AS d ON d.product_id = i GROUP BY o, t, i)
+    SELECT o AS ohrc_id, t AS tmc_id, i AS iirs_id, round(fraction, 4) AS fraction, round(ot * 100, 3) AS pct_ot, round(oi * 100, 3) AS pct_oi FROM f WHERE fraction >= 0.3""")
+def polygon_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(catalog.build_triplets(l_products(spark, sf_dir), 0.3)).withColumn("pct_ot", F.round("pct_ot", 3)).withColumn("pct_oi", F.round("pct_oi", 3))
+
+
 UNIT = "(pow(pi() / 180 * 1737.4, 2) * cos(radians((a.south_lat + a.north_lat + b.south_lat + b.north_lat) / 4)))"
 
 
@@ -143,10 +186,14 @@ def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(catalog.rank_candidates(p.filter("sensor = 'TMC'"), p.filter("sensor = 'IIRS'")))
 
 
-@query("""WITH m AS (SELECT r.id, d.id AS dem_id, least(r.west_lon - d.west_lon, d.east_lon - r.east_lon, r.south_lat - d.south_lat, d.north_lat - r.north_lat) AS margin FROM {v_regions} AS r, {v_dem_bounds} AS d),
-    b AS (SELECT * FROM m WHERE margin >= -1e-9 QUALIFY row_number() OVER (PARTITION BY id ORDER BY margin DESC, dem_id) = 1) SELECT r.id, dem_id, round(margin, 4) AS margin_deg FROM {v_regions} AS r LEFT JOIN b ON r.id = b.id""")
+@query("""WITH d AS (SELECT *, CASE WHEN id % 2 = 0 THEN 0.5e0 END AS rx, 0.25e0 * (id - 1) AS ry FROM {v_dem_bounds}),
+    m AS (SELECT r.id, d.id AS dem_id, r.west_lon - d.west_lon AS w, d.east_lon - r.east_lon AS e, r.south_lat - d.south_lat AS s, d.north_lat - r.north_lat AS n, rx, CASE WHEN ry > 0 THEN ry END AS ry FROM {v_regions} AS r, d),
+    b AS (SELECT * FROM m WHERE least(w, e, s, n) >= -1e-9 QUALIFY row_number() OVER (PARTITION BY id ORDER BY least(w, e, s, n) DESC, dem_id) = 1)
+    SELECT r.id, dem_id IS NOT NULL AS contained, dem_id, round(least(w, e, s, n), 4) AS margin_deg, round(w / rx, 4) AS margin_west, round(e / rx, 4) AS margin_east, round(s / ry, 4) AS margin_south, round(n / ry, 4) AS margin_north
+    FROM {v_regions} AS r LEFT JOIN b ON r.id = b.id""")
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(catalog.coverage_check(view(spark, sf_dir, "v_regions"), view(spark, sf_dir, "v_dem_bounds")))
+    dems = view(spark, sf_dir, "v_dem_bounds").selectExpr("*", "CASE WHEN id % 2 = 0 THEN 0.5e0 END AS res_x_deg", "0.25e0 * (id - 1) AS res_y_deg")
+    return rounded(catalog.coverage_check(view(spark, sf_dir, "v_regions"), dems))
 
 
 @query("""SELECT product_id, sensor, round(coalesce(CASE WHEN product_id % 2 = 0 THEN sun_elevation END, CASE WHEN product_id % 3 <> 0 THEN incidence END), 4) AS sun_elevation,

@@ -63,7 +63,7 @@ def relief_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT s.pair_id, s.kp_id, t.kp_id AS target_id, sqrt(list_sum(list_transform(list_zip(s.bands, t.bands), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM {v_desc} AS s JOIN {v_desc} AS t ON s.pair_id = t.pair_id AND s.side = 'source' AND t.side = 'target'),
     b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pair_id, kp_id ORDER BY d, target_id) = 1), s AS (SELECT b.pair_id, b.kp_id, b.target_id, b.d, min(p.d) FILTER (p.d > b.d + 1e-6) AS second FROM b JOIN p ON b.pair_id = p.pair_id AND b.kp_id = p.kp_id GROUP BY ALL)
-    SELECT pair_id, kp_id, target_id, round(d, 5) AS distance, round(second, 5) AS second, coalesce(d <= 0.8 * second, true) AS kept FROM s""")
+    SELECT pair_id, kp_id, target_id, round(d, 5) AS distance, round(second, 5) AS second, coalesce(d <= 0.8 * second, d <= 1e-8) AS kept FROM s""")
 def descriptor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "v_desc")
     return rounded(features.descriptor_match(d.filter("side = 'source'"), d.filter("side = 'target'")), 5)
@@ -141,6 +141,20 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.training_set(m, ["confidence", "sigma_major"], ["sigma_major"]).groupBy("truth").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH m AS (SELECT *, CASE WHEN match_id % 11 = 0 THEN NULL ELSE label END AS truth, match_id % 7 = 0 AS bare, pair_id % 3 AS file, 1 + match_id % 2 AS copies FROM {v_matches}),
+    t AS (SELECT *, row_number() OVER () AS k FROM m, range(2) AS g(c) WHERE c < copies),
+    f AS (SELECT *, CASE WHEN truth IS NULL THEN 'no_label' WHEN bare THEN 'missing' WHEN row_number() OVER (PARTITION BY truth IS NULL OR bare, round(confidence, 6), round(sigma_major, 6), truth, round(source_x, 4), round(source_y, 4), round(target_x, 4), round(target_y, 4)
+        ORDER BY match_id * 2 + c, pair_id) = 1 THEN 'kept' ELSE 'duplicate' END AS fate FROM t)
+    SELECT file, grouping(file) = 1 AS is_total, count(*) FILTER (fate = 'kept' AND truth) AS inliers, count(*) FILTER (fate = 'kept' AND NOT truth) AS outliers, count(*) FILTER (fate = 'no_label') AS skipped_no_label,
+        count(*) FILTER (fate = 'missing') AS skipped_missing_features, count(*) FILTER (fate = 'duplicate') AS duplicates, count(*) FILTER (fate IN ('kept', 'duplicate')) AS synthetic_geometry
+    FROM f GROUP BY GROUPING SETS ((file), ())""")
+def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matches(spark, sf_dir).selectExpr("*", "CASE WHEN match_id % 11 = 0 THEN NULL ELSE label END AS ground_truth_label", "CASE WHEN match_id % 7 <> 0 THEN sigma_major END AS live", "pair_id % 3 AS file", "explode(sequence(0, CAST(match_id % 2 AS INT))) AS c",
+                                          "concat('s', pair_id) AS source_image", "concat('t', pair_id) AS target_image", "CAST(NULL AS STRING) AS region")
+    m = m.withColumn("match_id", F.col("match_id") * 2 + F.col("c")).drop("label", "c")
+    return features.training_report(m, ["confidence", "sigma_major"], ["live"]).drop("hand", "ransac", "group_key")
+
+
 @query(None)
 def verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match classifier trained on three quarters of the pairs, its report on the rest."""

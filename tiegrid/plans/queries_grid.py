@@ -160,21 +160,30 @@ def density_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT pair_id, match_id, source_x AS x, source_y AS y, confidence AS s, row_number() OVER (PARTITION BY pair_id ORDER BY confidence DESC, match_id) AS r FROM {v_matches} QUALIFY r <= 80),
-    d AS (SELECT a.pair_id, a.match_id, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d2 FROM p AS a LEFT JOIN p AS b ON a.pair_id = b.pair_id AND b.r < a.r AND b.s * 0.9 > a.s GROUP BY ALL)
+    d AS (SELECT a.pair_id, a.match_id, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d2 FROM p AS a LEFT JOIN p AS b ON a.pair_id = b.pair_id AND b.r < a.r AND b.s > 0.9e0 * a.s GROUP BY ALL)
     SELECT pair_id, match_id, round(sqrt(d2), 4) AS radius, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY coalesce(d2, 1e30) DESC, match_id) AS INTEGER) AS k FROM d QUALIFY k <= 20""")
 def anms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.anms(matches(spark, sf_dir), 20, 0.9).select("pair_id", "match_id", "radius", "k"))
 
 
-RADII = "(VALUES (8e0), (16e0), (32e0), (64e0), (128e0)) AS r(r)"
+def covering_steps(n: int, steps: int = 10) -> str:
+    """The halving search over squares of all sides, step by step: s0, s1, ... (pair_id, low, high, side)."""
+    out = [f"s0 AS (SELECT pair_id, 1 AS low, 512 AS high, -1 AS side FROM sizes WHERE n > {n})"]
+    for k in range(steps):
+        out.append(f"""t{k} AS (SELECT *, (low + high) // 2 AS r, low < high AND (low + high) // 2 <> side AS going FROM s{k}),
+    s{k + 1} AS (SELECT t.pair_id, CASE WHEN going AND c.n > {n} * 1.1 THEN t.r + 1 ELSE low END AS low, CASE WHEN NOT going OR c.n > {n} * 1.1 THEN high WHEN c.n < {n} * 0.9 THEN t.r - 1 ELSE -1 END AS high,
+        CASE WHEN going THEN t.r ELSE side END AS side FROM t{k} AS t LEFT JOIN c ON c.pair_id = t.pair_id AND c.r = t.r)""")
+    return ", ".join(out)
 
 
-@query(f"""WITH c AS (SELECT pair_id, r, count(*) AS n FROM (SELECT DISTINCT pair_id, r, floor(source_x / r) AS gx, floor(source_y / r) AS gy FROM {{v_matches}}, {RADII}) AS q GROUP BY pair_id, r),
-    b AS (SELECT pair_id, r FROM c QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY abs(n - 50), r) = 1)
-    SELECT m.pair_id, m.match_id, b.r AS cell_size FROM {{v_matches}} AS m JOIN b ON m.pair_id = b.pair_id
-    QUALIFY row_number() OVER (PARTITION BY m.pair_id, floor(source_x / b.r), floor(source_y / b.r) ORDER BY confidence DESC, match_id) = 1""")
+@query(f"""WITH sizes AS (SELECT pair_id, count(*) AS n FROM {{v_matches}} GROUP BY pair_id),
+    c AS (SELECT pair_id, r, count(*) AS n FROM (SELECT DISTINCT pair_id, r, least(ceil(512 / r) - 1, floor(source_x / r)) AS gx, least(ceil(512 / r) - 1, floor(source_y / r)) AS gy FROM {{v_matches}}, range(1, 513) AS g(r)) AS q GROUP BY pair_id, r),
+    {covering_steps(20)}, m AS (SELECT v.*, side FROM {{v_matches}} AS v JOIN s10 ON s10.pair_id = v.pair_id),
+    b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY pair_id, least(ceil(512 / side) - 1, floor(source_x / side)), least(ceil(512 / side) - 1, floor(source_y / side)) ORDER BY confidence DESC, match_id) = 1)
+    SELECT pair_id, match_id, side AS cell_size FROM b QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY confidence DESC, match_id) <= 20
+    UNION ALL SELECT v.pair_id, match_id, NULL FROM {{v_matches}} AS v JOIN sizes ON sizes.pair_id = v.pair_id WHERE n <= 20""")
 def square_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.square_covering(matches(spark, sf_dir), 50, [8.0, 16.0, 32.0, 64.0, 128.0]).select("pair_id", "match_id", "cell_size")
+    return selection.square_covering(matches(spark, sf_dir), 20, 512, 512).select("pair_id", "match_id", "cell_size")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY confidence DESC, match_id) AS r1, row_number() OVER (PARTITION BY pair_id ORDER BY sigma_major, match_id) AS r2 FROM {v_matches}),
@@ -201,11 +210,12 @@ def stitch_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.stitch_tiles(matches(spark, sf_dir)).select("pair_id", "match_id")
 
 
+BELOW = ", ".join(f"round(avg(CASE WHEN e < {t} THEN 1e0 ELSE 0 END), 4) AS below_{n}" for t, n in ((0.1, "010"), (0.2, "020"), (0.25, "025"), (0.5, "050"), (1, "1")))
 ERRORS = """e AS (SELECT trial_id, direction, magnitude, error_x, error_y, sqrt(error_x*error_x + error_y*error_y) AS e FROM {v_trials} WHERE is_valid)"""
 
 
 @query(f"""WITH {ERRORS} SELECT direction, magnitude, count(*) AS n, round(avg(e), 4) AS mean, round(quantile_cont(e, 0.5), 4) AS median, round(sqrt(avg(e*e)), 4) AS rmse, round(quantile_cont(e, 0.95), 4) AS p95,
-    round(max(e), 4) AS max, round(avg(error_x), 4) AS bias_x, round(avg(error_y), 4) AS bias_y, round(avg(CASE WHEN e < 1 THEN 1e0 ELSE 0 END), 4) AS below_1
+    round(max(e), 4) AS max, round(avg(error_x), 4) AS bias_x, round(avg(error_y), 4) AS bias_y, {BELOW}
     FROM e GROUP BY GROUPING SETS ((), (direction), (magnitude))""")
 def benchmark_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.benchmark_breakdown(view(spark, sf_dir, "v_trials").filter("is_valid")))
@@ -315,10 +325,10 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LIGHT}, t AS (SELECT *, pair_id % 8 AS region, {TIERS} AS tier FROM q)
-    SELECT region, count(*) AS legs, count(*) FILTER (tier <> 'FAILED') AS successes, round(avg(fit_rmse), 4) AS mean_rmse, count(*) FILTER (tier IN ('HIGH_CONFIDENCE', 'ACCEPTED')) AS high_or_accepted,
+    SELECT region, count(*) AS legs, count(*) FILTER (tier <> 'FAILED') AS successes, round(avg(fit_rmse), 4) AS mean_rmse, round(avg(CASE WHEN pair_id % 5 <> 0 THEN inliers * 0.25e0 END), 4) AS mean_runtime, count(*) FILTER (tier IN ('HIGH_CONFIDENCE', 'ACCEPTED')) AS high_or_accepted,
         round(avg(CASE WHEN tier IN ('HIGH_CONFIDENCE', 'ACCEPTED') THEN 1e0 ELSE 0 END), 4) AS trust_rate, count(DISTINCT CASE WHEN tier IN ('HIGH_CONFIDENCE', 'ACCEPTED') THEN pair_id % 16 END) AS datasets,
         round(min(held_out), 4) AS least_gap, round(max(held_out), 4) AS most_gap FROM t GROUP BY region""")
 def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = quality.quality_tier(F.col("inliers"), F.col("inlier_ratio"), F.col("held_out"), F.lit(True))
-    m = metrics(spark, sf_dir).withColumn("tier", tier).selectExpr("*", "pair_id % 8 AS region", "pair_id % 16 AS dataset", "held_out AS sun_gap")
+    m = metrics(spark, sf_dir).withColumn("tier", tier).selectExpr("*", "pair_id % 8 AS region", "pair_id % 16 AS dataset", "held_out AS sun_gap", "CASE WHEN pair_id % 5 <> 0 THEN inliers * 0.25e0 END AS runtime_s")
     return rounded(experiments.region_rollup(m))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiegrid.operators import catalog, fit, jobs, patches, points, quality, solvers
+from tiegrid.operators import catalog, consensus, fit, jobs, patches, points, quality, solvers
 from tiegrid.plans.queries_catalog import RING, products
 from tiegrid.plans.queries_points import LEGS, inliers, legs, matches, rounded, transforms
 from tiegrid.plans.queries_raster import BOTH, DEM, POINTS, dem, pixels, pixels_b, stencil
@@ -24,10 +24,11 @@ def paired_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.paired_tiles(p, 256, 64).select("pair_id", "row", "col", "u0", "v0", "u1")
 
 
-@query("SELECT sensor, count(*) AS products, count(*) FILTER (product_id % 4 = 0) AS rotated FROM {v_products} GROUP BY sensor")
+@query("""SELECT sensor, count(*) AS products, count(*) FILTER (product_id % 4 = 0) AS rotated, count(*) FILTER (product_id % 4 <> 0) AS lat_paired, count(*) FILTER (product_id % 4 <> 0) AS lon_paired,
+    round(max(CASE WHEN product_id % 4 = 0 THEN 0.5e0 ELSE 0e0 END), 4) AS max_relative_diff FROM {v_products} GROUP BY sensor""")
 def audit_axis_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = "array(named_struct('lon', (west_lon + east_lon) / 2, 'lat', south_lat), named_struct('lon', east_lon, 'lat', (south_lat + north_lat) / 2), named_struct('lon', (west_lon + east_lon) / 2, 'lat', north_lat), named_struct('lon', west_lon, 'lat', (south_lat + north_lat) / 2))"
-    return catalog.audit_axis_alignment(products(spark, sf_dir).withColumn("ring", F.expr(f"CASE WHEN product_id % 4 = 0 THEN {turned} ELSE {RING} END")))
+    return rounded(catalog.audit_axis_alignment(products(spark, sf_dir).withColumn("ring", F.expr(f"CASE WHEN product_id % 4 = 0 THEN {turned} ELSE {RING} END"))))
 
 
 @query("""SELECT pair_id, match_id, round(least(greatest(0.5 * CASE WHEN match_id % 5 = 0 THEN 0.5 ELSE confidence END + 0.35 * CASE WHEN match_id % 7 = 0 THEN 0.35 ELSE least(greatest(exp(-0.75 * sigma_minor * 5), 0.15), 1) END
@@ -126,8 +127,8 @@ def relief_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(patches.relief_shift(sampled(spark, sf_dir).drop("error"), dem(spark, sf_dir), 10.0, 60.0, 5.0).drop("reason"))
 
 
-@query(f"""WITH {stencil(DEM)}, sl AS (SELECT image_id, x, y, degrees(atan(sqrt(pow(sx / 800, 2) + pow(sy / 800, 2)))) AS slope FROM gr), r AS (SELECT pair_id, pair_id % 5 AS image_id, source_x / 8 AS px, source_y / 8 AS py, error FROM {{v_residuals}})
-    SELECT pair_id, count(*) AS n, round(corr(error, slope), 4) AS correlation FROM r JOIN sl ON sl.image_id = r.image_id AND x = floor(least(greatest(px, 0e0), 63e0)) AND y = floor(least(greatest(py, 0e0), 63e0)) GROUP BY pair_id""")
+@query(f"""WITH {stencil(DEM)}, sl AS (SELECT image_id, x, y, sqrt(pow((e - w) / CASE WHEN x IN (0, 63) THEN 100 ELSE 200 END, 2) + pow((s - n) / CASE WHEN y IN (0, 63) THEN 100 ELSE 200 END, 2)) AS slope FROM gr), r AS (SELECT pair_id, pair_id % 5 AS image_id, source_x / 8 AS px, source_y / 8 AS py, error FROM {{v_residuals}})
+    SELECT pair_id, count(*) AS n, round(corr(error, slope), 4) AS correlation FROM r JOIN sl ON sl.image_id = r.image_id AND x = least(greatest(round_even(px, 0), 0e0), 63e0) AND y = least(greatest(round_even(py, 0), 0e0), 63e0) GROUP BY pair_id""")
 def slope_residual_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(patches.slope_residual_corr(sampled(spark, sf_dir), dem(spark, sf_dir), 100.0))
 
@@ -179,6 +180,26 @@ def canonical_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(jobs.canonical_metrics(m, transforms(spark, sf_dir), 512.0, 512.0).withColumn("reasons", F.array_join("reasons", ",")))
 
 
+@query("""WITH c AS (SELECT m.pair_id, sqrt(pow(t.a * source_x + t.b * source_y + t.c - target_x, 2) + pow(t.d * source_x + t.e * source_y + t.f - target_y, 2)) AS e FROM {v_matches} AS m JOIN {v_transforms} AS t ON t.pair_id = m.pair_id
+        WHERE NOT label AND m.pair_id % 2 = 0), h AS (SELECT pair_id, sqrt(avg(e * e)) AS held, quantile_cont(e, 0.5) AS median, count(*) AS n FROM c GROUP BY pair_id)
+    SELECT pair_id, 'checkpoints' AS validation, n AS checkpoints, round(held, 4) AS held_out, round(median, 4) AS held_out_median, 0.7e0 AS ssim, 0.4e0 AS nmi FROM h""")
+def checkpoint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected matches of every second pair serve as its independent checkpoints."""
+    m = matches(spark, sf_dir).withColumn("inlier", F.col("label"))
+    checks = matches(spark, sf_dir).filter("NOT label AND pair_id % 2 = 0")
+    images = m.select("pair_id").distinct().selectExpr("pair_id", "0.7e0 AS ssim", "0.4e0 AS nmi")
+    found = jobs.canonical_metrics(m, transforms(spark, sf_dir), 512.0, 512.0, checkpoints=checks, images=images).filter("validation = 'checkpoints'")
+    return rounded(found.select("pair_id", "validation", "checkpoints", "held_out", "held_out_median", "ssim", "nmi"))
+
+
+@query(None)
+def consensus_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homographies of all pairs by draws that favour confident matches."""
+    found = consensus.consensus_homography(matches(spark, sf_dir), 5.0, 64, weight="confidence")
+    h = F.col("h")
+    return found.select("pair_id", "hyp", "n", "inliers", "method", F.round("rmse", 4).alias("rmse"), *(F.round(h[k], 8 if k in (6, 7) else 4).alias(f"h{k}") for k in range(9)))
+
+
 STATUS = ["pair_id", "status", "candidates", "inliers", "near_share", "fit_rmse", "held_out", "quality_tier", "color", "verdict"]
 
 

@@ -175,7 +175,7 @@ XYZ = """SELECT pair_id, (1737400 + a1) AS r1, radians(source_y / 10) AS p1, rad
 
 @query(f"""WITH v AS ({XYZ}), d AS (SELECT pair_id, up, sqrt(pow(r1*cos(p1)*cos(q1) - r2*cos(p2)*cos(q2), 2) + pow(r1*cos(p1)*sin(q1) - r2*cos(p2)*sin(q2), 2) + pow(r1*sin(p1) - r2*sin(p2), 2)) AS d FROM v)
     SELECT pair_id, count(d) AS n, CAST(0 AS BIGINT) AS dropped, round(sqrt(avg(d*d)), 3) AS rmse, round(avg(d), 3) AS mean, round(max(d), 3) AS max,
-        round(quantile_cont(sqrt(greatest(d*d - up*up, 0e0)), 0.9), 3) AS ce90, round(quantile_cont(up, 0.9), 3) AS le90 FROM d GROUP BY pair_id""")
+        round(quantile_cont(d, 0.9), 3) AS ce90, round(quantile_cont(up, 0.9), 3) AS le90 FROM d GROUP BY pair_id""")
 def intersection_error_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matches(spark, sf_dir).selectExpr(
         "pair_id", "source_y / 10 AS lat", "source_x / 10 AS lon", "confidence * 1000 AS alt", "source_y / 10 + (target_x - source_x) / 1e5 AS lat2",

@@ -59,7 +59,7 @@ def stencil_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.gradients(pixels(spark, sf_dir)).select("image_id", "x", "y", "sobel_x", "sobel_y", "laplacian"), 5)
 
 
-@query(f"""WITH {stencil('{v_pixels}')} SELECT image_id, round(var_pop(lap), 5) AS laplacian_variance, round(avg(sx*sx + sy*sy), 5) AS tenengrad, round(avg(CASE WHEN v < -0.1 THEN 1e0 ELSE 0 END), 5) AS dark,
+@query(f"""WITH {stencil('{v_pixels}', True)} SELECT image_id, round(var_pop(lap), 5) AS laplacian_variance, round(avg(sx*sx + sy*sy), 5) AS tenengrad, round(avg(CASE WHEN v < -0.1 THEN 1e0 ELSE 0 END), 5) AS dark,
     round(avg(CASE WHEN v > 0.2 THEN 1e0 ELSE 0 END), 5) AS saturated, round(min(v), 5) AS min, round(max(v), 5) AS max, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.5), 5) AS median, 1e0 AS finite, true AS ok FROM gr GROUP BY image_id""")
 def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.image_stats(pixels(spark, sf_dir), -0.1, 0.2), 5)
@@ -148,16 +148,20 @@ def photometric_hapke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.photometric_correct(pixels(spark, sf_dir), geometry(spark, sf_dir), "hapke"), 3)
 
 
-@query(f"""WITH {stencil(DEM)}, sl AS (SELECT *, degrees(atan(sqrt(pow(sx / 8 / 100, 2) + pow(sy / 8 / 100, 2)))) AS slope FROM gr),
-    m AS (SELECT image_id, avg(slope) AS ms, max(slope) AS xs, avg(abs(lap)) AS ml, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, v) AS xz, covar_pop(y, v) AS yz, var_pop(v) AS zz FROM sl GROUP BY image_id)
+@query(f"""WITH {stencil(DEM, True)}, sl AS (SELECT *, degrees(atan(sqrt(pow(sx / 8 / 100, 2) + pow(sy / 8 / 100, 2)))) AS slope FROM gr),
+    m AS (SELECT image_id, avg(slope) AS ms, max(slope) AS xs, avg(abs(2 * (nw + ne + sw + se) - 8 * v) / 1e4) AS ml, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, v) AS xz, covar_pop(y, v) AS yz, var_pop(v) AS zz FROM sl GROUP BY image_id)
     SELECT image_id, round(ms, 4) AS mean_slope, round(xs, 4) AS max_slope, round(ml, 4) AS mean_laplacian, round(sqrt(zz - (xz*yy - yz*xy)/(xx*yy - xy*xy)*xz - (yz*xx - xz*xy)/(xx*yy - xy*xy)*yz), 4) AS roughness FROM m""")
 def terrain_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.terrain_metrics(dem(spark, sf_dir), 100.0))
 
 
-@query(f"""WITH {stencil(DEM)} SELECT image_id, x, y, round(least(greatest((sin(radians(40e0)) - sx/800 * cos(radians(40e0)) * sin(radians(315e0)) + sy/800 * cos(radians(40e0)) * cos(radians(315e0))) / sqrt(1 + pow(sx/800, 2) + pow(sy/800, 2)), 0e0), 1e0), 5) AS shade FROM gr""")
+@query(f"""WITH {stencil(DEM, True)}, ray AS (SELECT s.image_id, s.x, s.y, bool_or(o.v > s.v + tan(radians(40e0)) * 100 * k * sqrt(2)) AS dark
+        FROM st AS s, range(1, 5) AS g(k), st AS o WHERE o.image_id = s.image_id AND o.x = s.x - k AND o.y = s.y - k GROUP BY ALL),
+    lit AS (SELECT image_id, x, y, atan(sqrt(pow(sx/800, 2) + pow(sy/800, 2))) AS slope, atan2(sx/800, -sy/800) AS aspect FROM gr)
+    SELECT lit.image_id, lit.x, lit.y, CASE WHEN coalesce(dark, false) THEN 0e0 ELSE round(least(greatest(sin(radians(40e0)) * cos(slope) + cos(radians(40e0)) * sin(slope) * cos(radians(450e0 - 315e0) - aspect), 0e0), 1e0), 5) END AS shade
+    FROM lit LEFT JOIN ray ON ray.image_id = lit.image_id AND ray.x = lit.x AND ray.y = lit.y""")
 def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(raster.hillshade(dem(spark, sf_dir), 315.0, 40.0, 100.0), 5)
+    return rounded(raster.hillshade(dem(spark, sf_dir), 315.0, 40.0, 100.0, shadow_px=6), 5)
 
 
 @query("""WITH d AS (SELECT image_id, x, y, v * 1000 AS v FROM {v_pixels}) SELECT a.image_id, count(*) FILTER (hit) AS shadowed FROM (SELECT d.image_id, d.x, d.y, coalesce(bool_or(o.v > d.v + tan(radians(45e0)) * 100 * k), false) AS hit
@@ -181,12 +185,16 @@ def lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.lbp(pixels(spark, sf_dir)).drop("value")
 
 
-@query("""WITH m AS (SELECT 'x' AS axis, image_id, x AS k, avg(v) AS m FROM {v_pixels} GROUP BY image_id, x UNION ALL SELECT 'y', image_id, y, avg(v) FROM {v_pixels} GROUP BY image_id, y),
-    p AS (SELECT axis, image_id, k, (m - avg(m) OVER (PARTITION BY axis, image_id)) / stddev_pop(m) OVER (PARTITION BY axis, image_id) AS p FROM m),
-    o AS (SELECT 'x' AS axis, image_id, x AS k, avg(v) AS m FROM {v_pixels_b} GROUP BY image_id, x UNION ALL SELECT 'y', image_id, y, avg(v) FROM {v_pixels_b} GROUP BY image_id, y),
-    q AS (SELECT axis, image_id, k, (m - avg(m) OVER (PARTITION BY axis, image_id)) / stddev_pop(m) OVER (PARTITION BY axis, image_id) AS q FROM o),
-    s AS (SELECT p.axis, p.image_id, CAST(s AS INTEGER) AS shift, avg(p * q) AS score FROM p, range(-6, 7) AS g(s), q WHERE p.axis = q.axis AND p.image_id = q.image_id AND q.k = p.k + s GROUP BY ALL)
-    SELECT image_id, axis, shift, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY axis, image_id ORDER BY round(score, 9) DESC, abs(shift), shift) = 1""")
+BLEND = lambda name: f"""{name}h AS (SELECT *, sqrt(sx*sx + sy*sy) AS g FROM {name}gr), {name}w AS (SELECT image_id, avg(v) AS mv, stddev_pop(v) AS sv, avg(g) AS mg, stddev_pop(g) AS sg FROM {name}h GROUP BY image_id),
+    {name}z AS (SELECT h.image_id, x, y, 0.6e0 * (v - mv) / sv + 0.4e0 * (g - mg) / sg AS z FROM {name}h AS h JOIN {name}w AS w ON h.image_id = w.image_id),
+    {name}p AS (SELECT 'x' AS axis, image_id, x AS k, avg(z) AS p FROM {name}z GROUP BY image_id, x UNION ALL SELECT 'y', image_id, y, avg(z) FROM {name}z GROUP BY image_id, y),
+    {name}n AS (SELECT axis, image_id, sqrt(sum(p * p)) AS n FROM {name}p GROUP BY axis, image_id)"""
+
+
+@query(f"""WITH {stencil('{v_pixels}', True, 'a').replace('FROM st', 'FROM ast')}, {stencil('{v_pixels_b}', True, 'b').replace('FROM st', 'FROM bst')}, {BLEND('a')}, {BLEND('b')},
+    s AS (SELECT p.axis, p.image_id, CAST(s AS INTEGER) AS shift, sum(p.p * q.p) AS total FROM ap AS p, range(-6, 7) AS g(s), bp AS q WHERE p.axis = q.axis AND p.image_id = q.image_id AND q.k = p.k + s GROUP BY ALL),
+    t AS (SELECT s.*, total / (an.n * bn.n + 1e-9) AS score FROM s JOIN an ON an.axis = s.axis AND an.image_id = s.image_id JOIN bn ON bn.axis = s.axis AND bn.image_id = s.image_id)
+    SELECT image_id, axis, shift, round(score, 4) AS score FROM t QUALIFY row_number() OVER (PARTITION BY axis, image_id ORDER BY round(score, 9) DESC, abs(shift), shift) = 1""")
 def profile_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.profile_shift(pixels(spark, sf_dir), pixels_b(spark, sf_dir), 6))
 
