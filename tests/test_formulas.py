@@ -324,3 +324,255 @@ def test_job_state_stream_equals_its_twin(spark, tmp_path):
     last = spark.sql("SELECT job_id, max(updated) AS updated, max_by(stage, updated) AS stage, max_by(error, updated) AS error FROM state GROUP BY job_id")
     twin = streams.job_state(fields(batch), ["stage", "error"], "7 DAYS", F.lit(batch.agg(F.max("ts")).first()[0]))
     assert sorted(map(str, last.collect())) == sorted(map(str, twin.collect()))
+
+
+def test_suppression_radii(spark):
+    """Scores 1.0, 0.95, 0.93: each of the earlier ones exceeds 0.9 of the later."""
+    rows = [(1, 1, 0.0, 0.0, 1.0), (1, 2, 10.0, 0.0, 0.95), (1, 3, 11.0, 0.0, 0.93), (1, 4, 500.0, 0.0, 0.5)]
+    m = spark.createDataFrame(rows, "pair_id bigint, match_id bigint, source_x double, source_y double, confidence double")
+    assert {r["match_id"]: r["radius"] for r in selection.anms(m, 4).collect()} == {1: None, 2: 10.0, 3: 1.0, 4: 489.0}
+    # With c of 1.06 only scores over 1.06 times the own count: 1.0 > 0.986 for the third, but not 1.0 > 1.007 for the second.
+    assert {r["match_id"]: r["radius"] for r in selection.anms(m, 4, 1.06).collect()} == {1: None, 2: None, 3: 11.0, 4: 489.0}
+
+
+def mirrored(a):
+    return np.pad(a, 1, mode="reflect")
+
+
+def plain_sobel(a):
+    p = mirrored(a)
+    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    return gx, gy
+
+
+def test_profiles(spark):
+    rng = np.random.default_rng(3)
+    whole = rng.normal(size=(30, 34)).cumsum(0).cumsum(1)
+    a, b = whole[2:26, 3:29], whole[5:25, 1:27]
+
+    def blend(v):
+        gx, gy = plain_sobel(v)
+        g = np.hypot(gx, gy)
+        return 0.6 * (v - v.mean()) / v.std() + 0.4 * (g - g.mean()) / g.std()
+
+    found = {r["axis"]: r for r in raster.profile_shift(image(spark, a), image(spark, b), 6).collect()}
+    for axis, mean in (("x", 0), ("y", 1)):
+        p, q = blend(a).mean(mean), blend(b).mean(mean)
+        scores = {s: sum(p[k] * q[k + s] for k in range(len(p)) if 0 <= k + s < len(q)) / (np.linalg.norm(p) * np.linalg.norm(q) + 1e-9) for s in range(-6, 7)}
+        best = max(scores, key=scores.get)
+        assert found[axis]["shift"] == best and found[axis]["score"] == pytest.approx(scores[best], rel=1e-9)
+    flat = image(spark, np.ones((5, 5)))
+    assert {r["score"] for r in raster.profile_shift(flat, flat, 2).collect()} == {0.0}
+
+
+def test_terrain_figures(spark):
+    y, x = np.mgrid[0:6, 0:7]
+    z = 0.5 * x * x + 0.25 * y * y + 3.0 * x
+    p = mirrored(z)
+    curved = 2 * (p[:-2, :-2] + p[:-2, 2:] + p[2:, :-2] + p[2:, 2:]) - 8 * z
+    gx, gy = plain_sobel(z)
+    for gsd in (1.0, 2.0):
+        r = raster.terrain_metrics(image(spark, z), gsd).first()
+        slope = np.degrees(np.arctan(np.hypot(gx, gy) / (8 * gsd)))
+        assert r["mean_laplacian"] == pytest.approx(np.abs(curved).mean() / gsd**2) and r["mean_slope"] == pytest.approx(slope.mean()) and r["max_slope"] == pytest.approx(slope.max())
+    # Inside the image the four corners lie 0.5 + 0.25 above the centre on average, each counted twice.
+    assert curved[2, 3] == pytest.approx(2 * 4 * 0.75)
+    plane = np.c_[x.ravel(), y.ravel(), np.ones(z.size)]
+    off = z.ravel() - plane @ np.linalg.lstsq(plane, z.ravel(), rcond=None)[0]
+    assert r["roughness"] == pytest.approx(off.std())
+    holes = z.copy()
+    holes[2, 2], holes[3, 3] = np.nan, np.inf
+    filled = np.where(np.isfinite(holes), holes, holes[np.isfinite(holes)].mean())
+    gx, gy = plain_sobel(filled)
+    assert raster.terrain_metrics(image(spark, holes), 1.0).first()["max_slope"] == pytest.approx(np.degrees(np.arctan(np.hypot(gx, gy) / 8)).max())
+    small = raster.terrain_metrics(image(spark, np.ones((3, 9))), 1.0).first()
+    assert small["mean_slope"] is None and small["roughness"] is None
+    assert raster.terrain_metrics(image(spark, np.full((5, 5), np.nan)), 1.0).first()["mean_slope"] is None
+
+
+@pytest.mark.parametrize("azimuth,elevation,z_factor", [(315.0, 40.0, 1.0), (75.0, 3.0, 2.0), (200.0, 89.0, 1.0)])
+def test_shaded_relief(spark, azimuth, elevation, z_factor):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(9, 11)).cumsum(0) * 30
+    z[4, 4] = np.nan
+    filled = np.where(np.isfinite(z), z, np.nanmean(z))
+    gx, gy = (g / (8 * 10.0) * z_factor for g in plain_sobel(filled))
+    slope, aspect = np.arctan(np.hypot(gx, gy)), np.arctan2(gx, -gy)
+    e = min(max(elevation, 5), 85)
+    zenith, sun = math.radians(90 - e), math.radians((360 - azimuth + 90) % 360)
+    want = np.clip(math.cos(zenith) * np.cos(slope) + math.sin(zenith) * np.sin(slope) * np.cos(sun - aspect), 0, 1)
+    assert np.allclose(grid(raster.hillshade(image(spark, z), azimuth, elevation, 10.0, z_factor, 0), "shade", z.shape), want, atol=1e-9)
+    dx, dy = math.sin(math.radians(azimuth)), -math.cos(math.radians(azimuth))
+    step, dark = 1 / max(abs(dx), abs(dy)), np.zeros(z.shape, bool)
+    for k in range(1, int(5 / step) + 1):
+        sx, sy, up = round(k * dx * step), round(k * dy * step), k * step * 10.0 * math.tan(math.radians(e))
+        for yy in range(z.shape[0]):
+            for xx in range(z.shape[1]):
+                if 0 <= yy + sy < z.shape[0] and 0 <= xx + sx < z.shape[1] and filled[yy + sy, xx + sx] > filled[yy, xx] + up:
+                    dark[yy, xx] = True
+    assert np.allclose(grid(raster.hillshade(image(spark, z), azimuth, elevation, 10.0, z_factor, 5), "shade", z.shape), np.where(dark, 0, want), atol=1e-9)
+
+
+def test_slopes_at_the_nearest_pixel(spark):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(8, 8)) * 10
+    gy, gx = np.gradient(z, 2.0, 2.0)
+    slope = np.hypot(gx, gy)
+    at = rng.uniform(-1, 8.5, (12, 2))
+    at[0], at[1] = (2.5, 3.5), (1.5, 0.5)  # halves go to the even pixel
+    error = rng.uniform(0, 3, 12)
+    near = slope[np.clip(np.round(at[:, 1]).astype(int), 0, 7), np.clip(np.round(at[:, 0]).astype(int), 0, 7)]
+    rows = [(1, k, 1, float(x), float(y), float(e)) for k, ((x, y), e) in enumerate(zip(at, error, strict=True))]
+    names = "pair_id bigint, match_id bigint, image_id bigint, px double, py double, error double"
+    r = patches.slope_residual_corr(spark.createDataFrame([*rows, (1, 99, 1, 1.0, 1.0, float("inf"))], names), image(spark, z), 2.0).first()
+    assert r["n"] == 12 and r["correlation"] == pytest.approx(np.corrcoef(error, near)[0, 1])
+    assert patches.slope_residual_corr(spark.createDataFrame(rows[:3], names), image(spark, z), 2.0).first()["correlation"] == 0
+    flat = [(*r[:5], 1.0) for r in rows]
+    assert patches.slope_residual_corr(spark.createDataFrame(flat, names), image(spark, z), 2.0).first()["correlation"] == 0
+
+
+def test_given_covariances_count(spark):
+    """Eigenvalues of (9, 0, 1) are 9 and 1, whatever the sigmas say; without them the sigmas do."""
+    names = "pair_id bigint, cxx double, cxy double, cyy double, sigma_major double, sigma_minor double, angle double"
+    rows = [(1, 9.0, 0.0, 1.0, 0.5, 0.5, 0.0), (2, None, None, None, 0.5, 0.25, 90.0), (3, 400.0, 0.0, 1e-9, 0.5, 0.5, 0.0), (4, 2.0, 1.0, 2.0, None, None, None), (5, float("nan"), 0.0, 1.0, None, None, None)]
+    found = {r["pair_id"]: (r["sxx"], r["sxy"], r["syy"]) for r in points.conditioned(spark.createDataFrame(rows, names)).collect()}
+    want = {1: (9, 0, 1), 2: (0.0625, 0, 0.25), 3: (100, 0, 0.01), 4: (2, 1, 2), 5: (0.25, 0, 0.25)}
+    assert all(found[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_relief_strain_by_hand(spark):
+    """A ridge: the global map misses by 2 px, local maps fit but where they straddle the ridge."""
+    xy = [(float(x), float(y)) for x in range(0, 60, 10) for y in range(0, 40, 10)]
+    rows = [(1, k, x, y, x + (4.0 if x >= 30 else 0.0) - 2.0, y) for k, (x, y) in enumerate(xy)]
+    one = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "pair_id bigint, h array<double>")
+    r = features.relief_strain(spark.createDataFrame(rows, "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double"), one).first()
+    m = np.array(rows)
+    squares = []
+    for i in range(len(m)):
+        near = m[np.lexsort((m[:, 1], np.arange(len(m)) != i, np.hypot(m[:, 2] - m[i, 2], m[:, 3] - m[i, 3])))[:6]]
+        a = np.c_[near[:, 2:4], np.ones(6)]
+        fit_uv = np.linalg.lstsq(a, near[:, 4:6], rcond=None)[0]
+        squares.append(((np.array([m[i, 2], m[i, 3], 1]) @ fit_uv - m[i, 4:6]) ** 2).sum())
+    local = math.sqrt(np.mean(squares))
+    assert r["global_rmse"] == pytest.approx(2.0) and r["local_rmse"] == pytest.approx(local, abs=1e-6) and r["ratio"] == pytest.approx(2 / max(local, 0.05), rel=1e-5) and r["strained"]
+    exact = [(*q[:4], q[2] + 1, q[3]) for q in rows]
+    shifted = features.relief_strain(spark.createDataFrame(exact, "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double"), one).first()
+    assert shifted["ratio"] == pytest.approx(1 / 0.05) and not shifted["strained"]  # a local error of 0 counts as 0.05
+
+
+def test_no_place_under_a_map_is_no_crash(spark):
+    """h33 and z of zero: figures are NULL, other rows go on."""
+    flat = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, -0.01, 0.0, 1.0]  # z is 0 at x = 100
+    one, none = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0]
+    h = spark.createDataFrame([(1, flat), (2, one), (3, none), (4, [float("nan")] * 9)], "pair_id bigint, h array<double>")
+    truth = spark.createDataFrame([(k, one) for k in range(1, 5)], "pair_id bigint, h array<double>")
+    assert {r["pair_id"]: r["corner_error"] for r in points.corner_error(h, truth, 100.0, 50.0).collect()} == {1: None, 2: 0.0, 3: None, 4: None}
+    legs = [(1, "AB", one), (1, "BC", one), (1, "CA", none), (2, "AB", one), (2, "BC", one), (3, "AB", flat), (3, "BC", one), (3, "CA", one), (4, "AB", one), (4, "BC", one), (4, "CA", one)]
+    legs = spark.createDataFrame(legs, "triplet_id bigint, leg string, h array<double>")
+    done = {r["triplet_id"]: r for r in points.complete_cycle(legs).collect()}
+    assert [done[k]["status"] for k in (1, 2, 3, 4)] == ["cycle_not_computable", "composed", "measured", "measured"]
+    assert done[1]["ca"] is None and done[1]["composed"] is None and done[2]["composed"] == "CA"
+    around = {r["triplet_id"]: r for r in points.cycle_consistency(legs, 9 * 100 / 0.7 / 3, 50.0).collect()}
+    assert around[4]["rmse"] == 0 and around[4]["is_closed"] and around[1]["rmse"] is None and around[2]["rmse"] is None
+    m = spark.createDataFrame([(k, 1, 100.0, 5.0, 1.0, 1.0) for k in range(1, 5)] + [(k, 2, 10.0, 5.0, 1.0, 1.0) for k in range(1, 5)], "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double")
+    m = m.withColumns({c: F.lit(None).cast("double") for c in ("sigma_major", "sigma_minor", "angle")})
+    assert points.residual_summary(m, h).count() == 4 and points.dual_rmse(m, h).count() == 4 and points.absolute_rmse(m, h, 1.0, 1.0).count() >= 2
+    assert quality.transform_gate(h).filter("is_valid").count() == 1
+
+
+def test_flat_patches_have_no_correlation(spark):
+    a = np.add.outer(np.arange(20.0), np.arange(20.0) ** 2)
+    a[:9, :9] = 5.0
+    k = spark.createDataFrame([(1, 1, 4, 4), (1, 2, 14, 14)], "image_id bigint, kp_id bigint, kx bigint, ky bigint")
+    found = {r["kp_id"]: r for r in patches.search_displacement(image(spark, a), image(spark, a), k, 2, 1).collect()}
+    assert found.keys() == {2}
+    assert (found[2]["dx"], found[2]["dy"]) == (0, 0) and found[2]["ncc"] == pytest.approx(1)
+
+
+def test_heights_add_to_metres(spark):
+    z = np.arange(20.0).reshape(4, 5) ** 2
+    rows = [(1, 7, 0.0, 0.0, 1.2, 2.9), (1, 7, 3.0, 1.0, 9.0, -4.0), (2, 7, 1.0, 1.0, 1.0, 1.0)]
+    m = spark.createDataFrame(rows, "pair_id bigint, image_id bigint, source_x double, source_y double, target_x double, target_y double")
+    h = spark.createDataFrame([(k, [1.0, 0.0, 0.5, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for k in (1, 2)], "pair_id bigint, h array<double>")
+    found = {r["pair_id"]: r["rmse_m"] for r in points.absolute_rmse(m, h, 2.0, 3.0, dem=image(spark, z, 7)).collect()}
+    # (0.5, 0) against (1.2, 2.9): heights z[0, 0] and z[2, 1]; (3.5, 1) against (9, -4), clamped to (4, 0): z[1, 3] and z[0, 4].
+    one = (0.7 * 2) ** 2 + (2.9 * 3) ** 2 + (z[2, 1] - z[0, 0]) ** 2
+    two = (5.5 * 2) ** 2 + (5 * 3) ** 2 + (z[0, 4] - z[1, 3]) ** 2
+    assert found[1] == pytest.approx(math.sqrt((one + two) / 2)) and found[2] == pytest.approx(1.0)
+
+
+def plain_covering(kps, n, cols, rows, tolerance=0.1):
+    """The halving search as it is described, one image at a time."""
+    kps = sorted(kps, key=lambda k: (-k[3], k[0]))
+    if len(kps) <= n:
+        return {k[0] for k in kps}, None
+    low, high, before, result, side = 1, max(cols, rows), -1, kps[:n], None
+    while low < high:
+        r = (low + high) // 2
+        if r == before:
+            break
+        before, covered, side = r, {}, r
+        for k in kps:
+            cell = min(math.ceil(cols / r) - 1, max(0, int(k[1] / r))), min(math.ceil(rows / r) - 1, max(0, int(k[2] / r)))
+            covered.setdefault(cell, k)
+        result = list(covered.values())
+        if len(result) > n * (1 + tolerance):
+            low = r + 1
+        elif len(result) < n * (1 - tolerance):
+            high = r - 1
+        else:
+            break
+    return {k[0] for k in result[:n]}, side
+
+
+def test_square_covering_equals_the_search(spark):
+    rng = np.random.default_rng(6)
+    kps = {}
+    for pair in range(8):
+        xy = rng.uniform(-20, 340, (1, 2)) + rng.normal(0, 4 + 20 * pair, (30 + 40 * pair, 2))
+        kps[pair] = [(k, float(x), float(y), float(round(c, 1))) for k, ((x, y), c) in enumerate(zip(xy, rng.random(len(xy)), strict=True))]
+    kps[8] = [(k, 5.0, 5.0, 1.0) for k in range(60)]  # all in one place
+    rows = [(pair, *k) for pair, some in kps.items() for k in some]
+    m = spark.createDataFrame(rows, "pair_id bigint, match_id bigint, source_x double, source_y double, confidence double")
+    for n in (10, 50):
+        found = {}
+        for r in selection.square_covering(m, n, 320, 240).collect():
+            found.setdefault(r["pair_id"], (set(), set()))[0].add(r["match_id"])
+            found[r["pair_id"]][1].add(r["cell_size"])
+        for pair, some in kps.items():
+            ids, side = plain_covering(some, n, 320, 240)
+            assert found[pair] == (ids, {side})
+
+
+def test_a_lone_neighbour_is_no_match(spark):
+    names = "pair_id bigint, kp_id bigint, bands array<double>"
+    source = spark.createDataFrame([(1, 1, [0.0, 0.0]), (2, 1, [0.0, 0.0]), (3, 1, [0.0, 0.0]), (4, 1, [0.0, 0.0])], names)
+    target = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.0, 0.0]), (3, 1, [1.0, 0.0]), (3, 2, [0.0, 3.0]), (4, 1, [1.0, 0.0]), (4, 2, [0.0, 1.0])], names)
+    assert {r["pair_id"]: r["kept"] for r in features.descriptor_match(source, target).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_checkpoints_come_first(spark):
+    rows = made(spark, 1, AFFINE, 12) + made(spark, 2, AFFINE, 5) + made(spark, 3, AFFINE, 3)
+    m = spark.createDataFrame(rows, MATCH).withColumn("inlier", F.lit(True))
+    h = spark.createDataFrame([(k, list(map(float, AFFINE))) for k in (1, 2, 3)], "pair_id bigint, h array<double>")
+    moved = m.filter("pair_id < 3 AND match_id < 4").withColumn("target_x", F.col("target_x") + 2.0 * F.col("pair_id"))
+    images = spark.createDataFrame([(1, 0.9, 0.5), (2, None, None)], "pair_id bigint, ssim double, nmi double")
+    r = {x["pair_id"]: x for x in jobs.canonical_metrics(m, h, 512.0, 512.0, checkpoints=moved, images=images).collect()}
+    assert [r[k]["validation"] for k in (1, 2, 3)] == ["checkpoints", "checkpoints", "none"] and r[1]["held_out"] == pytest.approx(2) and r[2]["held_out"] == pytest.approx(4)
+    assert r[2]["verdict"] == "FAIL" and r[1]["ssim"] == 0.9 and r[3]["ssim"] is None and r[1]["nmi"] == 0.5
+    plain = {x["pair_id"]: x for x in jobs.canonical_metrics(m, h, 512.0, 512.0).collect()}
+    assert [plain[k]["validation"] for k in (1, 2, 3)] == ["holdout", "leave_one_out", "none"] and plain[1]["ssim"] is None
+    assert plain[1]["composite"] != r[1]["composite"] and plain[2]["held_out"] == pytest.approx(0, abs=1e-6)
+
+
+def test_training_rows_are_counted(spark):
+    names = "file string, match_id bigint, source_x double, source_y double, target_x double, target_y double, confidence double, live double, human_label string, ground_truth_label boolean, source_image string, target_image string, region string"
+    row = lambda f, i, x, c, live, human, truth: (f, i, x, 0.0, 0.0, 0.0, c, live, human, truth, "a", "b", "r")
+    rows = [row("f1", 1, 1.0, 0.5, 1.0, None, True), row("f1", 2, 1.0, 0.5, 1.0, None, True), row("f1", 3, 2.0, None, 1.0, "no", None), row("f1", 4, 3.0, 0.5, None, "yes", None), row("f1", 5, 3.0, 0.5, float("nan"), "yes", None)]
+    rows += [row("f2", 6, 1.0, 0.5, 1.0, None, True), row("f2", 7, 9.0, 0.5, 1.0, "?", None), row("f2", 8, 4.0, 0.1, 2.0, "yes", None)]
+    m = spark.createDataFrame(rows, names)
+    got = {r["file"]: tuple(r)[2:] for r in features.training_report(m, ["confidence", "live"], ["live"], defaults={"confidence": 0.0}).collect()}
+    assert got["f1"] == (1, 1, 0, 2, 1, 2, 1, 0, "image_pair") and got["f2"] == (1, 0, 1, 0, 1, 1, 1, 0, "image_pair") and got[None] == (2, 1, 1, 2, 2, 3, 2, 0, "image_pair")
+    kept = features.training_set(m, ["confidence", "live"], ["live"], {"confidence": 0.0}).collect()
+    assert sorted(r["match_id"] for r in kept) == [1, 3, 8] and {r["match_id"]: r["confidence"] for r in kept}[3] == 0.0

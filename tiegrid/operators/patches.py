@@ -26,7 +26,8 @@ def search_displacement(
 
     A keypoint's patch is joined to the target at every displacement and their
     correlation aggregated; uniqueness is that of the best displacement less
-    the largest that lies further than ``apart`` from it. With ``multimodal``
+    the largest that lies further than ``apart`` from it. Where patch or target
+    is flat there is no correlation, and a keypoint of a flat patch gives no row. With ``multimodal``
     the ``top`` displacements by orientation agreement of gradients, or by
     correlation (preselect "ncc"), are ranked by w_mi of their mutual
     information and w_ncc of their correlation, if positive. Ties go to the
@@ -39,7 +40,7 @@ def search_displacement(
     moved = patch.withColumn("d", F.explode(offsets(-radius, radius))).withColumns({"dx": F.col("d.dx"), "dy": F.col("d.dy"), "x": F.col("x") + F.col("d.dx"), "y": F.col("y") + F.col("d.dy")}).drop("d")
     pair = moved.join(image(target, "b", "bx", "by") if multimodal else target.select(*PIXEL, F.col("v").alias("b")), PIXEL)
     spot, whole = ["image_id", "kp_id", "dx", "dy"], (2 * half + 1) ** 2
-    figures = [F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("ncc")]
+    figures = [F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("ncc")]
     if multimodal:
         c = F.col
         double_cos = (c("ax") ** 2 - c("ay") ** 2) * (c("bx") ** 2 - c("by") ** 2) + 4 * c("ax") * c("ay") * c("bx") * c("by")
@@ -249,6 +250,6 @@ def slope_residual_corr(points: DataFrame, dem: DataFrame, gsd: float, key: str
     placed = points.select(key, "image_id", "px", "py", known("error").alias("error")).join(ends, "image_id").withColumns({"x": near("px", "_mx"), "y": near("py", "_my")})
     at = placed.join(slope.select(*PIXEL, known("v").alias("slope")), PIXEL, "left")
     both = F.col("error").isNotNull() & F.col("slope").isNotNull()
-    s = at.groupBy(key).agg(F.count_if(both).alias("n"), F.corr("error", "slope").alias("c"), F.stddev_pop(F.when(both, F.col("error"))).alias("se"), F.stddev_pop(F.when(both, F.col("slope"))).alias("ss"))
-    good = (F.col("n") >= 4) & (F.col("se") >= 1e-12) & (F.col("ss") >= 1e-12) & ~F.isnan("c")
-    return s.select(key, "n", F.coalesce(F.when(good, F.col("c")), lit(0)).alias("correlation"))
+    s = at.groupBy(key).agg(F.count_if(both).alias("n"), F.covar_pop("error", "slope").alias("c"), F.stddev_pop(F.when(both, F.col("error"))).alias("se"), F.stddev_pop(F.when(both, F.col("slope"))).alias("ss"))
+    good = (F.col("n") >= 4) & (F.col("se") >= 1e-12) & (F.col("ss") >= 1e-12)
+    return s.select(key, "n", F.coalesce(F.when(good, F.col("c") / (F.col("se") * F.col("ss"))), lit(0)).alias("correlation"))
