@@ -478,11 +478,11 @@ def test_no_place_under_a_map_is_no_crash(spark):
     m = spark.createDataFrame([(k, 1, 100.0, 5.0, 1.0, 1.0) for k in range(1, 5)] + [(k, 2, 10.0, 5.0, 1.0, 1.0) for k in range(1, 5)], "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double")
     m = m.withColumns({c: F.lit(None).cast("double") for c in ("sigma_major", "sigma_minor", "angle")})
     assert points.residual_summary(m, h).count() == 4 and points.dual_rmse(m, h).count() == 4 and points.absolute_rmse(m, h, 1.0, 1.0).count() >= 2
-    assert quality.transform_gate(h).filter("is_valid").count() == 1
+    assert {r["pair_id"] for r in quality.transform_gate(h).filter("is_valid").collect()} == {1, 2}
 
 
 def test_flat_patches_have_no_correlation(spark):
-    a = np.add.outer(np.arange(20.0), np.arange(20.0) ** 2)
+    a = np.random.default_rng(1).normal(size=(20, 20))
     a[:9, :9] = 5.0
     k = spark.createDataFrame([(1, 1, 4, 4), (1, 2, 14, 14)], "image_id bigint, kp_id bigint, kx bigint, ky bigint")
     found = {r["kp_id"]: r for r in patches.search_displacement(image(spark, a), image(spark, a), k, 2, 1).collect()}
