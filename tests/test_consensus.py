@@ -149,3 +149,64 @@ def test_a_network_alone_and_among_others(spark):
 def test_made_matches_are_exact(spark):
     found = consensus.consensus_homography(spark.createDataFrame(made(spark, 1, PROJECTIVE, 40), MATCH), 1.0, 16).first()
     assert found["inliers"] == 40 and np.allclose(found["h"], PROJECTIVE, rtol=1e-6, atol=1e-9)
+
+
+def test_damped_steps_lower_the_objective(spark):
+    """Against plain steps of the same kind; perspective, anisotropic noise, covariances that tell it."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for pair, n in ((1, 60), (2, 40), (3, 3), (4, 25)):
+        xy = rng.uniform(0, 512, (n, 2))
+        sd = rng.choice([0.2, 3.0], (n, 2))
+        uv = mapped(PROJECTIVE, xy) + rng.normal(size=(n, 2)) * sd
+        rows += [(pair, k, *map(float, (*xy[k], *uv[k], sd[k, 0] ** 2, 0.0, sd[k, 1] ** 2)), None, None, None) for k in range(n)]
+    rows.append((1, 999, None, 1.0, 2.0, 3.0, 1.0, 0.0, 1.0, None, None, None))
+    names = "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double, cxx double, cxy double, cyy double, sigma_major double, sigma_minor double, angle double"
+    m = spark.createDataFrame(rows, names)
+    direct = {r["pair_id"]: np.array(r["h"]) for r in solvers.fit_homography(m.dropna(subset=["source_x"]), mode="whitened").collect()}
+    found = {r["pair_id"]: r for r in solvers.refine_homography(m, rounds=25).collect()}
+    assert found.keys() == {1, 2, 4}
+
+    def cost(h, pair):
+        d = np.array([r[2:9] for r in rows if r[0] == pair and r[2] is not None])
+        off = mapped(h, d[:, :2]) - d[:, 2:4]
+        return (off[:, 0] ** 2 / d[:, 4] + off[:, 1] ** 2 / d[:, 6]).sum()
+
+    grid = np.array([(x, y) for x in (100, 400) for y in (100, 400)], float)
+    for pair, r in found.items():
+        h = np.array(r["h"])
+        assert r["objective"] == pytest.approx(cost(h, pair), rel=1e-9) and r["initial_objective"] == pytest.approx(cost(direct[pair] / direct[pair][8], pair), rel=1e-6)
+        assert r["objective"] < r["initial_objective"] and r["status"] in ("converged_step", "converged_gradient", "cost_decreased")
+        for k in range(8):  # a minimum: no element can move either way
+            for way in (1e-4, -1e-4):
+                moved = h.copy()
+                moved[k] *= 1 + way
+                assert cost(moved, pair) >= r["objective"] * (1 - 1e-9)
+        assert np.abs(mapped(h, grid) - mapped(PROJECTIVE, grid)).max() < 2
+    worse = solvers.refine_homography(m, spark.createDataFrame([(1, [1.0, 0.0, 5.0, 0.0, 1.0, 5.0, 0.0, 0.0, 1.0]), (2, [float("nan")] * 9), (4, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, -0.01, 0.0, 1.0])], "pair_id bigint, h array<double>"), rounds=2)
+    few = {r["pair_id"]: r for r in worse.collect()}
+    assert few.keys() == {1, 4} and few[1]["objective"] <= few[1]["initial_objective"] and few[1]["iterations"] <= 2
+
+
+def test_bootstrap_figures_equal_numpy(spark):
+    rows = planted(1, AFFINE, 30, 0.0, 5, noise=1.0)[0] + planted(2, AFFINE, 3, 0.0, 6)[0]
+    m = spark.createDataFrame(rows, WEIGHTED)
+    r = fit.bootstrap_transform(m, 40, gsd=2.5).collect()
+    assert len(r) == 1 and r[0]["status"] == "ok"
+    d = np.array([q[2:6] for q in rows if q[0] == 1])
+    maps = []
+    for rep in range(40):
+        idx = [(104729 * rep + 7919 * s + 15485863 * (((rep + 1) * (s + 3)) % 10007) + 31) % 30 for s in range(30)]
+        if len(set(idx)) < 3:
+            continue  # draws that repeat a match or two give no map
+        a = np.c_[d[idx, :2], np.ones(30)]
+        maps.append(np.linalg.lstsq(a, d[idx, 2:], rcond=None)[0].T.ravel())
+    maps = np.array(maps)
+    assert r[0]["fits"] == len(maps) > 30
+    assert np.allclose(np.reshape(r[0]["covariance"], (6, 6)), np.cov(maps.T), rtol=1e-5, atol=1e-9)
+    at = np.c_[d[:, :2], np.ones(30)]
+    there = np.einsum("rij,nj->rni", maps.reshape(-1, 2, 3), at)
+    sigma = np.sqrt(there.var(axis=0).sum(axis=1)).mean()
+    assert r[0]["sigma_px"] == pytest.approx(sigma, rel=1e-5) and r[0]["sigma_m"] == pytest.approx(2.5 * sigma, rel=1e-5)
+    few = fit.bootstrap_transform(m, 5).first()
+    assert few["status"] == "failed" and few["covariance"] is None and few["sigma_px"] is None and few["sigma_m"] is None

@@ -221,3 +221,50 @@ def test_incremental_ingest_adds_each_product_and_triplet_once(spark, tmp_path):
         streams.incremental_ingest(stream, *places).awaitTermination(120)
     assert sorted(r[0] for r in spark.read.parquet(places[0]).select("product_id").collect()) == [1, 2, 3, 4]
     assert sorted(map(tuple, spark.read.parquet(places[1]).select("ohrc_id", "tmc_id", "iirs_id").collect())) == [(1, 2, 3), (4, 2, 3)]
+
+
+def test_ingest_reads_only_tiles_near(spark, tmp_path):
+    """Files of tiles far away can't even be read, and the next batch doesn't notice."""
+    names = "product_id bigint, sensor string, west_lon double, east_lon double, south_lat double, north_lat double"
+    far = [(k, ("OHRC", "TMC", "IIRS")[k % 3], 100.0 + k, 100.5 + k, 40.0, 40.5) for k in range(20, 60)]
+    first = [(1, "OHRC", 10.0, 11.0, 0.0, 1.0), (3, "IIRS", -35.0, 15.0, -40.0, 40.0), *far]
+    second = [(2, "TMC", 9.0, 12.0, -1.0, 2.0), (4, "OHRC", 10.2, 10.8, 0.2, 0.8), (1, "OHRC", 10.0, 11.0, 0.0, 1.0), (5, "TMC", None, 12.0, 0.0, 1.0), (4, "OHRC", 10.2, 10.8, 0.2, 0.9)]
+    places = [str(tmp_path / n) for n in ("catalog", "manifest", "checkpoint")]
+
+    def ingest():
+        stream = spark.readStream.schema(names + ", acquired timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        streams.incremental_ingest(stream, *places).awaitTermination(240)
+
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, names).withColumn("acquired", F.lit(None).cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        ingest()
+        if k == 0:
+            spoiled = [f for f in (tmp_path / "catalog").glob("tile=0_*_8/run=*/*.parquet")]
+            assert len(spoiled) >= 5
+            for f in spoiled:
+                f.write_bytes(b"not a table")
+                (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert sorted(map(tuple, spark.read.parquet(places[1]).select("ohrc_id", "tmc_id", "iirs_id").collect())) == [(1, 2, 3), (4, 2, 3)]
+    tiles = {p.parent.parent.name for p in (tmp_path / "catalog").glob("tile=*/run=*/*.parquet")}
+    assert "tile=none" in tiles and "tile=4_-1_-1" in tiles
+
+
+def test_home_tiles_hold_their_boxes(spark):
+    import math
+    import random
+
+    pick = random.Random(3)
+    boxes = []
+    for k in range(60):
+        w, s, size = pick.uniform(-180, 170), pick.uniform(-90, 80), pick.choice([0.1, 3.0, 5.0, 7.0, 33.0, 170.0])
+        boxes.append((k, w, w + size, s, s + size * pick.random()))
+    df = spark.createDataFrame(boxes, "product_id bigint, west_lon double, east_lon double, south_lat double, north_lat double")
+    homes = {r["product_id"]: r["t"] for r in df.select("product_id", streams.home_tile(*(F.col(c) for c in ("west_lon", "east_lon", "south_lat", "north_lat"))).alias("t")).collect()}
+    for k, w, e, s, n in boxes[:12]:
+        near = set(streams.tiles_near(df.filter(F.col("product_id") == k)))
+        for j, w2, e2, s2, n2 in boxes:
+            if w2 <= e and e2 >= w and s2 <= n and n2 >= s:
+                assert homes[j] in near
+    level, x, y = map(int, homes[0].split("_"))
+    size = 5 * 2**level
+    assert x == math.floor(boxes[0][1] / size) and y == math.floor(boxes[0][3] / size)

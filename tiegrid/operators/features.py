@@ -1,15 +1,16 @@
 """Feature tables of matches: labels, neighbours, descriptors, splits and a match classifier."""
 
-from __future__ import annotations
-
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tiegrid.functions.algebra import clip, lit
-from tiegrid.plans.work import materialize, running_sums
+from tiegrid.plans.work import join_on_hot_keys, materialize, running_sums
 
 XY = ("source_x", "source_y", "target_x", "target_y")
 #: Label columns in the order in which they count: fixed names.
@@ -76,27 +77,29 @@ def nearest(matches: DataFrame, k: int, key: str = "pair_id", id_col: str = "mat
     )
     side = F.col("_span") / F.greatest(lit(1), F.floor(F.sqrt(F.col("_n") / k)))
     base = materialize(matches.select(key, id_col, *XY).join(ends, key).withColumn("_side", side * (1 + 1e-9)), "nearest")
+    own = [key, id_col, *XY, "_x", "_y", "_n", "_side", "_span"]
     columns = [key, id_col, *XY, *("o_" + c for c in (id_col, *XY)), "away", "rank"]
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    order = Window.partitionBy(key, id_col).orderBy("away", "o_" + id_col)
+    each = Window.partitionBy(key, id_col)
     away = F.sqrt(F.pow(F.col("source_x") - F.col("o_source_x"), 2) + F.pow(F.col("source_y") - F.col("o_source_y"), 2))
-    found, asking, scale = None, base, 1
+    found, asking, scale = None, base.select(own), 1
     while True:
         size = F.col("_side") * scale
         cell = {"cx": F.floor((F.col("source_x") - F.col("_x")) / size), "cy": F.floor((F.col("source_y") - F.col("_y")) / size)}
         keys = asking if scale == 1 else base.join(asking.select(key).distinct(), key, "left_semi")
         other = keys.withColumns(cell).select(F.col(key), "cx", "cy", *(F.col(c).alias("o_" + c) for c in (id_col, *XY)))
-        looks = asking.withColumns(cell).select(key, id_col, *XY, "_side", "_span", "_n", F.col("cx").alias("x"), F.col("cy").alias("y"), F.explode(steps).alias("d"))
+        looks = asking.withColumns(cell).select(*own, F.col("cx").alias("x"), F.col("cy").alias("y"), F.explode(steps).alias("d"))
         looks = looks.withColumns({"cx": F.col("x") + F.col("d.dx"), "cy": F.col("y") + F.col("d.dy")}).drop("d", "x", "y")
-        near = looks.join(other, [key, "cx", "cy"]).filter(F.col(id_col) != F.col("o_" + id_col)).withColumn("away", away)
-        near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        near = looks.join(other, [key, "cx", "cy"]).withColumns({"away": away, "_self": F.col(id_col) == F.col("o_" + id_col)})
+        # A match finds itself first, so one that finds no other still has a row.
+        near = near.withColumn("rank", F.row_number().over(each.orderBy(F.desc("_self"), "away", "o_" + id_col)) - 1).filter(F.col("rank") <= k)
+        near = near.withColumns({"_found": F.max("rank").over(each), "_far": F.max("away").over(each)})
         # Whoever has k within one cell's side, or has looked at the whole pair, is done.
-        far = near.groupBy(key, id_col).agg(F.count(F.lit(1)).alias("_found"), F.max("away").alias("_far"), F.first("_side").alias("_s"), F.first("_span").alias("_w"))
-        near = materialize(near.join(far, [key, id_col]), "nearest")
-        sure = ((F.col("_found") == k) & (F.col("_far") <= F.col("_s") * scale)) | (F.col("_s") * scale >= F.col("_w"))
-        done = near.filter(sure).select(columns)
+        sure = ((F.col("_found") == k) & (F.col("_far") <= F.col("_side") * scale)) | (F.col("_side") * scale >= F.col("_span"))
+        near = materialize(near.withColumn("_sure", sure), "nearest")
+        done = near.filter("_sure AND rank > 0").select(columns)
         found = done if found is None else found.union(done)
-        asking = materialize(asking.join(near.filter(sure).select(key, id_col).distinct(), [key, id_col], "left_anti").filter(F.col("_side") * scale < F.col("_span")), "nearest")
+        asking = near.filter("NOT _sure AND rank = 0").select(own)
         if asking.isEmpty():
             return found
         scale *= 2
@@ -146,14 +149,86 @@ def relief_strain(matches: DataFrame, fitted: DataFrame, k: int = 6, key: str =
     return found.select(key, "global_rmse", "local_rmse", ratio.alias("ratio"), ((ratio >= 1.35) & (F.col("global_rmse") >= 1.2)).alias("strained"))
 
 
-def descriptor_match(source: DataFrame, target: DataFrame, ratio: float = 0.8, key: str = "pair_id") -> DataFrame:
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), lit(0), lambda s, v: s + v))
+
+
+#: Targets drawn for each pivot that is chosen among them.
+SAMPLED = 16
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def apart(vectors: pd.Series, most: pd.Series) -> pd.Series:
+    """Of each list of vectors so many at most, each the furthest from those before it; no two are equal."""
+    out = []
+    for some, k in zip(vectors, most, strict=True):
+        v = np.stack([np.asarray(x, float) for x in some])
+        taken, left = [0], np.full(len(v), np.inf)
+        while True:
+            left = np.minimum(left, ((v - v[taken[-1]]) ** 2).sum(1))
+            at = int(left.argmax())
+            if len(taken) >= k or not left[at] > 0:
+                break
+            taken.append(at)
+        out.append([v[i].tolist() for i in taken])
+    return pd.Series(out)
+
+
+def descriptor_looks(source: DataFrame, target: DataFrame, key: str = "pair_id", pivots: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(looks, second looks, blocks): which source descriptors have to be compared with which blocks of target ones.
+
+    As many target descriptors of a pair as the root of their number, ``pivots``
+    at most, are pivots, each the furthest from those before it among SAMPLED
+    times as many targets, drawn by a hash of their ids; a target belongs to the
+    block of its nearest one. A source descriptor looks into the block of its
+    nearest pivot first. That bounds the distances of its two nearest, and no
+    block whose pivot is further away than this bound and the block's radius can
+    hold one of them, by the triangle inequality. ``looks`` are the first ones
+    (key, kp_id, block), ``second looks`` the others that are needed, with the
+    first ones, and their ``bound`` (NULL: none); ``blocks`` are targets (key,
+    block, target_id, b).
+    """
+    whole = lambda df: df.filter(F.col("bands").isNotNull() & ~F.exists("bands", F.isnull))
+    target, source = whole(target).select(key, F.col("kp_id").alias("target_id"), F.col("bands").alias("b")), whole(source).select(key, "kp_id", "bands")
+    sizes = target.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    drawn = Window.partitionBy(key).orderBy(F.xxhash64("target_id"), "target_id")
+    few = F.least(F.lit(pivots), F.ceil(F.sqrt("n"))).cast("int")
+    sample = target.withColumn("k", F.row_number().over(drawn)).filter(F.col("k") <= SAMPLED * pivots).join(sizes, key).filter(F.col("k") <= SAMPLED * few)
+    drawn_lists = sample.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "b"))), lambda p: p["b"]).alias("some"), F.first("n").alias("n"))
+    lists = materialize(drawn_lists.select(key, apart("some", few).alias("pivots"), "n"), "pivots")
+    away = lambda c: F.transform("pivots", lambda p: _distance(F.col(c), p))
+    placed = join_on_hot_keys(target, lists, key, "n").withColumn("far", away("b"))
+    blocks = placed.select(key, "target_id", "b", F.array_position("far", F.array_min("far")).cast("int").alias("block"), F.array_min("far").alias("d"))
+    blocks = materialize(blocks, "descriptor-blocks")
+    radii = blocks.groupBy(key, "block").agg(F.max("d").alias("radius")).groupBy(key).agg(F.collect_list(F.struct("block", "radius")).alias("radii"))
+    both = materialize(lists.join(radii, key), "descriptor-radii")
+    seen = join_on_hot_keys(source, both, key, "n").withColumn("far", away("bands"))
+    seen = seen.withColumn("least", F.array_min("far")).withColumn("next", F.array_min(F.filter("far", lambda d: d > F.col("least") + 1e-6)))
+    near = F.transform("radii", lambda r: F.struct(r["block"].alias("block"), (F.element_at("far", r["block"]) - r["radius"] - 1e-9 * (1 + F.element_at("far", r["block"]))).alias("low")))
+    seen = seen.select(key, "kp_id", "bands", "least", "next", F.array_position("far", F.col("least")).cast("int").alias("block"), near.alias("near"))
+    seen = materialize(seen, "descriptor-looks")
+    looks = seen.select(key, "kp_id", "bands", "block", "least")
+    d = _distance(F.col("bands"), F.col("b"))
+    inside = looks.join(blocks.select(key, "block", "b"), [key, "block"]).select(key, "kp_id", "least", d.alias("d")).groupBy(key, "kp_id").agg(
+        F.min(F.when(F.col("d") < F.col("least") - 1e-6, F.col("least"))).alias("closer"), F.min(F.when(F.col("d") > F.col("least") + 1e-6, F.col("d"))).alias("other")
+    )
+    told = seen.join(inside, [key, "kp_id"], "left").withColumn("bound", F.least("next", "closer", "other"))
+    needed = F.filter("near", lambda b: F.col("bound").isNull() | (b["low"] <= F.col("bound")))
+    second = told.select(key, "kp_id", "bands", "bound", F.explode(needed).alias("n")).select(key, "kp_id", "bands", "bound", "n.block")
+    return looks.select(key, "kp_id", "block"), second, blocks.select(key, "block", "target_id", "b")
+
+
+def descriptor_match(source: DataFrame, target: DataFrame, ratio: float = 0.8, key: str = "pair_id", pivots: int = 64) -> DataFrame:
     """(key, kp_id, target_id, distance, second, kept): the nearest target descriptor and the next one that isn't equally near (1e-6).
 
-    Kept if the distance is at most ``ratio`` of the second one; without a second one, only if it is 0 (1e-8).
+    Kept if the distance is at most ``ratio`` of the second one; without a second
+    one, only if it is 0 (1e-8). Equal to a comparison of all pairs, but only
+    blocks of targets that can hold one of the two are compared
+    (``descriptor_looks``), and of these distances only those within the bound
+    are shuffled. Descriptors with a missing number don't take part.
     """
-    pairs = source.select(key, "kp_id", "bands").join(target.select(key, F.col("kp_id").alias("target_id"), F.col("bands").alias("b")), key)
-    away = F.sqrt(F.aggregate(F.zip_with("bands", "b", lambda p, q: (p - q) * (p - q)), lit(0), lambda s, v: s + v))
-    d = pairs.select(key, "kp_id", "target_id", away.alias("d"))
+    _, looks, blocks = descriptor_looks(source, target, key, pivots)
+    d = looks.join(blocks, [key, "block"]).select(key, "kp_id", "target_id", "bound", _distance(F.col("bands"), F.col("b")).alias("d")).filter("bound IS NULL OR d <= bound")
     # One sort of each keypoint's distances gives the least, and the first that is further by more than the tolerance.
     by_distance = Window.partitionBy(key, "kp_id").orderBy("d", "target_id")
     least = d.withColumns({"_least": F.first("d").over(by_distance), "_target": F.first("target_id").over(by_distance)})

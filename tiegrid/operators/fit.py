@@ -104,11 +104,19 @@ def leave_one_out(matches: DataFrame, key: str = "pair_id", least: int = 4) -> D
     )
 
 
-def bootstrap_transform(matches: DataFrame, replicates: int, key: str = "pair_id", id_col: str = "match_id", least: int = 4, good: int = 10) -> DataFrame:
-    """(key, fits, sd_c, sd_f, cov_cf, status): spread of the affine map over resampled matches.
+def bootstrap_transform(
+    matches: DataFrame, replicates: int, key: str = "pair_id", id_col: str = "match_id", least: int = 4, good: int = 10, gsd: float | None = None
+) -> DataFrame:
+    """(key, fits, sd_c, sd_f, cov_cf, covariance, sigma_px, sigma_m, status): spread of the affine map over resampled matches.
 
     Replicate r draws slot s by a fixed hash. Every match of a group is drawn
-    by its place, so each replicate is one aggregation and no list is built.
+    by its place, so each replicate is one aggregation and no list of matches is
+    built. ``covariance`` is the 6 x 6 sample covariance of the map's numbers,
+    row by row. ``sigma_px`` is the mean over matches of the root of the summed
+    variances of both coordinates to which the replicates' maps take it, and
+    ``sigma_m`` that times ``gsd``; as the maps are affine a variance is a form
+    of the covariance, so no match meets any map. Groups of fewer than ``least``
+    matches are left out; of fewer than ``good`` fits there are no figures.
     """
     order = Window.partitionBy(key).orderBy(id_col)
     placed = matches.select(key, X, Y, U, V, (F.row_number().over(order) - 1).cast("bigint").alias("place"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
@@ -116,14 +124,20 @@ def bootstrap_transform(matches: DataFrame, replicates: int, key: str = "pair_id
     slots = placed.select(key, "n", F.col("place").alias("slot"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("r"))
     drawn = slots.select(key, "r", pick(F.col("n"), (104729, F.col("r")), (7919, F.col("slot")), (15485863, F.pmod((F.col("r") + 1) * (F.col("slot") + 3), F.lit(10007))), (31, F.col(key))).alias("place"))
     times = drawn.groupBy(key, "r", "place").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    fits = fit_affine(times.join(placed, [key, "place"]), [key, "r"], "w")
-    c, f = F.col("h")[2], F.col("h")[5]
-    found = fits.groupBy(key).agg(
-        F.count(F.lit(1)).alias("fits"), F.stddev_samp(c).alias("sd_c"), F.stddev_samp(f).alias("sd_f"), F.covar_samp(c, f).alias("cov_cf")
-    )
-    return found.select(
-        key, "fits", *(F.when(F.col("fits") >= good, F.col(k)).alias(k) for k in ("sd_c", "sd_f", "cov_cf")),
-        F.when(F.col("fits") >= good, "ok").otherwise("failed").alias("status"),
+    fits = fit_affine(times.join(placed, [key, "place"]), [key, "r"], "w").select(key, *(F.col("h")[k].alias(f"h{k}") for k in range(6)))
+    upper = [F.covar_samp(f"h{i}", f"h{j}").alias(f"c{i}{j}") for i in range(6) for j in range(i, 6)]
+    found = fits.groupBy(key).agg(F.count(F.lit(1)).alias("fits"), *upper)
+    v = lambda i, j: F.col(f"c{min(i, j)}{max(i, j)}")
+    # Variance over the replicates, not the sample, of a x + b y + c and of d x + e y + f.
+    x, y, n = F.col(X), F.col(Y), F.col("fits")
+    spread = lambda k: v(k, k) * x * x + v(k + 1, k + 1) * y * y + v(k + 2, k + 2) + 2 * (v(k, k + 1) * x * y + v(k, k + 2) * x + v(k + 1, k + 2) * y)
+    scatter = F.sqrt(F.greatest((spread(0) + spread(3)) * (n - 1) / n, lit(0)))
+    at = placed.select(key, X, Y).join(found.filter(F.col("fits") >= good), key).groupBy(key).agg(F.avg(scatter).alias("sigma_px"))
+    figures = {"sd_c": F.sqrt(v(2, 2)), "sd_f": F.sqrt(v(5, 5)), "cov_cf": v(2, 5), "covariance": F.array(*(v(i, j) for i in range(6) for j in range(6)))}
+    enough = F.col("fits") >= good
+    return found.join(at, key, "left").select(
+        key, "fits", *(F.when(enough, k).alias(name) for name, k in figures.items()), "sigma_px", (F.col("sigma_px") * (gsd if gsd and gsd > 0 else F.lit(None).cast("double"))).alias("sigma_m"),
+        F.when(enough, "ok").otherwise("failed").alias("status"),
     )
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegrid.functions.algebra import lit
 from tiegrid.operators import catalog, experiments, fit, points, quality, selection
+from tiegrid.operators.diversity import diverse_triplets
 from tiegrid.operators.solvers import adjust_network
-from tiegrid.plans.graph import connected_components
 from tiegrid.plans.work import materialize
 
 
@@ -148,50 +147,6 @@ def compare_methods(results: DataFrame, baseline: str | None = None, key: str =
     return table.join(tested.select("method", "b", "c", "p_value"), "method", "left")
 
 
-def diverse_triplets(triplets: DataFrame, products: DataFrame, overlap: float, min_sun_gap: float, most: int) -> DataFrame:
-    """Triplets kept greedily in order of fraction, region by region.
-
-    A triplet joins the first cluster whose union of boxes covers ``overlap`` of
-    its own; it is kept if the cluster holds fewer than ``most`` and its sun
-    elevation differs by ``min_sun_gap`` from that of some kept member. Only
-    triplets that are linked by overlapping boxes meet in one task.
-    """
-    box = products.select(F.col("product_id").alias("ohrc_id"), *catalog.BOUNDS, F.coalesce("sun_elevation", lit(45)).alias("sun"))
-    t = triplets.join(box, "ohrc_id").withColumn("tid", F.xxhash64("ohrc_id", "tmc_id", "iirs_id"))
-    t = materialize(t, "diverse")
-    touch = catalog.overlapping(t.select("tid", *catalog.BOUNDS), t.select("tid", *catalog.BOUNDS), "tid", "tid").filter("tid <> b_tid")
-    groups = connected_components(touch.select(F.col("tid").alias("u"), F.col("b_tid").alias("v")))
-    grouped = t.join(groups.select(F.col("node").alias("tid"), "component"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-
-    def covered(b, boxes) -> float:
-        """Share of a box under the union of boxes, by compressed coordinates."""
-        xs = sorted({b[0], b[1], *(min(max(v, b[0]), b[1]) for o in boxes for v in o[:2])})
-        ys = sorted({b[2], b[3], *(min(max(v, b[2]), b[3]) for o in boxes for v in o[2:])})
-        area = 0.0
-        for x0, x1 in zip(xs, xs[1:], strict=False):
-            for y0, y1 in zip(ys, ys[1:], strict=False):
-                x, y = (x0 + x1) / 2, (y0 + y1) / 2
-                if any(o[0] <= x <= o[1] and o[2] <= y <= o[3] for o in boxes):
-                    area += (x1 - x0) * (y1 - y0)
-        return area / max((b[1] - b[0]) * (b[3] - b[2]), 1e-12)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters, kept = [], []
-        for row in pdf.sort_values(["fraction", "ohrc_id", "tmc_id", "iirs_id"], ascending=[False, True, True, True]).itertuples():
-            b = (row.west_lon, row.east_lon, row.south_lat, row.north_lat)
-            home = next((c for c in clusters if covered(b, c["boxes"]) >= overlap), None)
-            if home is None:
-                clusters.append({"boxes": [b], "suns": [row.sun]})
-                kept.append((row.ohrc_id, row.tmc_id, row.iirs_id, len(clusters) - 1))
-            elif len(home["suns"]) < most and any(abs(row.sun - s) >= min_sun_gap for s in home["suns"]):
-                home["boxes"].append(b)
-                home["suns"].append(row.sun)
-                kept.append((row.ohrc_id, row.tmc_id, row.iirs_id, clusters.index(home)))
-        return pd.DataFrame(kept, columns=["ohrc_id", "tmc_id", "iirs_id", "cluster"])
-
-    return grouped.groupBy("component").applyInPandas(fold, "ohrc_id bigint, tmc_id bigint, iirs_id bigint, cluster int")
-
-
 def build_catalog_job(products: DataFrame, existing: DataFrame, requested: float = 0.75, overlap: float = 0.8, min_sun_gap: float = 5.0, most: int = 3) -> DataFrame:
     """(ohrc_id, tmc_id, iirs_id, action, outcome): products to triplets to distinct ones, upserted into a manifest (triplet_id, region_id)."""
     found = catalog.adaptive_containment(catalog.build_triplets(products, 0.5), requested)

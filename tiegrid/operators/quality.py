@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegrid.functions.algebra import cell, clip, det3, let, lit, singular2
+from tiegrid.plans.work import materialize
 
 #: Gate 3 limits: fixed values.
 MAX_CONDITION, MIN_DETERMINANT, MAX_SCALE_RATIO, MAX_PROJECTIVITY, MAX_RMSE_PX = 1e7, 1e-4, 20.0, 0.05, 5.0
@@ -178,22 +179,29 @@ def density_budget(matches: DataFrame, width: float, height: float, g: int, per_
     """Matches kept in rounds: the best of every cell, then the most confident ones whose angle differs, within a budget.
 
     In a later round a candidate counts confidence * (1 + 0.25 sin(2 d)), d the
-    smallest angle to what its cell has chosen. The budget (``total``, or none) cuts by round, then cell.
+    smallest angle to what its cell has chosen. Candidates that can't be chosen in
+    any round are left out in the pass that ranks them, so the rounds are windows
+    over few rows of a cell, dealt out once. The budget (``total``, or none) cuts by round, then cell.
     """
     from tiegrid.operators.points import score_covariance
 
     base = score_covariance(matches).withColumns({"gx": cell(F.col("source_x"), width / g, g), "gy": cell(F.col("source_y"), height / g, g)})
     where = [key, "gx", "gy"]
-    best = Window.partitionBy(*where).orderBy(F.desc("value"), id_col)
-    kept = base.withColumn("value", F.col("rank_score")).withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k", "value").withColumn("round", F.lit(0))
+    by_score = Window.partitionBy(*where).orderBy(F.desc("rank_score"), id_col)
+    whole = by_score.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The last choice has a value of at least the per_cell-th best score, and a value is at most 1.25 times its score.
+    last = F.nth_value("rank_score", per_cell).over(whole)
+    reach = F.when(last >= 0, last / 1.2500001).otherwise(last * 1.2500001)
+    rest = base.withColumn("round", F.when(F.row_number().over(by_score) == 1, 0)).withColumn("_reach", reach)
+    rest = materialize(rest.filter(F.coalesce(F.col("rank_score") >= F.col("_reach"), F.lit(True)) | F.col("round").isNotNull()).drop("_reach"), "budget")
+    cells, best = Window.partitionBy(*where), Window.partitionBy(*where).orderBy(F.col("round").isNotNull(), F.desc("value"), id_col)
     for turn in range(1, per_cell):
-        had = kept.groupBy(*where).agg(F.collect_list("angle").alias("had"), F.collect_list(id_col).alias("ids"))
-        rest = base.join(had, where).filter(~F.array_contains("ids", F.col(id_col)))
+        had = F.collect_list(F.when(F.col("round").isNotNull(), F.col("angle"))).over(cells)  # at most one for each round
         gap = lambda a: F.least(F.pmod(F.abs(F.col("angle") - a), lit(180)), 180 - F.pmod(F.abs(F.col("angle") - a), lit(180)))
-        nearest = F.array_min(F.transform("had", gap))
-        value = F.col("rank_score") * (1 + 0.25 * F.sin(2 * F.radians(nearest)))
-        chosen = rest.withColumn("value", value).withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k", "value", "had", "ids")
-        kept = kept.union(chosen.withColumn("round", F.lit(turn)).select(kept.columns))
+        value = F.col("rank_score") * (1 + 0.25 * F.sin(2 * F.radians(F.array_min(F.transform(had, gap)))))
+        placed = rest.withColumn("value", value).withColumn("k", F.row_number().over(best))
+        rest = placed.withColumn("round", F.when(F.col("round").isNull() & (F.col("k") == 1), turn).otherwise(F.col("round"))).drop("value", "k")
+    kept = rest.filter("round IS NOT NULL")
     budget = Window.partitionBy(key).orderBy("round", "gx", "gy")
     kept = kept.withColumn("slot", F.row_number().over(budget))
     return kept if total is None else kept.filter(F.col("slot") <= total)

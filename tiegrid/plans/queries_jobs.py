@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiegrid.operators import catalog, consensus, fit, jobs, patches, points, quality, solvers
+from tiegrid.operators import catalog, consensus, diversity, fit, jobs, patches, points, quality, solvers
 from tiegrid.plans.queries_catalog import RING, products
 from tiegrid.plans.queries_points import LEGS, inliers, legs, matches, rounded, transforms
 from tiegrid.plans.queries_raster import BOTH, DEM, POINTS, dem, pixels, pixels_b, stencil
@@ -192,6 +192,13 @@ def checkpoint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("pair_id", "validation", "checkpoints", "held_out", "held_out_median", "ssim", "nmi"))
 
 
+@query(None)
+def refine_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homographies of all pairs by damped steps on whitened residuals."""
+    found = solvers.refine_homography(inliers(spark, sf_dir), rounds=8)
+    return rounded(found.select("pair_id", "n", "objective", "initial_objective", "status", *(F.col("h")[k].alias(f"h{k}") for k in range(9))))
+
+
 @query(None)
 def consensus_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homographies of all pairs by draws that favour confident matches."""
@@ -248,7 +255,7 @@ def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def diverse_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = products(spark, sf_dir)
-    return jobs.diverse_triplets(catalog.build_triplets(p, 0.5), p, 0.8, 5.0, 3)
+    return diversity.diverse_triplets(catalog.build_triplets(p, 0.5), p, 0.8, 5.0, 3)
 
 
 @query(None)

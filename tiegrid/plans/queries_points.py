@@ -216,10 +216,13 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH m AS (SELECT pair_id, source_x, source_y, target_x, target_y, row_number() OVER (PARTITION BY pair_id ORDER BY match_id) - 1 AS place, count(*) OVER (PARTITION BY pair_id) AS n FROM {{v_matches}} WHERE label),
     dr AS (SELECT pair_id, r, (104729*r + 7919*place + 15485863*(((r + 1)*(place + 3)) % 10007) + 31*pair_id) % n AS place FROM m, range(20) AS g(r)),
     p AS (SELECT dr.pair_id, r, count(*) AS cnt, CAST(count(*) AS DOUBLE) AS w, {MOMENTS} FROM dr JOIN m ON m.pair_id = dr.pair_id AND m.place = dr.place GROUP BY dr.pair_id, r HAVING count(DISTINCT dr.place) >= 3),
-    q AS (SELECT *, {SOLVE} FROM p), r0 AS (SELECT *, {SIX} FROM q WHERE xx*yy - xy*xy > 1e-12), h AS (SELECT pair_id, su/w - a*sx/w - b*sy/w AS c, sv/w - d*sx/w - e*sy/w AS f FROM r0)
-    SELECT pair_id, count(*) AS fits, round(stddev_samp(c), 4) AS sd_c, round(stddev_samp(f), 4) AS sd_f, round(covar_samp(c, f), 4) AS cov_cf, 'ok' AS status FROM h GROUP BY pair_id""")
+    q AS (SELECT *, {SOLVE} FROM p), r0 AS (SELECT *, {SIX} FROM q WHERE xx*yy - xy*xy > 1e-12), h AS (SELECT pair_id, a, b, d, e, su/w - a*sx/w - b*sy/w AS c, sv/w - d*sx/w - e*sy/w AS f FROM r0),
+    sc AS (SELECT m.pair_id, m.place, sqrt(var_pop(a * source_x + b * source_y + c) + var_pop(d * source_x + e * source_y + f)) AS s FROM m JOIN h ON h.pair_id = m.pair_id GROUP BY m.pair_id, m.place), sg AS (SELECT pair_id, avg(s) AS sigma FROM sc GROUP BY pair_id)
+    SELECT h.pair_id, count(*) AS fits, round(stddev_samp(c), 4) AS sd_c, round(stddev_samp(f), 4) AS sd_f, round(covar_samp(c, f), 4) + 0e0 AS cov_cf, round(any_value(sigma), 4) AS sigma_px, round(any_value(sigma) * 5, 4) AS sigma_m,
+        round(covar_samp(a, e) * 1e6, 4) + 0e0 AS cov_ae, 'ok' AS status FROM h JOIN sg ON sg.pair_id = h.pair_id GROUP BY h.pair_id""")
 def bootstrap_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fit.bootstrap_transform(inliers(spark, sf_dir), 20))
+    found = fit.bootstrap_transform(inliers(spark, sf_dir), 20, gsd=5.0)
+    return rounded(found.withColumn("cov_ae", F.col("covariance")[4] * 1e6).drop("covariance"))
 
 
 CONSENSUS = f"""

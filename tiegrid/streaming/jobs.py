@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiegrid.operators.catalog import BOUNDS
+from tiegrid.plans.work import materialize
+
 #: Stage markers in log lines, their names and percentages: fixed values.
 STAGES = (
     ("Stage 1/7", "discover", 8.0), ("Stage 2/7", "parse", 20.0), ("Stage 3/7", "match", 33.0), ("Stage 4/7", "crop", 55.0), ("Stage 5/7", "register", 72.0),
@@ -172,17 +175,54 @@ def failure_lockout_stream(events: DataFrame, most: int = 5, window_s: int = 900
     )
 
 
+#: Sizes of tiles that a catalog is stored by: CELL_DEG degrees and each twice the one before. The largest holds any footprint.
+LEVELS = 8
+#: Partitions of the index of known products.
+BUCKETS = 256
+
+
+def _size(level: Column) -> Column:
+    from tiegrid.operators.catalog import CELL_DEG
+
+    return CELL_DEG * F.pow(F.lit(2.0), level)
+
+
+def home_tile(west: Column, east: Column, south: Column, north: Column) -> Column:
+    """The tile a footprint is stored in: that of its south-western corner, among tiles no smaller than itself; "none" without bounds."""
+    levels = F.array(*(F.lit(k) for k in range(LEVELS)))
+    fits = F.filter(levels, lambda k: F.greatest(east - west, north - south) <= _size(k))
+    level = F.coalesce(F.get(fits, F.lit(0)), F.lit(LEVELS - 1))
+    name = F.concat_ws("_", level, F.floor(west / _size(level)), F.floor(south / _size(level)))
+    return F.when(west.isNotNull() & east.isNotNull() & south.isNotNull() & north.isNotNull(), name).otherwise("none")
+
+
+def tiles_near(boxes: DataFrame) -> list[str]:
+    """The tiles whose footprints can touch one of the boxes; as many at most as there are tiles in all."""
+    west, east, south, north = (F.col(c) for c in BOUNDS)
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    spread = boxes.dropna(subset=list(BOUNDS)).select(*BOUNDS, level.alias("level"))
+    span = lambda low, high: F.sequence(F.floor(low / _size(F.col("level"))) - 1, F.floor(high / _size(F.col("level"))))
+    at = spread.select("level", F.explode(span(west, east)).alias("x"), "south_lat", "north_lat").select("level", "x", F.explode(span(south, north)).alias("y"))
+    return [r[0] for r in at.select(F.concat_ws("_", "level", "x", "y")).distinct().collect()]
+
+
 def incremental_ingest(labels: DataFrame, catalog_dir: str, manifest_dir: str, checkpoint: str, containment: float = 0.5):
     """A streaming query that takes parsed label rows in, batch by batch.
 
     Each batch's products are added to the catalog once (repeats of a product
-    within a batch or from an earlier one are left out), triplets that hold a
-    new product are built against the whole catalog, and those not yet in the
-    manifest are appended with the batch as their run. Both tables are
-    partitioned by run and a run's partition is overwritten, so a batch that is
-    tried again after a failure leaves no repeats; an empty batch writes nothing.
+    within a batch, of which the first in the order of all columns counts, or
+    from an earlier one are left out), triplets that hold a new product are
+    built, and those not yet in the manifest are appended with the batch as
+    their run. The catalog and the manifest are partitioned by tile and run: a
+    batch reads only tiles whose products can touch its own, or touch the
+    anchors that these touch, so what it reads doesn't grow with the catalog
+    elsewhere. Which products are known is looked up in an index beside the
+    catalog (``catalog_dir`` with "_ids" behind it) by the buckets of the batch's
+    ids. A run's partitions are overwritten, so a batch that is tried again after
+    a failure leaves no repeats; an empty batch writes nothing.
     """
     from tiegrid.operators.catalog import build_triplets
+    from tiegrid.operators.selection import keep_first
 
     def table(spark, path: str, like: DataFrame) -> DataFrame:
         try:
@@ -192,38 +232,44 @@ def incremental_ingest(labels: DataFrame, catalog_dir: str, manifest_dir: str, c
                 raise
             return spark.createDataFrame([], like.schema)
 
-    def put(df: DataFrame, path: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+    def put(df: DataFrame, path: str, by: str) -> None:
+        df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "run").parquet(path)
 
     def take(batch: DataFrame, run: int) -> None:
         if batch.isEmpty():
             return
-        spark = batch.sparkSession
-        tagged = batch.dropDuplicates(["product_id", "sensor"]).withColumn("run", F.lit(run).cast("bigint"))
-        known = table(spark, catalog_dir, tagged).filter(F.col("run") != run)
-        fresh = tagged.join(known.select("product_id", "sensor"), ["product_id", "sensor"], "left_anti").select(tagged.columns)
-        put(fresh, catalog_dir)
-        every = table(spark, catalog_dir, tagged)
-        added = every.filter(F.col("run") == run).drop("run")
-        ids = added.select("product_id")
-        found = build_triplets(_around(every.drop("run"), added), containment)
-        new = _touching(found, ids).withColumn("run", F.lit(run).cast("bigint"))
-        old = table(spark, manifest_dir, new).filter(F.col("run") != run)
-        put(new.join(old.select("ohrc_id", "tmc_id", "iirs_id"), ["ohrc_id", "tmc_id", "iirs_id"], "left_anti").select(new.columns), manifest_dir)
+        spark, ids = batch.sparkSession, ["product_id", "sensor"]
+        mark = {"run": F.lit(run).cast("bigint"), "tile": home_tile(*(F.col(c) for c in BOUNDS)), "bucket": F.pmod(F.xxhash64("product_id"), F.lit(BUCKETS)).cast("int")}
+        tagged = materialize(keep_first(batch, ids, batch.columns).withColumns(mark), "ingest")
+        buckets = [r[0] for r in tagged.select("bucket").distinct().collect()]
+        index = tagged.select(*ids, "bucket", "run")
+        known = table(spark, catalog_dir + "_ids", index).filter(F.col("bucket").isin(buckets) & (F.col("run") != run))
+        fresh = materialize(tagged.join(known.select(ids), ids, "left_anti").select(*batch.columns, "tile", "run", "bucket"), "ingest")
+        stored = fresh.drop("bucket")
+        put(stored, catalog_dir, "tile")
+        put(fresh.select(index.columns), catalog_dir + "_ids", "bucket")
+        near = table(spark, catalog_dir, stored).filter(F.col("tile").isin(tiles_near(fresh)))
+        anchors = near.filter("sensor = 'OHRC'")
+        anchors = materialize(anchors.join(_touched(anchors, fresh), "product_id", "left_semi"), "ingest-anchors")
+        others = table(spark, catalog_dir, stored).filter(F.col("tile").isin(tiles_near(anchors)) & (F.col("sensor") != "OHRC"))
+        others = others.join(_touched(others, anchors), "product_id", "left_semi")
+        found = build_triplets(anchors.unionByName(others).drop("tile", "run"), containment)
+        homes = anchors.select(F.col("product_id").alias("ohrc_id"), "tile")
+        new = materialize(_touching(found, fresh.select("product_id")).join(homes, "ohrc_id").withColumn("run", F.lit(run).cast("bigint")), "ingest-triplets")
+        triple = ["ohrc_id", "tmc_id", "iirs_id"]
+        tiles = [r[0] for r in new.select("tile").distinct().collect()]
+        old = table(spark, manifest_dir, new).filter(F.col("tile").isin(tiles) & (F.col("run") != run))
+        put(new.join(old.select(triple), triple, "left_anti").select(new.columns), manifest_dir, "tile")
 
     return labels.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _around(every: DataFrame, added: DataFrame) -> DataFrame:
-    """The products that can be in a triplet with an added one: anchors that it is or touches, and all that touch such an anchor."""
-    from tiegrid.operators.catalog import BOUNDS, overlapping
+def _touched(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(product_id) of the products of ``a`` whose boxes touch one of ``b``."""
+    from tiegrid.operators.catalog import overlapping
 
     box = ["product_id", *BOUNDS]
-    touch = lambda a, b: overlapping(a.select(box), b.select(box), "product_id", "product_id").select("product_id").distinct()
-    anchors = every.filter("sensor = 'OHRC'")
-    anchors = anchors.join(touch(anchors, added), "product_id", "left_semi")
-    others = every.filter("sensor <> 'OHRC'")
-    return anchors.unionByName(others.join(touch(others, anchors), "product_id", "left_semi"))
+    return overlapping(a.select(box), b.select(box), "product_id", "product_id").select("product_id").distinct()
 
 
 def _touching(triplets: DataFrame, ids: DataFrame) -> DataFrame:
