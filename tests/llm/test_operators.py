@@ -668,3 +668,25 @@ def test_deduplicate_follows_the_similarity(make):
     kept = {r["doc_id"] for r in simhash.deduplicate(make([(i, " ".join(w)) for i, w in docs.items()])).collect()}
     found = set(docs) - kept
     assert found <= gone and len(found) >= 0.95 * len(gone) and len(gone) > 80
+
+
+def test_deduplicate_with_clashing_names(spark):
+    """Columns that are named like those of the operator's own tables, and a dotted one."""
+    text = sentence(3, 80)
+    rows = [(1, text, 7, 8, 9, 10, "a", "b"), (2, text, 7, 8, 9, 10, "a", "b"), (3, sentence(4, 80), None, 1, 2, 3, None, "c"), (3, sentence(4, 80), None, 1, 2, 3, None, "c"), (None, text, 1, 1, 1, 1, "d", "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id bigint, _n bigint, id bigint, n bigint, row string, hash string").withColumnRenamed("hash", "a.b")
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[4]]))
+
+
+def test_keys_of_many_are_joined_where_they_are(make, monkeypatch):
+    """With every key of over three fingerprints hot and small blocks, the same components as by brute force."""
+    from tiegrid.plans import work
+
+    monkeypatch.setattr(work, "HOT_ROWS", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    texts = [(k, sentence(k % 60, 40 + k % 9)) for k in range(400)]
+    found = rows(simhash.near_duplicates(make(texts)))
+    prints = {i: plain_fingerprint(t) for i, t in texts}
+    assert {i: c for i, _, c in found} == components(prints)

@@ -251,11 +251,11 @@ def in_blocks(prints: DataFrame, fps: list[str], extra: list[str], max_bits: int
     flat = by_fp.select("node", *extra, F.col("p.fp").alias("fp"), F.shiftleft(F.col("p.k"), 40).alias("family"))
     keyed = flat.select("fp", "node", *extra, "family", F.explode(F.array(*chain_keys(F.col("fp"), max_bits))).alias("key"))
     keyed = keyed.select("fp", "node", *extra, F.col("key").bitwiseOR(F.col("family")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     return (
-        keyed.join(shared, "key")
+        join_on_hot_keys(keyed, shared, "key", "n")  # a key of very many is dealt out in blocks from where its rows are
         .withColumn("blocks", blocks)
         .select("key", F.struct("fp", "node", *extra).alias("item"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
@@ -399,10 +399,11 @@ def deduplicate(
     close = alike(with_id, materialize(open_, "simhash-open"), id_col, text_col, shingle, similarity)
     found = materialize(known.union(close), "simhash-links")
     each = classes(base.select(id_col, "node"), prints.select("node", "rep", "copies"), found, id_col)
-    keep = each.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = with_id.join(keep, F.col(id_col) == F.col("_id"))
+    keep = each.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)))
-    once = kept.filter("_n = 1").select(columns)
-    repeated = kept.filter("_n > 1").groupBy("_id").agg(F.min_by(F.struct(*columns), hashed).alias("_row")).select("_row.*")
+    # A row travels as one column, so its columns can have any names.
+    kept = with_id.select(F.col(f"`{id_col}`").alias("id"), F.struct(*columns).alias("row"), hashed.alias("hash")).join(keep, "id")
+    once = kept.filter("n = 1").select("row.*")
+    repeated = kept.filter("n > 1").groupBy("id").agg(F.min_by("row", "hash").alias("row")).select("row.*")
     return once.union(repeated).union(docs.filter(F.col(id_col).isNull()))
