@@ -293,3 +293,15 @@ def test_warc_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     warc.write_pages(spark.createDataFrame([], PAGES), folder)
     assert warc.page_records(warc.read_records(spark, folder)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_periodic_runs", "op13_warc"])
+def test_queries_equal_duckdb(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert len(want) > 20 and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
