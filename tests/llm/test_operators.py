@@ -690,3 +690,40 @@ def test_keys_of_many_are_joined_where_they_are(make, monkeypatch):
     found = rows(simhash.near_duplicates(make(texts)))
     prints = {i: plain_fingerprint(t) for i, t in texts}
     assert {i: c for i, _, c in found} == components(prints)
+
+
+def test_rejected_links_hide_no_others(make, monkeypatch):
+    """Texts around the similarity asked for: what all open links together connect stays connected, whichever of them the sets reject."""
+    rng = random.Random(8)
+    docs = {}
+    for g in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for k in range(12):
+            words = list(base)
+            # Neighbours change places: the same set of words, so all of a group are candidates of each other.
+            for at in rng.sample(range(299), rng.choice((3, 3, 4))):
+                words[at], words[at + 1] = words[at + 1], words[at]
+            docs[12 * g + k] = words
+    texts = {i: " ".join(w) for i, w in docs.items()}
+    prints = simhash.set_simhashes([t.encode() for t in texts.values()], 5, simhash.WordHashes()).view(np.uint64)
+    grams = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in docs.values()]
+    low, high = simhash.confirm_budget(0.8)
+    root = list(range(len(docs)))
+    rejected = 0
+    for j in range(len(docs)):
+        for i in range(j):
+            bits = np.bitwise_count(prints[i] ^ prints[j])
+            away = bits[simhash.CANDIDATES :].sum()
+            if bits[: simhash.CANDIDATES].min() <= 3 and away <= high:
+                if away <= low or len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if x == b else x for x in root]
+                else:
+                    rejected += 1
+    assert rejected > 200
+    found = []
+    for most in ((), (1, 2 * simhash.BLOCK)):
+        monkeypatch.setattr(simhash, "NEAREST", most)
+        found.append({r["doc_id"] for r in simhash.deduplicate(make(list(texts.items()))).collect()})
+    # The first round alone leaves more apart, so the later ones are at work.
+    assert found[1] == set(root) < found[0]

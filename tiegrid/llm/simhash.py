@@ -21,7 +21,9 @@ set, as a few changed words can move more than ``max_bits`` bits of one of them,
 and judges each by SimHashes of the set of its shingles: links that these show to
 be clearly similar stand, clearly unlike ones go, and those between are decided
 by the sets themselves. Only fingerprints that have a candidate at all meet
-again with the confirming bits.
+again with the confirming bits. Of the links left open a task first hands on the
+closest ones that would join its groups; where the sets reject some of these,
+rounds over what is still apart hand on more of them, in the end all.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ BLOCK = 512
 AT_ONCE = 128
 #: SimHashes of 64 bits each that confirm a link, and under which ``deduplicate`` looks for candidates.
 CONFIRM, CANDIDATES = 6, 5
+#: Open links of each fingerprint that the rounds after the first hand on; the last number holds all of two blocks.
+NEAREST = (8, 64, 2 * BLOCK)
 
 
 #: Of each byte its eight bits, one to a byte of a long.
@@ -245,6 +249,16 @@ def bridges(label: np.ndarray, i: np.ndarray, j: np.ndarray, away: np.ndarray) -
     return taken
 
 
+def nearest(i: np.ndarray, j: np.ndarray, away: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs are among the ``most`` closest ones of either end."""
+    ends = np.concatenate((i, j))
+    order = np.lexsort((np.concatenate((away, away)), ends))
+    _, first, counts = np.unique(ends[order], return_index=True, return_counts=True)
+    rank = np.empty(len(ends), np.int64)
+    rank[order] = np.arange(len(ends)) - np.repeat(first, counts)
+    return (rank < most).reshape(2, -1).any(0)
+
+
 def in_blocks(prints: DataFrame, fps: list[str], extra: list[str], max_bits: int) -> DataFrame:
     """(key, items): the (fp, node, *extra) that share a chain key under one of ``fps``, dealt out in pairs of blocks."""
     by_fp = prints.select("node", *extra, F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.col(c).alias("fp")) for k, c in enumerate(fps)))).alias("p"))
@@ -276,13 +290,16 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
             yield key, columns[0][a:b][first].astype(np.int64).view(np.uint64), nodes, [c[a:b][first] for c in columns[2:]]
 
 
-def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, confirm: tuple[int, int] | None = None) -> DataFrame:
-    """(u, v, sure): links between the values of ``prints.node`` that connect all that is linked.
+def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, confirm: tuple[int, int] | None = None, most: int = 0) -> DataFrame:
+    """(u, v, kind): links between the values of ``prints.node`` that connect all that is linked.
 
     Fingerprints are the columns ``fps`` ("fp" alone by default); a link under
-    any of them counts. With ``confirm``, a link is sure if the confirming
-    SimHashes of both differ in the first number of bits at most, and not sure
+    any of them counts. With ``confirm``, a link is "sure" if the confirming
+    SimHashes of both differ in the first number of bits at most, and "open"
     up to the second; only nodes with some candidate are looked at for this.
+    Of the open links those come that join the groups of sure ones, and the
+    ``most`` closest of each node; u = v is a node with further ones ("left").
+    With a column ``group`` its values are the groups, and sure links don't come.
     """
     fps = fps or ["fp"]
 
@@ -302,26 +319,37 @@ def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, co
                 open_ = None
                 if more:
                     # As unsigned numbers: of a negative one, bits of its absolute value would be counted.
-                    c = np.stack(more, 1).astype(np.int64).view(np.uint64)
+                    c = np.stack(more[:CONFIRM], 1).astype(np.int64).view(np.uint64)
                     away = np.bitwise_count(c[i] ^ c[j]).sum(1)
                     between = (away > confirm[0]) & (away <= confirm[1])
                     open_ = i[between], j[between], away[between]
                     i, j = i[away <= confirm[0]], j[away <= confirm[0]]
-                label = forest(len(nodes), i, j)
-                edges |= {(int(nodes[k]), int(nodes[label[k]]), True) for k in np.nonzero(label != np.arange(len(nodes)))[0]}
-                if open_ is not None and len(open_[0]):
-                    edges |= {(int(nodes[b]), int(nodes[a]), False) for a, b in bridges(label, *open_)}
-            u, v, sure = zip(*edges, strict=True) if edges else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
+                if grouped:
+                    label = np.unique(more[-1], return_inverse=True)[1]
+                else:
+                    label = forest(len(nodes), i, j)
+                    edges |= {(int(nodes[k]), int(nodes[label[k]]), "sure") for k in np.nonzero(label != np.arange(len(nodes)))[0]}
+                if open_ is not None:
+                    apart = label[open_[0]] != label[open_[1]]
+                    i, j, away = (x[apart] for x in open_)
+                    if len(i):
+                        taken = nearest(i, j, away, most)
+                        edges |= {(int(nodes[b]), int(nodes[a]), "open") for a, b in zip(i[taken], j[taken], strict=True)}
+                        edges |= {(int(nodes[b]), int(nodes[a]), "open") for a, b in bridges(label, i, j, away)}
+                        left = nodes[np.union1d(i[~taken], j[~taken])].tolist()
+                        edges |= {(k, k, "left") for k in left}
+            u, v, kind = zip(*edges, strict=True) if edges else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(kind, pa.string())], names=["u", "v", "kind"])
 
     extra: list[str] = []
+    grouped = "group" in prints.columns
     if confirm is not None:
-        extra = [c for c in prints.columns if c in CS]
+        extra = [*CS, *(["group"] if grouped else [])]
         with arrow_rows(prints.sparkSession, AT_ONCE):
             with_some = materialize(in_blocks(prints, fps, [], max_bits).mapInArrow(near, "node bigint").distinct(), "simhash-candidates")
         prints = prints.join(with_some, "node", "left_semi")
     with arrow_rows(prints.sparkSession, AT_ONCE):
-        return materialize(in_blocks(prints, fps, extra, max_bits).mapInArrow(joined, "u bigint, v bigint, sure boolean").distinct(), "simhash-links")
+        return materialize(in_blocks(prints, fps, extra, max_bits).mapInArrow(joined, "u bigint, v bigint, kind string").distinct(), "simhash-links")
 
 
 def confirm_budget(similarity: float) -> tuple[int, int]:
@@ -375,6 +403,35 @@ def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def judged_links(docs: DataFrame, prints: DataFrame, max_bits: int, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links between nodes of ``prints`` that their confirming bits or, where these leave it open, their shingle sets bear out.
+
+    They connect all that such links connect. A round judges open links that
+    would join its groups; if the sets bear all of them out, nothing is apart
+    that could be joined. Otherwise the nodes with further open links meet
+    again under the groups of what is linked by now, and more links of each
+    are judged, at last all that there are. No link is judged twice.
+    """
+    confirm = confirm_budget(similarity)
+    rep = prints.select("node", "rep")
+    found = links(prints, max_bits, FPS, confirm)
+    known = found.filter("kind = 'sure'").select("u", "v")
+    judged = known
+    for most in (*NEAREST, None):
+        open_ = found.filter("kind = 'open'").select("u", "v")
+        fresh = open_.join(judged, ["u", "v"], "left_anti").join(rep.toDF("u", "a"), "u").join(rep.toDF("v", "b"), "v")
+        fresh = materialize(fresh.select("u", "v", "a", "b"), "simhash-open")
+        judged = judged.union(fresh.select("u", "v"))
+        known = materialize(known.union(alike(docs, fresh, id_col, text_col, shingle, similarity)), "simhash-links")
+        left = found.filter("kind = 'left'").select(F.col("u").alias("node"))
+        if most is None or left.isEmpty() or open_.join(known, ["u", "v"], "left_anti").isEmpty():
+            break
+        groups = connected_components(known)
+        again = prints.join(left, "node", "left_semi").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        found = links(again.drop("component"), max_bits, FPS, confirm, most)
+    return known
+
+
 def deduplicate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
@@ -391,13 +448,7 @@ def deduplicate(
     base = set_fingerprints(with_id, id_col, text_col, shingle).withColumn("node", F.xxhash64(*FPS, *CS))
     base = materialize(base, "simhash")
     prints = base.groupBy("node", *FPS, *CS).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    found = links(prints, max_bits, FPS, confirm_budget(similarity))
-    known = found.filter("sure").select("u", "v")
-    rep = prints.select("node", "rep")
-    open_ = found.filter("NOT sure").select("u", "v").join(known, ["u", "v"], "left_anti")
-    open_ = open_.join(rep.toDF("u", "a"), "u").join(rep.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    close = alike(with_id, materialize(open_, "simhash-open"), id_col, text_col, shingle, similarity)
-    found = materialize(known.union(close), "simhash-links")
+    found = judged_links(with_id, prints, max_bits, id_col, text_col, shingle, similarity)
     each = classes(base.select(id_col, "node"), prints.select("node", "rep", "copies"), found, id_col)
     keep = each.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
