@@ -251,6 +251,8 @@ def bridges(label: np.ndarray, i: np.ndarray, j: np.ndarray, away: np.ndarray) -
 
 def nearest(i: np.ndarray, j: np.ndarray, away: np.ndarray, most: int) -> np.ndarray:
     """Which of the pairs are among the ``most`` closest ones of either end."""
+    if not most:
+        return np.zeros(len(i), bool)
     ends = np.concatenate((i, j))
     order = np.lexsort((np.concatenate((away, away)), ends))
     _, first, counts = np.unique(ends[order], return_index=True, return_counts=True)
@@ -336,8 +338,9 @@ def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, co
                         taken = nearest(i, j, away, most)
                         edges |= {(int(nodes[b]), int(nodes[a]), "open") for a, b in zip(i[taken], j[taken], strict=True)}
                         edges |= {(int(nodes[b]), int(nodes[a]), "open") for a, b in bridges(label, i, j, away)}
-                        left = nodes[np.union1d(i[~taken], j[~taken])].tolist()
-                        edges |= {(k, k, "left") for k in left}
+                        left = np.zeros(len(nodes), bool)
+                        left[i[~taken]] = left[j[~taken]] = True
+                        edges |= {(k, k, "left") for k in nodes[left].tolist()}
             u, v, kind = zip(*edges, strict=True) if edges else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(kind, pa.string())], names=["u", "v", "kind"])
 
@@ -345,6 +348,7 @@ def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, co
     grouped = "group" in prints.columns
     if confirm is not None:
         extra = [*CS, *(["group"] if grouped else [])]
+    if confirm is not None and not grouped:  # later rounds hold only nodes with candidates
         with arrow_rows(prints.sparkSession, AT_ONCE):
             with_some = materialize(in_blocks(prints, fps, [], max_bits).mapInArrow(near, "node bigint").distinct(), "simhash-candidates")
         prints = prints.join(with_some, "node", "left_semi")
