@@ -142,7 +142,7 @@ def photometric_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.photometric_correct(pixels(spark, sf_dir), geometry(spark, sf_dir), "lunar_lambert"), 5)
 
 
-@query(f"""WITH {COSINES}, f AS (SELECT image_id, 0.21 / 4 / pi() * i / (i + e) * ((1 + 0.9 / (1 + tan(radians(phase) / 2) / 0.07)) * (0.3 * (1 - 0.0441) / pow(1 + 0.42 * c + 0.0441, 1.5) + 0.7 * (1 - 0.0441) / pow(1 - 0.42 * c + 0.0441, 1.5)) + 1) AS f FROM g)
+@query(f"""WITH {COSINES}, f AS (SELECT image_id, greatest(0.21 / 4 / pi() * i / (i + e) * ((1 + 0.9 / (1 + tan(radians(phase) / 2) / 0.07)) * (0.3 * (1 - 0.0441) / pow(1 + 0.42 * c + 0.0441, 1.5) + 0.7 * (1 - 0.0441) / pow(1 - 0.42 * c + 0.0441, 1.5)) + 1), 1e-6) AS f FROM g)
     SELECT p.image_id, x, y, round(v / f, 3) AS v FROM {{v_pixels}} AS p JOIN f ON p.image_id = f.image_id""")
 def photometric_hapke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.photometric_correct(pixels(spark, sf_dir), geometry(spark, sf_dir), "hapke"), 3)
