@@ -27,3 +27,27 @@ def test_hapke_of_a_sun_below_the_horizon(spark, tmp_path):
     write_images(spark, tmp_path, [0, 3, 11, 12])  # incidences 20, 41, 97, 104
     got, want = both(spark, tmp_path, "photometric_hapke")
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-3, rel=1e-9)
+
+
+def test_elevations_of_parallel_lines_of_sight(spark, tmp_path):
+    write_images(spark, tmp_path, [0, 3, 500])  # 520 and -20 degrees have one tangent
+    got, want = both(spark, tmp_path, "disparity_to_dem")
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], nan_ok=True)
+    assert any(r[0] == 500 and r[3] == float("inf") for r in got)
+
+
+def plan(df, mode="extended"):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def test_paired_tiles_join_nothing(spark):
+    df = __spark_entry__.queries()["paired_tiles"](spark, "/root/testdata/sf0.001")
+    scans = plan(df, "simple")
+    assert scans.count("customer.parquet") == 1
+
+
+def test_exploded_patches_are_not_broadcast(spark):
+    df = __spark_entry__.queries()["orientation_agreement"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = plan(df, "simple").split("Initial Plan")[0]
+    assert final.count("SortMergeJoin [image_id") >= 3  # two of patches and pixels, one of both patches' gradients

@@ -426,7 +426,11 @@ def spectral_residuals(cube: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def disparity_to_dem(disparity: DataFrame, views: DataFrame, datum: float = 0.0) -> DataFrame:
-    """(image_id, x, y, z): elevations from a disparity table and each stereo pair's fore and aft angles and ground distance."""
+    """(image_id, x, y, z): elevations from a disparity table and each stereo pair's fore and aft angles and ground distance.
+
+    Lines of sight that are parallel meet at infinity: such a pair's elevations are infinite, NaN for a disparity of 0.
+    """
     ratio = F.tan(F.radians("fore")) - F.tan(F.radians("aft"))
-    per_pair = views.select("image_id", (F.col("gsd") / ratio).alias("scale"))
-    return disparity.join(per_pair, "image_id").select(*PIXEL, (datum + F.col("v") * F.col("scale")).alias("z"))
+    both = disparity.join(views.select("image_id", "gsd", ratio.alias("ratio")), "image_id")
+    height = F.when(F.col("ratio") == 0, F.col("v") * F.col("gsd") * float("inf")).otherwise(F.try_divide(F.col("v") * F.col("gsd"), F.col("ratio")))
+    return both.select(*PIXEL, (datum + height).alias("z"))
