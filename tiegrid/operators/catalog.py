@@ -452,13 +452,13 @@ def illumination_gap(pairs: DataFrame, products: DataFrame) -> DataFrame:
     return pairs.join(one, "product_1").join(two, "product_2").select("pair_id", F.when(d.isNotNull(), gap).alias("azimuth_gap"), "elevation_1", "elevation_2", bucket.alias("bucket"))
 
 
-def tile_windows(images: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(image_id, row, col, x0, y0, x1, y1): windows with stride size - overlap; the last one is clipped, none starts past it."""
+def tile_windows(images: DataFrame, size: int, overlap: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, row, col, x0, y0, x1, y1): windows with stride size - overlap; the last one is clipped, none starts past it. Columns to ``keep`` follow."""
     stride = size - overlap
     starts = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col(n) - size) / stride).cast("int")))
-    grid = images.select("image_id", "width", "height", F.explode(starts("height")).alias("row")).select("*", F.explode(starts("width")).alias("col"))
+    grid = images.select("image_id", "width", "height", *keep, F.explode(starts("height")).alias("row")).select("*", F.explode(starts("width")).alias("col"))
     x0, y0 = F.col("col") * stride, F.col("row") * stride
-    return grid.select("image_id", "row", "col", x0.alias("x0"), y0.alias("y0"), F.least(x0 + size, F.col("width")).alias("x1"), F.least(y0 + size, F.col("height")).alias("y1"))
+    return grid.select("image_id", "row", "col", x0.alias("x0"), y0.alias("y0"), F.least(x0 + size, F.col("width")).alias("x1"), F.least(y0 + size, F.col("height")).alias("y1"), *keep)
 
 
 def georeference(matches: DataFrame, regions: DataFrame, width: float, height: float) -> DataFrame:
@@ -484,10 +484,13 @@ def validate_registry(entries: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def paired_tiles(pairs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Tiles of the first image with the scaled box of the second: adds u0, v0, u1, v1 clipped to (width2, height2)."""
-    tiles = tile_windows(pairs.select(F.col("pair_id").alias("image_id"), F.col("width1").alias("width"), F.col("height1").alias("height")), size, overlap)
-    both = tiles.withColumnRenamed("image_id", "pair_id").join(pairs, "pair_id")
-    sx, sy = F.col("width2") / F.col("width1"), F.col("height2") / F.col("height1")
+    """Tiles of the first image with the scaled box of the second: adds u0, v0, u1, v1 clipped to (width2, height2).
+
+    Tiles carry the sizes along, so nothing is joined: a table of very regular tiles looks small enough to broadcast, and isn't.
+    """
+    images = pairs.select(F.col("pair_id").alias("image_id"), F.col("width1").alias("width"), F.col("height1").alias("height"), "width2", "height2")
+    both = tile_windows(images, size, overlap, ("width", "height", "width2", "height2")).withColumnRenamed("image_id", "pair_id")
+    sx, sy = F.col("width2") / F.col("width"), F.col("height2") / F.col("height")
     return both.select(
         "pair_id", "row", "col", "x0", "y0", "x1", "y1", F.floor(F.col("x0") * sx).alias("u0"), F.floor(F.col("y0") * sy).alias("v0"),
         F.least(F.ceil(F.col("x1") * sx), F.col("width2")).alias("u1"), F.least(F.ceil(F.col("y1") * sy), F.col("height2")).alias("v1"),
