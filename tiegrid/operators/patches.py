@@ -13,6 +13,11 @@ from tiegrid.operators.raster import PIXEL, central_slope, gradients, known, sam
 from tiegrid.plans.work import materialize
 
 
+def sorted_join(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """A join that broadcasts neither side: exploded patches are so regular that their shuffled files look small, but their rows aren't."""
+    return df.hint("merge").join(other.hint("merge"), on)
+
+
 def offsets(low: int, high: int) -> Column:
     steps = [(dx, dy) for dx in range(low, high + 1) for dy in range(low, high + 1)]
     return F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps))
@@ -103,7 +108,7 @@ def patch_gradients(pixels: DataFrame, points: DataFrame, half: int, x: str, y:
     """
     near = points.select("image_id", "kp_id", F.bround(x).cast("bigint").alias("kx"), F.bround(y).cast("bigint").alias("ky"), F.explode(offsets(-half, half - 1)).alias("o"))
     near = near.select("image_id", "kp_id", (F.col("kx") + F.col("o.dx")).alias("x"), (F.col("ky") + F.col("o.dy")).alias("y"), "o")
-    patch = near.join(pixels.select(*PIXEL, "v"), PIXEL).select(F.struct("image_id", "kp_id").alias("image_id"), F.col("o.dx").alias("x"), F.col("o.dy").alias("y"), "v")
+    patch = sorted_join(near, pixels.select(*PIXEL, "v"), PIXEL).select(F.struct("image_id", "kp_id").alias("image_id"), F.col("o.dx").alias("x"), F.col("o.dy").alias("y"), "v")
     g = gradients(patch, mirror=True)
     return g.select("image_id.image_id", "image_id.kp_id", "x", "y", F.col("sobel_x").alias("gx"), F.col("sobel_y").alias("gy"))
 
@@ -143,7 +148,7 @@ def orientation_agreement(a: DataFrame, b: DataFrame, pairs: DataFrame, half: in
     double_cos = (c("ax") ** 2 - c("ay") ** 2) * (c("bx") ** 2 - c("by") ** 2) + 4 * c("ax") * c("ay") * c("bx") * c("by")
     sizes = (c("ax") ** 2 + c("ay") ** 2) * (c("bx") ** 2 + c("by") ** 2)
     w = F.sqrt(sizes)
-    found = one.join(two, ["image_id", "kp_id", "x", "y"]).groupBy("image_id", "kp_id").agg(
+    found = sorted_join(one, two, ["image_id", "kp_id", "x", "y"]).groupBy("image_id", "kp_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * 0.5 * (double_cos / (sizes + 1e-8) + 1)).alias("s")
     )
     good = (c("n") == (2 * half) ** 2) & (c("w") >= 1e-8)
