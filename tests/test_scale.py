@@ -51,3 +51,38 @@ def test_exploded_patches_are_not_broadcast(spark):
     df.collect()
     final = plan(df, "simple").split("Initial Plan")[0]
     assert final.count("SortMergeJoin [image_id") >= 3  # two of patches and pixels, one of both patches' gradients
+
+
+def test_draws_are_the_earliest_of_all_matches(spark, monkeypatch):
+    from tiegrid.operators import consensus
+
+    sizes = {1: 2, 2: 5, 3: 40, 4: 3000}
+    rows = [(p, k, float(1 + (k * 7 + p) % 5)) for p, n in sizes.items() for k in range(n)]
+    m = spark.createDataFrame(rows, "pair_id bigint, match_id bigint, _w double")
+    wait = "-ln(((xxhash64(pair_id, match_id, hyp) & 9007199254740991) + 0.5D) / 9007199254740992D) / _w"
+    every = m.crossJoin(spark.range(8).toDF("hyp")).selectExpr("*", f"row_number() OVER (PARTITION BY pair_id, hyp ORDER BY {wait}, match_id) AS k").filter("k <= 4")
+    want = sorted(tuple(r) for r in every.select("pair_id", "hyp", "match_id").collect())
+    for expected in (20, 3):  # with 3 many hypotheses have to be drawn again
+        monkeypatch.setattr(consensus, "EXPECTED", expected)
+        got = consensus.weighted_draws(m, 8, 4)
+        assert sorted(tuple(r) for r in got.select("pair_id", "hyp", "match_id").collect()) == want
+    sorts = plan(consensus.weighted_draws(m, 8, 4), "simple")
+    assert "draws" in sorts  # written once
+
+
+@pytest.mark.parametrize("pieces", [2, 7, 256])
+def test_exact_percentiles_without_a_group_in_one_task(spark, pieces):
+    from tiegrid.plans.work import exact_percentiles
+
+    rows = [("a", float(k * 37 % 101)) for k in range(400)] + [("b", float(k // 50)) for k in range(301)] + [("c", 4.5), ("d", None), ("e", 1.0), ("e", 3.0), ("f", float("nan")), ("f", 2.0), ("f", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    want = df.filter("v IS NOT NULL").groupBy("g").agg(F.count("v").alias("n"), *(F.percentile("v", F.lit(s)).alias(f"p{k}") for k, s in enumerate(shares)))
+    key = lambda df: sorted([repr(tuple(r)) for r in df.collect()])
+    assert key(exact_percentiles(df, "g", "v", shares, pieces)) == key(want)
+
+
+@pytest.mark.parametrize("name", ["benchmark_breakdown", "calibration_report", "compare_arms"])
+def test_no_percentile_gathers_a_table(spark, name):
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "percentile(" not in plan(df, "simple")
