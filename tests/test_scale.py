@@ -86,3 +86,29 @@ def test_exact_percentiles_without_a_group_in_one_task(spark, pieces):
 def test_no_percentile_gathers_a_table(spark, name):
     df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     assert "percentile(" not in plan(df, "simple")
+
+
+def test_resampling_by_lists_equals_resampling_by_tables(spark, monkeypatch):
+    from tiegrid.operators import experiments, fit
+
+    rows = [(p, k, float(k * 7919 % 512), float(k * 104729 % 509), float(k * 31 % 97), float(k * k % 89)) for p, n in {1: 5, 2: 80, 900: 400}.items() for k in range(n)]
+    m = spark.createDataFrame(rows, "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double")
+    found = []
+    for most in (20_000, 100, 0):  # all by lists, both ways, all by tables
+        monkeypatch.setattr(experiments, "LISTED", most)
+        monkeypatch.setattr(fit, "LISTED", most)
+        ci = sorted(tuple(r) for r in experiments.bootstrap_ci(m, "target_x", 12).collect())
+        maps = sorted(tuple(r) for r in fit.bootstrap_transform(m, 12, gsd=5.0).drop("covariance").collect())
+        found.append((ci, maps))
+    for ci, maps in found[:2]:
+        for got, want in ((ci, found[2][0]), (maps, found[2][1])):
+            assert len(got) == len(want) == 3
+            for a, b in zip(got, want, strict=True):
+                assert [x for x in a if isinstance(x, str)] == [x for x in b if isinstance(x, str)]
+                numbers = lambda r: [-1.0 if x is None else x for x in r if not isinstance(x, str)]
+                assert numbers(a) == pytest.approx(numbers(b), rel=1e-7)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci", "bootstrap_transform"])
+def test_resampling_makes_no_row_for_a_draw(spark, name):
+    assert "slot" not in plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"), "simple")
