@@ -112,3 +112,13 @@ def test_resampling_by_lists_equals_resampling_by_tables(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["bootstrap_ci", "bootstrap_transform"])
 def test_resampling_makes_no_row_for_a_draw(spark, name):
     assert "slot" not in plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"), "simple")
+
+
+def test_points_are_not_shuffled_by_image(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large
+    try:
+        text = plan(__spark_entry__.queries()["slope_residual_corr"](spark, "/root/testdata/sf0.001"), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin [image_id" in text

@@ -250,9 +250,10 @@ def slope_residual_corr(points: DataFrame, dem: DataFrame, gsd: float, key: str
     are finite. 0 below 4 of them or without spread.
     """
     slope = central_slope(dem, max(gsd, 1e-6))
+    # One row for each image; points of few images would meet in few tasks if they were shuffled by image.
     ends = slope.groupBy("image_id").agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
     near = lambda c, most: F.least(F.greatest(F.bround(c).cast("bigint"), F.lit(0)), F.col(most))
-    placed = points.select(key, "image_id", "px", "py", known("error").alias("error")).join(ends, "image_id").withColumns({"x": near("px", "_mx"), "y": near("py", "_my")})
+    placed = points.select(key, "image_id", "px", "py", known("error").alias("error")).join(F.broadcast(ends), "image_id").withColumns({"x": near("px", "_mx"), "y": near("py", "_my")})
     at = placed.join(slope.select(*PIXEL, known("v").alias("slope")), PIXEL, "left")
     both = F.col("error").isNotNull() & F.col("slope").isNotNull()
     s = at.groupBy(key).agg(F.count_if(both).alias("n"), F.covar_pop("error", "slope").alias("c"), F.stddev_pop(F.when(both, F.col("error"))).alias("se"), F.stddev_pop(F.when(both, F.col("slope"))).alias("ss"))
