@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tiegrid.operators import catalog
 
 
 def write_images(spark, folder, ids):
@@ -122,3 +123,43 @@ def test_points_are_not_shuffled_by_image(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "BroadcastHashJoin [image_id" in text
+
+
+def boxes(spark, n, first=0, side=1.0):
+    rows = [(k, 10.0, 10.0 + side, 10.0, 10.0 + side, None) for k in range(first, first + n)]
+    return spark.createDataFrame(rows, "product_id bigint, west_lon double, east_lon double, south_lat double, north_lat double, incidence double")
+
+
+def test_pairs_of_one_crowded_cell_are_shared_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "PAIRS_AT_ONCE", 1000)
+    found = catalog.footprint_join(boxes(spark, 100), boxes(spark, 50, 1000), 0.5)
+    sizes = [n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 5000 and len(sizes) >= 3 and max(sizes) < 4000
+
+
+def test_boxes_wider_than_a_cell_meet(spark):
+    wide = boxes(spark, 1, 1, 170.0).unionByName(boxes(spark, 1, 2, 5.0)).unionByName(boxes(spark, 1, 3, 0.0))
+    small = spark.range(0, 360).selectExpr("id AS product_id", "id - 5e0 AS west_lon", "id - 4.5e0 AS east_lon", "id - 5e0 AS south_lat", "id - 4.5e0 AS north_lat")
+    found = sorted((r[0], r[1]) for r in catalog.overlapping(wide, small, "product_id", "product_id").select("product_id", "b_product_id").collect())
+    reach = {1: 170.0, 2: 5.0, 3: 0.0}
+    assert found == [(k, i) for k, w in reach.items() for i in range(360) if i - 5.0 <= 10 + w and i - 4.5 >= 10.0]
+
+
+def test_ranks_shuffle_no_pairs(spark):
+    df = catalog.rank_candidates(boxes(spark, 10), boxes(spark, 10, 1000))
+    physical = plan(df, "simple")
+    assert "Exchange" not in physical[physical.index("Window") : physical.index("SortMergeJoin")]
+
+
+def test_areas_of_rings_are_computed_once(spark):
+    df = __spark_entry__.queries()["polygon_join"](spark, "/root/testdata/sf0.001")
+    physical = plan(df, "simple")
+    assert physical.count("ArrowEvalPython") == 1
+
+
+def test_rings_that_only_touch_share_nothing(spark):
+    ring = lambda *p: "array(" + ", ".join(f"named_struct('x', {x}e0, 'y', {y}e0)" for x, y in p) + ")"
+    notch = ring((0.1, 0.1), (3.1, 0.1), (3.1, 1.6), (1.6, 1.6), (1.6, 3.1), (0.1, 3.1))
+    inside, across = ring((1.6, 1.6), (3.1, 1.6), (3.1, 3.1), (1.6, 3.1)), ring((1.1, 1.1), (2.1, 1.1), (2.1, 2.1), (1.1, 2.1))
+    got = spark.range(1).select(*(catalog.shared_rings(F.expr(a), F.expr(b)) for a, b in ((notch, inside), (notch, across), (notch, "CAST(NULL AS array<struct<x:double,y:double>>)")))).first()
+    assert got[0] == 0.0 and got[1] == pytest.approx(0.75) and got[2] is None
