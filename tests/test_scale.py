@@ -163,3 +163,20 @@ def test_rings_that_only_touch_share_nothing(spark):
     inside, across = ring((1.6, 1.6), (3.1, 1.6), (3.1, 3.1), (1.6, 3.1)), ring((1.1, 1.1), (2.1, 1.1), (2.1, 2.1), (1.1, 2.1))
     got = spark.range(1).select(*(catalog.shared_rings(F.expr(a), F.expr(b)) for a, b in ((notch, inside), (notch, across), (notch, "CAST(NULL AS array<struct<x:double,y:double>>)")))).first()
     assert got[0] == 0.0 and got[1] == pytest.approx(0.75) and got[2] is None
+
+
+def test_no_pair_of_neighbours_is_shuffled(spark, monkeypatch):
+    from tiegrid.operators import features
+
+    rows = [(p, k, float(k * 7919 % 512), float(k * 104729 % 509), float(k), 0.0) for p, n in {1: 1, 2: 4, 3: 60, 4: 700}.items() for k in range(n)]
+    rows += [(5, k, float(k // 30 * 500), 0.0, 1.0, float(k)) for k in range(60)]  # two places
+    m = spark.createDataFrame(rows, "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double")
+    plans, write = [], features.materialize
+    monkeypatch.setattr(features, "materialize", lambda df, name: (plans.append(plan(df, "simple")), write(df, name))[1])
+    got = sorted((r["pair_id"], r["match_id"], r["rank"], r["o_match_id"], r["o_target_x"]) for r in features.nearest(m, 5).collect())
+    want = []
+    for p, i, x, y, *_ in rows:
+        near = sorted(((x - r[2]) ** 2 + (y - r[3]) ** 2, r[1], r[4]) for r in rows if r[0] == p and r[1] != i)[:5]
+        want += [(p, i, k + 1, j, t) for k, (_, j, t) in enumerate(near)]
+    assert got == sorted(want)
+    assert len(plans) >= 2 and not any("Window" in text for text in plans)
