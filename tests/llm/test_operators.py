@@ -727,3 +727,26 @@ def test_rejected_links_hide_no_others(make, monkeypatch):
         found.append({r["doc_id"] for r in simhash.deduplicate(make(list(texts.items()))).collect()})
     # The first round alone leaves more apart, so the later ones are at work.
     assert found[1] == set(root) < found[0]
+
+
+def test_open_links_of_a_large_group_are_not_written_out(make, monkeypatch):
+    """A group of texts that are all open candidates of each other: at most one link for each text of a block pair leaves a task."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for k in range(200):
+        words = list(base)
+        for at in rng.sample(range(299), 4):
+            words[at], words[at + 1] = words[at + 1], words[at]
+        texts.append((k, " ".join(words)))
+    made, write = {}, simhash.materialize
+
+    def counted(df, name):
+        done = write(df, name)
+        made[name] = made.get(name, 0) + done.count()
+        return done
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    kept = simhash.deduplicate(make(texts)).count()
+    assert 0 < kept <= 200
+    assert made["simhash-links"] + made["simhash-open"] < 2500  # of 19,900 pairs

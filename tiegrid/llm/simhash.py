@@ -22,8 +22,9 @@ and judges each by SimHashes of the set of its shingles: links that these show t
 be clearly similar stand, clearly unlike ones go, and those between are decided
 by the sets themselves. Only fingerprints that have a candidate at all meet
 again with the confirming bits. Of the links left open a task first hands on the
-closest ones that would join its groups; where the sets reject some of these,
-rounds over what is still apart hand on more of them, in the end all.
+closest ones that would join its groups; where the sets reject some of these, all
+links still open are judged where they meet, block by block, and only a forest of
+those that hold is written.
 """
 
 from __future__ import annotations
@@ -50,8 +51,10 @@ BLOCK = 512
 AT_ONCE = 128
 #: SimHashes of 64 bits each that confirm a link, and under which ``deduplicate`` looks for candidates.
 CONFIRM, CANDIDATES = 6, 5
-#: Open links of each fingerprint that the rounds after the first hand on; the last number holds all of two blocks.
-NEAREST = (8, 64, 2 * BLOCK)
+#: How many links of a node a block pair judges after the first round: all of two blocks. Empty: the first round alone, to tell what it does by itself.
+NEAREST = (2 * BLOCK,)
+#: Shingles that are counted at once when the sets of a block pair are compared.
+GRAMS_AT_ONCE = 4096
 
 
 #: Of each byte its eight bits, one to a byte of a long.
@@ -249,18 +252,6 @@ def bridges(label: np.ndarray, i: np.ndarray, j: np.ndarray, away: np.ndarray) -
     return taken
 
 
-def nearest(i: np.ndarray, j: np.ndarray, away: np.ndarray, most: int) -> np.ndarray:
-    """Which of the pairs are among the ``most`` closest ones of either end."""
-    if not most:
-        return np.zeros(len(i), bool)
-    ends = np.concatenate((i, j))
-    order = np.lexsort((np.concatenate((away, away)), ends))
-    _, first, counts = np.unique(ends[order], return_index=True, return_counts=True)
-    rank = np.empty(len(ends), np.int64)
-    rank[order] = np.arange(len(ends)) - np.repeat(first, counts)
-    return (rank < most).reshape(2, -1).any(0)
-
-
 def in_blocks(prints: DataFrame, fps: list[str], extra: list[str], max_bits: int) -> DataFrame:
     """(key, items): the (fp, node, *extra) that share a chain key under one of ``fps``, dealt out in pairs of blocks."""
     by_fp = prints.select("node", *extra, F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.col(c).alias("fp")) for k, c in enumerate(fps)))).alias("p"))
@@ -292,16 +283,15 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
             yield key, columns[0][a:b][first].astype(np.int64).view(np.uint64), nodes, [c[a:b][first] for c in columns[2:]]
 
 
-def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, confirm: tuple[int, int] | None = None, most: int = 0) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, confirm: tuple[int, int] | None = None) -> DataFrame:
     """(u, v, kind): links between the values of ``prints.node`` that connect all that is linked.
 
     Fingerprints are the columns ``fps`` ("fp" alone by default); a link under
     any of them counts. With ``confirm``, a link is "sure" if the confirming
     SimHashes of both differ in the first number of bits at most, and "open"
     up to the second; only nodes with some candidate are looked at for this.
-    Of the open links those come that join the groups of sure ones, and the
-    ``most`` closest of each node; u = v is a node with further ones ("left").
-    With a column ``group`` its values are the groups, and sure links don't come.
+    Of the open links those come that join the groups of sure ones; u = v is a
+    node with further ones ("left").
     """
     fps = fps or ["fp"]
 
@@ -326,29 +316,21 @@ def links(prints: DataFrame, max_bits: int = 3, fps: list[str] | None = None, co
                     between = (away > confirm[0]) & (away <= confirm[1])
                     open_ = i[between], j[between], away[between]
                     i, j = i[away <= confirm[0]], j[away <= confirm[0]]
-                if grouped:
-                    label = np.unique(more[-1], return_inverse=True)[1]
-                else:
-                    label = forest(len(nodes), i, j)
-                    edges |= {(int(nodes[k]), int(nodes[label[k]]), "sure") for k in np.nonzero(label != np.arange(len(nodes)))[0]}
+                label = forest(len(nodes), i, j)
+                edges |= {(int(nodes[k]), int(nodes[label[k]]), "sure") for k in np.nonzero(label != np.arange(len(nodes)))[0]}
                 if open_ is not None:
                     apart = label[open_[0]] != label[open_[1]]
                     i, j, away = (x[apart] for x in open_)
                     if len(i):
-                        taken = nearest(i, j, away, most)
-                        edges |= {(int(nodes[b]), int(nodes[a]), "open") for a, b in zip(i[taken], j[taken], strict=True)}
-                        edges |= {(int(nodes[b]), int(nodes[a]), "open") for a, b in bridges(label, i, j, away)}
-                        left = np.zeros(len(nodes), bool)
-                        left[i[~taken]] = left[j[~taken]] = True
-                        edges |= {(k, k, "left") for k in nodes[left].tolist()}
+                        joins = bridges(label, i, j, away)
+                        edges |= {(int(nodes[b]), int(nodes[a]), "open") for a, b in joins}
+                        if len(joins) < len(i):
+                            edges |= {(k, k, "left") for k in nodes[np.union1d(i, j)].tolist()}
             u, v, kind = zip(*edges, strict=True) if edges else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(kind, pa.string())], names=["u", "v", "kind"])
 
-    extra: list[str] = []
-    grouped = "group" in prints.columns
+    extra = CS if confirm is not None else []
     if confirm is not None:
-        extra = [*CS, *(["group"] if grouped else [])]
-    if confirm is not None and not grouped:  # later rounds hold only nodes with candidates
         with arrow_rows(prints.sparkSession, AT_ONCE):
             with_some = materialize(in_blocks(prints, fps, [], max_bits).mapInArrow(near, "node bigint").distinct(), "simhash-candidates")
         prints = prints.join(with_some, "node", "left_semi")
@@ -364,21 +346,96 @@ def confirm_budget(similarity: float) -> tuple[int, int]:
     return math.floor(bits * share - spread), math.ceil(bits * share + spread)
 
 
-def alike(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The rows of ``open_`` (u, v, a, b) whose texts, those of ids a and b, have shingle sets of at least the Jaccard similarity."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, grams): the distinct hashes of the shingles of the texts of ``ids``."""
 
     def rows(texts: list[bytes]) -> list[pa.Array]:
         known = worker_object("simhash", shingle, WordHashes)
         return [pa.array([np.unique(gram_hashes(t.lower().split(), shingle, known)).view(np.int64) for t in texts], pa.list_(pa.int64()))]
 
-    ids = open_.select(F.col("a").alias(id_col)).union(open_.select("b")).distinct()
     sets = map_texts(docs.join(ids, id_col, "left_semi"), rows, "grams array<bigint>", id_col, text_col, "simhash").distinct()
-    sets = materialize(sets, "simhash-sets")
+    return materialize(sets, "simhash-sets")
+
+
+def alike(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``open_`` (u, v, a, b) whose texts, those of ids a and b, have shingle sets of at least the Jaccard similarity."""
+
+    ids = open_.select(F.col("a").alias(id_col)).union(open_.select("b")).distinct()
+    sets = shingle_sets(docs, ids, id_col, text_col, shingle)
     both = open_.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.filter(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("u", "v").distinct()
 
 
+def overlaps(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """How many values each two of the sets share that lie one after the other in ``grams``."""
+    n = len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    _, column, times = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)  # exact below 2^24
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, GRAMS_AT_ONCE):
+        a, b = np.searchsorted(column, (first, first + GRAMS_AT_ONCE))
+        has = np.zeros((n, GRAMS_AT_ONCE), np.float32)
+        has[row[a:b], column[a:b] - first] = 1
+        out += has @ has.T
+    return out
+
+
+def judged_in_place(apart: DataFrame, max_bits: int, confirm: tuple[int, int], similarity: float) -> DataFrame:
+    """(u, v): links that connect all that open links with alike sets connect, among the nodes of each ``clump``.
+
+    ``apart`` has node, clump, group, FPS, CS and grams. A clump's nodes are
+    dealt out in blocks, and each block pair judges all its open links between
+    groups where it is and yields a forest of those that hold, so a clump's
+    pairs are neither written out nor cut off.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u: list[int] = []
+            v: list[int] = []
+            lists = batch.column(0)
+            fields = {f.name: lists.values.field(k) for k, f in enumerate(lists.type.value_type)}
+            ends = lists.offsets.to_pylist()
+            for a, b in zip(ends, ends[1:], strict=False):
+                part = {c: x.slice(a, b - a) for c, x in fields.items()}
+                numbers = lambda c: part[c].to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+                nodes, group = numbers("node"), numbers("group")
+                bits = {c: numbers(c).view(np.uint64) for c in (*FPS, *CS)}
+                differ = lambda c: np.bitwise_count(bits[c][:, None] ^ bits[c][None, :])  # noqa: B023, E731
+                near = np.logical_or.reduce([differ(c) <= max_bits for c in FPS])
+                away = sum(differ(c).astype(np.int64) for c in CS)
+                i, j = np.nonzero(near & (away > confirm[0]) & (away <= confirm[1]) & (group[:, None] != group[None, :]))
+                i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                some = np.union1d(i, j)
+                chosen = part["grams"].take(pa.array(some))
+                sizes = np.diff(chosen.offsets.to_numpy())
+                i, j = np.searchsorted(some, i), np.searchsorted(some, j)
+                both = overlaps(sizes, chosen.flatten().to_numpy())[i, j].astype(np.int64)
+                hold = both >= similarity * (sizes[i] + sizes[j] - both)
+                label = forest(len(some), i[hold], j[hold])
+                moved = np.nonzero(label != np.arange(len(some)))[0]
+                u += nodes[some[moved]].tolist()
+                v += nodes[some[label[moved]]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    sizes = materialize(apart.groupBy("clump").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most").select("clump", "n"), "simhash-clumps")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    item = F.struct("node", "group", *FPS, *CS, "grams")
+    dealt = join_on_hot_keys(apart, sizes, "clump", "n").withColumn("blocks", blocks)
+    dealt = dealt.select("clump", item.alias("item"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = dealt.groupBy("clump", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(F.collect_list("item").alias("items"))
+    with arrow_rows(apart.sparkSession, 4):
+        return materialize(pairs.filter(F.size("items") > 1).select("items").mapInArrow(judge, "u bigint, v bigint").distinct(), "simhash-links")
+
+
 def classes(base: DataFrame, prints: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """``base`` with component_id, of its distinct ``prints`` (node, rep, copies) and the links between their nodes."""
     joined = connected_components(found)
@@ -410,30 +467,28 @@ def hex_digits(fp) -> F.Column:
 def judged_links(docs: DataFrame, prints: DataFrame, max_bits: int, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(u, v): links between nodes of ``prints`` that their confirming bits or, where these leave it open, their shingle sets bear out.
 
-    They connect all that such links connect. A round judges open links that
-    would join its groups; if the sets bear all of them out, nothing is apart
-    that could be joined. Otherwise the nodes with further open links meet
-    again under the groups of what is linked by now, and more links of each
-    are judged, at last all that there are. No link is judged twice.
+    They connect all that such links connect. First, open links that would join
+    the groups of sure ones are judged; if the sets bear all of them out, nothing
+    is apart that could be joined. Otherwise all open links of the nodes with
+    further ones are judged where they meet (``judged_in_place``): a clump holds
+    all that any links connect, so both ends of each lie in one.
     """
     confirm = confirm_budget(similarity)
     rep = prints.select("node", "rep")
     found = links(prints, max_bits, FPS, confirm)
-    known = found.filter("kind = 'sure'").select("u", "v")
-    judged = known
-    for most in (*NEAREST, None):
-        open_ = found.filter("kind = 'open'").select("u", "v")
-        fresh = open_.join(judged, ["u", "v"], "left_anti").join(rep.toDF("u", "a"), "u").join(rep.toDF("v", "b"), "v")
-        fresh = materialize(fresh.select("u", "v", "a", "b"), "simhash-open")
-        judged = judged.union(fresh.select("u", "v"))
-        known = materialize(known.union(alike(docs, fresh, id_col, text_col, shingle, similarity)), "simhash-links")
-        left = found.filter("kind = 'left'").select(F.col("u").alias("node"))
-        if most is None or left.isEmpty() or open_.join(known, ["u", "v"], "left_anti").isEmpty():
-            break
-        groups = connected_components(known)
-        again = prints.join(left, "node", "left_semi").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-        found = links(again.drop("component"), max_bits, FPS, confirm, most)
-    return known
+    open_ = found.filter("kind = 'open'").select("u", "v")
+    fresh = materialize(open_.join(rep.toDF("u", "a"), "u").join(rep.toDF("v", "b"), "v").select("u", "v", "a", "b"), "simhash-open")
+    known = materialize(found.filter("kind = 'sure'").select("u", "v").union(alike(docs, fresh, id_col, text_col, shingle, similarity)), "simhash-links")
+    left = found.filter("kind = 'left'").select(F.col("u").alias("node"))
+    if not NEAREST or left.isEmpty() or open_.join(known, ["u", "v"], "left_anti").isEmpty():
+        return known
+    clumps = connected_components(found.select("u", "v")).toDF("node", "clump")
+    groups = connected_components(known).toDF("node", "group")
+    apart = prints.join(left, "node", "left_semi").join(clumps, "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    apart = materialize(apart.select("node", "clump", "group", *FPS, *CS, F.col("rep").alias(id_col)), "simhash-apart")
+    sets = shingle_sets(docs, apart.select(id_col).distinct(), id_col, text_col, shingle)
+    one = sets.groupBy(id_col).agg(F.min("grams").alias("grams"))
+    return known.union(judged_in_place(apart.join(one, id_col), max_bits, confirm, similarity))
 
 
 def deduplicate(
