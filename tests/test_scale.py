@@ -180,3 +180,24 @@ def test_no_pair_of_neighbours_is_shuffled(spark, monkeypatch):
         want += [(p, i, k + 1, j, t) for k, (_, j, t) in enumerate(near)]
     assert got == sorted(want)
     assert len(plans) >= 2 and not any("Window" in text for text in plans)
+
+
+def test_a_sampled_point_is_shuffled_once(spark):
+    from tiegrid.operators import raster
+
+    value = lambda x, y: (x * 7 + y * 13) % 11 / 4
+    pixels = [(1, x, y, value(x, y)) for x in range(5) for y in range(4) if (x, y) != (2, 2)]
+    mean = sum(p[3] for p in pixels) / len(pixels)
+    places = [(x / 3 - 1, y / 3 - 1) for x in range(20) for y in range(17)]
+    points = spark.createDataFrame([(k, 1, *p) for k, p in enumerate(places)], "k bigint, image_id bigint, px double, py double")
+    df = raster.sample_raster(points, spark.createDataFrame(pixels, "image_id bigint, x bigint, y bigint, v double"), True)
+    got = {r["k"]: r["value"] for r in df.collect()}
+    for k, (px, py) in enumerate(places):
+        qx, qy = min(max(px, 0), 4), min(max(py, 0), 3)
+        x, y, want = int(qx), int(qy), 0.0
+        for dx, dy in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            at = (min(x + dx, 4), min(y + dy, 3))
+            want += (qx - x if dx else 1 - qx + x) * (qy - y if dy else 1 - qy + y) * (mean if at == (2, 2) else value(*at))
+        assert got[k] == pytest.approx(want)
+    tail = plan(df, "simple")
+    assert tail.index("Join") < tail.index("Exchange") and "Generate" not in tail[: tail.index("Exchange")]

@@ -7,6 +7,7 @@ as a whole; joins shift pixel positions and stay equi-joins.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,20 +133,26 @@ def nmi(a: DataFrame, b: DataFrame, bins: int = 32, least: int = 32) -> DataFram
 def sample_raster(points: DataFrame, pixels: DataFrame, bilinear: bool) -> DataFrame:
     """Adds ``value`` at points (image_id, px, py): the nearest pixel (cut off and clamped), or the weighted four around; voids take the image's mean."""
     ends = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"), F.avg("v").alias("mean"))
-    placed = points.join(ends, "image_id").withColumns({"qx": F.least(F.greatest(F.col("px"), lit(0)), F.col("mx")), "qy": F.least(F.greatest(F.col("py"), lit(0)), F.col("my"))})
-    fx, fy = F.floor("qx"), F.floor("qy")
-    if bilinear:
-        wx, wy = F.col("qx") - fx, F.col("qy") - fy
-        corner = lambda dx, dy: F.struct(
-            F.least(fx + dx, F.col("mx")).alias("x"), F.least(fy + dy, F.col("my")).alias("y"), ((wx if dx else 1 - wx) * (wy if dy else 1 - wy)).alias("w")
-        )
-        corners = F.array(*(corner(dx, dy) for dx in (0, 1) for dy in (0, 1)))
-    else:
-        corners = F.array(F.struct(fx.alias("x"), fy.alias("y"), lit(1).alias("w")))
-    asked = placed.withColumn("c", F.explode(corners)).withColumns({"x": F.col("c.x"), "y": F.col("c.y"), "w": F.col("c.w")})
-    found = asked.join(pixels.select(*PIXEL, "v"), PIXEL, "left")
-    keys = points.columns
-    return found.groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce("v", "mean")).alias("value"))
+    # One row for each image; points of few images would meet in few tasks if they were shuffled by image.
+    placed = points.join(F.broadcast(ends), "image_id").withColumns({"qx": F.least(F.greatest(F.col("px"), lit(0)), F.col("mx")), "qy": F.least(F.greatest(F.col("py"), lit(0)), F.col("my"))})
+    placed = placed.withColumns({"x": F.floor("qx"), "y": F.floor("qy")})
+    if not bilinear:
+        return placed.join(pixels.select(*PIXEL, "v"), PIXEL, "left").select(*points.columns, F.coalesce("v", "mean").alias("value"))
+    # The four pixels around come as one row, so a point is shuffled once, not once for each of them.
+    sides = [(dx, dy) for dx in (0, 1) for dy in (0, 1)]
+    corner = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in sides))).alias("d")
+    spread = pixels.select(*PIXEL, "v", corner).select("image_id", (F.col("x") - F.col("d.dx")).alias("x"), (F.col("y") - F.col("d.dy")).alias("y"), "v", "d.dx", "d.dy")
+    fours = spread.groupBy(*PIXEL).agg(*(F.max(F.when((F.col("dx") == dx) & (F.col("dy") == dy), F.col("v"))).alias(f"_{dx}{dy}") for dx, dy in sides))
+    found = placed.join(fours, PIXEL, "left")
+    last = {"x": F.col("x") + 1 > F.col("mx"), "y": F.col("y") + 1 > F.col("my")}
+
+    def value(dx: int, dy: int) -> Column:
+        in_row = lambda ky: F.when(last["x"], F.col(f"_0{ky}")).otherwise(F.col(f"_1{ky}")) if dx else F.col(f"_0{ky}")
+        return F.coalesce(F.when(last["y"], in_row(0)).otherwise(in_row(1)) if dy else in_row(0), F.col("mean"))
+
+    wx, wy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
+    weighted = [(wx if dx else 1 - wx) * (wy if dy else 1 - wy) * value(dx, dy) for dx, dy in sides]
+    return found.select(*points.columns, reduce(lambda p, q: p + q, weighted).alias("value"))
 
 
 def known(c: str | Column) -> Column:
