@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tiegrid.operators import catalog
+from tiegrid.plans.views import view
 
 
 def write_images(spark, folder, ids):
@@ -201,3 +202,10 @@ def test_a_sampled_point_is_shuffled_once(spark):
         assert got[k] == pytest.approx(want)
     tail = plan(df, "simple")
     assert tail.index("Join") < tail.index("Exchange") and "Generate" not in tail[: tail.index("Exchange")]
+
+
+def test_backfill_reads_its_tables_once(spark):
+    df = __spark_entry__.queries()["backfill_features"](spark, "/root/testdata/sf0.001")
+    assert plan(df, "simple").count("lineitem.parquet") == 0
+    filled = {r["filled_by"]: r["count"] for r in df.groupBy("filled_by").count().collect()}
+    assert sum(filled.values()) == view(spark, "/root/testdata/sf0.001", "v_matches").count() and filled[None] > 0 and filled["exact"] > 0
