@@ -209,3 +209,42 @@ def test_backfill_reads_its_tables_once(spark):
     assert plan(df, "simple").count("lineitem.parquet") == 0
     filled = {r["filled_by"]: r["count"] for r in df.groupBy("filled_by").count().collect()}
     assert sum(filled.values()) == view(spark, "/root/testdata/sf0.001", "v_matches").count() and filled[None] > 0 and filled["exact"] > 0
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(shuffled_rows(children.apply(k)) for k in range(children.size()))
+
+
+def displacements(spark, monkeypatch, multimodal):
+    """The table of displacements of an image, and the rows of the result, of a target with a hole and an unknown value."""
+    import numpy as np
+
+    from tiegrid.operators import patches
+
+    seen = []
+    monkeypatch.setattr(patches, "materialize", lambda df, name: seen.append(df) or df)
+    v = np.random.default_rng(4).normal(size=(64, 64))
+    rows = [(1, x, y, float(v[y, x])) for y in range(64) for x in range(64)]
+    names = "image_id bigint, x bigint, y bigint, v double"
+    source = spark.createDataFrame(rows, names)
+    target = spark.createDataFrame([(1, x + 3, y - 2, None if (x, y) == (44, 47) else 2 * w) for _, x, y, w in rows if (x, y) != (10, 15)], names)
+    k = spark.createDataFrame([(1, 64 * x + y, x, y) for x in (15, 31, 47) for y in (15, 31, 47)], "image_id bigint, kp_id bigint, kx bigint, ky bigint")
+    found = patches.search_displacement(source, target, k, 4, 4, multimodal=multimodal)
+    return seen[0], {r["kp_id"]: r for r in found.collect()}
+
+
+def test_displacements_shuffle_pixels_not_pairs(spark, monkeypatch):
+    scored, found = displacements(spark, monkeypatch, False)
+    assert len(found) == 9 and all((r["dx"], r["dy"]) == (3, -2) and r["ncc"] == pytest.approx(1) for k, r in found.items() if k != 64 * 15 + 15)
+    rows = scored.groupBy("kp_id").count().collect()
+    assert {r["kp_id"]: r["count"] for r in rows}[64 * 31 + 31] == 81 and {r["kp_id"]: r["count"] for r in rows}[64 * 15 + 15] < 81
+    scored.collect()
+    assert shuffled_rows(scored._jdf.queryExecution().executedPlan()) < 4 * 64 * 64

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +26,129 @@ def offsets(low: int, high: int) -> Column:
     return F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps))
 
 
+#: Keypoints whose displacements are worked out at once.
+AT_ONCE = 500
+
+
+def around(pixels: DataFrame, keypoints: DataFrame, half: int, name: str) -> DataFrame:
+    """(image_id, kp_id, ``name``): the pixels up to ``half`` from each keypoint, as a list of ``k``, which counts column by column, and the other columns.
+
+    Pixels are gathered in cells as wide as a patch and meet the keypoints of up
+    to four of them there; no pixel is a row of its own for each keypoint.
+    """
+    side = 2 * half + 1
+    values = [c for c in pixels.columns if c not in PIXEL]
+    cell = lambda c: F.floor(F.col(c) / side).cast("bigint")
+    cells = pixels.groupBy("image_id", cell("x").alias("cx"), cell("y").alias("cy")).agg(F.collect_list(F.struct("x", "y", *values)).alias("pixels"))
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / side).cast("bigint"), F.floor((F.col(c) + half) / side).cast("bigint")))
+    whole = keypoints.filter("kx = floor(kx) AND ky = floor(ky)").select("image_id", "kp_id", F.col("kx").cast("bigint").alias("kx"), F.col("ky").cast("bigint").alias("ky"))
+    asked = whole.withColumn("cx", reach("kx")).withColumn("cy", reach("ky"))
+    inside = F.filter("pixels", lambda q: (F.abs(q["x"] - F.col("kx")) <= half) & (F.abs(q["y"] - F.col("ky")) <= half))
+    slot = lambda q: ((q["x"] - F.col("kx") + half) * side + q["y"] - F.col("ky") + half).cast("int")
+    part = F.transform(inside, lambda q: F.struct(slot(q).alias("k"), *(q[v].cast("double").alias(v) for v in values)))
+    return sorted_join(asked, cells, ["image_id", "cx", "cy"]).select("image_id", "kp_id", part.alias(name)).groupBy("image_id", "kp_id").agg(F.flatten(F.collect_list(name)).alias(name))
+
+
+def dense(lists: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (column, row, slot) of lists of (k, columns), NULL ones as NaN, and how many pixels (row, slot) there are, NULL ones as a half of one."""
+    k, *columns = lists.flatten().flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    at = (row, k.to_numpy(zero_copy_only=False))
+    count, values = np.zeros((len(lists), size)), np.full((len(columns), len(lists), size), np.nan)
+    np.add.at(count, at, 1)
+    for v, c in zip(values, columns, strict=True):
+        v[at] = c.to_numpy(zero_copy_only=False)
+    known = np.zeros((len(lists), size), bool)
+    known[at] = columns[0].is_valid().to_numpy(zero_copy_only=False)
+    return values, np.where(known | (count != 1), count, 0.5)
+
+
+class _Displacements:
+    """Rows (image_id, kp_id, dx, dy, ncc, and with ``multimodal`` goa, rank, and a and b, the pixels, of the ``top`` ones) of (image_id, kp_id, a, b), lists as of ``around``.
+
+    Displacements at which a pixel is missing, or that have no correlation, give no row.
+    """
+
+    def __init__(self, half: int, radius: int, multimodal: bool, by_goa: bool, top: int) -> None:
+        self.half, self.radius, self.multimodal, self.by_goa, self.top = half, radius, multimodal, by_goa, top
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield self.rows(batch.slice(at, AT_ONCE))
+
+    def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        side, wide, steps = 2 * self.half + 1, 2 * (self.half + self.radius) + 1, 2 * self.radius + 1
+        a, has_a = dense(batch.column(2), side * side)
+        b, has_b = dense(batch.column(3), wide * wide)
+        b, has_b = b.reshape(len(b), -1, wide, wide), has_b.reshape(-1, wide, wide)
+        moved = [(slice(dx, dx + side), slice(dy, dy + side)) for dx in range(steps) for dy in range(steps)]
+        cut = lambda c, m: c[..., m[0], m[1]].reshape(*c.shape[:-2], -1)
+        n = batch.num_rows
+        ncc, goa = np.full((n, len(moved)), np.nan), np.full((n, len(moved)), np.nan)
+        one_a = ((has_a == 1) | (has_a == 0.5)).all(1)
+        with np.errstate(all="ignore"):
+            for k, m in enumerate(moved):
+                v, has = cut(b, m), cut(has_b, m)
+                both = (has_a == 1) & (has == 1)
+                found = correlation(a[0], v[0], both)
+                ncc[:, k] = np.where(one_a & ((has == 1) | (has == 0.5)).all(1), found, np.nan)
+                if self.multimodal:
+                    goa[:, k] = agreement(a[1], a[2], v[1], v[2])
+        good = ~np.isnan(ncc)
+        row, k = np.nonzero(good)
+        columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(k // steps - self.radius, pa.int32()), pa.array(k % steps - self.radius, pa.int32()), pa.array(ncc[row, k])]
+        if self.multimodal:
+            by = goa if self.by_goa else ncc
+            # The largest first, as Spark orders them (NaN is the largest); a stable sort keeps the smaller displacement before.
+            order = np.argsort(np.where(good, -np.where(np.isnan(by), np.inf, by), np.nan), axis=1, kind="stable")
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(1, len(moved) + 1)[None, :].repeat(n, 0), 1)
+            rank, few = rank[row, k], rank[row, k] <= self.top
+            r, x, y = row[few], (k // steps)[few, None] + np.repeat(np.arange(side), side), (k % steps)[few, None] + np.tile(np.arange(side), side)
+            lists = ((a[0][r], has_a[r]), (b[0][r[:, None], x, y], has_b[r[:, None], x, y]))
+            columns += [pa.array(goa[row, k]), pa.array(rank, pa.int32()), *(listed(v, has == 1, few) for v, has in lists)]
+        return pa.RecordBatch.from_arrays(columns, names=["image_id", "kp_id", "dx", "dy", "ncc", "goa", "rank", "a", "b"][: len(columns)])
+
+
+def listed(values: np.ndarray, known: np.ndarray, where: np.ndarray) -> pa.ListArray:
+    """A list column that has the rows of ``values``, NULL where not ``known``, at the places ``where``, and NULL elsewhere."""
+    ends = np.concatenate(([0], np.cumsum(where * values.shape[1])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.ravel(), mask=~known.ravel()), mask=pa.array(~where))
+
+
+def correlation(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Of each row's values where ``both``; NaN where a side is flat."""
+    n = both.sum(1)
+
+    def centred(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.where(both, v, np.inf).min(1), np.where(both, v, -np.inf).max(1)
+        off = np.where(both, v - low[:, None], 0)
+        off = np.where(both, off - (off.sum(1) / n)[:, None], 0)
+        return off, np.where(low == high, 0, np.sqrt((off * off).sum(1) / n))
+
+    (p, sp), (q, sq) = centred(a), centred(b)
+    size = sp * sq
+    return np.where(size == 0, np.nan, (p * q).sum(1) / n / size)
+
+
+def agreement(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Orientation agreement of each row's gradients, weighted by their sizes; 0.5 where these vanish."""
+    double_cos = (ax**2 - ay**2) * (bx**2 - by**2) + 4 * ax * ay * bx * by
+    sizes = (ax**2 + ay**2) * (bx**2 + by**2)
+    w = np.sqrt(sizes)
+    total = w.sum(1)
+    return np.where(total < 1e-8, 0.5, (w * 0.5 * (double_cos / (sizes + 1e-8) + 1)).sum(1) / total)
+
+
 def search_displacement(
     source: DataFrame, target: DataFrame, keypoints: DataFrame, half: int, radius: int, apart: int = 5, multimodal: bool = False, preselect: str = "orientation", top: int = 5,
     w_mi: float = 0.6, w_ncc: float = 0.4,
 ) -> DataFrame:
     """(image_id, kp_id, dx, dy, score, ncc, uniqueness) of keypoints (image_id, kp_id, kx, ky).
 
-    A keypoint's patch is joined to the target at every displacement and their
-    correlation aggregated; uniqueness is that of the best displacement less
+    A keypoint's patch and the part of the target that it can be moved over meet
+    as two lists, and are correlated at every displacement there; uniqueness is that of the best displacement less
     the largest that lies further than ``apart`` from it. Where patch or target
     is flat there is no correlation, and a keypoint of a flat patch gives no row. With ``multimodal``
     the ``top`` displacements by orientation agreement of gradients, or by
@@ -38,34 +156,22 @@ def search_displacement(
     information and w_ncc of their correlation, if positive. Ties go to the
     smaller displacement.
     """
-    image = lambda df, v, x, y: gradients(df, mirror=True).select(*PIXEL, F.col("v").alias(v), F.col("sobel_x").alias(x), F.col("sobel_y").alias(y))
-    near = keypoints.select("image_id", "kp_id", "kx", "ky", F.explode(offsets(-half, half)).alias("o"))
-    near = near.select("image_id", "kp_id", (F.col("kx") + F.col("o.dx")).alias("x"), (F.col("ky") + F.col("o.dy")).alias("y"))
-    patch = near.join(image(source, "a", "ax", "ay") if multimodal else source.select(*PIXEL, F.col("v").alias("a")), PIXEL)
-    moved = patch.withColumn("d", F.explode(offsets(-radius, radius))).withColumns({"dx": F.col("d.dx"), "dy": F.col("d.dy"), "x": F.col("x") + F.col("d.dx"), "y": F.col("y") + F.col("d.dy")}).drop("d")
-    pair = moved.join(image(target, "b", "bx", "by") if multimodal else target.select(*PIXEL, F.col("v").alias("b")), PIXEL)
-    spot, whole = ["image_id", "kp_id", "dx", "dy"], (2 * half + 1) ** 2
-    figures = [F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("ncc")]
-    if multimodal:
-        c = F.col
-        double_cos = (c("ax") ** 2 - c("ay") ** 2) * (c("bx") ** 2 - c("by") ** 2) + 4 * c("ax") * c("ay") * c("bx") * c("by")
-        sizes = (c("ax") ** 2 + c("ay") ** 2) * (c("bx") ** 2 + c("by") ** 2)
-        agreed = F.sum(F.sqrt(sizes) * 0.5 * (double_cos / (sizes + 1e-8) + 1))
-        figures.append(F.when(F.sum(F.sqrt(sizes)) >= 1e-8, agreed / F.sum(F.sqrt(sizes))).otherwise(lit(0.5)).alias("goa"))
-    scored = pair.groupBy(*spot).agg(*figures).filter((F.col("n") == whole) & F.col("ncc").isNotNull() & ~F.isnan("ncc"))
-    scored = materialize(scored, "displacements")
-    kp = ["image_id", "kp_id"]
+    image = lambda df: gradients(df, mirror=True).select(*PIXEL, "v", "sobel_x", "sobel_y") if multimodal else df.select(*PIXEL, "v")
+    kp, spot = ["image_id", "kp_id"], ["image_id", "kp_id", "dx", "dy"]
+    lists = sorted_join(around(image(source), keypoints, half, "a"), around(image(target), keypoints, half + radius, "b"), kp)
+    kinds = {f: lists.schema[f].dataType.simpleString() for f in kp}
+    schema = ", ".join(f"{f} {t}" for f, t in kinds.items()) + ", dx int, dy int, ncc double" + (", goa double, rank int, a array<double>, b array<double>" if multimodal else "")
+    scored = materialize(lists.mapInArrow(_Displacements(half, radius, multimodal, preselect == "orientation", top), schema), "displacements")
     if multimodal:
-        ranked = Window.partitionBy(*kp).orderBy(F.desc("goa" if preselect == "orientation" else "ncc"), "dx", "dy")
-        few = scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
-        pixels = pair.join(few.select(*spot), spot, "left_semi").select(*spot, "a", "b")
-        joint = few.join(mutual_information(pixels, spot), spot, "left")
+        few = scored.filter(F.col("rank") <= top)
+        pixels = few.select(*spot, F.explode(F.arrays_zip("a", "b")).alias("p")).select(*spot, "p.a", "p.b")
+        joint = few.drop("a", "b").join(mutual_information(pixels, spot), spot, "left")
         value = w_mi * F.coalesce("mi", lit(0)) + w_ncc * F.greatest("ncc", lit(0))
         best = joint.withColumn("score", value).groupBy(*kp).agg(F.max_by(F.struct("dx", "dy", "score", "ncc"), F.struct("score", -F.col("rank"))).alias("m"))
     else:
         best = scored.withColumn("score", F.col("ncc")).groupBy(*kp).agg(F.max_by(F.struct("dx", "dy", "score", "ncc"), F.struct("ncc", -F.col("dx"), -F.col("dy"))).alias("m"))
     far = F.greatest(F.abs(F.col("dx") - F.col("m.dx")), F.abs(F.col("dy") - F.col("m.dy"))) > apart
-    rest = scored.join(best, kp).groupBy(*kp).agg(F.max(F.when(far, F.col("ncc"))).alias("second"))
+    rest = scored.select(*spot, "ncc").join(best, kp).groupBy(*kp).agg(F.max(F.when(far, F.col("ncc"))).alias("second"))
     return best.join(rest, kp).select(*kp, "m.dx", "m.dy", "m.score", "m.ncc", (F.col("m.ncc") - F.coalesce("second", lit(0))).alias("uniqueness"))
 
 
