@@ -248,3 +248,12 @@ def test_displacements_shuffle_pixels_not_pairs(spark, monkeypatch):
     assert {r["kp_id"]: r["count"] for r in rows}[64 * 31 + 31] == 81 and {r["kp_id"]: r["count"] for r in rows}[64 * 15 + 15] < 81
     scored.collect()
     assert shuffled_rows(scored._jdf.queryExecution().executedPlan()) < 4 * 64 * 64
+
+
+def test_multimodal_displacements_shuffle_pixels_not_pairs(spark, monkeypatch):
+    scored, found = displacements(spark, monkeypatch, True)
+    assert len(found) == 9 and all((r["dx"], r["dy"]) == (3, -2) for k, r in found.items() if k != 64 * 15 + 15)
+    kept = scored.filter("kp_id = 64 * 47 + 47 AND dx = 3 AND dy = -2").first()
+    assert kept["rank"] <= 5 and len(kept["a"]) == len(kept["b"]) == 81 and kept["b"].count(None) == 1
+    scored.collect()
+    assert shuffled_rows(scored._jdf.queryExecution().executedPlan()) < 10 * 64 * 64
