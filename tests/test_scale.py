@@ -257,3 +257,15 @@ def test_multimodal_displacements_shuffle_pixels_not_pairs(spark, monkeypatch):
     assert kept["rank"] <= 5 and len(kept["a"]) == len(kept["b"]) == 81 and kept["b"].count(None) == 1
     scored.collect()
     assert shuffled_rows(scored._jdf.queryExecution().executedPlan()) < 10 * 64 * 64
+
+
+def test_profiles_shuffle_lines_not_pixels(spark):
+    import numpy as np
+
+    from tiegrid.operators import raster
+
+    v = np.random.default_rng(5).normal(size=(64, 66)).cumsum(0).cumsum(1)
+    a, b = (spark.createDataFrame([(1, x, y, float(c[y, x])) for y in range(64) for x in range(64)], "image_id bigint, x bigint, y bigint, v double") for c in (v[:, 2:], v[:, :64]))
+    found = raster.profile_shift(a, b, 6)
+    assert {r["axis"]: r["shift"] for r in found.collect()}["x"] == 2
+    assert shuffled_rows(found._jdf.queryExecution().executedPlan()) < 2 * 64 * 64

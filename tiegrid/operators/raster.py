@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegrid.functions.algebra import clip, lit
+from tiegrid.plans.work import materialize
 
 PIXEL = ["image_id", "x", "y"]
 
@@ -362,26 +363,28 @@ def profile_shift(a: DataFrame, b: DataFrame, max_shift: int) -> DataFrame:
     over the lines that both have, over the product of both profiles' norms.
     """
 
-    def blend(df: DataFrame) -> DataFrame:
+    def lines(df: DataFrame) -> DataFrame:
+        """(image_id, axis, k, p, n): each line's mean of the blend, n the norm of its profile."""
         g = gradients(df, mirror=True).select(*PIXEL, "v", F.sqrt(F.pow("sobel_x", lit(2)) + F.pow("sobel_y", lit(2))).alias("g"))
-        s = g.groupBy("image_id").agg(*(f(c).alias(n + c) for c in "vg" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
-        z = lambda c: (F.col(c) - F.col("m" + c)) / F.when(F.col("s" + c) > 1e-6, F.col("s" + c)).otherwise(lit(1))
-        return g.join(s, "image_id").select(*PIXEL, (0.6 * z("v") + 0.4 * z("g")).alias("v"))
-
-    def profile(df: DataFrame, axis: str, name: str) -> tuple[DataFrame, DataFrame]:
-        means = df.groupBy("image_id", F.col(axis).alias("k")).agg(F.avg("v").alias(name))
-        return means, means.groupBy("image_id").agg(F.sqrt(F.sum(F.col(name) * F.col(name))).alias("n" + name))
-
-    out, one, two = None, blend(a), blend(b)
-    for axis in ("x", "y"):
-        (p, norm_p), (q, norm_q) = profile(one, axis, "p"), profile(two, axis, "q")
-        shifts = p.select("*", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("shift")).withColumn("k", F.col("k") + F.col("shift"))
-        score = shifts.join(q, ["image_id", "k"]).groupBy("image_id", "shift").agg(F.sum(F.col("p") * F.col("q")).alias("sum"))
-        score = score.join(norm_p, "image_id").join(norm_q, "image_id").withColumn("score", F.col("sum") / (F.col("np") * F.col("nq") + 1e-9))
-        best = score.groupBy("image_id").agg(F.max_by(F.struct("shift", "score"), F.struct(F.round("score", 9), -F.abs("shift"), -F.col("shift"))).alias("b"))
-        best = best.select("image_id", F.lit(axis).alias("axis"), "b.shift", "b.score")
-        out = best if out is None else out.union(best)
-    return out
+        # The blend is linear, so its line means follow from those of both parts; pixels meet no figures of their image.
+        both = F.col("v").isNotNull() & F.col("g").isNotNull()
+        pixels = materialize(g, "profile-pixels")
+        parts = [f(c).alias(n + c) for c in "vg" for n, f in (("n", F.count), ("m", F.avg), ("s", F.var_pop))]
+        lines_of = lambda axis: pixels.groupBy("image_id", F.lit(axis).alias("axis"), F.col(axis).alias("k")).agg(*parts, *(F.avg(F.when(both, F.col(c))).alias("l" + c) for c in "vg"))
+        each = materialize(lines_of("x").union(lines_of("y")), "profile-lines")
+        mean = lambda c: F.try_divide(F.sum(F.col("n" + c) * F.col("m" + c)), F.sum("n" + c))
+        means = each.groupBy("image_id", "axis").agg(*(mean(c).alias("a" + c) for c in "vg"))
+        spread = lambda c: F.sqrt(F.try_divide(F.sum(F.col("n" + c) * (F.col("s" + c) + F.pow(F.col("m" + c) - F.col("a" + c), lit(2)))), F.sum("n" + c)))
+        figures = each.join(means, ["image_id", "axis"]).groupBy("image_id", "axis").agg(*(F.first("a" + c).alias("a" + c) for c in "vg"), *(spread(c).alias("d" + c) for c in "vg"))
+        z = lambda c: (F.col("l" + c) - F.col("a" + c)) / F.when(F.col("d" + c) > 1e-6, F.col("d" + c)).otherwise(lit(1))
+        profile = each.join(figures, ["image_id", "axis"]).select("image_id", "axis", "k", (0.6 * z("v") + 0.4 * z("g")).alias("p"))
+        return profile.withColumn("n", F.sqrt(F.sum(F.col("p") * F.col("p")).over(Window.partitionBy("image_id", "axis"))))
+
+    one, two = lines(a).withColumnRenamed("n", "np"), lines(b).toDF("image_id", "axis", "k", "q", "nq")
+    shifts = one.select("*", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("shift")).withColumn("k", F.col("k") + F.col("shift"))
+    score = shifts.join(two, ["image_id", "axis", "k"]).groupBy("image_id", "axis", "shift").agg((F.sum(F.col("p") * F.col("q")) / (F.first("np") * F.first("nq") + 1e-9)).alias("score"))
+    best = score.groupBy("image_id", "axis").agg(F.max_by(F.struct("shift", "score"), F.struct(F.round("score", 9), -F.abs("shift"), -F.col("shift"))).alias("b"))
+    return best.select("image_id", "axis", "b.shift", "b.score")
 
 
 def spectral_angle(cube: DataFrame, key: str = "image_id", reference: list[float] | None = None) -> DataFrame:
