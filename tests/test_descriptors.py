@@ -72,3 +72,30 @@ def test_missing_numbers_and_sides(spark):
     target = table(spark, {1: [[0, 1], None, [None, 0], [3, 4]], 3: [[0, 0]]})
     assert {(r["pair_id"], r["kp_id"], r["target_id"]) for r in features.descriptor_match(source, target).collect()} == {(1, 0, 0), (1, 3, 3)}
     assert features.descriptor_match(table(spark, {}), table(spark, {})).collect() == []
+
+
+def test_pairs_that_are_kept_are_few_and_exact():
+    rng = np.random.default_rng(3)
+    target = rng.normal(size=(400, 16))
+    target[300:] = target[:100]  # copies
+    target[299] = target[0] + 2e-8  # within the tolerance of the first
+    target[298] = np.inf
+    source = np.r_[target[:50], rng.normal(size=(50, 16)) * 1e4, [np.full(16, np.nan)]]
+    ids = np.arange(400)[::-1]
+    r, t, d = features.near_pairs(source, target, ids, np.full(len(source), np.inf))
+    assert len(r) < 4 * len(source)
+    for k, s in enumerate(source[:-1]):
+        full = np.sqrt(sum((s[c] - target[:, c]) ** 2 for c in range(16)))  # term by term, as the distances are
+        least = full.min()
+        mine, which = d[r == k], t[r == k]
+        assert mine[0] == least and ids[which[0]] == min(ids[full == least])
+        assert mine[-1] == full[full > least + 1e-6].min() and mine[-1] > mine[0] + 1e-6
+    assert np.isnan(d[r == len(source) - 1]).all() and len(d[r == len(source) - 1]) == 1
+    assert not len(features.near_pairs(source[50:100], target, ids, np.zeros(50))[0])
+
+
+def test_cells_cut_blocks_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(features, "CELL", 20)
+    source, target = {1: rng.normal(size=(90, 5))}, {1: np.repeat(rng.normal(size=(70, 5)), 2, axis=0)}
+    same(features.descriptor_match(table(spark, source), table(spark, target), pivots=2), plain(source, target, 0.8))
