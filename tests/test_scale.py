@@ -38,6 +38,12 @@ def test_elevations_of_parallel_lines_of_sight(spark, tmp_path):
     assert any(r[0] == 500 and r[3] == float("inf") for r in got)
 
 
+def test_elevations_of_nearly_parallel_lines_of_sight(spark, tmp_path):
+    write_images(spark, tmp_path, [140, 320, 1760, 90500])  # the tangents differ in their last bits; of the last image Java's tangent is another
+    got, want = both(spark, tmp_path, "disparity_to_dem")
+    assert got == want and max(abs(r[3]) for r in got) > 1e15
+
+
 def plan(df, mode="extended"):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 

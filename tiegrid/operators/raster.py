@@ -9,8 +9,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tiegrid.functions.algebra import clip, lit
 from tiegrid.plans.work import materialize
@@ -435,12 +437,19 @@ def spectral_residuals(cube: DataFrame, key: str = "image_id") -> DataFrame:
     return one.groupBy(key).agg(F.avg("s").alias("spectral_variance"), F.degrees(F.avg("a")).alias("spectral_angle_deg"))
 
 
+@F.pandas_udf(DoubleType())
+def c_tangent(angles: pd.Series) -> pd.Series:
+    return angles.map(lambda a: math.tan(a) if math.isfinite(a) else math.nan)
+
+
 def disparity_to_dem(disparity: DataFrame, views: DataFrame, datum: float = 0.0) -> DataFrame:
     """(image_id, x, y, z): elevations from a disparity table and each stereo pair's fore and aft angles and ground distance.
 
     Lines of sight that are parallel meet at infinity: such a pair's elevations are infinite, NaN for a disparity of 0.
+    Of nearly parallel ones the last bit of a tangent decides the ratio, so tangents are the C library's, not Java's.
     """
-    ratio = F.tan(F.radians("fore")) - F.tan(F.radians("aft"))
+    tangent = lambda c: F.when(F.abs(c) < float("inf"), c_tangent(F.radians(c))).otherwise(F.tan(F.radians(c)))
+    ratio = tangent(F.col("fore")) - tangent(F.col("aft"))
     both = disparity.join(views.select("image_id", "gsd", ratio.alias("ratio")), "image_id")
     height = F.when(F.col("ratio") == 0, F.col("v") * F.col("gsd") * float("inf")).otherwise(F.try_divide(F.col("v") * F.col("gsd"), F.col("ratio")))
     return both.select(*PIXEL, (datum + height).alias("z"))

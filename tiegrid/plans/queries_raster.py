@@ -208,7 +208,9 @@ def spectral_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT image_id, x, y, round(100 + v * 5 / (tan(radians(20e0 + image_id)) - tan(radians(-20e0))), 5) AS z FROM {v_pixels}")
 def disparity_to_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = pixels(spark, sf_dir).select("image_id").distinct().selectExpr("image_id", "20e0 + image_id AS fore", "-20e0 AS aft", "5e0 AS gsd")
-    return rounded(raster.disparity_to_dem(pixels(spark, sf_dir), views, 100.0), 5)
+    found = raster.disparity_to_dem(pixels(spark, sf_dir), views, 100.0)
+    # Nearly parallel lines of sight give elevations beyond 1e15, where rounding the decimal digits isn't the SQL's rounding of a multiple.
+    return found.select("image_id", "x", "y", (F.round(F.col("z") * 1e5) / 1e5 + 0.0).alias("z"))
 
 
 ANGLES = """b AS (SELECT image_id, x, unnest(range(64)) AS band, unnest(bands) AS v FROM {v_cube}), m AS (SELECT image_id, band, avg(v) AS m FROM b GROUP BY image_id, band),
