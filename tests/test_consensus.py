@@ -146,6 +146,34 @@ def test_a_network_alone_and_among_others(spark):
             assert np.allclose(r["h"], together[r["image_id"]], rtol=1e-10)
 
 
+def test_network_reaches_its_least_error(spark):
+    """A ring of ten images that doesn't close by 9 px, against all poses solved at once; plain rounds are far from it."""
+    at = np.array([(0.0, 0.0), (400.0, 30.0), (20.0, 380.0), (410.0, 400.0)])
+    edges = [(k, k - 1) for k in range(1, 10)] + [(9, 0)]
+    rows = [(s, r, *map(float, p), *map(float, p + ((-81.0, 0.0) if r == 0 and s == 9 else (-10.0, 0.0)))) for s, r in edges for p in at]
+    rows += [(1, 0, *map(float, p), *map(float, p - (10.0, 0.0))) for p in at]  # image 0 is the root
+    a, b = np.zeros((len(rows), 30)), np.zeros(len(rows))
+    for i, (s, r, x, y, u, v) in enumerate(rows):
+        a[i, 3 * s : 3 * s + 3] += (x, y, 1)
+        a[i, 3 * r : 3 * r + 3] -= (u, v, 1)
+    b -= a[:, 0]
+    free = np.linalg.lstsq(a[:, 3:], b, rcond=None)[0]  # x; y closes
+    least = np.sqrt(((a[:, 3:] @ free - b) ** 2).mean())
+    poses, report = solvers.adjust_network(spark.createDataFrame(rows, "src bigint, ref bigint, source_x double, source_y double, target_x double, target_y double"), 60, 1e9)
+    assert report.first()["rmse_after"] == pytest.approx(least, rel=2e-3)
+    assert {r["image_id"] for r in poses.collect()} == set(range(10))
+
+
+def test_network_query_runs_to_its_end(spark, monkeypatch):
+    asked = []
+    found = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "image_id bigint, h array<double>")
+    monkeypatch.setattr(solvers, "adjust_network", lambda m, rounds=6, **_: asked.append(rounds) or (found, None))
+    import __spark_entry__
+
+    __spark_entry__.queries()["adjust_network"](spark, "/root/testdata/sf0.001")
+    assert asked == [200]
+
+
 def test_made_matches_are_exact(spark):
     found = consensus.consensus_homography(spark.createDataFrame(made(spark, 1, PROJECTIVE, 40), MATCH), 1.0, 16).first()
     assert found["inliers"] == 40 and np.allclose(found["h"], PROJECTIVE, rtol=1e-6, atol=1e-9)
