@@ -275,3 +275,20 @@ def test_profiles_shuffle_lines_not_pixels(spark):
     found = raster.profile_shift(a, b, 6)
     assert {r["axis"]: r["shift"] for r in found.collect()}["x"] == 2
     assert shuffled_rows(found._jdf.queryExecution().executedPlan()) < 2 * 64 * 64
+
+
+def test_replicates_are_the_references_number():
+    assert "range(1000) AS g(r)" in __spark_entry__.oracle_sql()["bootstrap_ci"]
+
+
+def test_drawn_means_are_rounded_once():
+    import math
+
+    import numpy as np
+
+    from tiegrid.functions import draws
+
+    rng = np.random.default_rng(5)
+    for values in (np.round(rng.uniform(size=613) * 50) / 50, rng.normal(size=70) * 10.0 ** rng.integers(-12, 12, 70), np.zeros(4), np.array([1e-308, 1.0, -1e305]), np.array([2.5])):
+        plain = [math.fsum(values[draws.drawn_places(31, len(values), r)].tolist()) / len(values) for r in range(300)]
+        assert draws.drawn_means(31, values, 300) == plain
