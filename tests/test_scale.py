@@ -292,3 +292,30 @@ def test_drawn_means_are_rounded_once():
     for values in (np.round(rng.uniform(size=613) * 50) / 50, rng.normal(size=70) * 10.0 ** rng.integers(-12, 12, 70), np.zeros(4), np.array([1e-308, 1.0, -1e305]), np.array([2.5])):
         plain = [math.fsum(values[draws.drawn_places(31, len(values), r)].tolist()) / len(values) for r in range(300)]
         assert draws.drawn_means(31, values, 300) == plain
+
+
+def test_neighbours_as_a_whole_and_by_cells(spark, monkeypatch):
+    import random
+
+    from tiegrid.operators import features
+
+    draw = random.Random(3)
+    rows = [(p, k, *((None,) * 2 if k % 17 == 16 else (float(draw.randrange(12)), float(draw.randrange(12)))), draw.random(), draw.random()) for p, n in ((1, 90), (2, 5), (3, 1), (4, 2)) for k in range(n)]
+    m = spark.createDataFrame(rows, "pair_id bigint, match_id bigint, source_x double, source_y double, target_x double, target_y double")
+    whole = sorted(tuple(r) for r in features.nearest(m, 4).collect())
+    monkeypatch.setattr(features, "WHOLE", 3)
+    assert sorted(tuple(r) for r in features.nearest(m, 4).collect()) == whole and len(whole) > 300
+
+
+@pytest.mark.parametrize("name", ["neighborhood_consistency", "relief_strain"])
+def test_neighbours_are_not_shuffled(spark, name):
+    """Matches are dealt out by pair, once; beside them only a row for each pair is."""
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    text = plan(df, "simple")
+    assert "FlatMapGroupsInArrow" in text and "match_id" not in "".join(x for x in text.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_the_verifier_reads_written_matches(spark):
+    df = __spark_entry__.queries()["verifier"](spark, "/root/testdata/sf0.001")
+    scans = plan(df, "simple")
+    assert "verifier-matches" in scans and "lineitem.parquet" not in scans and "Join" not in scans
