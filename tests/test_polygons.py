@@ -165,3 +165,39 @@ def test_margins_of_all_sides(spark):
     assert r[1]["dem_id"] == 7 and (r[1]["margin_west"], r[1]["margin_east"], r[1]["margin_south"], r[1]["margin_north"]) == (2, 16, None, None) and r[1]["margin_deg"] == 1
     assert not r[2]["contained"] and r[2]["dem_id"] is None and [x["id"] for x in catalog.missing_regions(covered).collect()] == [2]
     assert catalog.coverage_check(regions, dems.drop("res_x_deg", "res_y_deg")).filter(F.col("margin_west").isNotNull()).isEmpty()
+
+
+def test_products_of_one_footprint_meet_once(spark, monkeypatch):
+    import datetime
+
+    monkeypatch.setattr(catalog, "HELD", 4)
+    day = lambda k: None if k % 6 == 5 else datetime.datetime(2020, 1, 1) + datetime.timedelta(days=k % 5)
+    where = {"OHRC": [(0, 1, 0, 1), (5, 6, 0, 1)], "TMC": [(-1, 2, -1, 2), (0, 1, 0, 0.6), (5, 6, 0, 1)], "IIRS": [(-3, 0.75, -3, 3), (4, 8, -2, 4)]}
+    rows, k = [], 0
+    for sensor, boxes in where.items():
+        for box in boxes:
+            for _ in range(7):
+                k += 1
+                rows.append((k, sensor, *map(float, box), day(k)))
+    p = spark.createDataFrame(rows, "product_id bigint, sensor string, west_lon double, east_lon double, south_lat double, north_lat double, acquired timestamp")
+    assert catalog.by_footprint(p.drop("sensor"), list(catalog.BOUNDS)).count() == 2 * 6 + 2  # boxes that two sensors share hold 14 products
+
+    def shared(*boxes):
+        return max(0.0, min(b[1] for b in boxes) - max(b[0] for b in boxes)) * max(0.0, min(b[3] for b in boxes) - max(b[2] for b in boxes))
+
+    of = lambda s: [(r[0], r[2:6], r[6]) for r in rows if r[1] == s]
+    near = lambda a, b, loose: loose if a is None or b is None else abs((a - b).days) <= 2
+    for strict, least in ((False, 0.5), (True, 0.7)):
+        want = {
+            (o, t, i): shared(bo, bt, bi) / shared(bo) for o, bo, do in of("OHRC") for t, bt, dt in of("TMC") for i, bi, di in of("IIRS")
+            if shared(bo, bt, bi) / shared(bo) >= least and near(do, dt, not strict) and near(do, di, not strict) and near(dt, di, True)
+        }
+        got = catalog.build_triplets(p, least, 0.0, 2.0, strict).collect()
+        assert {(r["ohrc_id"], r["tmc_id"], r["iirs_id"]): r["fraction"] for r in got} == want and len(got) == len(want) > 50
+    used = catalog.adaptive_triplets(p, 1.01, 0.0, 2.0).collect()
+    every = catalog.adaptive_containment(catalog.build_triplets(p, 0.5, 0.0, 2.0), 1.01).collect()
+    assert sorted((r["ohrc_id"], r["tmc_id"], r["iirs_id"], r["used"]) for r in used) == sorted((r["ohrc_id"], r["tmc_id"], r["iirs_id"], r["used"]) for r in every) and used
+    found = catalog.footprint_join(p.filter("sensor = 'OHRC'"), p.filter("sensor = 'TMC'"), 0.6)
+    want = sorted((o, t, shared(bo, bt) / shared(bo)) for o, bo, _ in of("OHRC") for t, bt, _ in of("TMC") if shared(bo, bt) / shared(bo) >= 0.6)
+    assert sorted((r["product_id"], r["b_product_id"], r["overlap"]) for r in found.collect()) == want
+    assert found.columns == [*p.columns, *("b_" + c for c in p.columns), "overlap"]
